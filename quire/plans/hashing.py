@@ -15,7 +15,8 @@ HASH_BITS = 60
 
 def seeded_hash(seed, *keys) -> Column:
     """60-bit non-negative integer from ``md5('<seed>:<k1>:<k2>...')``."""
-    parts = [F.lit(str(seed))] + [F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]
+    seed_c = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    parts = [seed_c] + [F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("bigint")
 
 

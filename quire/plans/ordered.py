@@ -51,16 +51,23 @@ def _ranged(df: DataFrame, order: Sequence, num_partitions: int | None) -> DataF
     )
 
 
-def ordered_index(df: DataFrame, order: Sequence, name: str = "rank", num_partitions: int | None = None) -> DataFrame:
-    """Add ``name``: 0-based position of each row in the global order ``order`` (must be unique)."""
+def ordered_index(df: DataFrame, order: Sequence, name: str = "rank", num_partitions: int | None = None,
+                  total: str | None = None) -> DataFrame:
+    """Add ``name``: 0-based position of each row in the global order ``order`` (must be unique).
+
+    With ``total`` the row count of the whole frame is added as well (taken from the same
+    per-partition table, so it costs no extra pass)."""
     tagged = _ranged(df, order, num_partitions)
     counts = tagged.groupBy(_PART).agg(F.count(F.lit(1)).alias(_CNT))
-    offsets = counts.select(
+    cols = [
         _PART,
         F.coalesce(
             F.sum(_CNT).over(Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias(_OFF),
-    )
+    ]
+    if total:
+        cols.append(F.sum(_CNT).over(Window.partitionBy()).alias(total))
+    offsets = counts.select(*cols)
     return (
         tagged.join(F.broadcast(offsets), _PART)
         .withColumn(name, F.col(_OFF) + F.col(_ROW))
