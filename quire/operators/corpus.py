@@ -133,7 +133,7 @@ def trim_vocabulary(vocab: DataFrame, min_count: int, specials: Sequence[str] =
     from quire.plans.ordered import ordered_index
 
     kept = vocab.filter((F.col("n") >= min_count) | F.col("word").isin(list(specials)))
-    return ordered_index(kept, [F.desc("n"), F.col("word")], name="index")
+    return ordered_index(kept, [-F.col("n"), F.col("word")], name="index")
 
 
 def fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

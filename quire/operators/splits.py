@@ -4,8 +4,8 @@ Randomness is a seeded hash column (``plans.hashing.seeded_hash``), so every res
 function of (seed, key): reproducible, independent of partitioning, and a language's split is
 the same whether it is split alone or together with others (L5).
 
-Exact sizes need global ranks. They come from ``plans.ordered.ordered_index`` (range partition +
-bounded broadcast of per-partition offsets), never from a window without ``partitionBy``.
+Exact sizes need global ranks. They come from windows partitioned by (group, top bits of the hash)
+plus bounded per-bucket offsets, never from a window without ``partitionBy``.
 Group sizes (per class / language / fold / repetition) are small aggregated tables; they are
 joined with a plain join, and AQE turns that into a broadcast from the measured size.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.plans.hashing import seeded_hash
-from quire.plans.ordered import ordered_index
+from quire.plans.ordered import default_buckets, hash_bucket, ordered_index
 
 HASH = "__h"
 
@@ -35,18 +35,28 @@ def seeded_order(df: DataFrame, seed, key: str, name: str = HASH) -> DataFrame:
 
 def group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, name: str = "rank_in_group",
                size_name: str = "group_n") -> DataFrame:
-    """0-based rank inside each group plus the group size, from ONE global ordered index over
-    ``(group, order)``; rank_in_group = global rank - start of the group. A hot group is spread
-    over many range partitions, so no group ever has to fit in one task."""
+    """0-based rank inside each group plus the group size.
+
+    The order inside a group starts with the seeded hash column ``__h``; the window is
+    partitioned by (group, top bits of the hash), so a hot group is spread over many buckets and
+    tasks. Per-(group, bucket) counts (a small table) give the offsets."""
     group_cols = list(group_cols)
-    ranked = ordered_index(df, [*group_cols, *order_cols], name="__grank")
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(size_name))
-    w = Window.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("__gstart", F.coalesce(F.sum(size_name).over(w), F.lit(0)))
+    nb = default_buckets(df)
+    b = df.withColumn("__hb", hash_bucket(HASH, nb))
+    counts = b.groupBy(*group_cols, "__hb").agg(F.count(F.lit(1)).alias("__c"))
+    wg = Window.partitionBy(*group_cols)
+    offs = counts.select(
+        *group_cols,
+        "__hb",
+        F.coalesce(F.sum("__c").over(wg.orderBy("__hb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
+        F.sum("__c").over(wg).alias(size_name),
+    )
+    w = Window.partitionBy(*group_cols, "__hb").orderBy(*[F.col(c) if isinstance(c, str) else c for c in order_cols])
     return (
-        ranked.join(starts, group_cols)
-        .withColumn(name, F.col("__grank") - F.col("__gstart"))
-        .drop("__grank", "__gstart")
+        b.withColumn("__rn", F.row_number().over(w))
+        .join(offs, [*group_cols, "__hb"])
+        .withColumn(name, F.col("__off") + F.col("__rn") - 1)
+        .drop("__hb", "__rn", "__off")
     )
 
 
@@ -69,7 +79,8 @@ def exact_split(df: DataFrame, key: str, seed, dev_size, by: Sequence[str] = (),
 
 
 def _global_rank(h: DataFrame, key: str) -> DataFrame:
-    return ordered_index(h, [F.col(HASH), F.col(key)], name="rank_in_group", total="group_n")
+    return ordered_index(h, [F.col(HASH), F.col(key)], name="rank_in_group", total="group_n",
+                         bucket=hash_bucket(HASH, default_buckets(h)))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, seed, dev_fraction, split_col: str = "split") -> DataFrame:
@@ -110,8 +121,11 @@ def stratified_kfold(df: DataFrame, key: str, label: str, seed, k: int, fold_col
     """Rank over (class, hash) and deal folds round-robin; the start rotates with the
     cumulative class size, so per-class fold sizes differ by <= 1 and totals are balanced."""
     h = df.withColumn(HASH, seeded_hash(seed, key))
-    r = ordered_index(h, [F.col(label), F.col(HASH), F.col(key)], name="__r")
-    return r.withColumn(fold_col, (F.col("__r") % k).cast("int")).drop(HASH, "__r")
+    r = group_rank(h, [label], [F.col(HASH), F.col(key)])
+    sizes = h.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select(label, F.coalesce(F.sum("__n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    return r.join(starts, label).withColumn(fold_col, ((F.col("__start") + F.col("rank_in_group")) % k).cast("int")).drop(
+        HASH, "rank_in_group", "group_n", "__start")
 
 
 def nested_kfold(df: DataFrame, key: str, seed, k_outer: int, k_inner: int) -> DataFrame:

@@ -1,117 +1,116 @@
 """Global ordered index and prefix sums without a single-partition window.
 
-``Window.orderBy(...)`` without ``partitionBy`` moves every row into one task. Instead:
-
-1. ``repartitionByRange(n, order)`` on a *unique* order key (ties broken by the caller's key
-   columns, so a hot score value is split across partitions as well),
-2. ``sortWithinPartitions(order)``; ``monotonically_increasing_id()`` then encodes
-   (partition, row-in-partition),
-3. one row per partition (count or sum) is aggregated, turned into offsets by a window over at
-   most ``n`` rows, and broadcast back (size bounded by ``n``, not by the data).
-
-Both consumers read the same range exchange (Spark reuses the identical exchange inside one
-query), so partition numbers agree. A lost map output is recomputed with the already fixed
-range bounds, and the in-partition order is a total order, so recomputation gives the same
-index: no persist or local checkpoint is needed.
+``Window.orderBy(...)`` without ``partitionBy`` moves every row into one task. Instead rows get
+a *bucket* that is a pure, monotone function of the leading order column:
+
+* for a uniform seeded hash (splits, folds, samples) the bucket is the hash's top bits;
+* otherwise bucket bounds are ``percentile_approx`` values computed once and inlined as literals.
+
+Then ``row_number()``/running sums run in a window partitioned by bucket (a hash shuffle over
+many tasks), the per-bucket counts/sums (one row per bucket) become offsets through a window over
+at most ``num_buckets`` rows, and those offsets are broadcast back (size bounded by the bucket
+count, not by the data). Every step is deterministic, so a lost executor's work is recomputed to
+the same result without persisting anything.
+
+The order key must be unique (callers add their id columns as tie-breakers). Operators whose
+natural order has heavy ties (scores) aggregate per distinct value first, so the ranked input
+has unique keys and no bucket can be hot.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PART = "__p0_part"
-_MID = "__p0_mid"
-_ROW = "__p0_row"
+_B = "__p0_bucket"
 _OFF = "__p0_off"
 _CNT = "__p0_cnt"
+_RN = "__p0_rn"
+HASH_BITS = 60
 
 
-def _order_exprs(order: Sequence) -> list[Column]:
+def _exprs(order: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def default_buckets(df: DataFrame) -> int:
+    return max(8, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _ranged(df: DataFrame, order: Sequence, num_partitions: int | None) -> DataFrame:
-    exprs = _order_exprs(order)
-    n = _num_parts(df, num_partitions)
-    return (
-        df.repartitionByRange(n, *exprs)
-        .sortWithinPartitions(*exprs)
-        .withColumn(_PART, F.spark_partition_id())
-        .withColumn(_MID, F.monotonically_increasing_id())
-        .withColumn(_ROW, F.col(_MID) - F.shiftleft(F.col(_PART).cast("long"), 33))
-    )
+def hash_bucket(h, num_buckets: int) -> Column:
+    """Bucket of a non-negative ``HASH_BITS``-bit hash: its top ``ceil(log2(num_buckets))`` bits."""
+    bits = max(1, math.ceil(math.log2(max(2, num_buckets))))
+    c = F.col(h) if isinstance(h, str) else h
+    return F.shiftright(c, HASH_BITS - bits).cast("int")
+
 
+def quantile_bucket(df: DataFrame, col, num_buckets: int, descending: bool = False) -> Column:
+    """Monotone bucket from ``num_buckets - 1`` approximate quantiles of a numeric column.
 
-def ordered_index(df: DataFrame, order: Sequence, name: str = "rank", num_partitions: int | None = None,
-                  total: str | None = None) -> DataFrame:
-    """Add ``name``: 0-based position of each row in the global order ``order`` (must be unique).
+    The quantiles are one aggregate collected to the driver (``num_buckets`` numbers) and
+    inlined as literals, so every later evaluation assigns the same bucket."""
+    c = F.col(col) if isinstance(col, str) else col
+    probs = [i / num_buckets for i in range(1, num_buckets)]
+    row = df.agg(F.percentile_approx(c.cast("double"), probs, 10000).alias("q")).first()
+    qs = sorted(set(v for v in (row["q"] or []) if v is not None))
+    bounds = F.array(*[F.lit(float(v)) for v in qs]) if qs else F.array().cast("array<double>")
+    x = c.cast("double")
+    if descending:
+        return F.size(F.filter(bounds, lambda b: b > x)).cast("int")
+    return F.size(F.filter(bounds, lambda b: b < x)).cast("int")
 
-    With ``total`` the row count of the whole frame is added as well (taken from the same
-    per-partition table, so it costs no extra pass)."""
-    tagged = _ranged(df, order, num_partitions)
-    counts = tagged.groupBy(_PART).agg(F.count(F.lit(1)).alias(_CNT))
+
+def _offsets(per_bucket: DataFrame, value: str, total: str | None) -> DataFrame:
     cols = [
-        _PART,
-        F.coalesce(
-            F.sum(_CNT).over(Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias(_OFF),
+        _B,
+        F.coalesce(F.sum(value).over(Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(_OFF),
     ]
     if total:
-        cols.append(F.sum(_CNT).over(Window.partitionBy()).alias(total))
-    offsets = counts.select(*cols)
-    return (
-        tagged.join(F.broadcast(offsets), _PART)
-        .withColumn(name, F.col(_OFF) + F.col(_ROW))
-        .drop(_PART, _MID, _ROW, _OFF)
-    )
+        cols.append(F.sum(value).over(Window.partitionBy()).alias(total))
+    return per_bucket.select(*cols)
 
 
-def prefix_sum(df: DataFrame, order: Sequence, value: str, name: str = "cum", num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = sum of ``value`` over all rows up to and including this one in ``order``.
-
-    The in-partition running sum runs as an Arrow batch function over the range partition
-    (``mapInPandas`` keeps the partitioning and order; no second shuffle); the cross-partition
-    offsets are the same bounded broadcast as in ``ordered_index``.
-    """
-    tagged = _ranged(df, order, num_partitions)
-    sums = tagged.groupBy(_PART).agg(F.sum(value).alias(_CNT))
-    offsets = sums.select(
-        _PART,
-        F.coalesce(
-            F.sum(_CNT).over(Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias(_OFF),
-    )
-    local_name = "__p0_local"
-    schema = tagged.schema.add(local_name, "double")
-
-    def running(batches):
-        carry = 0.0
-        for pdf in batches:
-            cs = pdf[value].astype("float64").fillna(0.0).cumsum() + carry
-            if len(cs):
-                carry = float(cs.iloc[-1])
-            pdf[local_name] = cs
-            yield pdf
-
-    local = tagged.mapInPandas(running, schema)
+def _with_bucket(df: DataFrame, order: Sequence, bucket, num_buckets: int | None, descending: bool) -> DataFrame:
+    if bucket is None:
+        nb = num_buckets or default_buckets(df)
+        first = _exprs(order)[0]
+        bucket = quantile_bucket(df, first, nb, descending)
+    return df.withColumn(_B, bucket)
+
+
+def ordered_index(df: DataFrame, order: Sequence, name: str = "rank", bucket: Column | None = None,
+                  num_buckets: int | None = None, total: str | None = None, descending: bool = False) -> DataFrame:
+    """Add ``name``: 0-based position of each row in the global order ``order`` (unique key).
+
+    ``bucket`` must be monotone in ``order`` (use ``hash_bucket`` when the order starts with a
+    seeded hash); when omitted, quantile buckets of the first order column are used
+    (``descending=True`` when that column is sorted descending). ``total`` adds the row count."""
+    b = _with_bucket(df, order, bucket, num_buckets, descending)
+    counts = b.groupBy(_B).agg(F.count(F.lit(1)).alias(_CNT))
+    offsets = _offsets(counts, _CNT, total)
+    w = Window.partitionBy(_B).orderBy(*_exprs(order))
     return (
-        local.join(F.broadcast(offsets), _PART)
-        .withColumn(name, F.col(_OFF) + F.col(local_name))
-        .drop(_PART, _MID, _ROW, _OFF, local_name)
+        b.withColumn(_RN, F.row_number().over(w))
+        .join(F.broadcast(offsets), _B)
+        .withColumn(name, F.col(_OFF) + F.col(_RN) - 1)
+        .drop(_B, _RN, _OFF)
     )
 
 
-def take_smallest(df: DataFrame, order: Sequence, k, name: str = "rank") -> DataFrame:
-    """Rows whose global position in ``order`` is below ``k`` (a Column or int), with ``name``."""
-    ranked = ordered_index(df, order, name)
-    kc = k if isinstance(k, Column) else F.lit(k)
-    return ranked.filter(F.col(name) < kc)
+def prefix_sum(df: DataFrame, order: Sequence, value, name: str = "cum", bucket: Column | None = None,
+               num_buckets: int | None = None, total: str | None = None, descending: bool = False) -> DataFrame:
+    """Add ``name`` = sum of ``value`` over all rows up to and including this one in ``order``."""
+    v = F.col(value) if isinstance(value, str) else value
+    b = _with_bucket(df, order, bucket, num_buckets, descending).withColumn("__p0_v", v)
+    sums = b.groupBy(_B).agg(F.sum("__p0_v").alias(_CNT))
+    offsets = _offsets(sums, _CNT, total)
+    w = Window.partitionBy(_B).orderBy(*_exprs(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        b.withColumn("__p0_local", F.sum("__p0_v").over(w))
+        .join(F.broadcast(offsets), _B)
+        .withColumn(name, F.col(_OFF) + F.col("__p0_local"))
+        .drop(_B, "__p0_local", "__p0_v", _OFF)
+    )
