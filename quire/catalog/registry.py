@@ -20,4 +20,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     # importing the modules fills the registry
-    from quire.catalog import corpus_q, leakage_q, metrics_q, splits_q  # noqa: F401
+    from quire.catalog import corpus_q, leakage_q, metrics_q, qa_q, ranking_q, splits_q  # noqa: F401

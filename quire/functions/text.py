@@ -9,6 +9,7 @@ therefore spelled out explicitly (it is also valid RE2, so the DuckDB oracle use
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,31 +78,53 @@ def ws_tokens(col) -> Column:
 
 
 def ws_token_spans(col) -> Column:
-    """T7 with character offsets: ``array<struct<token, start, end>>`` (0-based, end exclusive).
-
-    Offsets come from the alternating whitespace / non-whitespace runs and one running sum
-    (``aggregate``), so a row is processed in one pass inside the task. Meant for sentence-sized
-    text; documents are first cut into passages or lines.
-    """
+    """T7 with character offsets for sentence-sized text: ``array<struct<token, start, end>>``
+    (0-based, end exclusive), equal to ``re.finditer(r'\\S+', text)``. A single ``aggregate``
+    over the alternating whitespace / non-whitespace runs keeps the running offset; higher-order
+    functions are interpreted, so documents use ``token_offsets_batch`` (Arrow) instead."""
     runs = F.regexp_extract_all(_c(col), F.lit("(" + WS + "+|" + NON_WS + "+)"), 1)
-    init = F.struct(
-        F.lit(0).alias("pos"),
-        F.array().cast("array<struct<token:string,start:int,end:int>>").alias("acc"),
-    )
+    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("acc"))
 
     def step(acc, r):
         ln = F.length(r)
-        is_tok = F.regexp_like(r, F.lit("^" + NON_WS))
-        new_acc = F.when(
-            is_tok,
-            F.concat(acc["acc"], F.array(F.struct(r.alias("token"), acc["pos"].alias("start"),
-                                                  (acc["pos"] + ln).alias("end")))),
-        ).otherwise(acc["acc"])
+        tok = F.struct(r.alias("token"), acc["pos"].alias("start"), (acc["pos"] + ln).alias("end"))
+        new_acc = F.when(F.regexp_like(r, F.lit("^" + NON_WS)), F.concat(acc["acc"], F.array(tok))).otherwise(acc["acc"])
         return F.struct((acc["pos"] + ln).alias("pos"), new_acc.alias("acc"))
 
     return F.aggregate(runs, init, step, lambda a: a["acc"])
 
 
+def token_offsets_batch(col) -> Column:
+    """Start offsets of the whitespace tokens of long texts (documents), as ``array<int>``.
+
+    Arrow-batched pandas UDF around ``re.finditer``: linear in the text, one call per batch.
+    Tokens themselves come from ``ws_tokens`` (JVM); both use the same whitespace rule."""
+    return _token_starts(_c(col))
+
+
+def _make_token_starts():
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<int>")
+    def token_starts(texts: pd.Series) -> pd.Series:
+        import re
+
+        pat = re.compile(r"\S+")  # Python's own Unicode whitespace rule (same set as PY_WHITESPACE)
+        return texts.map(lambda t: [m.start() for m in pat.finditer(t)] if t is not None else None)
+
+    return token_starts
+
+
+class _Lazy:
+    fn = None
+
+
+def _token_starts(c: Column) -> Column:
+    if _Lazy.fn is None:
+        _Lazy.fn = _make_token_starts()
+    return _Lazy.fn(c)
+
+
 def normalize_answer(col) -> Column:
     """Lower-case, drop ASCII punctuation, drop articles a/an/the, collapse whitespace."""
     c = F.lower(_c(col))
