@@ -4,7 +4,7 @@ The constants are shared with the Spark expressions (one definition of the rule)
 written independently of the DataFrame code.
 """
 
-from quire.functions.text import LINK_PATTERN, NON_WS, TOKEN_PUNCT, UNDERSCORES, WS
+from quire.functions.text import LINK_PATTERN, NON_WS, UNDERSCORES, WORD_TOKEN, WS
 
 
 def q(s: str) -> str:
@@ -16,19 +16,18 @@ def strip(x: str) -> str:
 
 
 def collapse(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, {q(WS + '+')}, ' ', 'g'), '^ | $', '', 'g')"
+    return f"trim(regexp_replace({x}, {q(WS + '+')}, ' ', 'g'))"
 
 
 def preprocess(x: str) -> str:
     c = f"replace({x}, chr(10), ' ')"
     c = f"regexp_replace({c}, {q(UNDERSCORES)}, '', 'g')"
-    c = strip(f"regexp_replace({c}, {q(LINK_PATTERN)}, '', 'g')")
+    c = f"regexp_replace({c}, {q(LINK_PATTERN)}, '', 'g')"
     return collapse(c)
 
 
 def word_tokens(x: str) -> str:
-    padded = f"regexp_replace({x}, {q(TOKEN_PUNCT)}, ' \\1 ', 'g')"
-    return f"list_filter(string_split({collapse(padded)}, ' '), lambda t: t <> '')"
+    return f"regexp_extract_all({x}, {q(WORD_TOKEN)}, 1)"
 
 
 def ws_tokens(x: str) -> str:

@@ -27,7 +27,10 @@ UNDERSCORES = "__+"
 
 # Punctuation for the rule-based word tokenizer: anything that is not a letter, mark, digit,
 # apostrophe, hyphen, underscore or whitespace stands alone as a token.
-TOKEN_PUNCT = "([^\\p{L}\\p{M}\\p{N}'_\\x{2D}" + PY_WHITESPACE + "])"
+WORD_CHARS = "\\p{L}\\p{M}\\p{N}'_\\x{2D}"
+TOKEN_PUNCT = "([^" + WORD_CHARS + PY_WHITESPACE + "])"
+# one token = one punctuation character, or a maximal run of word characters
+WORD_TOKEN = "([^" + WORD_CHARS + PY_WHITESPACE + "]|[" + WORD_CHARS + "]+)"
 
 
 def _c(col) -> Column:
@@ -40,8 +43,9 @@ def py_strip(col) -> Column:
 
 
 def collapse_ws(col) -> Column:
-    """Python ``' '.join(s.split())``: runs of whitespace become one blank, ends trimmed."""
-    return F.regexp_replace(F.regexp_replace(_c(col), WS + "+", " "), "^ | $", "")
+    """Python ``' '.join(s.split())``: runs of whitespace become one blank, ends trimmed (after
+    the collapse the only whitespace left at the ends is a single blank, which ``trim`` removes)."""
+    return F.trim(F.regexp_replace(_c(col), WS + "+", " "))
 
 
 def remove_links(col, substitute: str = "") -> Column:
@@ -58,7 +62,7 @@ def preprocess_text(col) -> Column:
     """Newline -> blank, remove ``__+``, remove links, strip, collapse whitespace."""
     c = F.translate(_c(col), "\n", " ")
     c = F.regexp_replace(c, UNDERSCORES, "")
-    c = remove_links(c, "")
+    c = F.regexp_replace(c, LINK_PATTERN, "")  # the strip of remove_links is subsumed by the collapse
     return collapse_ws(c)
 
 
@@ -68,8 +72,7 @@ def word_tokens(col) -> Column:
     Used as a join key and a length, so the only contract is that both sides of a join use the
     same rule. Empty or blank text gives an empty array.
     """
-    padded = F.regexp_replace(_c(col), TOKEN_PUNCT, " $1 ")
-    return F.filter(F.split(collapse_ws(padded), " "), lambda t: t != F.lit(""))
+    return F.regexp_extract_all(_c(col), F.lit(WORD_TOKEN), 1)
 
 
 def ws_tokens(col) -> Column:
