@@ -115,3 +115,23 @@ def calibration_bins(spark, sf_dir):
 def loss_per_split(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("split"), F.col("value").alias("loss"))
     return metrics.loss_mean(ev).select("split", F.round("loss", R).alias("loss"))
+
+
+@register(
+    "dev_ranking_table",
+    """
+    WITH rel AS (SELECT DISTINCT l_orderkey AS qid, l_partkey AS pid FROM lineitem WHERE l_returnflag = 'R'),
+    run AS (SELECT l_orderkey AS qid, l_partkey AS pid FROM lineitem WHERE l_orderkey IN (SELECT qid FROM rel))
+    SELECT run.qid, run.pid, o_orderpriority AS query, p_name AS passage,
+           CASE WHEN EXISTS (SELECT 1 FROM rel WHERE rel.qid = run.qid AND rel.pid = run.pid) THEN 1 ELSE 0 END AS label
+    FROM run JOIN orders ON o_orderkey = run.qid JOIN part ON p_partkey = run.pid
+    """,
+)
+def dev_ranking_table(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    run = li.select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("pid"))
+    qrels = li.filter(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("pid"))
+    queries = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"), F.col("o_orderpriority").alias("query"))
+    passages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), F.col("p_name").alias("passage"))
+    t = metrics.dev_ranking_table(run, qrels, queries, passages)
+    return t.select("qid", "pid", "query", "passage", F.col("label").cast("int"))

@@ -136,3 +136,23 @@ def repeated_holdout_q(spark, sf_dir):
 def exact_sample_q(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return splits.exact_sample(docs, "doc_id", SEED, 0.1)
+
+
+@register(
+    "grouped_kfold",
+    f"""
+    WITH d AS (SELECT conv_id, count(DISTINCT text) AS nq FROM conversations WHERE role = 'user' GROUP BY conv_id),
+    o AS (SELECT conv_id, nq, sum(nq) OVER (ORDER BY {S.seeded_hash(SEED, 'conv_id')}, conv_id) AS acc,
+                 sum(nq) OVER () AS total,
+                 first_value(nq) OVER (ORDER BY {S.seeded_hash(SEED, 'conv_id')}, conv_id) AS acc0 FROM d),
+    b AS (SELECT *, total // 5 AS q FROM o)
+    SELECT conv_id, CAST((CASE WHEN acc > CASE WHEN q < acc0 THEN acc0 + 1 ELSE q END THEN 1 ELSE 0 END)
+                         + (CASE WHEN acc > 2 * q THEN 1 ELSE 0 END) + (CASE WHEN acc > 3 * q THEN 1 ELSE 0 END)
+                         + (CASE WHEN acc > 4 * q THEN 1 ELSE 0 END) AS INTEGER) AS fold
+    FROM b
+    """,
+)
+def grouped_kfold_q(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select("conv_id", "text")
+    d = c.groupBy("conv_id").agg(F.countDistinct("text").alias("nq"))
+    return splits.grouped_kfold(d, "conv_id", "nq", SEED, 5).select("conv_id", F.col("fold").cast("int"))

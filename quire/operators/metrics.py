@@ -237,3 +237,48 @@ def positive_rank(df: DataFrame, qid: str, score: str, label: str, tie: Sequence
     w = Window.partitionBy(qid).orderBy(F.desc(score), *[F.col(t) for t in tie])
     r = df.withColumn("__r", F.row_number().over(w) - 1)
     return r.agg((F.sum(F.when(F.col(label) == 1, F.col("__r")).otherwise(0)) / F.countDistinct(qid)).alias("avg_rank"))
+
+
+def multilabel_macro_f1(df: DataFrame, labels: str, preds: str) -> DataFrame:
+    """Macro F1 over the label positions of multi-hot vectors (one binary F1 per position)."""
+    z = df.select(F.posexplode(F.arrays_zip(F.col(labels).alias("y"), F.col(preds).alias("p"))).alias("k", "z"))
+    per = z.groupBy("k").agg(F.count_if((F.col("z.y") == 1) & (F.col("z.p") == 1)).alias("tp"),
+                             F.count_if((F.col("z.y") == 0) & (F.col("z.p") == 1)).alias("fp"),
+                             F.count_if((F.col("z.y") == 1) & (F.col("z.p") == 0)).alias("fn"))
+    f1 = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0)
+    return per.agg(F.avg(f1).alias("f1_macro"))
+
+
+def dev_ranking_table(run: DataFrame, qrels: DataFrame, queries: DataFrame, passages: DataFrame,
+                      qid: str = "qid", pid: str = "pid") -> DataFrame:
+    """Run ⨝ queries ⨝ passages with ``label = 1`` when (qid, pid) is in the (de-duplicated)
+    qrels; queries without any qrel are dropped (the reference raises). The existence flag is a
+    left join on the distinct qrels pairs."""
+    rel = qrels.select(qid, pid).distinct()
+    with_rel = run.join(rel.select(qid).distinct(), qid, "left_semi")
+    flagged = with_rel.join(rel.withColumn("__hit", F.lit(1)), [qid, pid], "left")
+    return (flagged.join(queries, qid).join(passages, pid)
+            .withColumn("label", F.coalesce("__hit", F.lit(0))).drop("__hit"))
+
+
+def temperature_fit(df: DataFrame, logits: str, label: str, grid=None) -> DataFrame:
+    """One-parameter temperature calibration: the NLL of ``softmax(logits / T)`` summed over
+    rows for every temperature of a grid (exploded, aggregated per temperature), arg-min, then
+    two refinements around it. Returns ``temperature, nll``."""
+    import numpy as np
+
+    def nll_for(ts):
+        t = df.select(F.col(logits).alias("__l"), F.col(label).alias("__y")).withColumn(
+            "T", F.explode(F.array(*[F.lit(float(x)) for x in ts])))
+        z = F.aggregate(F.col("__l"), F.lit(0.0), lambda a, x: a + F.exp(x / F.col("T")))
+        nll = F.log(z) - F.get("__l", F.col("__y")) / F.col("T")
+        return t.groupBy("T").agg(F.sum(nll).alias("nll"))
+
+    grid = list(grid or np.round(np.linspace(0.25, 4.0, 16), 4))
+    best = nll_for(grid).orderBy("nll", "T").first()
+    step = grid[1] - grid[0]
+    for _ in range(2):
+        ts = [max(1e-3, best["T"] + step * d / 4) for d in range(-4, 5)]
+        best = nll_for(ts).orderBy("nll", "T").first()
+        step /= 4
+    return df.sparkSession.createDataFrame([(float(best["T"]), float(best["nll"]))], "temperature double, nll double")

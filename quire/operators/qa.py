@@ -267,3 +267,57 @@ def span_text(text: Column, offsets: Column, start_t: Column, end_t: Column) ->
     ans = T.py_strip(raw)
     return F.when(F.length(ans) == 0, F.struct(F.lit("").alias("answer"), F.lit(0).alias("start"), F.lit(0).alias("end"))).otherwise(
         F.struct(ans.alias("answer"), sc.alias("start"), (sc + F.length(ans)).alias("end")))
+
+
+def join_passage_classifier(cands: DataFrame, cls: DataFrame, doc: str = "doc_id", passage: str = "passage_id") -> DataFrame:
+    """QA candidates left-joined with a passage classifier ``(doc, passage, label)``
+    where label is ``span``/``yes``/``no``/``no_answer``. A candidate whose passage has no
+    classification becomes ``no_answer``; ``yes``/``no`` override the answer type and move the span
+    to the supporting-evidence columns."""
+    j = cands.join(cls.withColumnRenamed("label", "__cls"), [doc, passage], "left")
+    t = F.coalesce(F.col("__cls"), F.lit("no_answer"))
+    yn = t.isin("yes", "no")
+    return (j.withColumn("answer_type", t)
+            .withColumn("support_start", F.when(yn, F.col("start")))
+            .withColumn("support_end", F.when(yn, F.col("end")))
+            .withColumn("start", F.when(yn | (t == "no_answer"), F.lit(-1)).otherwise(F.col("start")))
+            .withColumn("end", F.when(yn | (t == "no_answer"), F.lit(-1)).otherwise(F.col("end")))
+            .drop("__cls"))
+
+
+def answers_to_passage_labels(answers, passage_start_t, passage_end_t, offsets, max_answers: int = 6) -> Column:
+    """Q4: document-level character answers ``array<struct<answer_start,text>>`` -> passage
+    token labels: start/end token via Q3; an answer not inside the passage -> (0, 0); the list is
+    padded with (-1, -1) up to ``max_answers``."""
+    def lab(a):
+        st = char_to_token(offsets, a["answer_start"])
+        en = char_to_token(offsets, a["answer_start"] + F.length(a["text"]) - 1)
+        inside = (st >= passage_start_t) & (en <= passage_end_t)
+        return F.struct(F.when(inside, st - passage_start_t).otherwise(0).alias("start"),
+                        F.when(inside, en - passage_start_t).otherwise(0).alias("end"))
+
+    labs = F.slice(F.transform(_c(answers), lab), 1, max_answers)
+    pad = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+    return F.concat(labs, F.array_repeat(pad, F.greatest(F.lit(max_answers) - F.size(labs), F.lit(0))))
+
+
+def top_spans_from_logits(df: DataFrame, start_logits: str, end_logits: str, mask: str | None, id_cols, max_answer_length: int = 30,
+                          n_best: int = 5) -> DataFrame:
+    """Q14: legal (start, end) pairs ``start <= end < start + max_answer_length`` (bounded
+    explode, never all pairs), optional token mask, score = start + end logit, the ``n_best`` per
+    passage (WindowGroupLimit). Confidence = mean of the softmax probabilities of start and end."""
+    id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    sl, el = F.col(start_logits), F.col(end_logits)
+    zs = F.aggregate(sl, F.lit(0.0), lambda a, x: a + F.exp(x))
+    ze = F.aggregate(el, F.lit(0.0), lambda a, x: a + F.exp(x))
+    n = F.size(sl)
+    x = df.select(*id_cols, sl.alias("__s"), el.alias("__e"), zs.alias("__zs"), ze.alias("__ze"),
+                  *([F.col(mask).alias("__m")] if mask else []), F.posexplode(sl).alias("start", "__sl"))
+    x = x.select("*", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + max_answer_length - 1, n - 1))).alias("end"))
+    if mask:
+        x = x.filter((F.get("__m", F.col("start")) == 1) & (F.get("__m", F.col("end")) == 1))
+    x = x.withColumn("score", F.col("__sl") + F.get("__e", F.col("end"))).withColumn(
+        "confidence", (F.exp(F.col("__sl")) / F.col("__zs") + F.exp(F.get("__e", F.col("end"))) / F.col("__ze")) / 2)
+    w = Window.partitionBy(*id_cols).orderBy(F.desc("score"), "start", "end")
+    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n_best).select(
+        *id_cols, "start", "end", "score", "confidence", "rank")

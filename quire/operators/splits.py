@@ -211,3 +211,26 @@ def sample_keep_one(df: DataFrame, group: str, key: str, is_answerable: Column |
     )
     rescued = h.join(rescue, [group, key], "left_semi")
     return kept.unionByName(rescued).drop(HASH)
+
+
+def grouped_kfold(docs: DataFrame, key: str, n_items: str, seed, k: int, fold_col: str = "fold") -> DataFrame:
+    """Cross-validation over whole documents with about equal numbers of questions per fold.
+
+    Documents are shuffled by a seeded hash; ``acc`` is the running question count in that order
+    (global prefix sum, P0). Fold boundaries are ``j * (total // k)`` for j = 1..k-1, the first one
+    raised to ``acc_0 + 1`` when it would fall inside the first document; a document's fold is the
+    number of boundaries its running count exceeds (``searchsorted(..., side='right')``)."""
+    from quire.plans.ordered import prefix_sum
+
+    h = docs.withColumn(HASH, seeded_hash(seed, key))
+    cum = prefix_sum(h, [F.col(HASH), F.col(key)], n_items, name="__acc", bucket=hash_bucket(HASH, default_buckets(h)),
+                     total="__total")
+    first = h.agg(F.min_by(F.col(n_items), F.struct(F.col(HASH), F.col(key))).alias("__acc0"))
+    from quire.operators.metrics import scalar_join
+
+    r = scalar_join(cum, F.broadcast(first))
+    q = F.floor(F.col("__total") / k)
+    b1 = F.when(q < F.col("__acc0"), F.col("__acc0") + 1).otherwise(q)
+    bounds = [b1] + [q * j for j in range(2, k)]
+    fold = sum(((F.col("__acc") > b).cast("int") for b in bounds), F.lit(0))
+    return r.withColumn(fold_col, fold).drop(HASH, "__acc", "__total", "__acc0")
