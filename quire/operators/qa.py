@@ -310,10 +310,9 @@ def top_spans_from_logits(df: DataFrame, start_logits: str, end_logits: str, mas
     sl, el = F.col(start_logits), F.col(end_logits)
     zs = F.aggregate(sl, F.lit(0.0), lambda a, x: a + F.exp(x))
     ze = F.aggregate(el, F.lit(0.0), lambda a, x: a + F.exp(x))
-    n = F.size(sl)
     x = df.select(*id_cols, sl.alias("__s"), el.alias("__e"), zs.alias("__zs"), ze.alias("__ze"),
                   *([F.col(mask).alias("__m")] if mask else []), F.posexplode(sl).alias("start", "__sl"))
-    x = x.select("*", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + max_answer_length - 1, n - 1))).alias("end"))
+    x = x.select("*", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + max_answer_length - 1, F.size("__s") - 1))).alias("end"))
     if mask:
         x = x.filter((F.get("__m", F.col("start")) == 1) & (F.get("__m", F.col("end")) == 1))
     x = x.withColumn("score", F.col("__sl") + F.get("__e", F.col("end"))).withColumn(

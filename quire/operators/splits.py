@@ -175,12 +175,10 @@ def exact_sample(df: DataFrame, key: str, seed, size) -> DataFrame:
     h = df.withColumn(HASH, seeded_hash(seed, key))
     r = _global_rank(h, key)
     if isinstance(size, int) and size >= 1:
-        r = r.withColumn("__chk", F.assert_true(F.col("group_n") >= size, "not enough rows for the sample"))
-        k = F.lit(size)
-    else:
-        k = _ceil_frac(F.col("group_n"), _frac(size))
-    out = r.filter(F.col("rank_in_group") < k)
-    return out.drop(HASH, "rank_in_group", "group_n", *(["__chk"] if "__chk" in out.columns else []))
+        ok = F.assert_true(F.col("group_n") >= size, "not enough rows for the sample").isNull()
+        return r.filter(ok & (F.col("rank_in_group") < size)).drop(HASH, "rank_in_group", "group_n")
+    k = _ceil_frac(F.col("group_n"), _frac(size))
+    return r.filter(F.col("rank_in_group") < k).drop(HASH, "rank_in_group", "group_n")
 
 
 def downsample_negatives(df: DataFrame, group: str, key: str, is_positive: Column | str, seed, n: int) -> DataFrame:
