@@ -19,6 +19,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
+
+    Higher-order functions re-evaluate every non-lambda expression inside their lambda for each
+    element; binding a computed array first keeps per-row work linear instead of quadratic.
+    (``aggregate`` over a one-element array with ``value`` as the start, finished by ``fn``.)"""
+    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _x: acc, fn)
+
+
 def _indices(arr: Column) -> Column:
     """0..size-1 (empty for an empty array; ``sequence(0,-1)`` would count down)."""
     return F.when(F.size(arr) > 0, F.sequence(F.lit(0), F.size(arr) - 1)).otherwise(F.array().cast("array<int>"))
@@ -27,29 +36,35 @@ def _indices(arr: Column) -> Column:
 def split_at_sep(tokens: Column, labels: Column | None = None, sep: str = SEP) -> Column:
     """Split at every ``sep`` token; returns ``array<struct<tokens[, labels]>>``. Empty
     sentences (doubled, leading or trailing separators) are kept; labels are sliced in parallel."""
-    tokens = _c(tokens)
-    n = F.size(tokens)
-    seps = F.filter(_indices(tokens), lambda i: F.get(tokens, i) == F.lit(sep))
-    bounds = F.concat(F.array(F.lit(-1)), seps, F.array(n))
+    def body(toks, labs):
+        n = F.size(toks)
+        seps = F.filter(_indices(toks), lambda i: F.get(toks, i) == F.lit(sep))
 
-    def piece(j):
-        lo = F.get(bounds, j) + 1
-        ln = F.get(bounds, j + 1) - lo
-        fields = [F.slice(tokens, lo + 1, ln).alias("tokens")]
-        if labels is not None:
-            fields.append(F.slice(_c(labels), lo + 1, ln).alias("labels"))
-        return F.struct(*fields)
+        def with_bounds(bounds):
+            def piece(j):
+                lo = F.get(bounds, j) + 1
+                ln = F.get(bounds, j + 1) - lo
+                fields = [F.slice(toks, lo + 1, ln).alias("tokens")]
+                if labs is not None:
+                    fields.append(F.slice(labs, lo + 1, ln).alias("labels"))
+                return F.struct(*fields)
 
-    return F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), piece)
+            return F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), piece)
+
+        return let(F.concat(F.array(F.lit(-1)), seps, F.array(n)), with_bounds)
+
+    if labels is None:
+        return let(_c(tokens), lambda t: body(t, None))
+    return let(_c(tokens), lambda t: let(_c(labels), lambda l: body(t, l)))
 
 
 def join_with_sep(arrays: Column, sep: str) -> Column:
     """Flatten sentences with ``sep`` between consecutive ones."""
-    arrays = _c(arrays)
-    n = F.size(arrays)
-    return F.flatten(
-        F.transform(arrays, lambda a, i: F.when(i < n - 1, F.concat(a, F.array(F.lit(sep)))).otherwise(a))
-    )
+    def body(arrs):
+        n = F.size(arrs)
+        return F.flatten(F.transform(arrs, lambda a, i: F.when(i < n - 1, F.concat(a, F.array(F.lit(sep)))).otherwise(a)))
+
+    return let(_c(arrays), body)
 
 
 def strip_bi(labels) -> Column:
@@ -59,13 +74,15 @@ def strip_bi(labels) -> Column:
 
 def labels_to_iob(labels) -> Column:
     """Plain labels -> IOB2; a label equal to the previous one continues (``I-``)."""
-    arr = _c(labels)
-    return F.transform(
-        arr,
-        lambda x, i: F.when(x == "O", x)
-        .when((i > 0) & (x == F.get(arr, i - 1)), F.concat(F.lit("I-"), x))
-        .otherwise(F.concat(F.lit("B-"), x)),
-    )
+    def body(arr):
+        return F.transform(
+            arr,
+            lambda x, i: F.when(x == "O", x)
+            .when((i > 0) & (x == F.get(arr, i - 1)), F.concat(F.lit("I-"), x))
+            .otherwise(F.concat(F.lit("B-"), x)),
+        )
+
+    return let(_c(labels), body)
 
 
 def iob_to_binary(labels) -> Column:
@@ -77,22 +94,23 @@ def iob1_to_iob2(tags) -> Column:
     """IOB1 -> IOB2. An ``I-x`` that starts the sentence, follows ``O`` or follows another
     type becomes ``B-x``. At the first malformed tag (not ``O``, not ``B-x``/``I-x`` with exactly
     one dash) conversion stops and later tags are returned unchanged."""
-    arr = _c(tags)
-
     def bad(x):
         return (x != "O") & ((F.size(F.split(x, "-")) != 2) | ~F.substring(x, 1, 1).isin("B", "I"))
 
-    first_bad = F.coalesce(F.array_min(F.filter(_indices(arr), lambda i: bad(F.get(arr, i)))), F.size(arr))
-    return F.transform(
-        arr,
-        lambda x, i: F.when(
-            (i < first_bad)
-            & (x != "O")
-            & (F.substring(x, 1, 1) == "I")
-            & ((i == 0) | (F.get(arr, i - 1) == "O") | (F.substring(F.get(arr, i - 1), 2, 10**6) != F.substring(x, 2, 10**6))),
-            F.concat(F.lit("B"), F.substring(x, 2, 10**6)),
-        ).otherwise(x),
-    )
+    def body(arr):
+        first_bad = F.coalesce(F.array_min(F.filter(_indices(arr), lambda i: bad(F.get(arr, i)))), F.size(arr))
+        return let(first_bad.cast("int"), lambda fb: F.transform(
+            arr,
+            lambda x, i: F.when(
+                (i < fb)
+                & (x != "O")
+                & (F.substring(x, 1, 1) == "I")
+                & ((i == 0) | (F.get(arr, i - 1) == "O") | (F.substring(F.get(arr, i - 1), 2, 10**6) != F.substring(x, 2, 10**6))),
+                F.concat(F.lit("B"), F.substring(x, 2, 10**6)),
+            ).otherwise(x),
+        ))
+
+    return let(_c(tags), body)
 
 
 def spans_to_iob(text, spans) -> Column:
@@ -102,27 +120,32 @@ def spans_to_iob(text, spans) -> Column:
     the quarantine table by the caller). Later spans overwrite earlier ones."""
     from quire.functions.text import ws_token_spans
 
-    words = ws_token_spans(_c(text))
-    idx = _indices(words)
-
-    def span_info(s):
-        bi = F.coalesce(F.array_min(F.filter(idx, lambda i: F.get(words, i)["start"] == s["start"])), F.lit(-1))
-        same = (bi >= 0) & (F.get(words, bi)["end"] == s["end"])
-        later = F.array_min(F.filter(idx, lambda j: (j > bi) & (F.get(words, j)["end"] == s["end"])))
-        ei = F.when(bi < 0, F.lit(-1)).when(same, bi).otherwise(F.coalesce(later, F.lit(-2)))
-        return F.struct(bi.alias("bi"), ei.alias("ei"), s["label"].alias("label"))
-
-    live = F.filter(F.transform(_c(spans), span_info), lambda s: ~s["label"].isin(*IGNORED_SPAN_LABELS) & (s["bi"] >= 0))
-    tags = F.transform(
-        idx,
-        lambda i: F.aggregate(
-            live,
-            F.lit("O"),
-            lambda acc, s: F.when((s["bi"] <= i) & (i <= s["ei"]),
-                                  F.concat(F.when(i == s["bi"], F.lit("B-")).otherwise(F.lit("I-")), s["label"])).otherwise(acc),
-        ),
-    )
-    return F.when(F.exists(live, lambda s: s["ei"] == -2), F.lit(None)).otherwise(tags)
+    def body(words):
+        idx = _indices(words)
+
+        def span_info(s):
+            bi = F.coalesce(F.array_min(F.filter(idx, lambda i: F.get(words, i)["start"] == s["start"])), F.lit(-1))
+            same = (bi >= 0) & (F.get(words, bi)["end"] == s["end"])
+            later = F.array_min(F.filter(idx, lambda j: (j > bi) & (F.get(words, j)["end"] == s["end"])))
+            ei = F.when(bi < 0, F.lit(-1)).when(same, bi).otherwise(F.coalesce(later, F.lit(-2)))
+            return F.struct(bi.alias("bi"), ei.alias("ei"), s["label"].alias("label"))
+
+        def tag(live):
+            tags = F.transform(
+                idx,
+                lambda i: F.aggregate(
+                    live,
+                    F.lit("O"),
+                    lambda acc, s: F.when((s["bi"] <= i) & (i <= s["ei"]),
+                                          F.concat(F.when(i == s["bi"], F.lit("B-")).otherwise(F.lit("I-")), s["label"])).otherwise(acc),
+                ),
+            )
+            return F.when(F.exists(live, lambda s: s["ei"] == -2), F.lit(None)).otherwise(tags)
+
+        live = F.filter(F.transform(_c(spans), span_info), lambda s: ~s["label"].isin(*IGNORED_SPAN_LABELS) & (s["bi"] >= 0))
+        return let(live, tag)
+
+    return let(ws_token_spans(_c(text)), body)
 
 
 def spans_to_binary(spans) -> Column:
@@ -170,7 +193,7 @@ def iob_to_spans(tags, probs=None, score: str = "next") -> Column:
     def finish(acc):
         return close(acc, last_p)
 
-    ents = F.aggregate(_indices(arr), init, step, finish)
+    ents = F.aggregate(_indices(arr), init, step, finish)  # pass column references: arr/pr are read per element
     if score == "mean":
         return F.transform(ents, lambda e: F.struct(e["tag"].alias("tag"), e["start"].alias("start"), e["end"].alias("end"),
                                                     (e["psum"] / (e["end"] - e["start"] + 1)).alias("prob")))

@@ -181,7 +181,8 @@ def passages(docs: DataFrame, id_col: str, text: str, passage_len: int, stride:
     last windows. Output: ``id, passage_id, start_t, end_t, start_c, end_c, text``."""
     if stride > passage_len:
         raise ValueError("stride must not exceed the passage length (gaps)")
-    d = docs.select(F.col(id_col), F.col(text).alias("__t")).withColumn("__off", T.token_offsets_batch(F.col("__t")))
+    d = docs.select(F.col(id_col), F.col(text).alias("__t"), T.ws_tokens(F.col(text)).alias("__tok")).withColumn(
+        "__off", T.token_offsets_batch(F.col("__t")))
     n = F.size("__off")
     m = F.greatest(F.lit(0), F.ceil((n - passage_len) / stride)).cast("int")
     tt = F.col("__t")
@@ -190,8 +191,9 @@ def passages(docs: DataFrame, id_col: str, text: str, passage_len: int, stride:
         st = i * stride
         et = st + passage_len
         start_c = F.coalesce(F.get("__off", st), F.lit(0))
-        prefix = F.substring(tt, 1, F.get("__off", et + 1))
-        end_c = F.when(et >= n - 1, F.length(tt)).otherwise(F.length(T.py_strip(prefix)))
+        # len(text[:off[et+1]].strip()) = end of token et - leading whitespace of the text
+        stripped_len = F.get("__off", et) + F.length(F.get("__tok", et)) - F.get("__off", 0)
+        end_c = F.when(et >= n - 1, F.length(tt)).otherwise(stripped_len)
         return F.struct(i.alias("passage_id"), st.alias("start_t"), et.alias("end_t"), start_c.alias("start_c"),
                         end_c.alias("end_c"), F.substring(tt, start_c + 1, end_c - start_c).alias("text"))
 
