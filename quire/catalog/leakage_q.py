@@ -80,11 +80,11 @@ def leak_remove_first(spark, sf_dir):
     """,
 )
 def leak_remove_all(spark, sf_dir):
-    lines = doc_lines(spark, sf_dir)
-    inst = lines.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "tokens"))).alias("s")
-    ).select("doc_id", F.flatten(F.transform(
-        "s", lambda x: F.concat(F.when(x["line_no"] > 0, F.array(F.lit("[SEP]"))).otherwise(F.array().cast("array<string>")), x["tokens"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # instance = a document; its lines are the [SEP]-separated sentences (built in-row, no shuffle)
+    inst = docs.select("doc_id", F.flatten(F.transform(
+        F.split("text", "\n"),
+        lambda l, i: F.concat(F.when(i > 0, F.array(F.lit("[SEP]"))).otherwise(F.array().cast("array<string>")), T.word_tokens(l)),
     )).alias("tokens"))
     inst = inst.withColumn("labels", F.transform("tokens", lambda t: F.when(F.length(t) >= 9, "B-trigger").otherwise("O")))
     res = leakage.remove_sentences_from_instances(inst, bench_lines(spark, sf_dir), "doc_id", "tokens", "labels", "tokens")

@@ -189,9 +189,9 @@ def span_metrics(spark, sf_dir):
     "passages",
     f"""
     WITH d AS (SELECT doc_id, text, runs, unnest(runs) AS r, unnest(range(len(runs))) AS i
-               FROM (SELECT doc_id, text, regexp_extract_all(text, {S.q('(' + T.WS + '+|' + T.NON_WS + '+)')}, 1) AS runs FROM documents)),
+               FROM (SELECT doc_id, text, regexp_extract_all(text, {S.q('(' + S.WS + '+|' + S.NON_WS + '+)')}, 1) AS runs FROM documents)),
     o AS (SELECT doc_id, i, r, sum(length(r)) OVER (PARTITION BY doc_id ORDER BY i) - length(r) AS st FROM d),
-    tk AS (SELECT doc_id, list(st ORDER BY i) AS offs FROM o WHERE regexp_matches(r, {S.q('^' + T.NON_WS)}) GROUP BY doc_id),
+    tk AS (SELECT doc_id, list(st ORDER BY i) AS offs FROM o WHERE regexp_matches(r, {S.q('^' + S.NON_WS)}) GROUP BY doc_id),
     docs AS (SELECT documents.doc_id, text, coalesce(offs, CAST([] AS BIGINT[])) AS offs FROM documents LEFT JOIN tk USING (doc_id)),
     p AS (SELECT doc_id, text, offs, CAST(pid AS INTEGER) AS passage_id FROM docs,
                  range(0, CAST(greatest(0, ceil((len(offs) - 128) / 64.0)) AS BIGINT) + 1) x(pid)),

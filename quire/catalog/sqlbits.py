@@ -4,7 +4,9 @@ The constants are shared with the Spark expressions (one definition of the rule)
 written independently of the DataFrame code.
 """
 
-from quire.functions.text import LINK_PATTERN, NON_WS, UNDERSCORES, WORD_TOKEN, WS
+from quire.functions.text import RE2, UNDERSCORES
+
+WS, NON_WS, LINK_PATTERN, WORD_TOKEN = RE2["WS"], RE2["NON_WS"], RE2["LINK_PATTERN"], RE2["WORD_TOKEN"]
 
 
 def q(s: str) -> str:

@@ -3,8 +3,10 @@
 Every function takes and returns a ``Column``; nothing here leaves the JVM.
 
 Regex dialect: Java's ``\\s``/``\\S``/``\\w`` are ASCII-only unless ``(?U)`` is given, while the
-source semantics are Python's Unicode-aware ``str.split()``/``str.strip()``. The whitespace set is
-therefore spelled out explicitly (it is also valid RE2, so the DuckDB oracle uses the same text).
+source semantics are Python's Unicode-aware ``str.split()``/``str.strip()``. Python's whitespace
+set is the Unicode White_Space property plus U+001C..U+001F; Spark patterns use that property
+form (one property lookup per character), the DuckDB oracle (RE2, no such property) the same set
+spelled out code point by code point (``RE2`` below).
 """
 
 from __future__ import annotations
@@ -18,19 +20,32 @@ PY_WHITESPACE = (
     r"\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-WS = "[" + PY_WHITESPACE + "]"
-NON_WS = "[^" + PY_WHITESPACE + "]"
+# The same set as a Java class body: Unicode White_Space plus the four separator controls.
+JAVA_WHITESPACE = r"\x{1C}-\x{1F}\p{IsWhite_Space}"
 
-# Link pattern and the multi-underscore rule of the cleaning chain.
-LINK_PATTERN = "https?://" + NON_WS + "+"
+# Link pattern, the multi-underscore rule of the cleaning chain, and the word
+# characters of the rule-based tokenizer (letter, mark, digit, apostrophe, underscore, hyphen);
+# any other non-whitespace character stands alone as a token.
 UNDERSCORES = "__+"
-
-# Punctuation for the rule-based word tokenizer: anything that is not a letter, mark, digit,
-# apostrophe, hyphen, underscore or whitespace stands alone as a token.
 WORD_CHARS = "\\p{L}\\p{M}\\p{N}'_\\x{2D}"
-TOKEN_PUNCT = "([^" + WORD_CHARS + PY_WHITESPACE + "])"
-# one token = one punctuation character, or a maximal run of word characters
-WORD_TOKEN = "([^" + WORD_CHARS + PY_WHITESPACE + "]|[" + WORD_CHARS + "]+)"
+
+
+def _patterns(ws_body: str) -> dict:
+    ws = "[" + ws_body + "]"
+    non_ws = "[^" + ws_body + "]"
+    return {
+        "WS": ws,
+        "NON_WS": non_ws,
+        "LINK_PATTERN": "https?://" + non_ws + "+",
+        "TOKEN_PUNCT": "([^" + WORD_CHARS + ws_body + "])",
+        # one token = one punctuation character, or a maximal run of word characters
+        "WORD_TOKEN": "([^" + WORD_CHARS + ws_body + "]|[" + WORD_CHARS + "]+)",
+    }
+
+
+RE2 = _patterns(PY_WHITESPACE)
+_J = _patterns(JAVA_WHITESPACE)
+WS, NON_WS, LINK_PATTERN, TOKEN_PUNCT, WORD_TOKEN = (_J[k] for k in ("WS", "NON_WS", "LINK_PATTERN", "TOKEN_PUNCT", "WORD_TOKEN"))
 
 
 def _c(col) -> Column:
@@ -60,8 +75,9 @@ def remove_repeating_characters(col) -> Column:
 
 def preprocess_text(col) -> Column:
     """Newline -> blank, remove ``__+``, remove links, strip, collapse whitespace."""
-    c = F.translate(_c(col), "\n", " ")
-    c = F.regexp_replace(c, UNDERSCORES, "")
+    # the newline -> blank step is subsumed by the final whitespace collapse (no step in between
+    # treats a newline differently from a blank)
+    c = F.regexp_replace(_c(col), UNDERSCORES, "")
     c = F.regexp_replace(c, LINK_PATTERN, "")  # the strip of remove_links is subsumed by the collapse
     return collapse_ws(c)
 

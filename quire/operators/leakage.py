@@ -95,19 +95,29 @@ def remove_sentences_from_instances(instances: DataFrame, test: DataFrame, id_co
                                     test_tokens: str) -> DataFrame:
     """Explode instances into sentences, drop ALL sentences that occur in the test set,
     rebuild; an instance whose sentences are all removed disappears. Adds ``n_removed`` and the
-    no-trigger count of the kept sentences (A3)."""
-    sents = explode_instances(instances, id_col, tokens, labels)
-    kept = remove_all_matches(sents, test, "tokens", test_tokens)
-    rebuilt = regroup_instances(kept.withColumn("no_trigger", ~F.array_contains("labels", "B-trigger")), id_col)
-    before = sents.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n0"))
-    no_trig = kept.groupBy(id_col).agg(F.count_if(~F.array_contains("labels", "B-trigger")).alias("n_without_trigger"))
-    return (
-        rebuilt.join(before, id_col)
-        .join(no_trig, id_col)
-        .withColumn("n_removed", F.col("__n0") - F.col("n_sentences"))
-        .drop("__n0")
-        .filter(F.size("tokens") > 0)
+    no-trigger count of the kept sentences (A3).
+
+    Sentences are flagged by a left join with the distinct test keys and regrouped in ONE
+    aggregation per instance (a group is one input row's sentences)."""
+    from quire.functions.labels import join_with_sep
+
+    sents = _keyed(explode_instances(instances, id_col, tokens, labels), "tokens")
+    t = test_keys(test, test_tokens).withColumn("__hit", F.lit(True))
+    flagged = sents.join(t, _match_cond(sents, t, "tokens", "__rtok"), "left")
+    kept = F.col("__hit").isNull()
+    g = flagged.groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.when(kept, F.struct("sent_idx", "tokens", "labels")))).alias("__ss"),
+        F.count(F.lit(1)).alias("__n0"),
+        F.count_if(kept & ~F.array_contains("labels", "B-trigger")).alias("n_without_trigger"),
     )
+    return g.select(
+        F.col(id_col),
+        join_with_sep(F.transform("__ss", lambda x: x["tokens"]), SEP).alias("tokens"),
+        join_with_sep(F.transform("__ss", lambda x: x["labels"]), "O").alias("labels"),
+        F.size("__ss").alias("n_sentences"),
+        (F.col("__n0") - F.size("__ss")).alias("n_removed"),
+        "n_without_trigger",
+    ).filter(F.size("tokens") > 0)
 
 
 # --- J4: containment join --------------------------------------------------------------------
