@@ -176,3 +176,93 @@ def choose_passages(pos_arr, neg_arr, n_pos: int, n_neg: int, seed, key: str, sh
 def questions_per_document(df: DataFrame, doc: str, question: str) -> DataFrame:
     """Distinct questions per document."""
     return df.groupBy(doc).agg(F.countDistinct(question).alias("n_questions"))
+
+
+def one_sequence_per_sentence(docs: DataFrame, doc_id: str, lines: str, max_len: int) -> DataFrame:
+    """Q21: one training sequence per sentence (whitespace tokens, truncated to ``max_len``)."""
+    from quire.functions import text as T
+
+    return docs.select(doc_id, F.posexplode(lines).alias("line_no", "sentence")).select(
+        doc_id, "line_no", F.slice(T.ws_tokens(F.col("sentence")), 1, max_len).alias("tokens"))
+
+
+def whole_word_mask(tokens, seed, key: str, p: float = 0.15, max_predictions: int = 20, mask_token: str = "[MASK]") -> Column:
+    """Q22 + Q23: whole-word masking. Word groups = a word-initial token plus its ``##``
+    continuations (running sum of start flags); groups are taken in seeded-hash order until
+    ``max(1, round(n * p))`` tokens (capped at ``max_predictions``) are chosen, skipping a group
+    that would overshoot; chosen tokens become ``[MASK]`` (80 %), stay (10 %) or become another
+    token of the sequence (10 %). Returns ``struct<tokens, labels>`` with labels = original token
+    at masked positions, ``""`` elsewhere."""
+    toks = _c(tokens)
+    n = F.size(toks)
+    budget = F.least(F.greatest(F.lit(1), F.round(n * p)).cast("int"), F.lit(max_predictions))
+    starts = F.transform(toks, lambda t: F.when(t.startswith("##"), 0).otherwise(1))
+    grp = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.aggregate(F.slice(starts, 1, i), F.lit(0), lambda a, x: a + x))
+    n_groups = F.array_max(grp)
+    order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n_groups, F.lit(1))), lambda g: F.struct(
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), g.cast("string"))).alias("h"), g.alias("g")))), lambda s: s["g"])
+    sizes = F.transform(order, lambda g: F.size(F.filter(grp, lambda x: x == g)))
+    chosen = F.aggregate(F.arrays_zip(order.alias("g"), sizes.alias("s")),
+                         F.struct(F.array().cast("array<int>").alias("gs"), F.lit(0).alias("n")),
+                         lambda acc, z: F.when(acc["n"] + z["s"] <= budget,
+                                               F.struct(F.concat(acc["gs"], F.array(z["g"])).alias("gs"), (acc["n"] + z["s"]).alias("n")))
+                         .otherwise(acc))["gs"]
+
+    def one(t, i):
+        g = F.get(grp, i)
+        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}m"), F.col(key).cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") % 10
+        repl = F.get(toks, (u * 7919 + i) % n)
+        new = F.when(u < 8, F.lit(mask_token)).when(u < 9, t).otherwise(repl)
+        hit = F.array_contains(chosen, g)
+        return F.struct(F.when(hit, new).otherwise(t).alias("t"), F.when(hit, t).otherwise(F.lit("")).alias("l"))
+
+    out = F.transform(toks, one)
+    return F.struct(F.transform(out, lambda s: s["t"]).alias("tokens"), F.transform(out, lambda s: s["l"]).alias("labels"))
+
+
+def next_sentence_label(is_next) -> Column:
+    """Q23: 0 = the true next sentence, 1 = random."""
+    return F.when(_c(is_next), 0).otherwise(1)
+
+
+def bi_encoder_length_stats(df: DataFrame, query_len: str, passage_lens: str, max_query: int, max_passage: int) -> DataFrame:
+    """A5: clipped share / mean / max for queries and for passages (averaged over passages)."""
+    q = F.least(_c(query_len), F.lit(max_query))
+    pl = F.explode(F.transform(_c(passage_lens), lambda x: F.least(x, F.lit(max_passage))))
+    a = df.agg(F.avg((q >= max_query).cast("double")).alias("q_clipped"), F.avg(q).alias("q_mean"), F.max(q).alias("q_max"))
+    b = df.select(pl.alias("p")).agg(F.avg((F.col("p") >= max_passage).cast("double")).alias("p_clipped"),
+                                     F.avg("p").alias("p_mean"), F.max("p").alias("p_max"))
+    return scalar_join(a, b)
+
+
+def samples_per_file_estimate(lines: DataFrame, value: str = "value") -> DataFrame:
+    """``lines - 2 * blank lines`` for line-structured files (one pass)."""
+    return lines.agg((F.count(F.lit(1)) - 2 * F.count_if(F.length(F.trim(_c(value))) == 0)).alias("n_samples"))
+
+
+def format_by_scheme(tags, probs, scheme: str) -> Column:
+    """Predictions formatted per tag scheme: IOB -> entity spans (N8), plain tags -> the
+    non-``O`` positions, anything else passed through."""
+    from quire.functions import labels as L
+
+    if scheme == "iob":
+        return L.iob_to_spans(tags, probs)
+    if scheme == "plain":
+        z = F.arrays_zip(_c(tags).alias("tag"), _c(probs).alias("prob"))
+        return F.filter(F.transform(z, lambda s, i: F.struct(s["tag"].alias("tag"), i.alias("start"), i.alias("end"),
+                                                            s["prob"].alias("prob"))), lambda s: s["tag"] != "O")
+    return _c(tags)
+
+
+def demux_tasks(df: DataFrame, task_col: str = "task"):
+    """Split multi-task predictions into one frame per task value (returns a dict;
+    the task set is read from the small distinct table)."""
+    tasks = [r[0] for r in df.select(task_col).distinct().collect()]
+    return {t: df.filter(F.col(task_col) == t) for t in tasks}
+
+
+def normalize_whitespace_tokens(text) -> Column:
+    """Every whitespace character becomes a blank, then whitespace tokens."""
+    from quire.functions import text as T
+
+    return T.ws_tokens(F.regexp_replace(_c(text), T.WS, " "))

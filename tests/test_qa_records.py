@@ -133,3 +133,27 @@ def test_multilabel_macro_and_temperature(spark):
 def test_normalize_answer_unicode_boundary(spark):
     df = spark.createDataFrame([("Thé a  b, the-An élan",)], "t string")
     assert df.select(T.normalize_answer(F.col("t")).alias("n")).first().n == "thé b thean élan"
+
+
+def test_nq_helpers(spark):
+    from quire.operators import nq
+
+    schema = ("document_text string, annotations array<struct<long_answer:struct<start_token:int,end_token:int>,"
+              "short_answers:array<struct<start_token:int,end_token:int>>,yes_no_answer:string>>")
+    rows = [("a b c d e f", [((0, 5), [(1, 2), (3, 4)], "NONE")]),
+            ("a b c d", [((-1, -1), [], "NONE")]),
+            ("a b c d", [((0, 2), [], "YES")])]
+    df = spark.createDataFrame(rows, schema)
+    got = [(r.answer_text, r.answer_type) for r in nq.nq_to_squad(df).collect()]
+    assert got == [("b c d", "span"), ("", "no_answer"), ("a b", "yes")]
+    na = [r.x for r in df.select(nq.annotation_has_no_answer(F.get("annotations", 0)).alias("x")).collect()]
+    assert na == [False, True, False]
+
+
+def test_whole_word_mask_budget(spark):
+    toks = ["the", "un", "##believ", "##able", "story", "of", "a", "cat", "and", "dog"] * 3
+    df = spark.createDataFrame([(1, toks)], "id int, t array<string>")
+    r = df.select(records.whole_word_mask(F.col("t"), 7, "id", p=0.15).alias("m")).first().m
+    n_masked = sum(1 for l in r.labels if l != "")
+    assert 1 <= n_masked <= 5  # round(30 * .15) = 4 (a group that would overshoot is skipped)
+    assert len(r.tokens) == len(toks)
