@@ -113,13 +113,11 @@ def iob1_to_iob2(tags) -> Column:
     return let(_c(tags), body)
 
 
-def spans_to_iob(text, spans) -> Column:
+def spans_to_iob(text, spans, words=None) -> Column:
     """Character spans ``array<struct<start,end,label>>`` -> IOB2 tags over the whitespace
     words of ``text``. ``[PAD]``/``X`` spans are ignored; a span whose start is not a word start
     is skipped; a span whose end is not a word end makes the whole result NULL (to be routed to
     the quarantine table by the caller). Later spans overwrite earlier ones."""
-    from quire.functions.text import ws_token_spans
-
     def body(words):
         idx = _indices(words)
 
@@ -145,7 +143,9 @@ def spans_to_iob(text, spans) -> Column:
         live = F.filter(F.transform(_c(spans), span_info), lambda s: ~s["label"].isin(*IGNORED_SPAN_LABELS) & (s["bi"] >= 0))
         return let(live, tag)
 
-    return let(ws_token_spans(_c(text)), body)
+    from quire.functions.text import ws_token_spans_inline
+
+    return let(_c(words) if words is not None else ws_token_spans_inline(_c(text)), body)
 
 
 def spans_to_binary(spans) -> Column:

@@ -97,10 +97,20 @@ def ws_tokens(col) -> Column:
 
 
 def ws_token_spans(col) -> Column:
-    """T7 with character offsets for sentence-sized text: ``array<struct<token, start, end>>``
-    (0-based, end exclusive), equal to ``re.finditer(r'\\S+', text)``. A single ``aggregate``
-    over the alternating whitespace / non-whitespace runs keeps the running offset; higher-order
-    functions are interpreted, so documents use ``token_offsets_batch`` (Arrow) instead."""
+    """T7 with character offsets: ``array<struct<token, start, end>>`` (0-based, end exclusive),
+    equal to ``[(m.group(), m.start(), m.end()) for m in re.finditer(r'\\S+', text)]``.
+
+    Tokens come from the JVM regex; their start offsets from ``token_offsets_batch`` (linear,
+    Arrow-batched), zipped in-row. Python UDFs cannot sit inside higher-order functions, so
+    compute this as its own column first (``ws_token_spans_inline`` is the JVM-only variant)."""
+    c = _c(col)
+    return F.zip_with(ws_tokens(c), token_offsets_batch(c),
+                      lambda t, s: F.struct(t.alias("token"), s.alias("start"), (s + F.length(t)).alias("end")))
+
+
+def ws_token_spans_inline(col) -> Column:
+    """JVM-only T7 offsets for sentence-sized text (one ``aggregate`` over whitespace /
+    non-whitespace runs; appending makes it quadratic in the token count)."""
     runs = F.regexp_extract_all(_c(col), F.lit("(" + WS + "+|" + NON_WS + "+)"), 1)
     init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("acc"))
 
