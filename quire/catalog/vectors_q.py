@@ -85,3 +85,26 @@ def kmeans_clusters(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     assigned, _ = V.kmeans(e, "embedding", k=10, seed=1)
     return assigned.select("vec_id", "cluster")
+
+
+@register("s3e_sentence_embeddings")
+def s3e_sentence_embeddings(spark, sf_dir):
+    """Q25/Q26 (no SQL oracle: k-means inside). Word vectors are the ``embeddings`` rows assigned
+    to words by a hash of the word; the corpus is the conversation turns."""
+    from quire.functions import text as T
+    from quire.operators import corpus
+
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.lower_words(F.col("text")).alias("toks"))
+    counts = corpus.vocabulary(conv, "toks").withColumnRenamed("word", "token")
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = emb.agg(F.count(F.lit(1)).alias("__n"))
+    words = V.scalar_join(counts.select("token"), F.broadcast(n)).select(
+        F.col("token").alias("word"), F.pmod(F.xxhash64("token"), F.col("__n")).alias("__slot"))
+    from quire.plans.ordered import ordered_index
+
+    slots = ordered_index(emb, ["vec_id"], name="__slot")
+    wv = words.join(slots.select("__slot", F.col("embedding").alias("vec")), "__slot").select("word", "vec")
+    model, centroids = V.fit_s3e(counts, wv, k=4, seed=1)
+    sents = conv.withColumn("sid", F.col("conv_id") * 1000 + F.col("turn"))
+    e = V.s3e_embed(sents, "sid", "toks", model, centroids)
+    return e.select("sid", F.size("embedding").alias("dim"), F.round(V.norm(F.slice("embedding", 65, 100)), R).alias("cov_norm"))

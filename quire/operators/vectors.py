@@ -107,3 +107,65 @@ def answer_similarity(cands: DataFrame, labels: DataFrame, qid: str, cvec: str,
     per_c = j.groupBy(qid, "rank").agg(F.max("__sim").alias("best"))
     return per_c.groupBy(qid).agg(F.max(F.when(F.col("rank") == 1, F.col("best"))).alias("top_1_sas"),
                                   F.max("best").alias("top_n_sas"))
+
+
+# --- S3E (Q25, Q26) --------------------------------------------------------------------------------
+
+
+def fit_s3e(token_counts: DataFrame, word_vectors: DataFrame, k: int, seed: int = 0, eps: float = 1e-3,
+            min_count: int = 1):
+    """Q26: fit the semantic-subspace model on a corpus.
+
+    ``token_counts``: (token, n) corpus counts (A8/A9); ``word_vectors``: (word, vec). Steps:
+    A9 weights ``eps/(eps+p)``, A10 vocabulary trim, A13 weighted k-means over the word vectors
+    (Spark ML). Returns ``(model table (token, weight, cluster, vec), centroids k x d)``; the
+    centroid matrix is bounded by k and the dimension."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    total = token_counts.agg(F.sum("n").alias("__t"))
+    w = scalar_join(token_counts.filter(F.col("n") >= min_count), F.broadcast(total)).select(
+        "token", (F.lit(eps) / (F.lit(eps) + F.col("n") / F.col("__t"))).alias("weight"))
+    tv = w.join(word_vectors.withColumnRenamed("word", "token"), "token")
+    km = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster", weightCol="weight")
+    model = km.fit(tv.withColumn("__v", array_to_vector("vec")))
+    centroids = [list(map(float, c)) for c in model.clusterCenters()]
+    assigned = model.transform(tv.withColumn("__v", array_to_vector("vec"))).select("token", "weight", "cluster", "vec")
+    return assigned, centroids
+
+
+def s3e_embed(sent_tokens: DataFrame, sent_id: str, tokens: str, model: DataFrame, centroids) -> DataFrame:
+    """Q25: S3E sentence embedding = [weighted mean of the distinct token vectors,
+    normalised upper triangle of the cluster residual covariance (off-diagonal x sqrt(2))].
+
+    Distinct tokens of a sentence are joined with the model table (vocabulary-sized); the
+    sentence's tokens are regrouped (a group is one input sentence) and everything else is
+    in-row array arithmetic against the k x d centroid literal. Tokens without a vector are
+    ignored. Output: ``sent_id, embedding ARRAY<DOUBLE>``."""
+    k = len(centroids)
+    toks = sent_tokens.select(sent_id, F.explode(F.array_distinct(F.col(tokens))).alias("token")).join(model, "token")
+    g = toks.groupBy(sent_id).agg(F.collect_list(F.struct("weight", "cluster", F.col("vec").cast("array<double>").alias("vec"))).alias("t"))
+    cent = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centroids])
+    d = F.size(F.get("t", 0)["vec"])
+    zero = F.array_repeat(F.lit(0.0), d)
+
+    def vadd(a, b):
+        return F.zip_with(a, b, lambda x, y: x + y)
+
+    wmean = F.transform(F.aggregate("t", zero, lambda acc, x: vadd(acc, F.transform(x["vec"], lambda v: v * x["weight"]))),
+                        lambda v: v / F.size("t"))
+    resid = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.aggregate(
+        F.filter("t", lambda x: x["cluster"] == j), zero,
+        lambda acc, x: vadd(acc, F.zip_with(x["vec"], F.get(cent, j), lambda v, c: v * x["weight"] - c))))
+    centered = F.transform(resid, lambda r: F.transform(r, lambda v: v - F.aggregate(r, F.lit(0.0), lambda a, y: a + y) / F.size(r)))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def cov_entry(m, i, j):
+        dotv = F.aggregate(F.zip_with(F.get(m, i), F.get(m, j), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        return dotv * (2 ** 0.5) if i != j else dotv
+
+    from quire.functions.labels import let
+
+    cov = let(centered, lambda m: F.array(*[cov_entry(m, i, j) for i, j in pairs]))
+    normed = let(cov, lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y))))
+    return g.select(sent_id, F.concat(wmean, normed).alias("embedding"))

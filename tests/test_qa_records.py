@@ -157,3 +157,26 @@ def test_whole_word_mask_budget(spark):
     n_masked = sum(1 for l in r.labels if l != "")
     assert 1 <= n_masked <= 5  # round(30 * .15) = 4 (a group that would overshoot is skipped)
     assert len(r.tokens) == len(toks)
+
+
+def test_s3e_embed_matches_numpy(spark):
+    import numpy as np
+
+    model_rows = [("a", 0.5, 0, [1.0, 0.0, 2.0]), ("b", 1.0, 1, [0.0, 1.0, 1.0]), ("c", 0.2, 0, [3.0, 1.0, 0.0])]
+    model = spark.createDataFrame(model_rows, "token string, weight double, cluster int, vec array<double>")
+    cents = [[1.0, 0.5, 1.0], [0.0, 1.0, 0.0]]
+    sents = spark.createDataFrame([(1, ["a", "b", "a", "c", "zz"])], "sid int, toks array<string>")
+    got = np.array(vectors.s3e_embed(sents, "sid", "toks", model, cents).first().embedding)
+    toks = {r[0]: (r[1], r[2], np.array(r[3])) for r in model_rows}
+    used = ["a", "b", "c"]
+    wmean = sum(toks[t][0] * toks[t][2] for t in used) / len(used)
+    m = np.zeros((2, 3))
+    for t in used:
+        w, c, v = toks[t]
+        m[c] += w * v - np.array(cents[c])
+    m0 = m - m.mean(1)[:, None]
+    cov = m0 @ m0.T
+    iu = np.triu_indices(2)
+    cov[np.triu_indices(2, 1)] *= np.sqrt(2)
+    tri = cov[iu] / np.linalg.norm(cov[iu])
+    assert np.allclose(got, np.concatenate([wmean, tri]))
