@@ -85,12 +85,11 @@ FROM k GROUP BY lang
 @register("corpus_profile", FLAGSHIP_SQL)
 def corpus_profile(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    clean = corpus.clean_texts(docs)
-    uniq = corpus.dedup_keep_first(clean, ["text"], "doc_id")
-    ntok = F.size(T.word_tokens(F.col("text")))
+    clean = corpus.clean_texts(docs).withColumn("ntok", F.size(T.word_tokens(F.col("text"))))
+    # only (doc_id, lang, ntok) travel through the de-duplication shuffle, keyed by the text digest
+    uniq = corpus.dedup_keep_first(clean, ["text"], "doc_id", carry=["doc_id", "lang", "ntok"])
     return (
-        uniq.select("lang", ntok.alias("ntok"))
-        .groupBy("lang")
+        uniq.groupBy("lang")
         .agg(
             F.count(F.lit(1)).cast("long").alias("n_docs"),
             F.sum("ntok").cast("long").alias("n_tokens"),

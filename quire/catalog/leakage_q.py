@@ -59,11 +59,13 @@ def leak_matches(spark, sf_dir):
 )
 def leak_remove_first(spark, sf_dir):
     lines = doc_lines(spark, sf_dir)
-    kept = leakage.remove_first_matches(lines, bench_lines(spark, sf_dir), "tokens", "tokens", ["doc_id", "line_no"])
+    removed = leakage.first_matches(lines, bench_lines(spark, sf_dir), "tokens", "tokens", ["doc_id", "line_no"])
+    # survivors per document = lines - removed lines (the count branch never tokenizes)
     n = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    k = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"))
-    return n.join(k, "doc_id", "left").select(
-        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept")
+    r = removed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_removed"))
+    return n.join(r, "doc_id", "left").select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"),
+        (F.col("n_lines") - F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_kept"),
     )
 
 

@@ -32,7 +32,8 @@ def content_digest(*cols) -> list[Column]:
     return [F.xxhash64(*exprs).alias("__dg1"), F.md5(joined).alias("__dg2")]
 
 
-def dedup_keep_first(df: DataFrame, keys: Sequence, order_col: str, count_col: str | None = None) -> DataFrame:
+def dedup_keep_first(df: DataFrame, keys: Sequence, order_col: str, count_col: str | None = None,
+                     carry: Sequence[str] | None = None) -> DataFrame:
     """One row per distinct key, the one with the smallest ``order_col`` (file order).
 
     ``groupBy(digest).agg(min_by(struct(row), order))`` is a declarative aggregate, so the partial

@@ -49,19 +49,26 @@ def remove_all_matches(train: DataFrame, test: DataFrame, train_tokens: str, tes
     return k.join(t, _match_cond(k, t, train_tokens, "__rtok"), "left_anti").drop("__k")
 
 
-def remove_first_matches(train: DataFrame, test: DataFrame, train_tokens: str, test_tokens: str,
-                         order_cols: Sequence[str]) -> DataFrame:
-    """For every distinct test token array, only the FIRST matching train row (smallest
-    ``order_cols``) is removed; later equal train rows stay (the reference breaks after the
-    first hit). First = ``min(struct(order))`` per key, a map-side partial aggregate."""
+def first_matches(train: DataFrame, test: DataFrame, train_tokens: str, test_tokens: str,
+                  order_cols: Sequence[str]) -> DataFrame:
+    """The train rows J1 removes: for every distinct test token array, the matching train row with
+    the smallest ``order_cols`` (``min(struct(order))`` per key, a map-side partial aggregate).
+    Output: ``order_cols`` only."""
     order_cols = list(order_cols)
-    hits = matching_rows(train, test, train_tokens, test_tokens)
-    first = (
+    hits = matching_rows(train.select(*order_cols, train_tokens), test, train_tokens, test_tokens)
+    return (
         hits.groupBy(token_key(train_tokens).alias("__k"), F.col(train_tokens).alias("__t"))
         .agg(F.min(F.struct(*[F.col(c) for c in order_cols])).alias("__m"))
         .select(*[F.col("__m." + c).alias(c) for c in order_cols])
     )
-    return train.join(first, order_cols, "left_anti")
+
+
+def remove_first_matches(train: DataFrame, test: DataFrame, train_tokens: str, test_tokens: str,
+                         order_cols: Sequence[str]) -> DataFrame:
+    """For every distinct test token array, only the FIRST matching train row (smallest
+    ``order_cols``) is removed; later equal train rows stay (the reference breaks after the
+    first hit)."""
+    return train.join(first_matches(train, test, train_tokens, test_tokens, order_cols), list(order_cols), "left_anti")
 
 
 def explode_instances(df: DataFrame, id_col: str, tokens: str, labels: str | None = None) -> DataFrame:

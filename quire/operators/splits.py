@@ -232,3 +232,25 @@ def grouped_kfold(docs: DataFrame, key: str, n_items: str, seed, k: int, fold_co
     bounds = [b1] + [q * j for j in range(2, k)]
     fold = sum(((F.col("__acc") > b).cast("int") for b in bounds), F.lit(0))
     return r.withColumn(fold_col, fold).drop(HASH, "__acc", "__total", "__acc0")
+
+
+def fold_seeds(df: DataFrame, seed: int, n_folds: int) -> DataFrame:
+    """Explode fold ids with the seed schedule ``seed * (fold + 1)`` (one table with a
+    ``fold`` column instead of n folders)."""
+    return df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))).withColumn(
+        "fold_seed", F.lit(seed) * (F.col("fold") + 1))
+
+
+def dev_from_train(train: DataFrame, key: str, seed, dev_size) -> tuple[DataFrame, DataFrame]:
+    """Carve an exact-size dev set out of the training data (the reference cuts at a chunk
+    boundary and is only roughly sized). Returns (train, dev)."""
+    s = exact_split(train, key, seed, dev_size)
+    return s.filter(F.col("split") == "train").drop("split"), s.filter(F.col("split") == "dev").drop("split")
+
+
+def custom_split(df: DataFrame, fn) -> tuple[DataFrame, DataFrame]:
+    """a user split function ``df -> (train, dev)``; both results must be DataFrames."""
+    train, dev = fn(df)
+    if not isinstance(train, DataFrame) or not isinstance(dev, DataFrame):
+        raise TypeError("split function must return two DataFrames")
+    return train, dev

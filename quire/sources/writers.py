@@ -88,3 +88,10 @@ def write_metrics(df: DataFrame, path: str, task: str, split: str, mode: str = "
     cols = [c for c in df.columns]
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])).alias("m"))
     stacked.select(F.lit(task).alias("task"), F.lit(split).alias("split"), "m.metric", "m.value").write.mode(mode).parquet(path)
+
+
+def dump_labels_and_preds(df: DataFrame, path: str, qid: str = "qid", answers: str = "answers", pred: str = "pred",
+                          mode: str = "overwrite") -> None:
+    """Per-question dump of the de-duplicated gold answers and the prediction (JSON lines)."""
+    df.select(F.col(qid).alias("id"), F.array_distinct(F.col(answers)).alias("label"), F.col(pred).alias("pred")) \
+        .write.mode(mode).json(path)
