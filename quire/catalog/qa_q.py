@@ -50,7 +50,7 @@ ga AS (SELECT qid, pred, na_prob, len(answers) > 0 AS has_ans,
               CASE WHEN len(list_filter(answers, lambda a: {Q.normalize('a')} <> '')) > 0
                    THEN list_filter(answers, lambda a: {Q.normalize('a')} <> '') ELSE [''] END AS golds FROM qs),
 sc AS (SELECT qid, pred, na_prob, has_ans,
-              list_max(list_transform(golds, lambda g: CASE WHEN {Q.normalize('g')} = {Q.normalize('pred')} THEN 1.0 ELSE 0.0 END)) AS exact,
+              CAST(list_max(list_transform(golds, lambda g: CASE WHEN {Q.normalize('g')} = {Q.normalize('pred')} THEN 1.0 ELSE 0.0 END)) AS DOUBLE) AS exact,
               list_max(list_transform(golds, lambda g: {Q.bag_f1(Q.tokens('g'), Q.tokens('pred'))})) AS f1
        FROM ga)
 """
