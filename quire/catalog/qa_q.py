@@ -126,12 +126,8 @@ def squad_best_thresh_f1(spark, sf_dir):
 )
 def squad_average_precision(spark, sf_dir):
     s = scored(spark, sf_dir)
-    e = qa.average_precision(s, F.col("exact"), "na_prob").withColumnRenamed("ap", "ap_exact")
-    f = qa.average_precision(s, F.col("f1"), "na_prob").withColumnRenamed("ap", "ap_f1")
-    o = qa.average_precision(s, F.lit(1.0), "na_prob").withColumnRenamed("ap", "ap_oracle")
-    from quire.operators.metrics import scalar_join
-
-    return scalar_join(e, f, o).select(*[F.round(c, R).alias(c) for c in ("ap_exact", "ap_f1", "ap_oracle")])
+    ap = qa.average_precision(s, {"ap_exact": F.col("exact"), "ap_f1": F.col("f1"), "ap_oracle": F.lit(1.0)}, "na_prob")
+    return ap.select(*[F.round(c, R).alias(c) for c in ("ap_exact", "ap_f1", "ap_oracle")])
 
 
 @register(

@@ -99,17 +99,22 @@ def best_threshold(scored: DataFrame, score: str, na_prob: str, pred: str, order
     )
 
 
-def average_precision(scored: DataFrame, score: Column, na_prob: str) -> DataFrame:
+def average_precision(scored: DataFrame, scores: dict, na_prob: str) -> DataFrame:
     """Precision-recall over the no-answer probability; a threshold exists only at the
     end of a tie group, so questions are first aggregated per distinct probability and the
-    prefix sums run over distinct values. AP x100; NULL when no question is answerable."""
+    prefix sums run over distinct values (one pass for all score columns). ``scores`` maps an
+    output name to a per-question score column; AP x100, NULL when nothing is answerable."""
+    from quire.plans.ordered import prefix_sums
+
+    names = list(scores)
     per_v = scored.groupBy(F.col(na_prob).alias("v")).agg(
-        F.count(F.lit(1)).alias("c"), F.sum(F.when(F.col("has_ans"), score).otherwise(0.0)).alias("tp"),
-    )
-    cum = prefix_sum(prefix_sum(per_v, ["v"], "c", name="cc"), ["v"], "tp", name="ctp")
+        F.count(F.lit(1)).alias("c"),
+        *[F.sum(F.when(F.col("has_ans"), scores[n]).otherwise(0.0)).alias(f"tp_{i}") for i, n in enumerate(names)])
+    cum = prefix_sums(per_v, ["v"], {"cc": "c", **{f"ctp_{i}": f"tp_{i}" for i in range(len(names))}})
     n_pos = scored.agg(F.count_if(F.col("has_ans")).alias("npos"))
-    ap = cum.agg(F.sum(F.col("ctp") / F.col("cc") * F.col("tp")).alias("s"))
-    return scalar_join(ap, n_pos).select(F.when(F.col("npos") > 0, 100.0 * F.col("s") / F.col("npos")).alias("ap"))
+    ap = cum.agg(*[F.sum(F.col(f"ctp_{i}") / F.col("cc") * F.col(f"tp_{i}")).alias(f"s_{i}") for i in range(len(names))])
+    return scalar_join(ap, n_pos).select(
+        *[F.when(F.col("npos") > 0, 100.0 * F.col(f"s_{i}") / F.col("npos")).alias(n) for i, n in enumerate(names)])
 
 
 def na_prob_histogram(scored: DataFrame, na_prob: str, bins: int = 20) -> DataFrame:

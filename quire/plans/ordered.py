@@ -100,6 +100,27 @@ def ordered_index(df: DataFrame, order: Sequence, name: str = "rank", bucket: Co
     )
 
 
+def prefix_sums(df: DataFrame, order: Sequence, values: dict, bucket: Column | None = None,
+                num_buckets: int | None = None, descending: bool = False) -> DataFrame:
+    """Several running sums in one pass: ``values`` maps output name -> column to accumulate."""
+    b = _with_bucket(df, order, bucket, num_buckets, descending)
+    names = list(values)
+    for i, n in enumerate(names):
+        v = values[n]
+        b = b.withColumn(f"__p0_v{i}", F.col(v) if isinstance(v, str) else v)
+    sums = b.groupBy(_B).agg(*[F.sum(f"__p0_v{i}").alias(f"__p0_s{i}") for i in range(len(names))])
+    w_off = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(_B, *[F.coalesce(F.sum(f"__p0_s{i}").over(w_off), F.lit(0)).alias(f"__p0_o{i}") for i in range(len(names))])
+    w = Window.partitionBy(_B).orderBy(*_exprs(order)).rowsBetween(Window.unboundedPreceding, 0)
+    for i in range(len(names)):
+        b = b.withColumn(f"__p0_l{i}", F.sum(f"__p0_v{i}").over(w))
+    out = b.join(F.broadcast(offsets), _B)
+    for i, n in enumerate(names):
+        out = out.withColumn(n, F.col(f"__p0_o{i}") + F.col(f"__p0_l{i}"))
+    drop = [_B] + [f"__p0_{k}{i}" for i in range(len(names)) for k in ("v", "l", "o")]
+    return out.drop(*drop)
+
+
 def prefix_sum(df: DataFrame, order: Sequence, value, name: str = "cum", bucket: Column | None = None,
                num_buckets: int | None = None, total: str | None = None, descending: bool = False) -> DataFrame:
     """Add ``name`` = sum of ``value`` over all rows up to and including this one in ``order``."""

@@ -26,7 +26,7 @@ def test_best_threshold_and_ap(spark):
     b = qa.best_threshold(df, "exact", "na", "pred", "qid").first()
     # start 2 (unanswerable); +1 -> 3 at 0.1 (best); -1 -> 2; 0 -> 2; 0 -> 2
     assert b.best_exact == 75.0 and abs(b.best_exact_thresh - 0.1) < 1e-12
-    ap = qa.average_precision(df, F.col("exact"), "na").first().ap
+    ap = qa.average_precision(df, {"ap": F.col("exact")}, "na").first().ap
     # thresholds after 0.1 (p=1, r=.5) and 0.2 (p=1/3, r=.5) and 0.9: AP = 1*0.5 = 50
     assert abs(ap - 50.0) < 1e-9
 
