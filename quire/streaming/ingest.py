@@ -4,10 +4,12 @@ The same column functions run in batch and streaming; the stream only changes th
 (``readStream`` with ``maxFilesPerTrigger``) and the sink (``foreachBatch``).
 
 X5 de-duplicating ingest keeps the set of seen content digests in a Delta-free way: every
-micro-batch is de-duplicated inside itself (keep first by ``pos``), anti-joined against the
-digests already stored in the output table, and appended. The state is the output table itself
-(on the shared file system), so a restarted query resumes from its checkpoint without losing or
-repeating rows; state size is bounded by the number of distinct documents, not by a watermark.
+micro-batch is de-duplicated inside itself (keep first by ``order``), anti-joined against the
+digests stored by EARLIER epochs, and written to its own ``epoch=<id>`` folder with overwrite.
+A micro-batch that is retried after a lost executor or a restart rewrites exactly its own folder,
+so the sink is idempotent (exactly-once together with the checkpoint). The state is the output
+table itself on the shared file system; its size is bounded by the number of distinct documents,
+not by a watermark.
 """
 
 from __future__ import annotations
@@ -43,11 +45,11 @@ def dedup_ingest(stream: DataFrame, out_path: str, checkpoint: str, key: str = "
         first = dg.groupBy("__dg1", "__dg2").agg(F.min_by(F.struct(*batch.columns), F.col(order)).alias("r"))
         first = first.select("__dg1", "__dg2", "r.*")
         try:
-            seen = spark.read.parquet(out_path).select("__dg1", "__dg2")
+            seen = spark.read.parquet(out_path).filter(F.col("epoch") < epoch).select("__dg1", "__dg2")
             first = first.join(seen, ["__dg1", "__dg2"], "left_anti")
         except Exception:  # first batch: no table yet
             pass
-        first.write.mode("append").parquet(out_path)
+        first.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w
@@ -60,7 +62,8 @@ def score_stream(stream: DataFrame, load, text: str, out_schema: str, out_path:
     from quire.operators.score import score_batches
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        score_batches(batch, load, text, out_schema).write.mode("append").parquet(out_path)
+        # one folder per epoch, overwritten on retry: idempotent sink
+        score_batches(batch, load, text, out_schema).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w
