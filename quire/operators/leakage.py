@@ -145,7 +145,8 @@ def _shingles_all(text: Column, n: int) -> Column:
 
 
 def containment_first_doc(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_text: str = "text",
-                          doc_id: str = "doc_id", doc_text: str = "text", anchor_len: int = ANCHOR_LEN) -> DataFrame:
+                          doc_id: str = "doc_id", doc_text: str = "text", anchor_len: int = ANCHOR_LEN,
+                          n_anchors: int = 3) -> DataFrame:
     """For every item (sentence) the smallest ``doc_id`` whose text contains it (Python ``in``).
 
     Never a cross join. An item with a whitespace character followed by at least ``anchor_len``
@@ -156,21 +157,36 @@ def containment_first_doc(items: DataFrame, docs: DataFrame, item_id: str = "ite
     candidate ids by a semi join). Items without such an anchor (short, or without whitespace) are
     matched on shingles of their own length at every position, one pass per distinct length
     (at most ``anchor_len`` lengths). The empty item is contained in every document.
+
+    Skew: boilerplate anchors (a licence line in a third of all documents) would turn into all
+    (item, document) pairs of a hot key. With ``n_anchors > 1`` every item has up to that many
+    candidate anchors (after its first whitespace characters); their document frequencies are
+    counted on the shingles that hit any candidate (a semi join, then a partial aggregate) and
+    each item keeps its RAREST anchor, bounding its candidates by that frequency.
     Output: ``item_id, doc_id``; items contained in no document are absent.
     """
     it = items.select(F.col(item_id).alias("__iid"), F.col(item_text).alias("__itext")).withColumn(
         "__ws", F.regexp_instr(F.col("__itext"), F.lit(T.WS))
     )
     anchored_cond = (F.col("__ws") > 0) & (F.length("__itext") - F.col("__ws") >= anchor_len)
-    anchored = it.filter(anchored_cond).select(
-        "__iid", "__itext", F.substring("__itext", F.col("__ws") + 1, anchor_len).alias("__anchor")
-    )
+    d = docs.select(F.col(doc_id).alias("__did"), F.col(doc_text).alias("__dtext"))
+    sh = d.select("__did", F.explode(_shingles_after_ws(F.col("__dtext"), anchor_len)).alias("__anchor"))
+
+    cands = it.filter(anchored_cond).select(
+        "__iid", "__itext", F.slice(_shingles_after_ws(F.col("__itext"), anchor_len), 1, max(1, n_anchors)).alias("__cands"))
+    if n_anchors > 1:
+        per = cands.select("__iid", F.posexplode("__cands").alias("__apos", "__anchor"))
+        freq = sh.join(per.select("__anchor").distinct(), "__anchor", "left_semi").groupBy("__anchor").agg(
+            F.count(F.lit(1)).alias("__f"))
+        chosen = per.join(freq, "__anchor", "left").groupBy("__iid").agg(
+            F.min_by("__anchor", F.struct(F.coalesce("__f", F.lit(0)), F.col("__apos"))).alias("__anchor"))
+        anchored = cands.join(chosen, "__iid").select("__iid", "__itext", "__anchor")
+    else:
+        anchored = cands.select("__iid", "__itext", F.get("__cands", 0).alias("__anchor"))
     loose = it.filter(~anchored_cond & (F.length("__itext") > 0)).select(
         "__iid", "__itext", F.length("__itext").alias("__alen")
     )
-    d = docs.select(F.col(doc_id).alias("__did"), F.col(doc_text).alias("__dtext"))
 
-    sh = d.select("__did", F.explode(_shingles_after_ws(F.col("__dtext"), anchor_len)).alias("__anchor"))
     cand = sh.join(anchored.select("__anchor", "__iid", "__itext"), "__anchor").select("__did", "__iid", "__itext")
 
     # short / whitespace-free items: bounded set of lengths (1..anchor_len-ish), read on the driver

@@ -38,6 +38,8 @@ def test_containment_matches_brute_force(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     it = spark.createDataFrame(items, "item_id long, text string")
     got = {r.item_id: r.doc_id for r in leakage.containment_first_doc(it, d).collect()}
+    one = {r.item_id: r.doc_id for r in leakage.containment_first_doc(it, d, n_anchors=1).collect()}
+    assert one == got
     want = {}
     for iid, s in items:
         hits = [did for did, t in docs if s in t]
