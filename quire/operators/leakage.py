@@ -146,7 +146,7 @@ def _shingles_all(text: Column, n: int) -> Column:
 
 def containment_first_doc(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_text: str = "text",
                           doc_id: str = "doc_id", doc_text: str = "text", anchor_len: int = ANCHOR_LEN,
-                          n_anchors: int = 3) -> DataFrame:
+                          n_anchors: int = 3, anchor_sample: float = 1 / 16) -> DataFrame:
     """For every item (sentence) the smallest ``doc_id`` whose text contains it (Python ``in``).
 
     Never a cross join. An item with a whitespace character followed by at least ``anchor_len``
@@ -160,9 +160,11 @@ def containment_first_doc(items: DataFrame, docs: DataFrame, item_id: str = "ite
 
     Skew: boilerplate anchors (a licence line in a third of all documents) would turn into all
     (item, document) pairs of a hot key. With ``n_anchors > 1`` every item has up to that many
-    candidate anchors (after its first whitespace characters); their document frequencies are
-    counted on the shingles that hit any candidate (a semi join, then a partial aggregate) and
-    each item keeps its RAREST anchor, bounding its candidates by that frequency.
+    candidate anchors (after its first whitespace characters); their frequencies are estimated on
+    a seeded ``anchor_sample`` of the documents (shingles that hit any candidate: a semi join, then
+    a partial aggregate) and each item keeps its RAREST anchor, bounding its candidates by that
+    frequency. The estimate only steers the plan: every document is still searched, so the
+    result does not depend on the sample.
     Output: ``item_id, doc_id``; items contained in no document are absent.
     """
     it = items.select(F.col(item_id).alias("__iid"), F.col(item_text).alias("__itext")).withColumn(
@@ -176,7 +178,9 @@ def containment_first_doc(items: DataFrame, docs: DataFrame, item_id: str = "ite
         "__iid", "__itext", F.slice(_shingles_after_ws(F.col("__itext"), anchor_len), 1, max(1, n_anchors)).alias("__cands"))
     if n_anchors > 1:
         per = cands.select("__iid", F.posexplode("__cands").alias("__apos", "__anchor"))
-        freq = sh.join(per.select("__anchor").distinct(), "__anchor", "left_semi").groupBy("__anchor").agg(
+        sample = d.sample(False, anchor_sample, seed=17) if anchor_sample < 1 else d
+        sh_s = sample.select(F.explode(_shingles_after_ws(F.col("__dtext"), anchor_len)).alias("__anchor"))
+        freq = sh_s.join(per.select("__anchor").distinct(), "__anchor", "left_semi").groupBy("__anchor").agg(
             F.count(F.lit(1)).alias("__f"))
         chosen = per.join(freq, "__anchor", "left").groupBy("__iid").agg(
             F.min_by("__anchor", F.struct(F.coalesce("__f", F.lit(0)), F.col("__apos"))).alias("__anchor"))
