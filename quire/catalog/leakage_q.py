@@ -168,3 +168,31 @@ def split_without_leakage(spark, sf_dir):
     return sp.unionByName(dups.withColumn("split", F.lit("train"))).select(
         "doc_id", F.col("line_no").cast("int").alias("line_no"), "split"
     )
+
+
+@register(
+    "instance_counts",
+    """
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+    s AS (SELECT doc_id, count(*) AS n_s,
+                 count_if(NOT list_contains(list_transform(regexp_extract_all(line, '([^\\t\\n\\x{0B}\\x{0C}\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+)', 1),
+                     lambda t: CASE WHEN length(t) >= 9 THEN 'B-trigger' ELSE 'O' END), 'B-trigger')) AS n_nt
+          FROM l GROUP BY doc_id)
+    SELECT CAST(count(*) AS BIGINT) AS all_instances, CAST(sum(n_s) AS BIGINT) AS all_sentences,
+           CAST(sum(n_nt) AS BIGINT) AS all_without_trigger, CAST(count_if(n_s > 1) AS BIGINT) AS multi_instances,
+           CAST(sum(CASE WHEN n_s > 1 THEN n_s ELSE 0 END) AS BIGINT) AS multi_sentences,
+           CAST(sum(CASE WHEN n_s > 1 THEN n_nt ELSE 0 END) AS BIGINT) AS multi_without_trigger
+    FROM s
+    """,
+)
+def instance_counts(spark, sf_dir):
+    from quire.operators import records
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    inst = docs.select(F.flatten(F.transform(
+        F.split("text", "\\n"),
+        lambda l, i: F.concat(F.when(i > 0, F.array(F.lit("[SEP]"))).otherwise(F.array().cast("array<string>")), T.ws_tokens(l)),
+    )).alias("tokens"))
+    inst = inst.withColumn("labels", F.transform("tokens", lambda t: F.when(F.length(t) >= 9, "B-trigger").otherwise("O")))
+    c = records.instance_counts(inst)
+    return c.select(*[F.col(x).cast("long").alias(x) for x in c.columns])

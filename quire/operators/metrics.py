@@ -282,3 +282,11 @@ def temperature_fit(df: DataFrame, logits: str, label: str, grid=None) -> DataFr
         best = nll_for(ts).orderBy("nll", "T").first()
         step /= 4
     return df.sparkSession.createDataFrame([(float(best["T"]), float(best["nll"]))], "temperature double, nll double")
+
+
+def passage_eval(dev: DataFrame, scores: DataFrame, qid: str = "qid", pid: str = "pid", k: int = 10) -> DataFrame:
+    """Full passage evaluation: scores per (qid, pid) -> top-k ranking per query (W1) ->
+    qrels restricted to ranked queries (J7) -> MRR@k (M24). ``dev`` carries (qid, pid, label)."""
+    run = top_k(scores, qid, "score", [pid], k)
+    qrels = dev.filter(F.col("label") == 1).select(qid, pid).join(run.select(qid).distinct(), qid, "left_semi")
+    return mrr_at_k(run, qrels, qid, pid, "rank", k)

@@ -266,3 +266,36 @@ def normalize_whitespace_tokens(text) -> Column:
     from quire.functions import text as T
 
     return T.ws_tokens(F.regexp_replace(_c(text), T.WS, " "))
+
+
+def negative_sentences(df: DataFrame, label: str = "label", text: str = "text", min_tokens: int = 4) -> DataFrame:
+    """R2: sentences with ``label == 0`` and more than ``min_tokens`` word tokens."""
+    from quire.functions import text as T
+
+    return df.filter((F.col(label) == 0) & (F.size(T.word_tokens(F.col(text))) > min_tokens))
+
+
+def instance_counts(instances: DataFrame, tokens: str = "tokens", labels: str = "labels", sep: str = "[SEP]") -> DataFrame:
+    """A3: sentence, instance and no-trigger counts in one pass. ``multi_*`` counts consider only
+    instances with more than one sentence (the reference's first count), ``all_*`` every instance."""
+    from quire.functions import labels as L
+
+    parts = L.split_at_sep(F.col(tokens), F.col(labels))
+    x = instances.select(parts.alias("p")).select(F.size("p").alias("n_s"), F.size(F.filter("p", lambda s: ~F.array_contains(s["labels"], "B-trigger"))).alias("n_nt"))
+    multi = F.col("n_s") > 1
+    return x.agg(
+        F.count(F.lit(1)).alias("all_instances"), F.sum("n_s").alias("all_sentences"), F.sum("n_nt").alias("all_without_trigger"),
+        F.count_if(multi).alias("multi_instances"), F.sum(F.when(multi, F.col("n_s")).otherwise(0)).alias("multi_sentences"),
+        F.sum(F.when(multi, F.col("n_nt")).otherwise(0)).alias("multi_without_trigger"))
+
+
+def split_token_data(df: DataFrame, key: str, seed, dev_size, tokens: str = "tokens", labels: str = "labels"):
+    """L4 (+N12): exact-size split of token instances; instances whose token and label arrays
+    differ in length are routed to a quarantine frame instead of failing later.
+    Returns (split frame with ``split`` column, rejected)."""
+    from quire.functions import labels as L
+    from quire.operators.splits import exact_split
+
+    bad = L.misaligned(tokens, labels)
+    rejected = df.filter(bad).withColumn("operator", F.lit("split_token_data")).withColumn("reason", F.lit("token/label length mismatch"))
+    return exact_split(df.filter(~bad), key, seed, dev_size), rejected

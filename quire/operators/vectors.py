@@ -169,3 +169,13 @@ def s3e_embed(sent_tokens: DataFrame, sent_id: str, tokens: str, model: DataFram
     cov = let(centered, lambda m: F.array(*[cov_entry(m, i, j) for i, j in pairs]))
     normed = let(cov, lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y))))
     return g.select(sent_id, F.concat(wmean, normed).alias("embedding"))
+
+
+def vocab_vectors(vocab: DataFrame, vectors: DataFrame, specials=("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")) -> DataFrame:
+    """Vocabulary left-joined with word vectors; special tokens (and words without a vector)
+    get the mean vector of the found words (one broadcast row of dimension size)."""
+    found = vectors.select("word", "vec")
+    mean = per_dim_stats(found, "vec").select(F.col("mean").alias("__mean"))
+    j = scalar_join(vocab.join(found, "word", "left"), F.broadcast(mean))
+    use_mean = F.col("vec").isNull() | F.col("word").isin(*specials)
+    return j.withColumn("vec", F.when(use_mean, F.col("__mean")).otherwise(F.col("vec").cast("array<double>"))).drop("__mean")

@@ -180,3 +180,23 @@ def test_s3e_embed_matches_numpy(spark):
     cov[np.triu_indices(2, 1)] *= np.sqrt(2)
     tri = cov[iu] / np.linalg.norm(cov[iu])
     assert np.allclose(got, np.concatenate([wmean, tri]))
+
+
+def test_vocab_vectors_specials_get_mean(spark):
+    vocab = spark.createDataFrame([("a",), ("b",), ("[UNK]",), ("zz",)], "word string")
+    vecs = spark.createDataFrame([("a", [1.0, 3.0]), ("b", [3.0, 1.0]), ("[UNK]", [9.0, 9.0])], "word string, vec array<double>")
+    got = {r.word: r.vec for r in vectors.vocab_vectors(vocab, vecs).collect()}
+    assert got["a"] == [1.0, 3.0] and got["zz"] == got["[UNK]"]
+    assert [round(x, 6) for x in got["zz"]] == [round(13 / 3, 6), round(13 / 3, 6)]  # mean of found words incl. [UNK]
+
+
+def test_passage_eval_and_split_token_data(spark):
+    dev = spark.createDataFrame([(1, 10, 1), (1, 11, 0), (2, 20, 1)], "qid int, pid int, label int")
+    scores = spark.createDataFrame([(1, 10, 0.2), (1, 11, 0.9), (2, 20, 0.5)], "qid int, pid int, score double")
+    r = metrics.passage_eval(dev, scores).first()
+    assert abs(r.mrr - (0.5 + 1.0) / 2) < 1e-12
+    df = spark.createDataFrame([(1, ["a"], ["O"]), (2, ["a", "b"], ["O"])], "id int, tokens array<string>, labels array<string>")
+    ok, bad = records.split_token_data(df, "id", 1, 1)
+    assert ok.count() == 1 and [r.id for r in bad.collect()] == [2]
+    s = spark.createDataFrame([(0, "one two three four five"), (0, "one two"), (1, "a b c d e f")], "label int, text string")
+    assert records.negative_sentences(s).count() == 1
