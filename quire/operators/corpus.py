@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.plans.scalar import scalar_join
 
 
 def _c(x) -> Column:
@@ -75,7 +76,7 @@ def length_histogram(df: DataFrame, length_col, width: int = 10) -> DataFrame:
     )
     bins = stats.select("min_len", "max_len", F.explode(F.sequence(F.lit(0), F.col("nbins") - 1)).alias("bin"))
     counts = (
-        raw.crossJoin(stats.select("nbins"))
+        scalar_join(raw, F.broadcast(stats.select("nbins")))
         .groupBy(F.least(F.col("raw_bin"), F.col("nbins") - 1).alias("bin"))
         .agg(F.sum("n").alias("n"))
     )
@@ -124,7 +125,7 @@ def token_weights(tokens_df: DataFrame, tokens_col: str, eps: float = 1e-3) -> D
     """Smooth-inverse-frequency weight ``eps / (eps + p(token))`` per token."""
     counts = tokens_df.select(F.explode(_c(tokens_col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(
+    return scalar_join(counts, F.broadcast(total)).select(
         "token", "n", (F.lit(eps) / (F.lit(eps) + F.col("n") / F.col("total"))).alias("weight")
     )
 

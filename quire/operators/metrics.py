@@ -14,20 +14,13 @@ from pyspark.sql import functions as F
 
 from quire.functions import labels as L
 from quire.plans.ordered import prefix_sum
+from quire.plans.scalar import scalar_join  # noqa: F401  (re-exported)
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def scalar_join(*frames: DataFrame) -> DataFrame:
-    """Join single-row aggregates side by side (each input is one row by construction)."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.join(f, how="inner")
-    return out
-
-
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     return df.groupBy(F.col(label).alias("label"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
