@@ -123,3 +123,81 @@ def pages_repeat_collapse(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "html")
     c = T.remove_repeating_characters(F.col("html"))
     return p.select("page_id", F.length(c).cast("long").alias("n_chars"), F.md5(c).alias("clean_md5"))
+
+
+@register(
+    "argmax_accuracy",
+    f"""
+    WITH x AS (SELECT label, list_slice(CAST(embedding AS DOUBLE[]), 1, 10) AS l FROM embeddings),
+    y AS (SELECT label, list_position(l, list_max(l)) - 1 AS pred,
+                 1.0 / list_sum(list_transform(l, lambda v: exp(v - list_max(l)))) AS prob FROM x)
+    SELECT round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), {R}) AS acc, round(avg(prob), {R}) AS mean_prob,
+           CAST(count(*) AS BIGINT) AS n FROM y
+    """,
+)
+def argmax_accuracy(spark, sf_dir):
+    """R16 + M1: class arg-max and softmax probability of the first 10 components as logits."""
+    from quire.operators import metrics
+
+    e = table(spark, sf_dir, "embeddings").select("label", F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("l"))
+    p = e.select("label", L.argmax_prob("l").alias("a")).select("label", F.col("a.label_id").alias("pred"), F.col("a.probability").alias("prob"))
+    acc = metrics.accuracy(p, "label", "pred")
+    rest = p.agg(F.avg("prob").alias("mean_prob"), F.count(F.lit(1)).cast("long").alias("n"))
+    return metrics.scalar_join(acc, rest).select(F.round("acc", R).alias("acc"), F.round("mean_prob", R).alias("mean_prob"), "n")
+
+
+@register(
+    "truncate_pairs",
+    f"""
+    WITH t AS (SELECT u.conv_id, u.turn, len({S.ws_tokens('u.text')}) AS la, len({S.ws_tokens('a.text')}) AS lb
+               FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1),
+    o AS (SELECT *, greatest(la + lb - 64, 0) AS over FROM t),
+    r AS (SELECT *, least(over, abs(la - lb)) AS fl, over - least(over, abs(la - lb)) AS rest FROM o)
+    SELECT conv_id, turn,
+           CAST(CASE WHEN la >= lb THEN la - fl ELSE la END - floor(rest / 2) AS INTEGER) AS len_a,
+           CAST(CASE WHEN lb > la THEN lb - fl ELSE lb END - ceil(rest / 2) AS INTEGER) AS len_b
+    FROM r
+    """,
+)
+def truncate_pairs(spark, sf_dir):
+    """Longest-first truncation of (turn, next turn) token pairs to 64 tokens."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.ws_tokens(F.col("text")).alias("toks"))
+    a = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("toks").alias("b"))
+    j = c.join(a, ["conv_id", "turn"]).select("conv_id", "turn", records.truncate_pair("toks", "b", 64).alias("t"))
+    return j.select("conv_id", "turn", F.size("t.a").alias("len_a"), F.size("t.b").alias("len_b"))
+
+
+@register(
+    "pairs_to_rows",
+    """
+    SELECT l_orderkey AS query, l_partkey AS passage, 1 AS label FROM lineitem
+    UNION ALL SELECT l_orderkey, l_suppkey, 0 FROM lineitem
+    """,
+)
+def pairs_to_rows(spark, sf_dir):
+    """Q16: (query, positive, negative) -> two labelled rows."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    return records.pairs_to_rows(li, "l_orderkey", "l_partkey", "l_suppkey")
+
+
+@register(
+    "context_windows",
+    """
+    WITH b AS (SELECT conv_id, turn, text, length(text) AS n, least(10, length(text)) AS s, least(30, length(text)) AS e
+               FROM conversations),
+    c AS (SELECT *, greatest(20, e - s + 1) AS sz FROM b),
+    d AS (SELECT *, (e - s) // 2 + s AS mid FROM c),
+    w AS (SELECT *, mid - sz // 2 AS ws, mid + sz // 2 AS we FROM d),
+    x AS (SELECT *, greatest(0, ws - greatest(0, we - n)) AS s1, least(n, we + greatest(0, -ws)) AS e1 FROM w)
+    SELECT conv_id, turn, CASE WHEN s = 0 AND e = 0 THEN '' ELSE substr(text, CAST(s1 AS BIGINT) + 1, CAST(e1 - s1 AS BIGINT)) END AS context,
+           CAST(CASE WHEN s = 0 AND e = 0 THEN 0 ELSE s1 END AS INTEGER) AS start,
+           CAST(CASE WHEN s = 0 AND e = 0 THEN 0 ELSE e1 END AS INTEGER) AS "end"
+    FROM x
+    """,
+)
+def context_windows(spark, sf_dir):
+    """T12 on conversation turns: answer = characters [10, 30), window 20."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    n = F.length("text")
+    w = qa.context_window(F.col("text"), F.least(F.lit(10), n), F.least(F.lit(30), n), 20)
+    return c.select("conv_id", "turn", w.alias("w")).select("conv_id", "turn", "w.context", "w.start", "w.end")

@@ -249,16 +249,19 @@ def aggregate_candidates(cands: DataFrame, doc: str, n_best: int = 5, no_ans_boo
 
 
 def context_window(text: Column, start_c: Column, end_c: Column, size: int) -> Column:
-    """Context of ``size`` characters around an answer; the window grows to the answer + 1
-    when the answer is longer, overhang at one end is given to the other. No answer -> ('',0,0)."""
+    """Context window around an answer: the window (at least answer length + 1) is centred on
+    the answer's midpoint; a part hanging over one end of the text is added at the other end.
+    No answer (0, 0) -> ('', 0, 0)."""
     n = F.length(text)
     alen = end_c - start_c
     sz = F.greatest(F.lit(size), alen + 1)
-    pad = F.floor((sz - alen) / 2)
-    s0 = start_c - pad
-    e0 = end_c + (sz - alen - pad)
-    s1 = F.when(s0 < 0, F.lit(0)).otherwise(F.when(e0 > n, F.greatest(F.lit(0), s0 - (e0 - n))).otherwise(s0))
-    e1 = F.when(s0 < 0, F.least(n, e0 - s0)).otherwise(F.least(n, e0))
+    mid = F.floor(alen / 2) + start_c
+    half = F.floor(sz / 2)
+    ws, we = mid - half, mid + half
+    over_start = F.greatest(F.lit(0), -ws)
+    over_end = F.greatest(F.lit(0), we - n)
+    s1 = F.greatest(F.lit(0), ws - over_end).cast("int")
+    e1 = F.least(n, we + over_start).cast("int")
     none = (start_c == 0) & (end_c == 0)
     return F.when(none, F.struct(F.lit("").alias("context"), F.lit(0).alias("start"), F.lit(0).alias("end"))).otherwise(
         F.struct(F.substring(text, s1 + 1, e1 - s1).alias("context"), s1.alias("start"), e1.alias("end")))

@@ -107,23 +107,23 @@ def class_weights(df: DataFrame, label: str, multilabel: bool = False) -> DataFr
         F.col("__l").alias(label), ((F.col("N") + F.col("K")) / (F.col("K") * (F.col("n_c") + 1))).alias("weight"))
 
 
-def truncate_pair(a, b, max_len: int, strategy: str = "longest_first") -> Column:
+def truncate_pair(a, b, max_len: int, strategy: str = "longest_first", n_special: int = 0) -> Column:
     """Truncate one or two token arrays to ``max_len`` tokens in total. ``longest_first``
     removes tokens one by one from the longer array (closed form), ``only_first``/``only_second``
     cut one side."""
     la, lb = F.size(_c(a)), F.size(_c(b))
-    over = F.greatest(la + lb - max_len, F.lit(0))
+    over = F.greatest(la + lb + n_special - max_len, F.lit(0))
     if strategy == "only_first":
         na, nb = F.greatest(la - over, F.lit(0)), lb
     elif strategy == "only_second":
         na, nb = la, F.greatest(lb - over, F.lit(0))
     else:
-        # remove from the longer side until equal, then alternate starting with the first
+        # one token at a time from the longer side; on equal lengths the second loses first
         d = F.abs(la - lb)
         from_long = F.least(over, d)
         rest = over - from_long
-        na = F.when(la >= lb, la - from_long).otherwise(la) - F.ceil(rest / 2)
-        nb = F.when(lb > la, lb - from_long).otherwise(lb) - F.floor(rest / 2)
+        na = F.when(la >= lb, la - from_long).otherwise(la) - F.floor(rest / 2)
+        nb = F.when(lb > la, lb - from_long).otherwise(lb) - F.ceil(rest / 2)
     return F.struct(F.slice(_c(a), 1, na.cast("int")).alias("a"), F.slice(_c(b), 1, nb.cast("int")).alias("b"))
 
 

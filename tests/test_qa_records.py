@@ -107,6 +107,19 @@ def test_truncate_and_weights(spark):
     df = spark.createDataFrame([(list("abcdef"), list("xy"))], "a array<string>, b array<string>")
     r = df.select(records.truncate_pair("a", "b", 5).alias("t")).first().t
     assert (len(r.a), len(r.b)) == (3, 2)
+
+    def loop(la, lb, n):  # one token at a time from the longer; ties -> second
+        while la + lb > n:
+            if la > lb:
+                la -= 1
+            else:
+                lb -= 1
+        return la, lb
+
+    for la, lb in [(5, 5), (6, 2), (2, 9), (7, 6), (0, 8)]:
+        d2 = spark.createDataFrame([(["x"] * la, ["y"] * lb)], "a array<string>, b array<string>")
+        t = d2.select(records.truncate_pair("a", "b", 5).alias("t")).first().t
+        assert (len(t.a), len(t.b)) == loop(la, lb, 5)
     lab = spark.createDataFrame([(0,), (0,), (1,)], "y int")
     w = {r.y: r.weight for r in records.class_weights(lab, "y").collect()}
     assert abs(w[0] - 5 / 6) < 1e-12 and abs(w[1] - 5 / 4) < 1e-12
