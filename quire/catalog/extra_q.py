@@ -201,3 +201,80 @@ def context_windows(spark, sf_dir):
     n = F.length("text")
     w = qa.context_window(F.col("text"), F.least(F.lit(10), n), F.least(F.lit(30), n), 20)
     return c.select("conv_id", "turn", w.alias("w")).select("conv_id", "turn", "w.context", "w.start", "w.end")
+
+
+LABEL_LIST = ["view", "click", "purchase", "signup", "error"]
+
+
+@register(
+    "multilabel_macro_f1",
+    f"""
+    WITH e AS (SELECT event_type AS y,
+                      CASE WHEN {S.seeded_hash(21, 'event_id')} % 4 = 0 THEN event_type || ',click' ELSE event_type END AS p FROM events),
+    h AS (SELECT unnest(range(5)) AS k, y, p FROM e),
+    b AS (SELECT k, CAST(list_contains(string_split(y, ','), ['view', 'click', 'purchase', 'signup', 'error'][k + 1]) AS INTEGER) AS yy,
+                 CAST(list_contains(string_split(p, ','), ['view', 'click', 'purchase', 'signup', 'error'][k + 1]) AS INTEGER) AS pp FROM h),
+    f AS (SELECT k, sum(yy * pp) AS tp, sum((1 - yy) * pp) AS fp, sum(yy * (1 - pp)) AS fn FROM b GROUP BY k)
+    SELECT round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END), {R}) AS f1_macro FROM f
+    """,
+)
+def multilabel_macro_f1(spark, sf_dir):
+    """R6 + M11: multi-hot vectors over a label list from comma-separated labels; macro F1 over positions."""
+    from quire.operators import metrics
+    from quire.plans.hashing import seeded_hash
+
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type")
+    pred = F.when(seeded_hash(21, "event_id") % 4 == 0, F.concat(F.col("event_type"), F.lit(",click"))).otherwise(F.col("event_type"))
+    lst = F.array(*[F.lit(x) for x in LABEL_LIST])
+    mh = ev.select(L.multi_hot(lst, F.col("event_type")).alias("y"), L.multi_hot(lst, pred).alias("p"))
+    return metrics.multilabel_macro_f1(mh, "y", "p").select(F.round("f1_macro", R).alias("f1_macro"))
+
+
+@register(
+    "spans_to_binary",
+    """
+    SELECT conv_id, turn, array_to_string(list_transform({toks}, lambda t: CASE WHEN length(t) >= 9 THEN '0' ELSE '1' END), '') AS bits
+    FROM conversations
+    """.replace("{toks}", S.ws_tokens("text")),
+)
+def spans_to_binary_q(spark, sf_dir):
+    """Span labels -> ints (``X``/``[PAD]`` -> 0); long tokens are labelled ``X`` here."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.ws_tokens(F.col("text")).alias("toks"))
+    spans = F.transform("toks", lambda t: F.struct(F.when(F.length(t) >= 9, F.lit("X")).otherwise(F.lit("1")).alias("label")))
+    return c.select("conv_id", "turn", F.array_join(F.transform(L.spans_to_binary(spans), lambda b: b.cast("string")), "").alias("bits"))
+
+
+@register(
+    "passage_doc_spans",
+    """
+    WITH p AS (SELECT doc_id, CAST(pid AS INTEGER) AS passage_id FROM documents, range(0, 3) x(pid))
+    SELECT doc_id, passage_id,
+           CAST(CASE WHEN (doc_id + passage_id) % 4 = 0 THEN -1 ELSE (doc_id + passage_id) % 4 + passage_id * 64 END AS INTEGER) AS start,
+           CAST(CASE WHEN (doc_id + passage_id) % 4 = 0 THEN -1 ELSE (doc_id + passage_id) % 4 + 2 + passage_id * 64 END AS INTEGER) AS "end"
+    FROM p
+    """,
+)
+def passage_doc_spans(spark, sf_dir):
+    """Q10: passage-relative spans -> document spans; (0, 0) = no answer -> (-1, -1)."""
+    d = table(spark, sf_dir, "documents").select("doc_id").withColumn("passage_id", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    k = ((F.col("doc_id") + F.col("passage_id")) % 4).cast("int")
+    st = F.when(k == 0, 0).otherwise(k)
+    en = F.when(k == 0, 0).otherwise(k + 2)
+    s = qa.passage_to_doc_span(st, en, F.col("passage_id") * 64)
+    return d.select("doc_id", "passage_id", s.alias("s")).select("doc_id", "passage_id", F.col("s.start").cast("int").alias("start"),
+                                                                 F.col("s.end").cast("int").alias("end"))
+
+
+@register(
+    "concat_by_position",
+    f"""
+    SELECT u.conv_id, u.turn, len(flatten([{S.ws_tokens('u.text')}, {S.ws_tokens('a.text')}])) AS n_tokens
+    FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+    """,
+)
+def concat_by_position(spark, sf_dir):
+    """U8: element-wise concatenation of two lists of lists (here: [turn tokens] and [next-turn tokens])."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.ws_tokens(F.col("text")).alias("t"))
+    a = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("n"))
+    j = c.join(a, ["conv_id", "turn"]).select("conv_id", "turn", records.concat_by_position(F.array("t"), F.array("n")).alias("x"))
+    return j.select("conv_id", "turn", F.size(F.flatten("x")).alias("n_tokens"))
