@@ -268,7 +268,7 @@ def passage_doc_spans(spark, sf_dir):
 @register(
     "concat_by_position",
     f"""
-    SELECT u.conv_id, u.turn, len(flatten([{S.ws_tokens('u.text')}, {S.ws_tokens('a.text')}])) AS n_tokens
+    SELECT u.conv_id, u.turn, CAST(len(flatten([{S.ws_tokens("u.text")}, {S.ws_tokens("a.text")}])) AS INTEGER) AS n_tokens
     FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
     """,
 )
