@@ -278,3 +278,60 @@ def concat_by_position(spark, sf_dir):
     a = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("n"))
     j = c.join(a, ["conv_id", "turn"]).select("conv_id", "turn", records.concat_by_position(F.array("t"), F.array("n")).alias("x"))
     return j.select("conv_id", "turn", F.size(F.flatten("x")).alias("n_tokens"))
+
+
+@register(
+    "choose_passages",
+    """
+    WITH g AS (SELECT l_orderkey AS qid,
+                      list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, l_partkey) FILTER (WHERE l_returnflag = 'R') AS pos,
+                      list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, l_partkey) FILTER (WHERE l_returnflag <> 'R') AS neg
+               FROM lineitem GROUP BY l_orderkey),
+    s AS (SELECT qid,
+                 list_transform(list_sort(list_transform(coalesce(pos, []), lambda p, i: {'k': md5('5:' || CAST(qid AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR)), 'p': p})), lambda x: x.p) AS sp,
+                 list_transform(list_sort(list_transform(coalesce(neg, []), lambda p, i: {'k': md5('5:' || CAST(qid AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR)), 'p': p})), lambda x: x.p) AS sn
+          FROM g)
+    SELECT qid, array_to_string(list_concat(sp[1:1], list_transform(range(greatest(1 - len(sp[1:1]), 0)), lambda x: '')), '|') || '#' ||
+                array_to_string(list_concat(sn[1:2], list_transform(range(greatest(2 - len(sn[1:2]), 0)), lambda x: '')), '|') AS chosen
+    FROM s
+    """,
+)
+def choose_passages_q(spark, sf_dir):
+    """One positive and two hard negatives per query in seeded-hash order, padded with empty
+    passages (query = order, passages = its parts, positive = returned line)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    ctx = F.struct(F.lit("").alias("title"), F.lit("").alias("text"), F.col("l_partkey").cast("string").alias("passage_id"))
+    ordered = F.struct("l_linenumber", "l_partkey")
+    g = li.groupBy(F.col("l_orderkey").alias("qid")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == "R", F.struct(ordered.alias("o"), ctx.alias("c"))))).alias("pos"),
+        F.array_sort(F.collect_list(F.when(F.col("l_returnflag") != "R", F.struct(ordered.alias("o"), ctx.alias("c"))))).alias("neg"))
+    pos = F.transform("pos", lambda x: x["c"])
+    neg = F.transform("neg", lambda x: x["c"])
+    ch = records.choose_passages(pos, neg, 1, 2, 5, "qid")
+    ids = F.transform(ch["passages"], lambda p: p["passage_id"])
+    return g.select("qid", F.concat(F.array_join(F.slice(ids, 1, 1), "|"), F.lit("#"), F.array_join(F.slice(ids, 2, 2), "|")).alias("chosen"))
+
+
+@register(
+    "reduce_labels",
+    """
+    WITH l AS (SELECT conv_id, turn, [{'start': turn % 3 - 1, 'end': turn % 3 - 1}, {'start': 0, 'end': 4}, {'start': 0, 'end': 4},
+                                      {'start': CAST(conv_id % 2 AS INTEGER) * 5 - 1, 'end': 7}] AS labs FROM conversations)
+    SELECT conv_id, turn,
+           array_to_string(list_sort(list_transform(
+               CASE WHEN len(list_distinct(list_filter(labs, lambda x: x.start >= 0 AND x."end" >= 0))) > 0
+                    THEN list_distinct(list_filter(labs, lambda x: x.start >= 0 AND x."end" >= 0))
+                    ELSE [{'start': -1, 'end': -1}] END,
+               lambda x: CAST(x.start AS VARCHAR) || '-' || CAST(x."end" AS VARCHAR))), ',') AS labels
+    FROM l
+    """,
+)
+def reduce_labels_q(spark, sf_dir):
+    """Distinct non-negative answer spans of a question, ``[(-1,-1)]`` when none is left."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    sp = lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"))
+    labs = F.array(sp(F.col("turn") % 3 - 1, F.col("turn") % 3 - 1), sp(F.lit(0), F.lit(4)), sp(F.lit(0), F.lit(4)),
+                   sp((F.col("conv_id") % 2) * 5 - 1, F.lit(7)))
+    red = qa.reduce_labels(labs)
+    txt = F.array_join(F.array_sort(F.transform(red, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))), ",")
+    return c.select("conv_id", "turn", txt.alias("labels"))
