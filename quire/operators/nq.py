@@ -41,7 +41,11 @@ def tok_to_char_span(start_t, end_t, offsets, text) -> Column:
     offs, t = _c(offsets), _c(text)
     n = F.size(offs)
     lead = F.coalesce(F.get(offs, 0), F.lit(0))
-    tokens_end = F.get(offs, end_t - 1) + F.length(F.get(F.split(F.substring(t, F.get(offs, end_t - 1) + 1, 1 << 30), r"\s"), 0))
+    from quire.functions.text import NON_WS
+
+    last_start = F.get(offs, end_t - 1)
+    last_tok = F.regexp_extract(F.substring(t, last_start + 1, 1 << 30), "^" + NON_WS + "+", 0)
+    tokens_end = last_start + F.length(last_tok)
     none = (start_t == -1) & (end_t == -1)
     return F.struct(
         F.when(none, -1).otherwise(F.get(offs, start_t)).alias("start_c"),
