@@ -44,3 +44,17 @@ def test_metric_registry(spark):
     df = spark.createDataFrame([(1, 1), (0, 1), (1, 1), (0, 0)], "label int, pred int")
     r = S.compute_metrics(df, ["acc", "mcc"]).first()
     assert abs(r.acc - 0.75) < 1e-9
+
+
+def test_event_dedup_within_watermark(spark, tmp_path):
+    from conftest import SF001
+
+    src = str(tmp_path / "ev")
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    ev.unionByName(ev).repartition(3).write.parquet(src)  # every event twice
+    stream = spark.readStream.schema(ev.schema).parquet(src)
+    out = ingest.dedup_events_within_watermark(stream, ["event_id"], "ts", "1 hour")
+    q = out.writeStream.format("memory").queryName("ev_dedup").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = spark.sql("select * from ev_dedup")
+    assert got.count() == ev.count() == got.select("event_id").distinct().count()
