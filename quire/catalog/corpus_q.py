@@ -64,7 +64,7 @@ def clean_pages(spark, sf_dir):
 )
 def dedup_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return corpus.dedup_keep_first(docs, ["text"], "doc_id", count_col="n_copies").select(
+    return corpus.dedup_keep_first(docs, ["text"], "doc_id", count_col="n_copies", carry=["doc_id", "lang"]).select(
         "doc_id", "lang", F.col("n_copies").cast("long").alias("n_copies")
     )
 

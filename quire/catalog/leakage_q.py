@@ -137,7 +137,7 @@ def overlap_summary(spark, sf_dir):
 )
 def dedup_token_instances(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", T.word_tokens(F.col("text")).alias("tokens"))
-    return corpus.dedup_keep_first(docs, ["tokens"], "doc_id", count_col="n_copies").select(
+    return corpus.dedup_keep_first(docs, ["tokens"], "doc_id", count_col="n_copies", carry=["doc_id"]).select(
         "doc_id", F.col("n_copies").cast("long").alias("n_copies")
     )
 

@@ -39,9 +39,11 @@ def dedup_keep_first(df: DataFrame, keys: Sequence, order_col: str, count_col: s
 
     ``groupBy(digest).agg(min_by(struct(row), order))`` is a declarative aggregate, so the partial
     aggregation runs map-side: a key holding a third of all rows collapses to one struct per
-    partition before the shuffle. ``count_col`` optionally reports the group size.
+    partition before the shuffle. ``count_col`` optionally reports the group size; ``carry``
+    limits the columns carried through the shuffle (e.g. a token count instead of the text it was
+    computed from, or only the ids when the text is not needed downstream).
     """
-    cols = df.columns
+    cols = list(carry) if carry else df.columns
     dg = content_digest(*keys)
     aggs = [F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("__row")]
     if count_col:
