@@ -146,7 +146,8 @@ def _shingles_all(text: Column, n: int) -> Column:
 
 def containment_first_doc(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_text: str = "text",
                           doc_id: str = "doc_id", doc_text: str = "text", anchor_len: int = ANCHOR_LEN,
-                          n_anchors: int = 3, anchor_sample: float = 1 / 16) -> DataFrame:
+                          n_anchors: int = 3, anchor_sample: float = 1 / 16,
+                          broadcast_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """For every item (sentence) the smallest ``doc_id`` whose text contains it (Python ``in``).
 
     Never a cross join. An item with a whitespace character followed by at least ``anchor_len``
@@ -203,9 +204,21 @@ def containment_first_doc(items: DataFrame, docs: DataFrame, item_id: str = "ite
             )
         )
 
-    cand = cand.distinct()
-    cand_docs = d.join(cand.select("__did").distinct(), "__did", "left_semi")
-    hits = cand.join(cand_docs, "__did").filter(F.instr(F.col("__dtext"), F.col("__itext")) > 0).select("__iid", "__did")
+    # Candidates are usually few. They are written once to the shared checkpoint folder (lineage
+    # cut, no recomputation of the shingle pass) and measured: under the byte limit they are
+    # broadcast and the documents are verified map-side without any shuffle of the corpus; above
+    # it, documents are first reduced to candidate ids by a semi join and joined by a shuffle.
+    from quire.session import checkpoint_dir
+
+    checkpoint_dir(docs.sparkSession)
+    cand = cand.distinct().checkpoint(eager=True)
+    size = cand.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("__itext") + 24).alias("b")).first()
+    if (size["b"] or 0) <= broadcast_bytes:
+        hits = d.join(F.broadcast(cand), "__did")
+    else:
+        cand_docs = d.join(cand.select("__did").distinct(), "__did", "left_semi")
+        hits = cand.join(cand_docs, "__did")
+    hits = hits.filter(F.instr(F.col("__dtext"), F.col("__itext")) > 0).select("__iid", "__did")
 
     empty = it.filter(F.length("__itext") == 0).select("__iid", F.lit(1).alias("__one"))
     first_doc = d.agg(F.min("__did").alias("__did")).withColumn("__one", F.lit(1))

@@ -40,6 +40,8 @@ def test_containment_matches_brute_force(spark):
     got = {r.item_id: r.doc_id for r in leakage.containment_first_doc(it, d).collect()}
     one = {r.item_id: r.doc_id for r in leakage.containment_first_doc(it, d, n_anchors=1).collect()}
     assert one == got
+    shuffled = {r.item_id: r.doc_id for r in leakage.containment_first_doc(it, d, broadcast_bytes=0).collect()}
+    assert shuffled == got
     want = {}
     for iid, s in items:
         hits = [did for did, t in docs if s in t]
