@@ -99,32 +99,40 @@ def regroup_instances(sent: DataFrame, id_col: str, with_labels: bool = True) ->
 
 
 def remove_sentences_from_instances(instances: DataFrame, test: DataFrame, id_col: str, tokens: str, labels: str,
-                                    test_tokens: str) -> DataFrame:
-    """Explode instances into sentences, drop ALL sentences that occur in the test set,
-    rebuild; an instance whose sentences are all removed disappears. Adds ``n_removed`` and the
-    no-trigger count of the kept sentences (A3).
-
-    Sentences are flagged by a left join with the distinct test keys and regrouped in ONE
-    aggregation per instance (a group is one input row's sentences)."""
-    from quire.functions.labels import join_with_sep
+                                    test_tokens: str, broadcast_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """Drop ALL sentences of an instance that occur in the test set and rebuild the instance;
+    an instance whose sentences are all removed disappears. Adds ``n_sentences``, ``n_removed``
+    and the no-trigger count of the kept sentences (A3).
+
+    Only the matches travel: sentences are exploded map-side and semi-joined with the distinct
+    test keys, the (instance, sentence index) hits are grouped (small), written once to the
+    checkpoint folder and measured; under ``broadcast_bytes`` they are broadcast to the instances,
+    otherwise joined by a shuffle. The rebuild happens in-row, so the instances themselves are
+    never shuffled in the broadcast case."""
+    from quire.functions.labels import join_with_sep, split_at_sep
+    from quire.session import checkpoint_dir
 
     sents = _keyed(explode_instances(instances, id_col, tokens, labels), "tokens")
-    t = test_keys(test, test_tokens).withColumn("__hit", F.lit(True))
-    flagged = sents.join(t, _match_cond(sents, t, "tokens", "__rtok"), "left")
-    kept = F.col("__hit").isNull()
-    g = flagged.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(kept, F.struct("sent_idx", "tokens", "labels")))).alias("__ss"),
-        F.count(F.lit(1)).alias("__n0"),
-        F.count_if(kept & ~F.array_contains("labels", "B-trigger")).alias("n_without_trigger"),
-    )
-    return g.select(
+    t = test_keys(test, test_tokens)
+    hits = sents.join(t, _match_cond(sents, t, "tokens", "__rtok"), "left_semi").select(id_col, "sent_idx")
+    checkpoint_dir(instances.sparkSession)
+    rem = hits.groupBy(id_col).agg(F.collect_list("sent_idx").alias("__rm")).checkpoint(eager=True)
+    size = rem.agg(F.sum(F.size("__rm") * 4 + 16).alias("b")).first()["b"] or 0
+    rem_side = F.broadcast(rem) if size <= broadcast_bytes else rem
+    j = instances.select(id_col, tokens, labels).join(rem_side, id_col, "left")
+    rm = F.coalesce(F.col("__rm"), F.array().cast("array<int>"))
+    parts = split_at_sep(F.col(tokens), F.col(labels))
+    kept = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("i"), p["tokens"].alias("t"), p["labels"].alias("l"))),
+                    lambda x: ~F.array_contains(rm, x["i"]))
+    out = j.select(F.col(id_col), parts.alias("__parts"), kept.alias("__kept")).select(
         F.col(id_col),
-        join_with_sep(F.transform("__ss", lambda x: x["tokens"]), SEP).alias("tokens"),
-        join_with_sep(F.transform("__ss", lambda x: x["labels"]), "O").alias("labels"),
-        F.size("__ss").alias("n_sentences"),
-        (F.col("__n0") - F.size("__ss")).alias("n_removed"),
-        "n_without_trigger",
-    ).filter(F.size("tokens") > 0)
+        join_with_sep(F.transform("__kept", lambda x: x["t"]), SEP).alias("tokens"),
+        join_with_sep(F.transform("__kept", lambda x: x["l"]), "O").alias("labels"),
+        F.size("__kept").alias("n_sentences"),
+        (F.size("__parts") - F.size("__kept")).alias("n_removed"),
+        F.size(F.filter("__kept", lambda x: ~F.array_contains(x["l"], "B-trigger"))).alias("n_without_trigger"),
+    )
+    return out.filter(F.size("tokens") > 0)
 
 
 # --- J4: containment join --------------------------------------------------------------------
