@@ -82,3 +82,15 @@ def test_downsample_negatives_and_keep_one(spark):
     assert ds.filter("event_type = 'purchase'").count() == ev.filter("event_type = 'purchase'").count()
     k = splits.sample_keep_one(ev, "user_id", "event_id", F.col("event_type") == "never", 1, 0.0)
     assert k.count() == ev.select("user_id").distinct().count()
+
+
+def test_exact_split_with_hot_group(spark):
+    """A group holding a third of all rows is ranked across many (group, hash-bucket) windows and
+    still gets exactly ceil(f * n_group) dev rows."""
+    ev = spark.read.parquet(f"{SF01}/events.parquet").select("event_id", "user_id")
+    hot = ev.withColumn("g", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id") % 7))
+    s = splits.exact_split(hot, "event_id", 11, 0.25, by=["g"])
+    per = {r.g: (r.n, r.dev) for r in s.groupBy("g").agg(F.count(F.lit(1)).alias("n"),
+                                                         F.count_if(F.col("split") == "dev").alias("dev")).collect()}
+    assert all(dev == -(-n // 4) for n, dev in per.values())
+    assert per[-1][0] >= ev.count() // 3
