@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup
+from quire.llm import decontam, exact_dedup, licenses
 from quire.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,17 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op7_decontamination(spark, sf_dir):
+    marked = decontam.mark_contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query
+def op9_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(documents(spark, sf_dir)).drop("notices")
+
+
 AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op5_exact_dedup"] = f"""
@@ -31,3 +42,26 @@ g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t
 select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(d.t) as text_sha256
 from d join g on d.t = g.t
 """
+
+WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op7_decontamination"] = f"""
+with item as (select item_id, {WORDS.format(AZ)} as w from benchmark),
+win as (
+  select distinct item_id, least(13, len(w)) as k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as g
+  from (select item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) as i from item where len(w) > 0)),
+doc as (select doc_id, {WORDS.format(AZ)} as w from documents),
+place as (
+  select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g
+  from (select doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) as i
+        from doc cross join (select distinct k from win) where len(w) >= k)),
+found as (select p.doc_id, p.i, p.k, win.item_id from place p join win on p.g = win.g and p.k = win.k),
+hit as (select doc_id, count(distinct pos) as n_hit
+        from (select doc_id, unnest(generate_series(i, i + k - 1)) as pos from found) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+        from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id)
+select d.doc_id, cast(coalesce(len(d.w), 0) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(names, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from doc d left join hit using (doc_id) left join its using (doc_id)
+"""
