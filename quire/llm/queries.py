@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, exact_dedup, licenses
+from quire.llm import decontam, exact_dedup, langid, licenses
 from quire.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op9_license_scan(spark, sf_dir):
     return licenses.scan_licenses(documents(spark, sf_dir)).drop("notices")
 
 
+@query
+def op10_language_id(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
 AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op5_exact_dedup"] = f"""
