@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, exact_dedup, langid, licenses
+from quire.llm import decontam, exact_dedup, langid, licenses, packing
 from quire.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,17 @@ def query(fn):
     return fn
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
 @query
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
