@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, exact_dedup, langid, licenses, packing
+from quire.llm import decontam, exact_dedup, langid, licenses, near_dedup, packing
 from quire.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op6_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicate_classes(documents(spark, sf_dir))
+
+
 @query
 def op7_decontamination(spark, sf_dir):
     marked = decontam.mark_contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
@@ -81,3 +86,19 @@ select d.doc_id, cast(coalesce(len(d.w), 0) as bigint) as n_words, coalesce(n_hi
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
 from doc d left join hit using (doc_id) left join its using (doc_id)
 """
+
+ORACLES["op6_minhash_near_dedup"] = f"""
+with recursive doc as materialized (select doc_id, {WORDS.format(AZ)} as w from documents),
+sh as materialized (
+  select distinct doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') as s
+  from (select doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) as i from doc where len(w) > 0)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+link as materialized (
+  select a.doc_id as x, b.doc_id as y from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id
+  join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, na.n, nb.n having 5 * count(*) >= 4 * (na.n + nb.n - count(*))),
+reach(x, y) as (select x, y from link union select r.x, l.y from reach r join link l on r.y = l.x),
+c as (select d.doc_id, least(d.doc_id, coalesce(min(r.y), d.doc_id)) as class_id
+      from documents d left join reach r on r.x = d.doc_id group by d.doc_id)
+select doc_id, class_id, count(*) over (partition by class_id) as class_size, doc_id = class_id as kept from c
+"""
