@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, exact_dedup, langid, licenses, near_dedup, packing, toxicity
+from quire.llm import decontam, exact_dedup, langid, licenses, near_dedup, packing, quality, toxicity
 from quire.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def op7_decontamination(spark, sf_dir):
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query
+def op8_quality(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 @query
 def op9_license_scan(spark, sf_dir):
     return licenses.scan_licenses(documents(spark, sf_dir)).drop("notices")
