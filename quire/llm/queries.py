@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, exact_dedup, langid, licenses, near_dedup, packing, quality, toxicity
+from quire.llm import decontam, exact_dedup, langid, licenses, near_dedup, packing, pii, quality, toxicity
 from quire.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_pii(spark, sf_dir):
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 @query
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
