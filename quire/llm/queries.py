@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, exact_dedup, langid, licenses, near_dedup, packing, pii, quality, toxicity
+from quire.llm import decontam, exact_dedup, langid, licenses, near_dedup, packing, pii, quality, suffix_dedup, toxicity
 from quire.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,11 @@ def query(fn):
     return fn
 
 
+@query
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
