@@ -42,5 +42,15 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def to_columns(fields: dict[str, str]) -> str:
-    return ", ".join(f"{k} {v}" for k, v in fields.items())
+BITS = 1 << 24
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``maybe``: false where the column ``key`` is surely not in ``keys``, so that those rows can stay
+    out of a join. What is broadcast is a bit set of fixed size (BITS / 64 rows at most), whatever the size of ``keys``; a full set only
+    lets more rows through."""
+    place = F.pmod(F.xxhash64(key), F.lit(BITS))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    bits = keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__set"))
+    marked = rows.withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
+    return marked.withColumn("maybe", F.coalesce(F.col("__set").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__set")

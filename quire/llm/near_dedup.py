@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import among, stored
 from quire.llm.components import components
 from quire.llm.dartminhash import bands, sketches, weight_regions
 from quire.llm.wordhash import shingles, word_groups
@@ -142,14 +142,14 @@ def _by_key(batches, n_keys: int):
         yield pa.concat_tables(held)
 
 
-def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())],
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())],
                                       names=["a", "b"])
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
                            coordinates: int = COORDINATES, band_rows: int = BAND_ROWS, weighting: str = "set",
-                           block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+                           block_shingles: int = BLOCK_SHINGLES, text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id, class_size, kept``.
 
     ``class_id`` is the smallest id of the class, whose row stays; links are exact Jaccard similarities of
@@ -157,37 +157,40 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
     wordless texts are similar to nothing and form classes of their own; a null id is never the
     class id unless all are null; rows repeated with the same id count each in ``class_size``, and all that carry
     the class id are marked kept; other columns are ignored."""
-    sketch = stored(sketch_documents(docs, width, coordinates, band_rows, weighting), "op6-sketch")
+    sketch = stored(sketch_documents(docs, width, coordinates, band_rows, weighting, text_col), "op6-sketch")
     nodes = sketch.filter("node is not null").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("rep"), F.max("n_shingles").alias("n"))
-    banded = sketch.filter("node is not null").select("node", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"))
-    buckets = stored(buckets.filter("low != high"), "op6-buckets")
-    members = stored(banded.join(buckets, "key").select("key", "node", "low", "size").distinct(), "op6-members")
-
-    near = components(members.select(F.col("node").alias("a"), F.col("low").alias("b")), "op6-near")
-    popular = members.groupBy("node").agg(F.sum("size").alias("popular"))
-    near = stored(near.join(popular, "node").join(nodes, "node").withColumnRenamed("comp", "area"), "op6-area")
+        F.min(F.struct("doc_id", "text_key")).alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "op6-nodes")
+    banded = nodes.select("id", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("size")).filter("size > 1")
+    members = stored(banded.join(buckets, "key"), "op6-members")
+
+    near = components(members.filter("id != low").select(F.col("id").alias("a"), F.col("low").alias("b")), "op6-near")
+    popular = members.groupBy("id").agg(F.sum("size").alias("popular"))
+    near = near.select(F.col("node").alias("id"), F.col("comp").alias("area")).join(popular, "id").join(
+        nodes.select("id", "rep", "n"), "id")
+    near = stored(near, "op6-area")
     areas = near.groupBy("area").agg(
-        F.max_by("node", F.struct("popular", "node")).alias("hub"),
+        F.max_by("id", F.struct("popular", "id")).alias("hub"),
         F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
 
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn(
+    texts = docs.select("doc_id", F.col(text_col).cast("string").alias("text")).withColumn(
         "text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    wanted = near.select("node", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
+    texts = among(texts, near.select(F.col("rep.text_key").alias("text_key")), "text_key").filter("maybe").drop("maybe")
+    wanted = near.select("id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
     node_texts = texts.join(wanted, (texts["text_key"] == wanted["rep_key"]) & texts["doc_id"].eqNullSafe(wanted["rep_id"]))
-    node_texts = stored(node_texts.dropDuplicates(["node"]).select("node", "n", "text"), "op6-texts")
+    node_texts = stored(node_texts.dropDuplicates(["id"]).select("id", "text"), "op6-texts")
 
     placed = near.join(areas, "area").select(
-        "node", "area", F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
-            F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))).alias("in_blocks"))
-    placed = placed.select("node", "area", F.explode("in_blocks").alias("block"))
-    blocks = (node_texts.join(placed, "node").select("area", "block", "node", "text")
+        "id", "area", F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
+            F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))).alias("in_blocks"))
+    placed = placed.select("id", "area", F.explode("in_blocks").alias("block"))
+    blocks = (node_texts.join(placed, "id").select("area", "block", "id", "text")
               .repartition("area", "block").sortWithinPartitions("area", "block"))
 
     def compare_block(batches):
         for t in _by_key(batches, 2):
-            names, sets = t["node"].to_pylist(), shingle_sets(t["text"].combine_chunks(), width)
+            names, sets = t["id"].to_pylist(), shingle_sets(t["text"].combine_chunks(), width)
             forest = Forest(len(names))
             for i, js in similar_pairs(sets, sets, similarity):
                 for j in js.tolist():
@@ -195,14 +198,18 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
             if forest.edges:
                 yield _edges([(names[i], names[j]) for i, j in forest.edges])
 
-    links = stored(blocks.mapInArrow(compare_block, "a binary, b binary"), "op6-links")
+    links = stored(blocks.mapInArrow(compare_block, "a long, b long"), "op6-links")
+    classes = stored(components(links, "op6-class"), "op6-classes")
     split = areas.filter("blocks > 1").select("area")
-    if not split.isEmpty():
-        links = links.unionByName(_across(members, near, split, links, node_texts, similarity, width, block_shingles))
-    classes = components(links, "op6-class")
-
-    named = sketch.select("doc_id", "node").join(classes, "node", "left").select(
-        "doc_id", F.coalesce("comp", "node").alias("comp"))
+    if not split.isEmpty():  # links across blocks join classes: the components of the classes
+        joined = components(_across(members, near, split, classes, node_texts, similarity, width, block_shingles), "op6-joined")
+        classes = classes.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("wider")), "comp", "left").select(
+            "node", F.coalesce("wider", "comp").alias("comp")).unionByName(
+            joined.join(classes, "node", "left_anti").select("node", "comp"))
+
+    of_node = nodes.select("node", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").select(
+        "node", F.coalesce("comp", "id").alias("comp"))
+    named = sketch.select("doc_id", "node").join(of_node, "node", "left").select("doc_id", "comp")
     worded = named.filter("comp is not null")
     sizes = worded.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     out = worded.join(sizes, "comp").select("doc_id", "class_id", "class_size").unionByName(
@@ -210,11 +217,10 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def _across(members, near, split, links, node_texts, similarity, width, block_shingles) -> DataFrame:
-    """Links between different blocks of a neighbourhood, looked for in its buckets of several classes."""
-    comp = components(links, "op6-blocks")
-    inside = members.select("key", "node").join(near.join(split, "area", "left_semi").select("node", "n"), "node")
-    inside = inside.join(comp, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+def _across(members, near, split, classes, node_texts, similarity, width, block_shingles) -> DataFrame:
+    """Links between classes (pairs of class numbers), looked for in the buckets of spread neighbourhoods that hold several classes."""
+    inside = members.select("key", "id").join(near.join(split, "area", "left_semi").select("id", "n"), "id")
+    inside = inside.join(classes.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
     per_class = inside.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     per_key = per_class.groupBy("key").agg(
         F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("n").alias("all"),
@@ -222,19 +228,19 @@ def _across(members, near, split, links, node_texts, similarity, width, block_sh
     per_key = per_key.select("key", "main", F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("main_n")) / block_shingles)).cast("int").alias("lefts"),
                              F.ceil(F.col("all") / block_shingles).cast("int").alias("rights"))
     rows = stored(inside.join(per_key, "key"), "op6-open")
-    spread = F.xxhash64(F.col("node"), F.lit(1))
+    spread = F.xxhash64(F.col("id"), F.lit(1))
     left = rows.filter("comp != main").select(
         "key", F.pmod(spread, F.col("lefts")).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("r"),
-        "node", "comp", F.lit(True).alias("outside"))
+        "id", "comp", F.lit(True).alias("outside"))
     right = rows.select(
         "key", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.pmod(spread, F.col("rights")).cast("int").alias("r"),
-        "node", "comp", F.lit(False).alias("outside"))
-    blocks = left.unionByName(right).join(node_texts.select("node", "text"), "node").select("key", "l", "r", "node", "comp", "outside", "text")
+        "id", "comp", F.lit(False).alias("outside"))
+    blocks = left.unionByName(right).join(node_texts, "id").select("key", "l", "r", "id", "comp", "outside", "text")
     blocks = blocks.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
 
     def compare(batches):
         for t in _by_key(batches, 3):
-            names, comps, outside = t["node"].to_pylist(), t["comp"].to_pylist(), t["outside"].to_pylist()
+            names, comps, outside = t["id"].to_pylist(), t["comp"].to_pylist(), t["outside"].to_pylist()
             sets = shingle_sets(t["text"].combine_chunks(), width)
             lefts, rights = [i for i, o in enumerate(outside) if o], [i for i, o in enumerate(outside) if not o]
             forest, first = Forest(len(names)), {}
@@ -244,9 +250,9 @@ def _across(members, near, split, links, node_texts, similarity, width, block_sh
                 for b in js.tolist():
                     forest.join(lefts[a], rights[b])
             if forest.edges:
-                yield _edges([(names[i], names[j]) for i, j in forest.edges])
+                yield _edges([(comps[i], comps[j]) for i, j in forest.edges])
 
-    return stored(blocks.mapInArrow(compare, "a binary, b binary"), "op6-across")
+    return blocks.mapInArrow(compare, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytegroups import GROUP_BYTES
-from quire.llm.common import stored
+from quire.llm.common import among, stored
 from quire.llm.near_dedup import _by_key
 from quire.llm.suffix_array import repeated_prefixes
 from quire.llm.wordhash import _powers, mix
@@ -36,7 +36,6 @@ from quire.llm.wordhash import _powers, mix
 SIZE = 400
 GRAM = 100
 SHARD_BYTES = 2_000_000
-BITS = 1 << 24  # of the bit set that keeps untouched texts out of joins
 
 
 def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
@@ -110,19 +109,6 @@ def _anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
     return docs.select("node", "body").mapInArrow(run, "node binary, h long, s1 int, s2 int")
 
 
-def _bit(node) -> tuple:
-    place = F.pmod(F.xxhash64(node), F.lit(BITS))
-    return F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-
-
-def _among(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``docs`` with ``maybe``: false where ``node`` is surely not among ``nodes``. The bit set has BITS / 64 rows at most."""
-    word, bit = _bit(F.col("node"))
-    bits = nodes.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__set"))
-    marked = docs.withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
-    return marked.withColumn("maybe", F.coalesce(F.col("__set").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__set")
-
-
 def _runs(offsets: np.ndarray) -> tuple[list[int], list[int]]:
     """First and last of each run of consecutive ascending numbers."""
     cut = np.flatnonzero(np.diff(offsets) != 1)
@@ -247,7 +233,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_by
     shared = stored(runs.join(common, "h").distinct(), "op2-shared")
 
     wanted = shared.groupBy("node").agg(F.collect_list(F.struct("h", "s1", "s2")).alias("runs"))  # within one text
-    texts = _among(long, shared.select("node")).filter("maybe").select("node", "body").dropDuplicates(["node"])
+    texts = among(long, shared, "node").filter("maybe").select("node", "body").dropDuplicates(["node"])
     snips = texts.join(wanted, "node").select("node", "body", "runs").mapInArrow(
         _extract(size), "node binary, h long, s1 int, s2 int, snip binary")
     snips = stored(snips.withColumn("sd", F.xxhash64("snip")), "op2-snippets")
@@ -274,7 +260,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_by
     gone = stored(windows.groupBy("node").agg(F.flatten(F.collect_list("firsts")).alias("firsts"),
                                               F.flatten(F.collect_list("lasts")).alias("lasts")), "op2-gone")
 
-    marked = _among(base, gone.select("node"))
+    marked = among(base, gone, "node")
     whole = marked.filter("not maybe").select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
                                               F.lit(0).cast("long").alias("n_spans"), F.sha2("body", 256).alias("kept_sha256"),
                                               F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
