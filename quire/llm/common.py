@@ -54,3 +54,24 @@ def among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     bits = keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__set"))
     marked = rows.withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
     return marked.withColumn("maybe", F.coalesce(F.col("__set").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__set")
+
+
+def id_text() -> Column:
+    """``doc_id`` as text that tells null from every id."""
+    return F.concat(F.when(F.col("doc_id").isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, key: Column, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns. ``judged`` has ``doc_id``, ``key`` (the value of ``key``), ``kept`` and ``once``
+    (whether of rows repeated under one id and key only one stays).
+
+    Only rows that a bit set cannot rule out are joined, so the texts of most rows are not shuffled. Rows travel
+    inside a struct, so that no column name can clash."""
+    told = judged.groupBy(id_text().alias("id_text"), "key").agg(F.max("kept").alias("stays"), (F.max("once") & (F.count("*") > 1)).alias("once"))
+    affected = stored(told.filter("not stays or once"), "affected")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_text().alias("id_text"), key.alias("key"))
+    marked = among(keyed, affected, "key")
+    maybe = marked.filter("maybe").join(affected, ["id_text", "key"], "left")
+    kept = marked.filter("not maybe").select("row").unionByName(maybe.filter("stays is null").select("row")).unionByName(
+        maybe.filter("stays").dropDuplicates(["id_text", "key"]).select("row"))
+    return kept.select("row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.labels import let
-from quire.llm.common import lower_az, stored, text_or_empty
+from quire.llm.common import keep_rows, lower_az, stored, text_or_empty
 
 BLOCK_BYTES = 1024
 
@@ -118,8 +118,5 @@ def _told_apart(base, slim, clashing, distinct, names, block_bytes, key) -> Data
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see ``exact_duplicates``."""
-    kept = (exact_duplicates(docs).filter("kept")
-            .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")))
-    named = docs.withColumn("__text_sha", F.sha2(lower_az(text_or_empty()).cast("binary"), 256))
-    joined = named.join(kept, (named["__text_sha"] == kept["__sha"]) & named["doc_id"].eqNullSafe(kept["__id"]))
-    return joined.dropDuplicates(["doc_id", "__text_sha"]).select(*[joined[c] for c in docs.columns])
+    judged = stored(exact_duplicates(docs), "op5-kept").select("doc_id", F.col("text_sha256").alias("key"), "kept", F.lit(True).alias("once"))
+    return keep_rows(docs, F.sha2(lower_az(text_or_empty()).cast("binary"), 256), judged)

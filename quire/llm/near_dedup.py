@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import among, stored
+from quire.llm.common import among, keep_rows, stored, text_or_empty
 from quire.llm.components import components
 from quire.llm.dartminhash import bands, sketches, weight_regions
 from quire.llm.wordhash import shingles, word_groups
@@ -150,13 +150,13 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
                            coordinates: int = COORDINATES, band_rows: int = BAND_ROWS, weighting: str = "set",
                            block_shingles: int = BLOCK_SHINGLES, text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, class_size, kept``.
+    """One row per row of ``docs``: ``doc_id, class_id, class_size, kept, text_key`` (a hash of the text).
 
-    ``class_id`` is the smallest id of the class, whose row stays; links are exact Jaccard similarities of
+    ``class_id`` is the smallest id of the class, whose row stays (if it has several texts, one of them); links are exact Jaccard similarities of
     shingle sets. A text of fewer than five words has one shingle of all its words; null, empty and
     wordless texts are similar to nothing and form classes of their own; a null id is never the
-    class id unless all are null; rows repeated with the same id count each in ``class_size``, and all that carry
-    the class id are marked kept; other columns are ignored."""
+    class id unless all are null; rows repeated with the same id and text count each in ``class_size``
+    and are marked alike; other columns are ignored."""
     sketch = stored(sketch_documents(docs, width, coordinates, band_rows, weighting, text_col), "op6-sketch")
     nodes = sketch.filter("node is not null").groupBy("node").agg(
         F.min(F.struct("doc_id", "text_key")).alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
@@ -209,12 +209,16 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
 
     of_node = nodes.select("node", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").select(
         "node", F.coalesce("comp", "id").alias("comp"))
-    named = sketch.select("doc_id", "node").join(of_node, "node", "left").select("doc_id", "comp")
+    named = sketch.select("doc_id", "text_key", "node").join(of_node, "node", "left").select("doc_id", "text_key", "comp")
     worded = named.filter("comp is not null")
-    sizes = worded.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    out = worded.join(sizes, "comp").select("doc_id", "class_id", "class_size").unionByName(
-        named.filter("comp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    sizes = worded.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"),
+                                       F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
+    out = worded.join(sizes, "comp").select(
+        "doc_id", "class_id", "class_size",
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"), "text_key")
+    alone = named.filter("comp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
+                                                F.lit(True).alias("kept"), "text_key")
+    return out.unionByName(alone)
 
 
 def _across(members, near, split, classes, node_texts, similarity, width, block_shingles) -> DataFrame:
@@ -256,8 +260,8 @@ def _across(members, near, split, classes, node_texts, similarity, width, block_
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    classes = near_duplicate_classes(docs, similarity)
-    kept = classes.filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]))
-    return joined.dropDuplicates(["doc_id"]).select(*[joined[c] for c in docs.columns])
+    """The rows of ``docs`` that stay, one of each class, with all their columns; wordless rows, which are similar to nothing,
+    all stay."""
+    classes = stored(near_duplicate_classes(docs, similarity), "op6-kept")
+    judged = classes.select("doc_id", F.col("text_key").alias("key"), "kept", (F.col("class_size") > 1).alias("once"))
+    return keep_rows(docs, F.xxhash64(text_or_empty()), judged)

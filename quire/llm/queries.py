@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quire.llm import decontam, exact_dedup, langid, licenses, near_dedup, packing, pii, quality, suffix_dedup, toxicity
 from quire.llm.common import documents
+from quire.llm.tokenizer_files import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,12 +25,6 @@ def op2_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("spans")
 
 
-def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query
 def op1_pii(spark, sf_dir):
     return pii.personal_data(documents(spark, sf_dir))
@@ -51,7 +47,7 @@ def op5_exact_dedup(spark, sf_dir):
 
 @query
 def op6_minhash_near_dedup(spark, sf_dir):
-    return near_dedup.near_duplicate_classes(documents(spark, sf_dir))
+    return near_dedup.near_duplicate_classes(documents(spark, sf_dir)).drop("text_key")
 
 
 @query
@@ -75,6 +71,11 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
 
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op5_exact_dedup"] = f"""
