@@ -160,7 +160,7 @@ def training_windows(texts: list[str], limit: int = TRAIN_WINDOWS, seed: int = 9
     return np.array(ids[:limit]), np.array(tags[:limit])
 
 
-def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, windows: int = TRAIN_WINDOWS, epochs: int = 6) -> Tagger:
+def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, windows: int = TRAIN_WINDOWS, epochs: int = 8) -> Tagger:
     """Fit on a bounded sample: half of texts with a digit or @, half of any texts, by a hash of the id."""
     known = docs.filter(F.length("text") > 0).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     order = [F.xxhash64("doc_id", F.substring("text", 1, 100)), F.col("text")]
@@ -183,6 +183,22 @@ def plausible(kind: str, found: str) -> bool:
     return 7 <= n <= 15
 
 
+def trimmed(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
+    """The span without what the tagger took along: numbers begin with a digit, + or ( and end with a digit; an address ends with
+    the word after its last dot."""
+    if kind == "email":
+        dot = text.rfind(".", a, b)
+        if dot >= 0:
+            word = re.compile(r"\s?[A-Za-z0-9-]*").match(text, dot + 1, b)
+            b = word.end()
+        return a, a + len(text[a:b].rstrip(" .,;:\n"))
+    while a < b and not (text[a].isdigit() or text[a] in "+("):
+        a += 1
+    while b > a and not text[b - 1].isdigit():
+        b -= 1
+    return a, b
+
+
 def window_spans(text: str, start: int, tags: np.ndarray, sure: np.ndarray) -> list[tuple[float, str, int, int]]:
     """(confidence, kind, start, end) of a decoded window, without spans that its edges may have cut."""
     out, s = [], 0
@@ -195,9 +211,7 @@ def window_spans(text: str, start: int, tags: np.ndarray, sure: np.ndarray) -> l
         k, e = (tag - 1) // 2, s + 1
         while e < inside and tags[e] == 2 + 2 * k:
             e += 1
-        a, b = start + s, start + e
-        while b > a and text[b - 1] in " .,;:)\n" and not (text[b - 1] == ")" and "(" in text[a:b]):
-            b -= 1
+        a, b = trimmed(KINDS[k], text, start + s, start + e)
         whole = (s > 0 or start == 0) and (e < WINDOW or start + e == len(text))
         confidence = float(sure[s:e].mean())
         if whole and confidence >= CONFIDENCE and plausible(KINDS[k], text[a:b]):
