@@ -9,14 +9,14 @@ from quire.llm.common import stored
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """``node, comp`` (the smallest node of the component) for every node of the edges ``a, b``.
+    """``node, comp`` for every node of the edges ``a, b``; ``comp`` is one node of the component, the same for all of it (the smallest,
+    unless the edges already are stars from ``a`` to ``b``).
 
     Each round aggregates a node's smallest neighbour before joining it back, so a node with very many
     edges is not gathered in one task, and stores its edges, so a lost executor repeats one round at
     most. The rounds end when the edges are stars: every node has one parent and no parent has a parent. An edge
     list without rows gives none; loops and repeated edges do no harm; null ends are ignored."""
-    now = stored(edges.filter("a is not null and b is not null and a != b")
-                 .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}-edges")
+    now = stored(edges.filter("a is not null and b is not null and a != b").select("a", "b").distinct(), f"{tag}-edges")
     while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

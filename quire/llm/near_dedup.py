@@ -3,14 +3,15 @@
 1. Every whole text becomes the set (or multiset) of its five-word shingles and a sketch of 84 darts, in 21
    bands of 4: a pair of similarity 0.8 misses all bands once in 60,000 times. Texts with the same words
    are one node from here on, so copies cost nothing.
-2. Nodes that share a band key form a bucket. A bucket gives a star of edges, not pairs; the
-   connected stars are neighbourhoods, in which every link between different texts must lie.
+2. Nodes that share a band key form a bucket; every link between different texts lies in one. The smallest id is
+   passed on through the buckets twice, and nodes with the same id then are a neighbourhood: a guess that
+   brings most links together.
 3. A neighbourhood is dealt into blocks of bounded size, each joined by the neighbourhood's hub (its most
-   popular node). All pairs of a block are compared exactly inside one task, and only a spanning
-   forest of the links leaves it.
-4. Where a neighbourhood has several blocks, links across blocks may still join two classes. Buckets that
-   hold nodes of different classes are compared exactly too: nodes outside the bucket's
-   largest class against all its nodes, again in blocks of bounded size.
+   popular node). All pairs of a block are compared exactly inside one task, and only a star for
+   each class leaves it.
+4. Links may still join classes of different blocks. Buckets that reach over several blocks and hold nodes of
+   different classes are compared exactly too: nodes outside the bucket's largest class against
+   all its nodes, again in blocks of bounded size. What steps 2 and 3 guess badly thus costs time, not links.
 
 Classes are the connected components of the links. No bucket or neighbourhood is capped, and none is gathered
 whole in one task.
@@ -105,10 +106,10 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: f
 
 
 class Forest:
-    """Union-find that remembers the edges that joined two trees."""
+    """Union-find over numbered items."""
 
     def __init__(self, n: int):
-        self.parent, self.edges = list(range(n)), []
+        self.parent = list(range(n))
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -116,12 +117,18 @@ class Forest:
             i = self.parent[i]
         return i
 
-    def join(self, i: int, j: int, note: bool = True) -> None:
+    def join(self, i: int, j: int) -> None:
         a, b = self.root(i), self.root(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            if note:
-                self.edges.append((i, j))
+        self.parent[max(a, b)] = min(a, b)
+
+    def stars(self, names: list[int], hub: int | None = None) -> list[tuple[int, int]]:
+        """(name, centre) where they differ; the centre of a tree is ``hub`` if the tree has it, else its smallest name."""
+        centre: dict[int, int] = {}
+        for i, name in enumerate(names):
+            r = self.root(i)
+            known = centre.get(r, name)
+            centre[r] = hub if hub in (name, known) else min(name, known)
+        return sorted({(name, centre[self.root(i)]) for i, name in enumerate(names)} - {(x, x) for x in names})
 
 
 def _by_key(batches, n_keys: int):
@@ -163,12 +170,14 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
     nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "op6-nodes")
     banded = nodes.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("size")).filter("size > 1")
+    buckets = stored(buckets, "op6-buckets")  # a table of its own, so that a skewed join may split a bucket with a third of the rows
     members = stored(banded.join(buckets, "key"), "op6-members")
 
-    near = components(members.filter("id != low").select(F.col("id").alias("a"), F.col("low").alias("b")), "op6-near")
-    popular = members.groupBy("id").agg(F.sum("size").alias("popular"))
-    near = near.select(F.col("node").alias("id"), F.col("comp").alias("area")).join(popular, "id").join(
-        nodes.select("id", "rep", "n"), "id")
+    # twice: an item takes the smallest id that its buckets know, a bucket the smallest that its items know
+    first = members.groupBy("id").agg(F.min("low").alias("area"), F.sum("size").alias("popular"))
+    known = members.join(first, "id").groupBy("key").agg(F.min("area").alias("area"))
+    near = members.select("key", "id").join(known, "key").groupBy("id").agg(F.min("area").alias("area"))
+    near = near.join(first.select("id", "popular"), "id").join(nodes.select("id", "rep", "n"), "id")
     near = stored(near, "op6-area")
     areas = near.groupBy("area").agg(
         F.max_by("id", F.struct("popular", "id")).alias("hub"),
@@ -181,11 +190,11 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
     node_texts = texts.join(wanted, (texts["text_key"] == wanted["rep_key"]) & texts["doc_id"].eqNullSafe(wanted["rep_id"]))
     node_texts = stored(node_texts.dropDuplicates(["id"]).select("id", "text"), "op6-texts")
 
-    placed = near.join(areas, "area").select(
-        "id", "area", F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
-            F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))).alias("in_blocks"))
-    placed = placed.select("id", "area", F.explode("in_blocks").alias("block"))
-    blocks = (node_texts.join(placed, "id").select("area", "block", "id", "text")
+    own_block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    home = near.join(areas, "area").select("id", "n", "area", "hub", "blocks", own_block.alias("block"))
+    placed = home.select("id", "area", "hub", F.explode(F.when(
+        F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("block"))
+    blocks = (node_texts.join(placed, "id").select("area", "block", "id", "hub", "text")
               .repartition("area", "block").sortWithinPartitions("area", "block"))
 
     def compare_block(batches):
@@ -195,17 +204,16 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
             for i, js in similar_pairs(sets, sets, similarity):
                 for j in js.tolist():
                     forest.join(i, j)
-            if forest.edges:
-                yield _edges([(names[i], names[j]) for i, j in forest.edges])
+            if stars := forest.stars(names, t["hub"][0].as_py()):
+                yield _edges(stars)
 
     links = stored(blocks.mapInArrow(compare_block, "a long, b long"), "op6-links")
-    classes = stored(components(links, "op6-class"), "op6-classes")
-    split = areas.filter("blocks > 1").select("area")
-    if not split.isEmpty():  # links across blocks join classes: the components of the classes
-        joined = components(_across(members, near, split, classes, node_texts, similarity, width, block_shingles), "op6-joined")
-        classes = classes.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("wider")), "comp", "left").select(
-            "node", F.coalesce("wider", "comp").alias("comp")).unionByName(
-            joined.join(classes, "node", "left_anti").select("node", "comp"))
+    classes = components(links, "op6-class")  # the hub is the centre in each of its blocks, so these are stars already
+    # links across blocks join classes: the components of the classes
+    joined = components(_across(members, home, classes, node_texts, similarity, width, block_shingles), "op6-joined")
+    classes = classes.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("wider")), "comp", "left").select(
+        "node", F.coalesce("wider", "comp").alias("comp")).unionByName(
+        joined.join(classes, "node", "left_anti").select("node", "comp"))
 
     of_node = nodes.select("node", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").select(
         "node", F.coalesce("comp", "id").alias("comp"))
@@ -213,7 +221,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
     worded = named.filter("comp is not null")
     sizes = worded.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"),
                                        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
-    out = worded.join(sizes, "comp").select(
+    out = worded.join(stored(sizes, "op6-sizes"), "comp").select(
         "doc_id", "class_id", "class_size",
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"), "text_key")
     alone = named.filter("comp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
@@ -221,16 +229,18 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
     return out.unionByName(alone)
 
 
-def _across(members, near, split, classes, node_texts, similarity, width, block_shingles) -> DataFrame:
-    """Links between classes (pairs of class numbers), looked for in the buckets of spread neighbourhoods that hold several classes."""
-    inside = members.select("key", "id").join(near.join(split, "area", "left_semi").select("id", "n"), "id")
-    inside = inside.join(classes.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    per_class = inside.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+def _across(members, home, classes, node_texts, similarity, width, block_shingles) -> DataFrame:
+    """Links between classes (pairs of class numbers), looked for in the buckets over several blocks that hold several classes."""
+    inside = members.select("key", "id").join(home.select("id", "n", "area", "block"), "id")
+    inside = inside.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    per_class = inside.groupBy("key", "comp").agg(
+        F.count("*").alias("m"), F.sum("n").alias("n"), F.min(F.struct("area", "block")).alias("low"), F.max(F.struct("area", "block")).alias("high"))
     per_key = per_class.groupBy("key").agg(
-        F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("n").alias("all"),
-        F.max_by("n", F.struct("m", "comp")).alias("main_n"), F.count("*").alias("classes")).filter("classes > 1")
+        F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("n").alias("all"), F.max_by("n", F.struct("m", "comp")).alias("main_n"),
+        F.count("*").alias("classes"), F.min("low").alias("low"), F.max("high").alias("high")).filter("classes > 1 and low != high")
     per_key = per_key.select("key", "main", F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("main_n")) / block_shingles)).cast("int").alias("lefts"),
                              F.ceil(F.col("all") / block_shingles).cast("int").alias("rights"))
+    inside = inside.select("key", "id", "comp")
     rows = stored(inside.join(per_key, "key"), "op6-open")
     spread = F.xxhash64(F.col("id"), F.lit(1))
     left = rows.filter("comp != main").select(
@@ -244,17 +254,17 @@ def _across(members, near, split, classes, node_texts, similarity, width, block_
 
     def compare(batches):
         for t in _by_key(batches, 3):
-            names, comps, outside = t["id"].to_pylist(), t["comp"].to_pylist(), t["outside"].to_pylist()
+            comps, outside = t["comp"].to_pylist(), t["outside"].to_pylist()
             sets = shingle_sets(t["text"].combine_chunks(), width)
             lefts, rights = [i for i, o in enumerate(outside) if o], [i for i, o in enumerate(outside) if not o]
-            forest, first = Forest(len(names)), {}
+            forest, first = Forest(len(comps)), {}
             for i, c in enumerate(comps):
-                forest.join(first.setdefault(c, i), i, note=False)
+                forest.join(first.setdefault(c, i), i)
             for a, js in similar_pairs([sets[i] for i in lefts], [sets[j] for j in rights], similarity):
                 for b in js.tolist():
                     forest.join(lefts[a], rights[b])
-            if forest.edges:
-                yield _edges([(comps[i], comps[j]) for i, j in forest.edges])
+            if stars := forest.stars(comps):
+                yield _edges(stars)
 
     return blocks.mapInArrow(compare, "a long, b long")
 

@@ -148,3 +148,5 @@ def test_components(spark):
     df = spark.createDataFrame(edges + [(None, 1), (2, None)], "a long, b long")
     assert {(r.node, r.comp) for r in components(df).collect()} == {(i, root(i)) for i in list(parent)}
     assert components(df.filter("a < 0")).collect() == []
+    stars = spark.createDataFrame([(1, 5), (9, 5), (7, 5), (2, 3)], "a long, b long")
+    assert {(r.node, r.comp) for r in components(stars).collect()} == {(1, 5), (9, 5), (7, 5), (5, 5), (2, 3), (3, 3)}
