@@ -92,6 +92,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         identity = identity.unionByName(d)
     groups = identity.groupBy("level", "name").agg(
         F.max("doc_id").alias("keep_id"), F.sum("m").alias("group_size"))
+    groups = stored(groups, "op5-groups")  # a table of its own, so that a skewed join may split a group with a third of the rows
     out = identity.join(groups, ["level", "name"]).withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     return out.select("doc_id", "keep_id", "group_size",

@@ -230,6 +230,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_by
     runs = stored(_anchors(long, size, gram), "op2-runs")
     place = F.xxhash64("node", "s1")
     common = runs.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("h")
+    common = stored(common, "op2-common")  # a table of its own, so that a skewed join may split the anchor with a third of the runs
     shared = stored(runs.join(common, "h").distinct(), "op2-shared")
 
     wanted = shared.groupBy("node").agg(F.collect_list(F.struct("h", "s1", "s2")).alias("runs"))  # within one text
