@@ -319,15 +319,15 @@ def choose_passages_q(spark, sf_dir):
                                       {'start': CAST(conv_id % 2 AS INTEGER) * 5 - 1, 'end': 7}] AS labs FROM conversations)
     SELECT conv_id, turn,
            array_to_string(list_sort(list_transform(
-               CASE WHEN len(list_distinct(list_filter(labs, lambda x: x.start >= 0 AND x."end" >= 0))) > 0
-                    THEN list_distinct(list_filter(labs, lambda x: x.start >= 0 AND x."end" >= 0))
+               CASE WHEN len(list_distinct(list_filter(labs, lambda x: x.start <> -1 OR x."end" <> -1))) > 0
+                    THEN list_distinct(list_filter(labs, lambda x: x.start <> -1 OR x."end" <> -1))
                     ELSE [{'start': -1, 'end': -1}] END,
                lambda x: CAST(x.start AS VARCHAR) || '-' || CAST(x."end" AS VARCHAR))), ',') AS labels
     FROM l
     """,
 )
 def reduce_labels_q(spark, sf_dir):
-    """Distinct non-negative answer spans of a question, ``[(-1,-1)]`` when none is left."""
+    """Distinct answer spans of a question, ``[(-1,-1)]`` when none is left."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
     sp = lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"))
     labs = F.array(sp(F.col("turn") % 3 - 1, F.col("turn") % 3 - 1), sp(F.lit(0), F.lit(4)), sp(F.lit(0), F.lit(4)),

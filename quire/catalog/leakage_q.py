@@ -151,23 +151,14 @@ def dedup_token_instances(spark, sf_dir):
     clean AS (SELECT doc_id, line_no FROM flag WHERE NOT dup)
     SELECT doc_id, line_no, CASE WHEN row_number() OVER (ORDER BY
              CAST(('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR)), 1, 15)) AS BIGINT), doc_id, line_no)
-             <= (count(*) OVER () + 4) // 5 THEN 'dev' ELSE 'train' END AS split
+             <= (SELECT round_even(0.2 * count(*), 0) FROM flag) THEN 'dev' ELSE 'train' END AS split
     FROM clean
     UNION ALL SELECT doc_id, line_no, 'train' AS split FROM flag WHERE dup
     """,
 )
 def split_without_leakage(spark, sf_dir):
-    from quire.operators import splits
-
-    lines = doc_lines(spark, sf_dir)
-    test = bench_lines(spark, sf_dir)
-    dups = leakage.matching_rows(lines, test, "tokens", "tokens").select("doc_id", "line_no")
-    clean = lines.join(dups, ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no")
-    clean = clean.withColumn("__key", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line_no").cast("string")))
-    sp = splits.exact_split(clean, "__key", 42, 0.2).drop("__key")
-    return sp.unionByName(dups.withColumn("split", F.lit("train"))).select(
-        "doc_id", F.col("line_no").cast("int").alias("line_no"), "split"
-    )
+    sp = leakage.split_without_leakage(doc_lines(spark, sf_dir), bench_lines(spark, sf_dir), "tokens", ["doc_id", "line_no"], 42, 0.2)
+    return sp.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "split")
 
 
 @register(

@@ -157,13 +157,27 @@ def sentence_pairs(spark, sf_dir):
     return p.select("doc_id", F.col("line_no").cast("int"), "is_next", "partner_doc", F.md5("second").alias("second_md5"))
 
 
-@register("fill_to_budget")
+@register(
+    "fill_to_budget",
+    f"""
+    WITH RECURSIVE t AS (SELECT conv_id, turn, len({S.ws_tokens('text')}) AS n,
+                                row_number() OVER (PARTITION BY conv_id ORDER BY turn, len({S.ws_tokens('text')})) - 1 AS i FROM conversations),
+    r AS (SELECT conv_id, i, 0 AS chunk, n AS run FROM t WHERE i = 0
+          UNION ALL
+          SELECT t.conv_id, t.i, CASE WHEN r.run >= 256 THEN r.chunk + 1 ELSE r.chunk END,
+                 CASE WHEN r.run >= 256 THEN t.n ELSE r.run + t.n END
+          FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1)
+    SELECT conv_id, CAST(chunk AS INTEGER) AS chunk, CAST(min(i) AS INTEGER) AS first, CAST(max(i) AS INTEGER) AS last,
+           CAST(max(run) AS INTEGER) AS n_tokens, max(run) >= 256 AS "full"
+    FROM r GROUP BY conv_id, chunk
+    """,
+)
 def fill_to_budget(spark, sf_dir):
-    """Q20 (no SQL oracle: a sequential greedy packing; tested against a Python loop)."""
+    """Q20: turns of a conversation packed into chunks of 256 tokens, the unfinished last one included."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(T.ws_tokens(F.col("text"))).alias("n"))
     g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "n"))).alias("s"))
     chunks = g.select("conv_id", F.posexplode(records.fill_to_budget(F.transform("s", lambda x: x["n"].cast("int")), 256)).alias("chunk", "c"))
-    return chunks.select("conv_id", "chunk", "c.first", "c.last", "c.n_tokens")
+    return chunks.select("conv_id", "chunk", "c.first", "c.last", "c.n_tokens", "c.full")
 
 
 @register(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.plans.scalar import scalar_join
 
 SEP = "[SEP]"
 
@@ -99,27 +100,21 @@ def regroup_instances(sent: DataFrame, id_col: str, with_labels: bool = True) ->
 
 
 def remove_sentences_from_instances(instances: DataFrame, test: DataFrame, id_col: str, tokens: str, labels: str,
-                                    test_tokens: str, broadcast_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+                                    test_tokens: str) -> DataFrame:
     """Drop ALL sentences of an instance that occur in the test set and rebuild the instance;
     an instance whose sentences are all removed disappears. Adds ``n_sentences``, ``n_removed``
     and the no-trigger count of the kept sentences (A3).
 
     Only the matches travel: sentences are exploded map-side and semi-joined with the distinct
-    test keys, the (instance, sentence index) hits are grouped (small), written once to the
-    checkpoint folder and measured; under ``broadcast_bytes`` they are broadcast to the instances,
-    otherwise joined by a shuffle. The rebuild happens in-row, so the instances themselves are
-    never shuffled in the broadcast case."""
+    test keys, the (instance, sentence index) hits are grouped (small) and joined to the instances, which
+    are rebuilt in-row. Adaptive execution picks the join by the hits' measured size."""
     from quire.functions.labels import join_with_sep, split_at_sep
-    from quire.session import checkpoint_dir
 
     sents = _keyed(explode_instances(instances, id_col, tokens, labels), "tokens")
     t = test_keys(test, test_tokens)
     hits = sents.join(t, _match_cond(sents, t, "tokens", "__rtok"), "left_semi").select(id_col, "sent_idx")
-    checkpoint_dir(instances.sparkSession)
-    rem = hits.groupBy(id_col).agg(F.collect_list("sent_idx").alias("__rm")).checkpoint(eager=True)
-    size = rem.agg(F.sum(F.size("__rm") * 4 + 16).alias("b")).first()["b"] or 0
-    rem_side = F.broadcast(rem) if size <= broadcast_bytes else rem
-    j = instances.select(id_col, tokens, labels).join(rem_side, id_col, "left")
+    rem = hits.groupBy(id_col).agg(F.collect_list("sent_idx").alias("__rm"))  # within one instance
+    j = instances.select(id_col, tokens, labels).join(rem, id_col, "left")
     rm = F.coalesce(F.col("__rm"), F.array().cast("array<int>"))
     parts = split_at_sep(F.col(tokens), F.col(labels))
     kept = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("i"), p["tokens"].alias("t"), p["labels"].alias("l"))),
@@ -147,91 +142,76 @@ def _shingles_after_ws(text: Column, n: int) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)(?<=" + T.WS + ")(?=(.{" + str(n) + "}))"), 1)
 
 
-def _shingles_all(text: Column, n: int) -> Column:
-    """Every ``n``-char substring of the text."""
-    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{" + str(n) + "}))"), 1)
-
-
 def containment_first_doc(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_text: str = "text",
                           doc_id: str = "doc_id", doc_text: str = "text", anchor_len: int = ANCHOR_LEN,
-                          n_anchors: int = 3, anchor_sample: float = 1 / 16,
-                          broadcast_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+                          anchor_sample: float = 1 / 16) -> DataFrame:
     """For every item (sentence) the smallest ``doc_id`` whose text contains it (Python ``in``).
 
     Never a cross join. An item with a whitespace character followed by at least ``anchor_len``
-    characters is anchored on the ``anchor_len`` characters after its first whitespace. Any
+    characters is anchored on ``anchor_len`` characters after one of its whitespace characters. Any
     occurrence of the item in a document puts that anchor right after a whitespace character of
     the document, so documents only emit one shingle per whitespace character. Anchor hits are
-    candidates; ``instr`` verifies them against the document text (documents restricted first to
-    candidate ids by a semi join). Items without such an anchor (short, or without whitespace) are
-    matched on shingles of their own length at every position, one pass per distinct length
-    (at most ``anchor_len`` lengths). The empty item is contained in every document.
+    candidates; ``instr`` verifies them against the document text. Items without such an anchor (short, or
+    without whitespace, of whatever length) are matched on their first ``min(length, anchor_len)``
+    characters at every position of the documents: one pass for the lengths that occur, ``anchor_len`` of
+    them at most. The empty item is contained in every document.
 
     Skew: boilerplate anchors (a licence line in a third of all documents) would turn into all
-    (item, document) pairs of a hot key. With ``n_anchors > 1`` every item has up to that many
-    candidate anchors (after its first whitespace characters); their frequencies are estimated on
-    a seeded ``anchor_sample`` of the documents (shingles that hit any candidate: a semi join, then
-    a partial aggregate) and each item keeps its RAREST anchor, bounding its candidates by that
-    frequency. The estimate only steers the plan: every document is still searched, so the
-    result does not depend on the sample.
-    Output: ``item_id, doc_id``; items contained in no document are absent.
+    (item, document) pairs of a hot key. Every anchor of an item is a choice; their frequencies are
+    estimated on a seeded ``anchor_sample`` of the documents and each item keeps its RAREST one. The
+    estimate only steers the plan: every document is still searched, so the result does not depend
+    on the sample. Output: ``item_id, doc_id``; items contained in no document are absent.
     """
-    it = items.select(F.col(item_id).alias("__iid"), F.col(item_text).alias("__itext")).withColumn(
-        "__ws", F.regexp_instr(F.col("__itext"), F.lit(T.WS))
-    )
-    anchored_cond = (F.col("__ws") > 0) & (F.length("__itext") - F.col("__ws") >= anchor_len)
+    it = items.select(F.col(item_id).alias("__iid"), F.col(item_text).alias("__itext"))
+    after = _shingles_after_ws(F.col("__itext"), anchor_len)
+    it = it.withColumn("__cands", F.array_distinct(after))
     d = docs.select(F.col(doc_id).alias("__did"), F.col(doc_text).alias("__dtext"))
+
+    per = it.select("__iid", F.posexplode("__cands").alias("__apos", "__anchor"))
+    sample = d.sample(False, anchor_sample, seed=17) if anchor_sample < 1 else d
+    sh_s = sample.select(F.explode(_shingles_after_ws(F.col("__dtext"), anchor_len)).alias("__anchor"))
+    freq = sh_s.join(per.select("__anchor").distinct(), "__anchor", "left_semi").groupBy("__anchor").agg(
+        F.count(F.lit(1)).alias("__f"))
+    chosen = per.join(freq, "__anchor", "left").groupBy("__iid").agg(
+        F.min_by("__anchor", F.struct(F.coalesce("__f", F.lit(0)), F.col("__apos"))).alias("__anchor"))
     sh = d.select("__did", F.explode(_shingles_after_ws(F.col("__dtext"), anchor_len)).alias("__anchor"))
+    cand = sh.join(chosen, "__anchor").select("__did", "__iid")
+
+    loose = it.filter((F.size("__cands") == 0) & (F.length("__itext") > 0)).select(
+        "__iid", F.substring("__itext", 1, anchor_len).alias("__anchor"))
+    # at most anchor_len lengths, as one array in one row
+    lengths = loose.agg(F.collect_set(F.length("__anchor")).alias("__lens"))
+    every = scalar_join(d, F.broadcast(lengths)).select("__did", "__dtext", F.explode("__lens").alias("__n"))
+    every = every.select("__did", F.explode(F.regexp_extract_all(
+        F.col("__dtext"), F.concat(F.lit("(?s)(?=(.{"), F.col("__n").cast("string"), F.lit("}))")), 1)).alias("__anchor"))
+    cand = cand.unionByName(every.join(loose, "__anchor").select("__did", "__iid")).distinct()
+
+    texts = it.select("__iid", "__itext")
+    hits = d.join(cand, "__did").join(texts, "__iid").filter(
+        F.instr(F.col("__dtext"), F.col("__itext")) > 0).select("__iid", "__did")
+    empty = it.filter(F.length("__itext") == 0).select("__iid")
+    first_doc = d.agg(F.min("__did").alias("__did"))
+    hits = hits.unionByName(scalar_join(empty, F.broadcast(first_doc)).filter("__did is not null").select("__iid", "__did"))
+    return hits.groupBy("__iid").agg(F.min("__did").alias(doc_id)).withColumnRenamed("__iid", item_id)
 
-    cands = it.filter(anchored_cond).select(
-        "__iid", "__itext", F.slice(_shingles_after_ws(F.col("__itext"), anchor_len), 1, max(1, n_anchors)).alias("__cands"))
-    if n_anchors > 1:
-        per = cands.select("__iid", F.posexplode("__cands").alias("__apos", "__anchor"))
-        sample = d.sample(False, anchor_sample, seed=17) if anchor_sample < 1 else d
-        sh_s = sample.select(F.explode(_shingles_after_ws(F.col("__dtext"), anchor_len)).alias("__anchor"))
-        freq = sh_s.join(per.select("__anchor").distinct(), "__anchor", "left_semi").groupBy("__anchor").agg(
-            F.count(F.lit(1)).alias("__f"))
-        chosen = per.join(freq, "__anchor", "left").groupBy("__iid").agg(
-            F.min_by("__anchor", F.struct(F.coalesce("__f", F.lit(0)), F.col("__apos"))).alias("__anchor"))
-        anchored = cands.join(chosen, "__iid").select("__iid", "__itext", "__anchor")
-    else:
-        anchored = cands.select("__iid", "__itext", F.get("__cands", 0).alias("__anchor"))
-    loose = it.filter(~anchored_cond & (F.length("__itext") > 0)).select(
-        "__iid", "__itext", F.length("__itext").alias("__alen")
-    )
 
-    cand = sh.join(anchored.select("__anchor", "__iid", "__itext"), "__anchor").select("__did", "__iid", "__itext")
-
-    # short / whitespace-free items: bounded set of lengths (1..anchor_len-ish), read on the driver
-    lens = [r[0] for r in loose.select("__alen").distinct().collect()]
-    for n in sorted(lens):
-        sh_n = d.select("__did", F.explode(_shingles_all(F.col("__dtext"), n)).alias("__itext"))
-        cand = cand.unionByName(
-            sh_n.join(loose.filter(F.col("__alen") == n).select("__itext", "__iid"), "__itext").select(
-                "__did", "__iid", "__itext"
-            )
-        )
-
-    # Candidates are usually few. They are written once to the shared checkpoint folder (lineage
-    # cut, no recomputation of the shingle pass) and measured: under the byte limit they are
-    # broadcast and the documents are verified map-side without any shuffle of the corpus; above
-    # it, documents are first reduced to candidate ids by a semi join and joined by a shuffle.
-    from quire.session import checkpoint_dir
-
-    checkpoint_dir(docs.sparkSession)
-    cand = cand.distinct().checkpoint(eager=True)
-    size = cand.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("__itext") + 24).alias("b")).first()
-    if (size["b"] or 0) <= broadcast_bytes:
-        hits = d.join(F.broadcast(cand), "__did")
-    else:
-        cand_docs = d.join(cand.select("__did").distinct(), "__did", "left_semi")
-        hits = cand.join(cand_docs, "__did")
-    hits = hits.filter(F.instr(F.col("__dtext"), F.col("__itext")) > 0).select("__iid", "__did")
-
-    empty = it.filter(F.length("__itext") == 0).select("__iid", F.lit(1).alias("__one"))
-    first_doc = d.agg(F.min("__did").alias("__did")).withColumn("__one", F.lit(1))
-    hits = hits.unionByName(empty.join(first_doc, "__one").select("__iid", "__did"))
-    return hits.groupBy("__iid").agg(F.min("__did").alias(doc_id)).withColumnRenamed("__iid", item_id)
+def split_without_leakage(train: DataFrame, test: DataFrame, tokens: str, key_cols: Sequence[str], seed, dev_fraction: float = 0.2,
+                          test_tokens: str | None = None) -> DataFrame:
+    """Dev rows drawn only from the rows of ``train`` whose tokens do not occur in ``test``. The dev set has
+    ``round(dev_fraction * all rows)`` rows (half to even); too few clean rows are an error. Output: ``key_cols, split``."""
+    from quire.operators.splits import exact_split
+
+    k = _keyed(train.select(*key_cols, tokens), tokens)
+    t = test_keys(test, test_tokens or tokens).withColumn("__dup", F.lit(True))
+    flagged = k.join(t, _match_cond(k, t, tokens, "__rtok"), "left").select(*key_cols, F.coalesce("__dup", F.lit(False)).alias("__dup"))
+    n, n_clean = flagged.agg(F.count(F.lit(1)), F.count_if(~F.col("__dup"))).first()
+    size = round(n * dev_fraction)
+    if n_clean < size:
+        raise ValueError(f"{n_clean} rows without a duplicate are too few for a dev set of {size}")
+    clean = flagged.filter(~F.col("__dup")).withColumn("__key", F.concat_ws(":", *[F.col(c).cast("string") for c in key_cols]))
+    split = exact_split(clean, "__key", seed, size) if size else clean.withColumn("split", F.lit("train"))
+    return split.select(*key_cols, "split").unionByName(
+        flagged.filter("__dup").select(*key_cols, F.lit("train").alias("split")))
 
 
 def overlap_summary(pairs: DataFrame, item_id: str = "item_id", doc_id: str = "doc_id") -> DataFrame:

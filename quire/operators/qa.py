@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.labels import let
 from quire.operators.metrics import scalar_join
 from quire.plans.ordered import prefix_sum
 
@@ -26,38 +27,47 @@ def _c(x) -> Column:
 
 def answer_tokens(col) -> Column:
     """``get_tokens``: normalised answer split on whitespace (empty text -> [])."""
-    n = T.normalize_answer(col)
-    return F.filter(F.split(n, " "), lambda t: t != "")
+    return _tokens_of(T.normalize_answer(col))
+
+
+def _tokens_of(normalised: Column) -> Column:
+    return F.filter(F.split(normalised, " "), lambda t: t != "")
 
 
 def bag_f1(gold_toks: Column, pred_toks: Column) -> Column:
     """Token-bag F1: overlap = sum over distinct tokens of min(count in gold, count in pred);
     one side empty -> 1 if both empty else 0."""
-    same = F.aggregate(
-        F.array_distinct(pred_toks),
-        F.lit(0),
-        lambda acc, t: acc + F.least(F.size(F.filter(pred_toks, lambda x: x == t)), F.size(F.filter(gold_toks, lambda x: x == t))),
-    )
-    ng, np_ = F.size(gold_toks), F.size(pred_toks)
-    p = same / np_
-    r = same / ng
-    return (
-        F.when((ng == 0) | (np_ == 0), (ng == np_).cast("double"))
-        .when(same == 0, F.lit(0.0))
-        .otherwise(2 * p * r / (p + r))
-    )
+    def score(gold, pred, same):
+        ng, np_ = F.size(gold), F.size(pred)
+        p, r = same / np_, same / ng
+        return (F.when((ng == 0) | (np_ == 0), (ng == np_).cast("double"))
+                .when(same == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r)))
+
+    def overlap(gold, pred):
+        return F.aggregate(
+            F.array_distinct(pred), F.lit(0),
+            lambda acc, t: acc + F.least(F.size(F.filter(pred, lambda x: x == t)), F.size(F.filter(gold, lambda x: x == t))))
+
+    # both token arrays are bound once; the lambdas would tokenize again for every element
+    return let(gold_toks, lambda g: let(pred_toks, lambda p: let(overlap(g, p), lambda same: score(g, p, same))))
 
 
 def text_scores(df: DataFrame, answers: str, pred: str) -> DataFrame:
     """Per question ``exact`` and ``f1``, max over gold answers. Gold answers that
     normalise to empty are removed; none left -> ``['']``. Adds ``has_ans``."""
-    golds = F.filter(_c(answers), lambda a: T.normalize_answer(a) != "")
-    golds = F.when(F.size(golds) > 0, golds).otherwise(F.array(F.lit("")))
-    pn = T.normalize_answer(_c(pred))
-    pt = answer_tokens(_c(pred))
-    ex = F.array_max(F.transform(golds, lambda g: (T.normalize_answer(g) == pn).cast("double")))
-    f1 = F.array_max(F.transform(golds, lambda g: bag_f1(answer_tokens(g), pt)))
-    return df.withColumn("exact", ex).withColumn("f1", f1).withColumn("has_ans", F.size(_c(answers)) > 0)
+    def golds(normalised):
+        some = F.filter(normalised, lambda a: a != "")
+        return F.when(F.size(some) > 0, some).otherwise(F.array(F.lit("")))
+
+    def scores(gold, p):
+        ex = F.array_max(F.transform(gold, lambda g: (g == p).cast("double")))
+        f1 = let(_tokens_of(p), lambda pt: F.array_max(F.transform(gold, lambda g: bag_f1(_tokens_of(g), pt))))
+        return F.struct(ex.alias("exact"), f1.alias("f1"))
+
+    normalised = F.transform(_c(answers), lambda a: T.normalize_answer(a))
+    both = let(golds(normalised), lambda gold: let(T.normalize_answer(_c(pred)), lambda p: scores(gold, p)))
+    return df.withColumn("__scores", both).withColumn("exact", F.col("__scores.exact")).withColumn(
+        "f1", F.col("__scores.f1")).drop("__scores").withColumn("has_ans", F.size(_c(answers)) > 0)
 
 
 def apply_na_threshold(df: DataFrame, na_prob: str, thresh: float, cols=("exact", "f1")) -> DataFrame:
@@ -164,8 +174,8 @@ def span_metrics(df: DataFrame, cands: str, labels: str) -> DataFrame:
 
 
 def reduce_labels(labels) -> Column:
-    """Distinct non-negative answer spans; none -> ``[(-1,-1)]``."""
-    kept = F.array_distinct(F.filter(_c(labels), lambda l: (l["start"] >= 0) & (l["end"] >= 0)))
+    """Distinct answer spans other than the no-answer span (-1, -1); none -> ``[(-1,-1)]``."""
+    kept = F.array_distinct(F.filter(_c(labels), lambda l: (l["start"] != -1) | (l["end"] != -1)))
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))))
 
 
@@ -209,12 +219,15 @@ def passages(docs: DataFrame, id_col: str, text: str, passage_len: int, stride:
 
 def char_to_token(offsets, c, vectorised: bool = False) -> Column:
     """Q3: index of the token containing character ``c`` = number of offsets <= c, minus one. The
-    loop variant returns the last token before the first offset is never reached (-1 -> last);
-    the vectorised variant returns -1 there."""
-    k = F.size(F.filter(_c(offsets), lambda o: o <= c)) - 1
+    loop variant gives the last token for a character before the first offset; the vectorised
+    variant gives -1 there, and one past the last token's index for a character at or past the last
+    offset."""
+    off = _c(offsets)
+    k = F.size(F.filter(off, lambda o: o <= c)) - 1
     if vectorised:
-        return k
-    return F.when(k < 0, F.size(_c(offsets)) - 1).otherwise(k)
+        last = F.array_max(off)
+        return F.when(c >= last, F.array_position(off, last).cast("int")).otherwise(k)
+    return F.when(k < 0, F.size(off) - 1).otherwise(k)
 
 
 def passage_to_doc_span(start: Column, end: Column, passage_start_t: Column) -> Column:
@@ -224,28 +237,42 @@ def passage_to_doc_span(start: Column, end: Column, passage_start_t: Column) ->
                     F.when(none, -1).otherwise(end + passage_start_t).alias("end"))
 
 
-def aggregate_candidates(cands: DataFrame, doc: str, n_best: int = 5, no_ans_boost: float = 0.0) -> DataFrame:
+def aggregate_candidates(cands: DataFrame, doc: str, n_best: int = 5, no_ans_boost: float = 0.0, confidence: str | None = None,
+                         no_ans_confidence: str | None = None, rank_by_confidence: bool = False) -> DataFrame:
     """Q11-Q13 (W4): candidates ``(doc, passage_id, start, end, score, no_ans_score)`` from all
     passages of a document -> document answers.
 
     * Q11 equal spans from different passages are merged keeping the max score (first passage on ties);
-    * Q12 ``no_answer_gap = -min(no_ans_score + boost - best_span_score)`` per passage, and a synthetic
-      no-answer candidate with score ``max(span score) - gap``;
-    * Q13 top ``n_best`` by score (``row_number`` per document -> WindowGroupLimit).
+    * Q12 ``no_answer_gap = -min(no_ans_score + boost - best_score)`` over the passages (the best candidate of a
+      passage may be its no-answer), and a synthetic no-answer candidate whose score is that of the
+      document's best SPAN minus the gap;
+    * Q13 top ``n_best`` by score, or by confidence (``row_number`` per document -> WindowGroupLimit).
+    With ``confidence`` / ``no_ans_confidence`` columns the synthetic candidate's confidence and
+    ``no_answer_gap_confidence`` follow the same rule.
     """
-    spans = cands.filter(~((F.col("start") == -1) & (F.col("end") == -1)))
-    merged = spans.groupBy(doc, "start", "end").agg(
-        F.max_by(F.struct("score", "passage_id"), F.struct(F.col("score"), -F.col("passage_id"))).alias("b"))
+    conf = F.col(confidence).cast("double") if confidence else F.lit(None).cast("double")
+    na_conf = F.col(no_ans_confidence).cast("double") if no_ans_confidence else F.lit(None).cast("double")
+    x = cands.withColumn("__conf", conf).withColumn("__na_conf", na_conf)
+    is_span = ~((F.col("start") == -1) & (F.col("end") == -1))
+    merged = x.filter(is_span).groupBy(doc, "start", "end").agg(
+        F.max_by(F.struct("score", "passage_id", "__conf"), F.struct(F.col("score"), -F.col("passage_id"))).alias("b"))
     merged = merged.select(doc, "start", "end", F.col("b.score").alias("score"), F.col("b.passage_id").alias("passage_id"),
-                           F.lit("span").alias("answer_type"))
-    per_p = cands.groupBy(doc, "passage_id").agg(F.max("score").alias("best"), F.max("no_ans_score").alias("na"))
-    gap = per_p.groupBy(doc).agg((-F.min(F.col("na") + no_ans_boost - F.col("best"))).alias("no_answer_gap"),
-                                 F.max("best").alias("mx"))
+                           F.col("b.__conf").alias("confidence"), F.lit("span").alias("answer_type"))
+    per_p = x.groupBy(doc, "passage_id").agg(
+        F.max_by(F.struct("score", "__conf"), F.struct(F.col("score"), F.col("__conf"))).alias("best"),
+        F.max("no_ans_score").alias("na"), F.max("__na_conf").alias("na_conf"),
+        F.max(F.when(is_span, F.col("score"))).alias("span"), F.max(F.when(is_span, F.col("__conf"))).alias("span_conf"))
+    gap = per_p.groupBy(doc).agg((-F.min(F.col("na") + no_ans_boost - F.col("best.score"))).alias("no_answer_gap"),
+                                 (-F.min(F.col("na_conf") - F.col("best.__conf"))).alias("no_answer_gap_confidence"),
+                                 F.max("span").alias("mx"), F.max("span_conf").alias("mx_conf"))
     no_ans = gap.select(doc, F.lit(-1).alias("start"), F.lit(-1).alias("end"), (F.col("mx") - F.col("no_answer_gap")).alias("score"),
-                        F.lit(-1).cast("long").alias("passage_id"), F.lit("no_answer").alias("answer_type"))
+                        F.lit(-1).cast("long").alias("passage_id"),
+                        (F.col("mx_conf") - F.col("no_answer_gap_confidence")).alias("confidence"), F.lit("no_answer").alias("answer_type"))
     allc = merged.withColumn("passage_id", F.col("passage_id").cast("long")).unionByName(no_ans)
-    w = Window.partitionBy(doc).orderBy(F.desc("score"), F.col("start"), F.col("end"))
-    return allc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n_best).join(gap.select(doc, "no_answer_gap"), doc)
+    w = Window.partitionBy(doc).orderBy(F.desc("confidence" if rank_by_confidence else "score"), F.col("start"), F.col("end"))
+    gaps = ["no_answer_gap"] + (["no_answer_gap_confidence"] if confidence else [])
+    out = allc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n_best).join(gap.select(doc, *gaps), doc)
+    return out if confidence else out.drop("confidence")
 
 
 def context_window(text: Column, start_c: Column, end_c: Column, size: int) -> Column:
@@ -295,20 +322,40 @@ def join_passage_classifier(cands: DataFrame, cls: DataFrame, doc: str = "doc_id
             .drop("__cls"))
 
 
-def answers_to_passage_labels(answers, passage_start_t, passage_end_t, offsets, max_answers: int = 6) -> Column:
+def answers_to_passage_labels(answers, passage_start_t, passage_end_t, offsets, max_answers: int = 6, doc_text=None,
+                              question_len=0, special_start: int = 0, special_mid: int = 0) -> Column:
     """Q4: document-level character answers ``array<struct<answer_start,text>>`` -> passage
-    token labels: start/end token via Q3; an answer not inside the passage -> (0, 0); the list is
-    padded with (-1, -1) up to ``max_answers``."""
-    def lab(a):
-        st = char_to_token(offsets, a["answer_start"])
-        en = char_to_token(offsets, a["answer_start"] + F.length(a["text"]) - 1)
-        inside = (st >= passage_start_t) & (en <= passage_end_t)
-        return F.struct(F.when(inside, st - passage_start_t).otherwise(0).alias("start"),
-                        F.when(inside, en - passage_start_t).otherwise(0).alias("end"))
+    token labels, ``max_answers`` rows padded with (-1, -1).
 
-    labs = F.slice(F.transform(_c(answers), lab), 1, max_answers)
-    pad = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))
-    return F.concat(labs, F.array_repeat(pad, F.greatest(F.lit(max_answers) - F.size(labs), F.lit(0))))
+    Start and end token come from the vectorised Q3, relative to the passage (``passage_end_t`` inclusive) and moved
+    behind the question and the special tokens (``special_start + question_len + special_mid``); an
+    answer not inside the passage -> (0, 0); no answers at all -> (0, 0) first. More answers than
+    ``max_answers`` are an error. With ``doc_text``, an answer inside the passage whose text does not stand at its offsets gives (-100, -100) and ends
+    the list."""
+    shift = F.lit(special_start) + (F.lit(question_len) if isinstance(question_len, int) else _c(question_len)) + F.lit(special_mid)
+    length = passage_end_t - passage_start_t + 1
+
+    def lab(a):
+        st = char_to_token(offsets, a["answer_start"], vectorised=True) - passage_start_t
+        en = char_to_token(offsets, a["answer_start"] + F.length(a["text"]) - 1, vectorised=True) - passage_start_t
+        inside = (st >= 0) & (st < length) & (en >= 0) & (en <= length)
+        wrong = F.lit(False)
+        if doc_text is not None:
+            there = F.substring(_c(doc_text), a["answer_start"] + 1, F.length(a["text"]))
+            wrong = (st >= 0) & (en < length) & ((F.instr(_c(doc_text), a["text"]) == 0) | (T.py_strip(there) != T.py_strip(a["text"])))
+        return F.struct(F.when(wrong, -100).when(inside, st + shift).otherwise(0).cast("int").alias("start"),
+                        F.when(wrong, -100).when(inside, en + shift).otherwise(0).cast("int").alias("end"))
+
+    def padded(labs):
+        bad = F.array_position(F.transform(labs, lambda x: x["start"] == -100), True)
+        kept = F.when(bad > 0, F.slice(labs, 1, bad.cast("int"))).otherwise(labs)
+        pad = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+        return F.concat(kept, F.array_repeat(pad, F.greatest(F.lit(max_answers) - F.size(kept), F.lit(0))))
+
+    none = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
+    labs = F.when(F.size(_c(answers)) == 0, none).when(F.size(_c(answers)) > max_answers, F.raise_error(F.lit(f"more than {max_answers} answers"))) \
+        .otherwise(F.transform(_c(answers), lab))
+    return let(labs, padded)
 
 
 def top_spans_from_logits(df: DataFrame, start_logits: str, end_logits: str, mask: str | None, id_cols, max_answer_length: int = 30,
@@ -318,15 +365,17 @@ def top_spans_from_logits(df: DataFrame, start_logits: str, end_logits: str, mas
     passage (WindowGroupLimit). Confidence = mean of the softmax probabilities of start and end."""
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     sl, el = F.col(start_logits), F.col(end_logits)
-    zs = F.aggregate(sl, F.lit(0.0), lambda a, x: a + F.exp(x))
-    ze = F.aggregate(el, F.lit(0.0), lambda a, x: a + F.exp(x))
-    x = df.select(*id_cols, sl.alias("__s"), el.alias("__e"), zs.alias("__zs"), ze.alias("__ze"),
+    # log of the sum of exponentials, around the maximum: no overflow for large logits
+    def log_sum(v):
+        return let(F.array_max(v), lambda m: m + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - m))))
+
+    x = df.select(*id_cols, sl.alias("__s"), el.alias("__e"), log_sum(sl).alias("__zs"), log_sum(el).alias("__ze"),
                   *([F.col(mask).alias("__m")] if mask else []), F.posexplode(sl).alias("start", "__sl"))
     x = x.select("*", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + max_answer_length - 1, F.size("__s") - 1))).alias("end"))
     if mask:
         x = x.filter((F.get("__m", F.col("start")) == 1) & (F.get("__m", F.col("end")) == 1))
     x = x.withColumn("score", F.col("__sl") + F.get("__e", F.col("end"))).withColumn(
-        "confidence", (F.exp(F.col("__sl")) / F.col("__zs") + F.exp(F.get("__e", F.col("end"))) / F.col("__ze")) / 2)
+        "confidence", (F.exp(F.col("__sl") - F.col("__zs")) + F.exp(F.get("__e", F.col("end")) - F.col("__ze"))) / 2)
     w = Window.partitionBy(*id_cols).orderBy(F.desc("score"), "start", "end")
     return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n_best).select(
         *id_cols, "start", "end", "score", "confidence", "rank")

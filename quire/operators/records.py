@@ -46,26 +46,30 @@ def next_sentence_pairs(docs: DataFrame, doc_id: str, lines: str, seed: int = 0,
 
 
 def fill_to_budget(lengths: Column, budget: int) -> Column:
-    """Q20: greedy packing of consecutive sentences (token lengths) into chunks of at most
-    ``budget`` tokens; a chunk is closed when the next sentence would overflow; the trailing
-    chunk is dropped unless it reaches the budget. Returns ``array<struct<first,last,n_tokens>>``
-    (sentence indices). One ``aggregate`` over the document's sentence lengths."""
-    t = "struct<first:int,last:int,n_tokens:int>"
+    """Q20: greedy packing of consecutive sentences (token lengths) into chunks; a chunk is closed after the
+    sentence that brings it to ``budget`` tokens or more. The rest of the document is the last chunk, with
+    ``full`` false (training uses the full ones only). Returns
+    ``array<struct<first,last,n_tokens,full>>`` (sentence indices). One ``aggregate`` over the document's
+    sentence lengths."""
+    t = "struct<first:int,last:int,n_tokens:int,full:boolean>"
     init = F.struct(F.array().cast(f"array<{t}>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("i"))
 
+    def chunk(acc, last, n, full):
+        return F.struct(acc["first"].alias("first"), last.alias("last"), n.alias("n_tokens"), F.lit(full).alias("full"))
+
     def step(acc, ln):
-        overflow = (acc["n"] + ln > budget) & (acc["n"] > 0)
-        closed = F.struct(acc["first"].alias("first"), (acc["i"] - 1).alias("last"), acc["n"].alias("n_tokens"))
+        n = acc["n"] + ln
+        closes = n >= budget
         return F.struct(
-            F.when(overflow, F.concat(acc["done"], F.array(closed))).otherwise(acc["done"]).alias("done"),
-            F.when(overflow, acc["i"]).otherwise(acc["first"]).alias("first"),
-            F.when(overflow, ln).otherwise(acc["n"] + ln).alias("n"),
+            F.when(closes, F.concat(acc["done"], F.array(chunk(acc, acc["i"], n, True)))).otherwise(acc["done"]).alias("done"),
+            F.when(closes, acc["i"] + 1).otherwise(acc["first"]).alias("first"),
+            F.when(closes, 0).otherwise(n).alias("n"),
             (acc["i"] + 1).alias("i"),
         )
 
     def finish(acc):
-        last = F.struct(acc["first"].alias("first"), (acc["i"] - 1).alias("last"), acc["n"].alias("n_tokens"))
-        return F.when(acc["n"] >= budget, F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
+        rest = chunk(acc, acc["i"] - 1, acc["n"], False)
+        return F.when(acc["first"] < acc["i"], F.concat(acc["done"], F.array(rest))).otherwise(acc["done"])
 
     return F.aggregate(_c(lengths), init, step, finish)
 
@@ -186,38 +190,61 @@ def one_sequence_per_sentence(docs: DataFrame, doc_id: str, lines: str, max_len:
         doc_id, "line_no", F.slice(T.ws_tokens(F.col("sentence")), 1, max_len).alias("tokens"))
 
 
+# Tokens that are never masked.
+UNMASKED = ["[CLS]", "[SEP]", "[PAD]"]
+
+
 def whole_word_mask(tokens, seed, key: str, p: float = 0.15, max_predictions: int = 20, mask_token: str = "[MASK]") -> Column:
     """Q22 + Q23: whole-word masking. Word groups = a word-initial token plus its ``##``
-    continuations (running sum of start flags); groups are taken in seeded-hash order until
-    ``max(1, round(n * p))`` tokens (capped at ``max_predictions``) are chosen, skipping a group
+    continuations; special tokens belong to no group. Groups are taken in seeded-hash order until
+    ``max(1, round(n * p))`` tokens (capped at ``max_predictions``, a training parameter) are chosen, skipping a group
     that would overshoot; chosen tokens become ``[MASK]`` (80 %), stay (10 %) or become another
     token of the sequence (10 %). Returns ``struct<tokens, labels>`` with labels = original token
-    at masked positions, ``""`` elsewhere."""
-    toks = _c(tokens)
-    n = F.size(toks)
-    budget = F.least(F.greatest(F.lit(1), F.round(n * p)).cast("int"), F.lit(max_predictions))
-    starts = F.transform(toks, lambda t: F.when(t.startswith("##"), 0).otherwise(1))
-    grp = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.aggregate(F.slice(starts, 1, i), F.lit(0), lambda a, x: a + x))
-    n_groups = F.array_max(grp)
-    order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n_groups, F.lit(1))), lambda g: F.struct(
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), g.cast("string"))).alias("h"), g.alias("g")))), lambda s: s["g"])
-    sizes = F.transform(order, lambda g: F.size(F.filter(grp, lambda x: x == g)))
-    chosen = F.aggregate(F.arrays_zip(order.alias("g"), sizes.alias("s")),
-                         F.struct(F.array().cast("array<int>").alias("gs"), F.lit(0).alias("n")),
-                         lambda acc, z: F.when(acc["n"] + z["s"] <= budget,
-                                               F.struct(F.concat(acc["gs"], F.array(z["g"])).alias("gs"), (acc["n"] + z["s"]).alias("n")))
-                         .otherwise(acc))["gs"]
-
-    def one(t, i):
-        g = F.get(grp, i)
-        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}m"), F.col(key).cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") % 10
-        repl = F.get(toks, (u * 7919 + i) % n)
-        new = F.when(u < 8, F.lit(mask_token)).when(u < 9, t).otherwise(repl)
-        hit = F.array_contains(chosen, g)
-        return F.struct(F.when(hit, new).otherwise(t).alias("t"), F.when(hit, t).otherwise(F.lit("")).alias("l"))
-
-    out = F.transform(toks, one)
-    return F.struct(F.transform(out, lambda s: s["t"]).alias("tokens"), F.transform(out, lambda s: s["l"]).alias("labels"))
+    at masked positions, ``""`` elsewhere. Every computed array is bound once, so the work is
+    linear in the tokens and in the groups."""
+    from quire.functions.labels import let
+
+    def numbered(toks):  # group number of each token (0: none), by one running pass
+        start = F.struct(F.array().cast("array<int>").alias("g"), F.lit(0).alias("n"))
+
+        def step(acc, t):
+            special = t.isin(*UNMASKED)
+            n = acc["n"] + F.when(special | (t.startswith("##") & (acc["n"] > 0)), 0).otherwise(1)
+            return F.struct(F.concat(acc["g"], F.array(F.when(special, 0).otherwise(n))).alias("g"), n.alias("n"))
+        return F.aggregate(toks, start, step, lambda acc: acc["g"])
+
+    def ordered(grp):  # (hash, group, size) of each group, by hash; groups are runs of the sorted numbers
+        runs = F.aggregate(
+            F.filter(grp, lambda g: g > 0), F.array().cast("array<struct<g:int,s:int>>"),
+            lambda acc, g: F.when(F.try_element_at(acc, F.lit(-1))["g"] == g, F.concat(
+                F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(g.alias("g"), (F.try_element_at(acc, F.lit(-1))["s"] + 1).alias("s")))))
+            .otherwise(F.concat(acc, F.array(F.struct(g.alias("g"), F.lit(1).alias("s"))))))
+        return F.array_sort(F.transform(runs, lambda r: F.struct(
+            F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), r["g"].cast("string"))).alias("h"), r["g"].alias("g"), r["s"].alias("s"))))
+
+    def picked(order, budget):
+        return F.aggregate(order, F.struct(F.array().cast("array<int>").alias("gs"), F.lit(0).alias("n")),
+                           lambda acc, z: F.when(acc["n"] + z["s"] <= budget,
+                                                 F.struct(F.concat(acc["gs"], F.array(z["g"])).alias("gs"), (acc["n"] + z["s"]).alias("n")))
+                           .otherwise(acc), lambda acc: acc["gs"])
+
+    def masked(toks, grp, chosen):
+        n = F.size(toks)
+
+        def one(t, i):
+            u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}m"), F.col(key).cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") % 10
+            repl = F.get(toks, ((u * 7919 + i) % n).cast("int"))
+            new = F.when(u < 8, F.lit(mask_token)).when(u < 9, t).otherwise(repl)
+            hit = F.array_contains(chosen, F.get(grp, i))
+            return F.struct(F.when(hit, new).otherwise(t).alias("t"), F.when(hit, t).otherwise(F.lit("")).alias("l"))
+        return let(F.transform(toks, one), lambda out: F.struct(F.transform(out, lambda s: s["t"]).alias("tokens"),
+                                                                F.transform(out, lambda s: s["l"]).alias("labels")))
+
+    def run(toks):
+        budget = F.least(F.greatest(F.lit(1), F.bround(F.size(toks) * p)).cast("int"), F.lit(max_predictions))
+        return let(numbered(toks), lambda grp: let(picked(ordered(grp), budget), lambda chosen: masked(toks, grp, chosen)))
+
+    return let(_c(tokens), run)
 
 
 def next_sentence_label(is_next) -> Column:

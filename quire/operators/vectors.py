@@ -56,22 +56,28 @@ def remove_mean(df: DataFrame, vec: str, out: str = "centered") -> DataFrame:
 
 
 def remove_top_components(df: DataFrame, vec: str, k: int = 1, out: str = "reduced") -> DataFrame:
-    """Remove the projection on the top ``k`` principal components (Spark ML PCA, a
-    distributed Gramian); components are orthonormal, so the removal ``x - sum (u.x) u`` is
-    independent of their sign and order. The k x d component matrix is broadcast."""
+    """Weaken the projection on the top ``k`` principal components (Spark ML PCA, a distributed
+    Gramian): ``x - sum_i r_i (u_i.x) u_i`` with ``r_i = (var_i - var_{k+1}) / var_i``, where ``var_{k+1}`` is the
+    variance of the first component that stays (0 if none does). Components are orthonormal, so the
+    removal is independent of their sign and order. The k x d component matrix is inlined."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
+    from quire.functions.labels import let
+
     v = df.withColumn("__v", array_to_vector(_c(vec)))
-    model = PCA(k=k, inputCol="__v", outputCol="__p").fit(v)
-    comps = model.pc.toArray().T.tolist()  # k x d (bounded by k and the dimension)
-    res = df
+    dim = df.select(F.size(_c(vec)).alias("n")).first()["n"]
+    model = PCA(k=min(k + 1, dim), inputCol="__v", outputCol="__p").fit(v)
+    comps = model.pc.toArray().T.tolist()[:k]  # k x d (bounded by k and the dimension)
+    var = [float(x) for x in model.explainedVariance] + [0.0]
+    def weakened(x, u, ratio):
+        ua = F.array(*[F.lit(float(v)) for v in u])
+        return let(x, lambda v: let(dot(v, ua) * ratio, lambda proj: F.zip_with(v, ua, lambda a, b: a - proj * b)))
+
     expr = _c(vec).cast("array<double>")
-    for u in comps:
-        ua = F.array(*[F.lit(float(x)) for x in u])
-        proj = dot(expr, ua)
-        expr = F.zip_with(expr, ua, lambda x, y: x - proj * y)
-    return res.withColumn(out, expr)
+    for i, u in enumerate(comps):
+        expr = weakened(expr, u, (var[i] - var[k]) / var[i] if var[i] else 0.0)
+    return df.withColumn(out, expr)
 
 
 def kmeans(df: DataFrame, vec: str, k: int, seed: int = 0, weight: str | None = None):

@@ -38,13 +38,40 @@ def test_containment_matches_brute_force(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     it = spark.createDataFrame(items, "item_id long, text string")
     got = {r.item_id: r.doc_id for r in leakage.containment_first_doc(it, d).collect()}
-    one = {r.item_id: r.doc_id for r in leakage.containment_first_doc(it, d, n_anchors=1).collect()}
-    assert one == got
-    shuffled = {r.item_id: r.doc_id for r in leakage.containment_first_doc(it, d, broadcast_bytes=0).collect()}
-    assert shuffled == got
+    every = {r.item_id: r.doc_id for r in leakage.containment_first_doc(it, d, anchor_sample=1).collect()}
+    assert every == got
     want = {}
     for iid, s in items:
         hits = [did for did, t in docs if s in t]
         if hits:
             want[iid] = min(hits)
     assert got == want
+
+
+def test_containment_of_items_without_whitespace_of_many_lengths(spark):
+    import random
+
+    rng = random.Random(3)
+    docs = [(i, "".join(rng.choices("ab語 é\n", k=200))) for i in range(20)]
+    items = []
+    for k in range(1, 60):
+        t = rng.choice(docs)[1]
+        a = rng.randrange(100)
+        items += [(k, t[a:a + k]), (100 + k, t[a:a + k].replace(" ", "").replace("\n", "")), (200 + k, "日" * k)]
+    items += [(300 + i, "shared boilerplate line of a licence") for i in range(30)]
+    docs += [(100 + i, "x shared boilerplate line of a licence y") for i in range(30)]  # one anchor in half of all texts
+    got = {r.item_id: r.doc_id for r in leakage.containment_first_doc(
+        spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: min(d for d, t in docs if s in t) for i, s in items if any(s in t for _, t in docs)}
+
+
+def test_split_without_leakage_sizes(spark):
+    import pytest
+
+    train = spark.createDataFrame([(i, [str(i % 10)]) for i in range(25)], "id int, tokens array<string>")
+    test = spark.createDataFrame([(["3"],), (["7"],)], "tokens array<string>")
+    got = {r.id: r.split for r in leakage.split_without_leakage(train, test, "tokens", ["id"], 1).collect()}
+    assert len(got) == 25 and sum(v == "dev" for v in got.values()) == round(25 * 0.2)
+    assert all(got[i] == "train" for i in range(25) if i % 10 in (3, 7))
+    with pytest.raises(ValueError, match="too few"):
+        leakage.split_without_leakage(train, test, "tokens", ["id"], 1, 0.9)

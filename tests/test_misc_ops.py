@@ -58,10 +58,25 @@ def test_sentence_split_and_ws_normalise(spark):
 def test_answers_to_passage_labels_and_tok_to_char(spark):
     df = spark.createDataFrame([([0, 6, 10, 15], [(6, "is"), (0, "Paris")], "Paris is  nice .")],
                                "off array<int>, ans array<struct<answer_start:int,text:string>>, t string")
-    r = df.select(qa.answers_to_passage_labels(F.col("ans"), F.lit(1), F.lit(3), F.col("off"), 3).alias("l")).first().l
-    assert [(x.start, x.end) for x in r] == [(0, 0), (0, 0), (-1, -1)]
-    r = df.select(qa.answers_to_passage_labels(F.col("ans"), F.lit(0), F.lit(3), F.col("off"), 2).alias("l")).first().l
-    assert [(x.start, x.end) for x in r] == [(1, 1), (0, 0)]
+    def labels(start, end, n, **more):
+        r = df.select(qa.answers_to_passage_labels(F.col("ans"), F.lit(start), F.lit(end), F.col("off"), n, **more).alias("l")).first().l
+        return [(x.start, x.end) for x in r]
+
+    # "is" ends at character 7: token 1; "Paris" is before the passage
+    assert labels(1, 3, 3) == [(0, 0), (0, 0), (-1, -1)]
+    assert labels(0, 3, 2) == [(1, 1), (0, 0)]
+    assert labels(0, 3, 2, question_len=4, special_start=1, special_mid=2) == [(8, 8), (7, 7)]
+    assert labels(0, 3, 3, doc_text=F.col("t")) == [(1, 1), (0, 0), (-1, -1)]
+    bad = df.withColumn("ans", F.expr("array(named_struct('answer_start', 0, 'text', 'Berlin'), named_struct('answer_start', 6, 'text', 'is'))"))
+    r = bad.select(qa.answers_to_passage_labels(F.col("ans"), F.lit(0), F.lit(3), F.col("off"), 3, doc_text=F.col("t")).alias("l")).first().l
+    assert [(x.start, x.end) for x in r] == [(-100, -100), (-1, -1), (-1, -1)]
+    none = df.withColumn("ans", F.expr("cast(array() as array<struct<answer_start:int,text:string>>)"))
+    r = none.select(qa.answers_to_passage_labels(F.col("ans"), F.lit(0), F.lit(3), F.col("off"), 2).alias("l")).first().l
+    assert [(x.start, x.end) for x in r] == [(0, 0), (-1, -1)]
+    import pytest
+
+    with pytest.raises(Exception, match="more than 1 answers"):
+        labels(0, 3, 1)
     c = df.select(nq.tok_to_char_span(F.lit(1), F.lit(3), F.col("off"), F.col("t")).alias("c")).first().c
     assert (c.start_c, c.end_c) == (6, 14)
 

@@ -53,6 +53,8 @@ def test_char_to_token_variants(spark):
     r = df.select(qa.char_to_token(F.col("o"), F.lit(6)).alias("a"), qa.char_to_token(F.col("o"), F.lit(0)).alias("b"),
                   qa.char_to_token(F.col("o"), F.lit(0), vectorised=True).alias("c")).first()
     assert (r.a, r.b, r.c) == (1, 2, -1)
+    past = [df.select(qa.char_to_token(F.col("o"), F.lit(c), vectorised=True).alias("x")).first().x for c in (2, 8, 9, 50)]
+    assert past == [0, 1, 3, 3]  # at or past the last offset: one past the last index
 
 
 def test_passages_windows(spark):
@@ -73,6 +75,24 @@ def test_aggregate_candidates(spark):
     assert abs(na.score - 0.5) < 1e-12
 
 
+def test_no_answer_candidate_is_measured_against_spans(spark):
+    rows = [(1, 0, 5, 6, 5.0, 9.0, 0.4, 0.8), (1, 0, -1, -1, 9.0, 9.0, 0.8, 0.8), (1, 1, 2, 3, 4.0, 1.0, 0.9, 0.1)]
+    df = spark.createDataFrame(rows, "doc int, passage_id int, start int, end int, score double, no_ans_score double, c double, nc double")
+    # gap = -min(9 - 9, 1 - 4) = 3; no-answer = best span 5 - 3, although a no-answer candidate has 9
+    r = qa.aggregate_candidates(df, "doc").collect()
+    assert [x.score for x in r if x.answer_type == "no_answer"] == [2.0] and all(x.no_answer_gap == 3.0 for x in r)
+    by_conf = qa.aggregate_candidates(df, "doc", confidence="c", no_ans_confidence="nc", rank_by_confidence=True).orderBy("rank").collect()
+    assert (by_conf[0].start, by_conf[0].confidence) == (2, 0.9)
+    # confidence gap = -min(0.8 - 0.8, 0.1 - 0.9) = 0.8
+    assert abs([x.confidence for x in by_conf if x.answer_type == "no_answer"][0] - 0.1) < 1e-12
+
+
+def test_large_logits_do_not_overflow(spark):
+    df = spark.createDataFrame([(1, [1000.0, 0.0], [0.0, 2000.0])], "p int, s array<double>, e array<double>")
+    r = qa.top_spans_from_logits(df, "s", "e", None, "p", n_best=1).first()
+    assert (r.start, r.end, r.confidence) == (0, 1, 1.0)
+
+
 def test_top_spans_from_logits(spark):
     df = spark.createDataFrame([(1, [0.0, 5.0, 1.0], [0.0, 1.0, 6.0])], "p int, s array<double>, e array<double>")
     r = qa.top_spans_from_logits(df, "s", "e", None, "p", max_answer_length=2, n_best=2).orderBy("rank").collect()
@@ -91,15 +111,14 @@ def test_fill_to_budget_matches_loop(spark):
     budget = 8
     chunks, first, n = [], 0, 0
     for i, ln in enumerate(lens):
-        if n + ln > budget and n > 0:
-            chunks.append((first, i - 1, n))
-            first, n = i, ln
-        else:
-            n += ln
-    if n >= budget:
-        chunks.append((first, len(lens) - 1, n))
+        n += ln
+        if n >= budget:
+            chunks.append((first, i, n, True))
+            first, n = i + 1, 0
+    if first < len(lens):
+        chunks.append((first, len(lens) - 1, n, False))
     df = spark.createDataFrame([(lens,)], "l array<int>")
-    got = [(c.first, c.last, c.n_tokens) for c in df.select(records.fill_to_budget(F.col("l"), budget).alias("c")).first().c]
+    got = [tuple(c) for c in df.select(records.fill_to_budget(F.col("l"), budget).alias("c")).first().c]
     assert got == chunks
 
 
@@ -170,6 +189,17 @@ def test_whole_word_mask_budget(spark):
     n_masked = sum(1 for l in r.labels if l != "")
     assert 1 <= n_masked <= 5  # round(30 * .15) = 4 (a group that would overshoot is skipped)
     assert len(r.tokens) == len(toks)
+    special = ["[CLS]", "a", "##b", "[SEP]", "##c", "[PAD]", "[PAD]"]
+    d2 = spark.createDataFrame([(i, special) for i in range(40)], "id int, t array<string>")
+    seen = set()
+    for x in d2.select(records.whole_word_mask(F.col("t"), 7, "id", p=0.6).alias("m")).collect():
+        assert all(x.m.labels[i] == "" for i in (0, 3, 5, 6))
+        hit = {i for i, l in enumerate(x.m.labels) if l}
+        assert (1 in hit) == (2 in hit) == (4 in hit) or hit <= {1, 2, 4}
+        seen |= hit
+    assert seen <= {1, 2, 4} and seen
+    empty = spark.createDataFrame([(1, [])], "id int, t array<string>")
+    assert empty.select(records.whole_word_mask(F.col("t"), 7, "id").alias("m")).first().m.tokens == []
 
 
 def test_s3e_embed_matches_numpy(spark):
