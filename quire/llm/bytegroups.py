@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 
 def byte_groups(column, limit: int = GROUP_BYTES) -> Iterator[tuple[int, list[bytes]]]:

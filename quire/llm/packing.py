@@ -34,7 +34,7 @@ END_OF_DOCUMENT = 0
 NEARLY_FULL = 8  # tokens that a final bin may lack
 ROWS_PER_TASK = 200_000
 FAN_IN = 8
-MAX_CHUNKS = 400_000  # distinct chunks a worker remembers
+MAX_CHUNKS = 300_000  # distinct chunks a worker remembers; a third of them, the most frequent, from task to task
 SLICE_CHARS = 2_000_000  # longer texts are encoded in slices cut at a blank
 
 # How the tokenizer's pre-tokenizer splits normalised text.
@@ -61,11 +61,26 @@ class ChunkEncoder:
         self.max_chunks, self.slice_chars = max_chunks, slice_chars
         alphabet = byte_characters()
         self.spell = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0x180)}
-        self._forget()
-
-    def _forget(self) -> None:
         self.index, self.words = {"": 0}, {}
         self.flat, self.start, self.size = array("I"), array("q", [0]), array("q", [0])
+        self.uses = np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Forget all but the chunks that were met most often, a third of ``max_chunks`` at most."""
+        uses = np.zeros(len(self.start), np.int64)
+        uses[:len(self.uses)] = self.uses
+        uses[0] = max(uses.max(), 1)  # the empty chunk stays first
+        limit = max(2, np.partition(uses, -min(len(uses), self.max_chunks // 3))[-min(len(uses), self.max_chunks // 3)] + 1)
+        known, flat = [(c, i) for c, i in self.index.items() if uses[i] >= limit or not c], self.flat
+        self.index, self.words, self.flat = {}, {}, array("I")
+        start, size = array("q"), array("q")
+        for c, i in known:
+            self.index[c] = len(start)
+            start.append(len(self.flat))
+            size.append(self.size[i])
+            self.flat.extend(flat[self.start[i]:self.start[i] + self.size[i]])
+        self.uses = np.array([uses[i] // 2 for _, i in known])
+        self.start, self.size = start, size
 
     def _word(self, word: str) -> tuple[int, int]:
         """Place and number of the ids of one pre-tokenized lower-case word."""
@@ -76,13 +91,25 @@ class ChunkEncoder:
             known = self.words[word] = (at << 24) | (len(self.flat) - at)
         return known >> 24, known & 0xFFFFFF
 
+    def _parts(self, chunk: str) -> list[str] | None:
+        """The words that the pre-tokenizer makes of a chunk; None if that is left to the tokenizer."""
+        if chunk.isascii():  # mostly a word, or a word and a mark
+            low = chunk.lower()
+            if low.isalpha():
+                return [low]
+            if low[-1] in ",.;:!?" and low[:-1].isalpha():
+                return [low[:-1], low[-1]]
+        if len(chunk) > 1_000_000 or not LATIN.fullmatch(chunk):
+            return None
+        return WORD_PATTERN.findall(chunk.lower())
+
     def _add(self, chunk: str) -> int:
-        if not LATIN.fullmatch(chunk) or len(chunk) > 1_000_000:
+        parts = self._parts(chunk)
+        if parts is None:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
             at, size = len(self.flat), len(ids)
             self.flat.extend(ids)
         else:
-            parts = WORD_PATTERN.findall(chunk.lower())
             places = [self._word(w) for w in parts]
             if len(places) == 1:
                 at, size = places[0]
@@ -126,18 +153,21 @@ class ChunkEncoder:
         if not texts:
             return []
         if len(self.index) > self.max_chunks:
-            self._forget()
+            self.shrink()
         flat_chunks = [c for t in texts for c in t]
         index = self.index
         at = np.fromiter(map(index.get, flat_chunks, repeat(-1)), np.int64, len(flat_chunks))
         for i in np.flatnonzero(at < 0).tolist():
             c = flat_chunks[i]
             at[i] = index[c] if c in index else self._add(c)
-        size = np.array(self.size, np.int64)[at]
+        met = np.bincount(at, minlength=len(self.start))
+        met[:len(self.uses)] += self.uses
+        self.uses = met
+        size = np.frombuffer(self.size, np.int64)[at]
         ends = np.cumsum(size)
         total = int(ends[-1])
-        take = np.repeat(np.array(self.start, np.int64)[at] - (ends - size), size) + np.arange(total)
-        ids = np.array(self.flat, "<u4")[take] if total else np.zeros(0, "<u4")
+        take = np.repeat(np.frombuffer(self.start, np.int64)[at] - (ends - size), size) + np.arange(total)
+        ids = np.frombuffer(self.flat, "<u4")[take] if total else np.zeros(0, "<u4")
         text_ends = np.concatenate(([0], ends))[np.cumsum([len(t) for t in texts], dtype=np.int64)]
         return np.split(ids, text_ends[:-1])
 
@@ -211,7 +241,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         encoder = encoder_for(tokenizer_path)
         ids_of_docs, rows, kept = [], [], []
         for batch in batches:
-            for first, raw in byte_groups(batch.column(1)):
+            for first, raw in byte_groups(batch.column(1), 1 << 20):
                 texts = [t.decode("utf-8", "replace") for t in raw]
                 here = []
                 for n, ids in enumerate(encoder.encode(texts)):
@@ -221,6 +251,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                             kept.append(part)
                 rows.append(np.array([h[1:] for h in here], np.int64).reshape(-1, 4))
                 ids_of_docs.append(batch.column(0).take(pa.array([h[0] for h in here], pa.int64())))
+        encoder.shrink()
         if not rows:
             return
         cols = np.concatenate(rows)
