@@ -30,21 +30,24 @@ def accuracy(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFra
     return df.agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("acc"))
 
 
-def per_class(conf: DataFrame, classes: DataFrame | None = None) -> DataFrame:
-    """tp / fp / fn / support per class from a confusion table; class set = union of both sides
-    (or the given ``classes`` table with column ``label``, missing classes reported as 0)."""
-    tp = conf.filter(F.col("label") == F.col("pred")).groupBy("label").agg(F.sum("n").alias("tp"))
-    sup = conf.groupBy("label").agg(F.sum("n").alias("support"))
-    pc = conf.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("n_pred"))
-    cls = classes if classes is not None else conf.select("label").union(conf.select(F.col("pred").alias("label"))).distinct()
-    t = (
-        cls.join(tp, "label", "left").join(sup, "label", "left").join(pc, "label", "left")
-        .na.fill(0, ["tp", "support", "n_pred"])
-    )
+def per_class(conf: DataFrame, classes: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """tp / n_pred / support per class from a confusion table, in one aggregate: each cell counts for its
+    label and for its prediction. Class set = union of both sides (or the given ``classes`` table with
+    column ``label``, missing classes reported as 0); per group if ``by``."""
+    zero = F.lit(0).cast("long")
+    n = F.col("n")
+    parts = F.array(
+        F.struct(F.col("label").alias("label"), F.when(F.col("label") == F.col("pred"), n).otherwise(zero).alias("tp"),
+                 n.alias("support"), zero.alias("n_pred")),
+        F.struct(F.col("pred").alias("label"), zero.alias("tp"), zero.alias("support"), n.alias("n_pred")))
+    t = conf.select(*by, F.explode(parts).alias("x")).groupBy(*by, F.col("x.label").alias("label")).agg(
+        F.sum("x.tp").alias("tp"), F.sum("x.support").alias("support"), F.sum("x.n_pred").alias("n_pred"))
+    if classes is not None:
+        t = classes.join(t, "label", "left").na.fill(0, ["tp", "support", "n_pred"])
     prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     return t.select(
-        "label", "tp", "support", "n_pred", prec.alias("precision"), rec.alias("recall"),
+        *by, "label", "tp", "support", "n_pred", prec.alias("precision"), rec.alias("recall"),
         F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0).alias("f1"),
     )
 
@@ -93,42 +96,49 @@ def class_report(df: DataFrame, label: str = "label", pred: str = "pred", classe
                  (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))
     mp = F.when(F.col("np") > 0, F.col("tp") / F.col("np")).otherwise(0.0)
     mr = F.when(F.col("sup") > 0, F.col("tp") / F.col("sup")).otherwise(0.0)
-    micro = tot.select(F.lit("micro avg").alias("class"), mp.alias("precision"), mr.alias("recall"),
-                       F.when(mp + mr > 0, 2 * mp * mr / (mp + mr)).otherwise(0.0).alias("f1"),
-                       F.col("sup").cast("long").alias("support"))
-    macro = tot.select(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                       F.col("mf").alias("f1"), F.col("sup").cast("long").alias("support"))
-    weighted = tot.select(F.lit("weighted avg").alias("class"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
-                          F.col("wf").alias("f1"), F.col("sup").cast("long").alias("support"))
-    return rows.unionByName(micro).unionByName(macro).unionByName(weighted)
+    mf1 = F.when(mp + mr > 0, 2 * mp * mr / (mp + mr)).otherwise(0.0)
+    support = F.col("sup").cast("long")
+
+    def row(name, precision, recall, f1):
+        return F.struct(F.lit(name).alias("class"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), support.alias("support"))
+
+    averages = tot.select(F.explode(F.array(
+        row("micro avg", mp, mr, mf1), row("macro avg", F.col("mp"), F.col("mr"), F.col("mf")),
+        row("weighted avg", F.col("wp"), F.col("wr"), F.col("wf")))).alias("r")).select("r.*")
+    return rows.unionByName(averages)
 
 
-def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Tie-averaged 1-based ranks of ``col`` (Spearman). Values are counted per distinct value
-    first, so the global prefix sum runs over unique keys; ranks are joined back by value."""
-    counts = df.groupBy(F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    cum = prefix_sum(counts, ["__v"], "__n", name="__cum")
-    ranks = cum.select("__v", (F.col("__cum") - (F.col("__n") - 1) / 2.0).alias(out))
-    return df.join(ranks, df[col] == ranks["__v"]).drop("__v")
+def average_ranks(counts: DataFrame, col: str, n: str, out: str) -> DataFrame:
+    """Tie-averaged 1-based ranks (Spearman) of the values ``col`` of a table with ``n`` rows for each line: one row per
+    distinct value, ``col, out``. The global prefix sum runs over unique keys."""
+    per_value = counts.groupBy(col).agg(F.sum(n).alias("__n"))
+    cum = prefix_sum(per_value, [col], "__n", name="__cum")
+    return cum.select(col, (F.col("__cum") - (F.col("__n") - 1) / 2.0).alias(out))
 
 
 def regression(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """M5-M7: Pearson, Spearman (tie-averaged ranks), their mean, MSE, R2 (true = label) and the
-    reference's swapped R2 (predictions taken as the truth)."""
-    base = df.select(F.col(label).cast("double").alias("y"), F.col(pred).cast("double").alias("p"))
-    ry = average_ranks(base, "y", "ry")
-    rp = average_ranks(ry, "p", "rp")
-    sp = rp.agg(F.corr("ry", "rp").alias("spearman"))
-    m = base.agg(
-        F.corr("y", "p").alias("pearson"),
-        F.avg((F.col("y") - F.col("p")) ** 2).alias("mse"),
-        F.sum((F.col("y") - F.col("p")) ** 2).alias("sse"),
-        F.var_pop("y").alias("vy"), F.var_pop("p").alias("vp"), F.count(F.lit(1)).alias("n"),
-    )
-    return scalar_join(m, sp).select(
-        "pearson", "spearman", ((F.col("pearson") + F.col("spearman")) / 2).alias("corr_mean"), "mse",
-        (1 - F.col("sse") / (F.col("vy") * F.col("n"))).alias("r2"),
-        (1 - F.col("sse") / (F.col("vp") * F.col("n"))).alias("r2_swapped"),
+    reference's swapped R2 (predictions taken as the truth).
+
+    Rows are counted once per (label, prediction); both marginals are ranked and the rank correlation is a weighted one over
+    the counts. Rows with a NULL on either side are left out of every measure."""
+    base = df.select(F.col(label).cast("double").alias("y"), F.col(pred).cast("double").alias("p")).filter("y is not null and p is not null")
+    pairs = base.groupBy("y", "p").agg(F.count(F.lit(1)).alias("w"))
+    ranked = pairs.join(average_ranks(pairs, "y", "w", "ry"), "y").join(average_ranks(pairs, "p", "w", "rp"), "p")
+    w = F.col("w").cast("double")
+    r = ranked.agg(
+        F.sum(w).alias("n"), F.sum(w * F.col("ry")).alias("sa"), F.sum(w * F.col("rp")).alias("sb"),
+        F.sum(w * F.col("ry") * F.col("ry")).alias("saa"), F.sum(w * F.col("rp") * F.col("rp")).alias("sbb"), F.sum(w * F.col("ry") * F.col("rp")).alias("sab"),
+        F.sum(w * (F.col("y") - F.col("p")) ** 2).alias("sse"))
+    m = base.agg(F.corr("y", "p").alias("pearson"), F.var_pop("y").alias("vy"), F.var_pop("p").alias("vp"))
+    n = F.col("n")
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
+    den = F.sqrt((F.col("saa") - F.col("sa") ** 2 / n) * (F.col("sbb") - F.col("sb") ** 2 / n))
+    sp = F.when(den > 0, cov / den)
+    return scalar_join(m, F.broadcast(r)).select(
+        "pearson", sp.alias("spearman"), ((F.col("pearson") + sp) / 2).alias("corr_mean"), (F.col("sse") / n).alias("mse"),
+        (1 - F.col("sse") / (F.col("vy") * n)).alias("r2"),
+        (1 - F.col("sse") / (F.col("vp") * n)).alias("r2_swapped"),
     )
 
 
@@ -157,15 +167,8 @@ def sentence_macro(df: DataFrame, id_col: str, labels: str, preds: str) -> DataF
     sentence (either side), averaged over sentences. Token pairs come from ``arrays_zip``."""
     tok = df.select(F.col(id_col), F.explode(F.arrays_zip(F.col(labels).alias("l"), F.col(preds).alias("p"))).alias("z"))
     conf = tok.groupBy(id_col, F.col("z.l").alias("label"), F.col("z.p").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
-    tp = conf.filter(F.col("label") == F.col("pred")).groupBy(id_col, "label").agg(F.sum("n").alias("tp"))
-    sup = conf.groupBy(id_col, "label").agg(F.sum("n").alias("sup"))
-    npred = conf.groupBy(id_col, F.col("pred").alias("label")).agg(F.sum("n").alias("np"))
-    cls = conf.select(id_col, "label").union(conf.select(id_col, F.col("pred").alias("label"))).distinct()
-    t = cls.join(tp, [id_col, "label"], "left").join(sup, [id_col, "label"], "left").join(npred, [id_col, "label"], "left").na.fill(0)
-    prec = F.when(F.col("np") > 0, F.col("tp") / F.col("np")).otherwise(0.0)
-    rec = F.when(F.col("sup") > 0, F.col("tp") / F.col("sup")).otherwise(0.0)
-    f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
-    per_sent = t.groupBy(id_col).agg(F.avg(f1).alias("f1"), F.avg(rec).alias("recall"), F.avg(prec).alias("precision"))
+    t = per_class(conf, by=[id_col])
+    per_sent = t.groupBy(id_col).agg(F.avg("f1").alias("f1"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"))
     return per_sent.agg(F.avg("f1").alias("f1"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"),
                         F.count(F.lit(1)).alias("n_sentences"))
 

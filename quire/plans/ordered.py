@@ -47,20 +47,41 @@ def hash_bucket(h, num_buckets: int) -> Column:
     return F.shiftright(c, HASH_BITS - bits).cast("int")
 
 
-def quantile_bucket(df: DataFrame, col, num_buckets: int, descending: bool = False) -> Column:
-    """Monotone bucket from ``num_buckets - 1`` approximate quantiles of a numeric column.
+def _number(c: Column, kind: str) -> Column:
+    """A double that is monotone in the value: text by its first six bytes, everything else by a cast."""
+    if kind in ("string", "binary"):
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return c.cast("double")
+
+
+def quantile_bucket(df: DataFrame, col, num_buckets: int, descending: bool = False, then=None) -> Column:
+    """Monotone bucket from ``num_buckets - 1`` approximate quantiles of a column.
 
     The quantiles are one aggregate collected to the driver (``num_buckets`` numbers) and
-    inlined as literals, so every later evaluation assigns the same bucket."""
+    inlined as literals, so every later evaluation assigns the same bucket. Rows that equal a bound have buckets of their own,
+    and ``then`` (the next, ascending order column) cuts these further: a value that many rows share is not one task's work."""
     c = F.col(col) if isinstance(col, str) else col
+    kinds = df.select(c.alias("a"), (c if then is None else then).alias("b")).schema
+    x = _number(c, kinds[0].dataType.typeName())
     probs = [i / num_buckets for i in range(1, num_buckets)]
-    row = df.agg(F.percentile_approx(c.cast("double"), probs, 1000).alias("q")).first()
-    qs = sorted(set(v for v in (row["q"] or []) if v is not None))
-    bounds = F.array(*[F.lit(float(v)) for v in qs]) if qs else F.array().cast("array<double>")
-    x = c.cast("double")
-    if descending:
-        return F.size(F.filter(bounds, lambda b: b > x)).cast("int")
-    return F.size(F.filter(bounds, lambda b: b < x)).cast("int")
+    y = _number(then, kinds[1].dataType.typeName()) if then is not None else None
+    row = df.agg(F.percentile_approx(x, probs, 1000).alias("q"), *([F.percentile_approx(y, probs, 1000).alias("t")] if then is not None else [])).first()
+
+    def bounds(values):
+        vs = sorted(set(v for v in (values or []) if v is not None))
+        return F.array(*[F.lit(float(v)) for v in vs]) if vs else F.array().cast("array<double>")
+
+    def place(q, v, down):
+        return F.size(F.filter(q, (lambda b: b > v) if down else (lambda b: b < v)))
+
+    b = place(bounds(row["q"]), x, descending)
+    if then is None:
+        return b.cast("int")
+    # of the rows of a bucket those that equal its bound come last; text is cut by its start, so equal numbers may be unequal texts
+    tie = F.array_contains(bounds(row["q"]), x) if kinds[0].dataType.typeName() not in ("string", "binary") else F.lit(False)
+    return ((2 * b + F.coalesce(tie, F.lit(False)).cast("int")) * (num_buckets + 1) + F.when(tie, place(bounds(row["t"]), y, False)).otherwise(0)).cast("int")
 
 
 def _offsets(per_bucket: DataFrame, value: str, total: str | None) -> DataFrame:
@@ -76,8 +97,8 @@ def _offsets(per_bucket: DataFrame, value: str, total: str | None) -> DataFrame:
 def _with_bucket(df: DataFrame, order: Sequence, bucket, num_buckets: int | None, descending: bool) -> DataFrame:
     if bucket is None:
         nb = num_buckets or default_buckets(df)
-        first = _exprs(order)[0]
-        bucket = quantile_bucket(df, first, nb, descending)
+        keys = _exprs(order)
+        bucket = quantile_bucket(df, keys[0], nb, descending, keys[1] if len(keys) > 1 else None)
     return df.withColumn(_B, bucket)
 
 

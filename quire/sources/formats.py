@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -31,6 +31,13 @@ def file_pos() -> Column:
     )
 
 
+def stable_id(df: DataFrame, content: Column) -> Column:
+    """An id from the file, the record's content and its number among equal records of the file: the same however the input
+    is split, so a seeded split on it is reproducible."""
+    w = Window.partitionBy("pos.file", F.xxhash64(content)).orderBy("pos")
+    return F.xxhash64(F.col("pos.file"), content, F.row_number().over(w))
+
+
 def read_jsonl(spark: SparkSession, path, schema: str | Ty.StructType = SENTENCE_SCHEMA, with_pos: bool = True) -> DataFrame:
     """JSON lines with a declared schema; a malformed line fails the job (FAILFAST)."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -55,7 +62,7 @@ def read_token_blocks(spark: SparkSession, path, train: bool = True) -> DataFram
     else:
         tokens = lines
         labels = F.lit(None).cast("array<string>")
-    return b.select(F.monotonically_increasing_id().alias("instance_id"), tokens.alias("tokens"), labels.alias("labels"), "pos")
+    return b.select(stable_id(b, F.col("block")).alias("instance_id"), tokens.alias("tokens"), labels.alias("labels"), "pos")
 
 
 def read_conll(spark: SparkSession, path, sep: str = "\t", comment_prefix: str = "# ", token_field: int = 0,
@@ -78,7 +85,8 @@ def read_conll(spark: SparkSession, path, sep: str = "\t", comment_prefix: str =
     out = sents.select(tokens.alias("tokens"), labels.alias("ner_label"),
                        F.struct(F.col("pos.file"), F.col("pos.block"), F.col("pos.row"), F.col("part")).alias("pos"))
     out = out.filter(F.size("tokens") > 0)
-    return out.select(F.monotonically_increasing_id().alias("sent_id"), F.array_join("tokens", " ").alias("text"),
+    content = F.concat_ws("\u0001", F.col("tokens"), F.lit("\u0002"), F.col("ner_label"))
+    return out.select(stable_id(out, content).alias("sent_id"), F.array_join("tokens", " ").alias("text"),
                       "tokens", "ner_label", "pos")
 
 
@@ -91,7 +99,8 @@ def read_tsv(spark: SparkSession, path, columns: Sequence[str], rename: dict | N
              quotechar: str = '"', header: bool = True) -> DataFrame:
     """Delimited text, every column a string, missing values ``""``; only ``columns`` are
     kept (CSV column pruning); ``rename`` maps file names to ours."""
-    df = spark.read.option("sep", delimiter).option("quote", quotechar).option("header", header).csv(path)
+    df = spark.read.option("sep", delimiter).option("quote", quotechar).option("escape", quotechar).option(
+        "header", header).csv(path)
     rename = rename or {}
     out = df.select(*[F.col(c).cast("string").alias(rename.get(c, c)) for c in columns])
     return out.na.fill("")
@@ -108,8 +117,8 @@ def read_docs_from_txt(spark: SparkSession, path) -> DataFrame:
     (The reference also drops a last document equal to the previous one; de-duplication is U1's job.)"""
     b = _blocks(spark, path, "\n\n")
     lines = F.filter(F.split(F.col("block"), "\n"), lambda l: F.length(T.py_strip(l)) > 0)
-    return b.select(lines.alias("lines"), "pos").filter(F.size("lines") > 0).select(
-        F.monotonically_increasing_id().alias("doc_id"), "lines", "pos")
+    d = b.select(lines.alias("lines"), "pos").filter(F.size("lines") > 0)
+    return d.select(stable_id(d, F.array_join("lines", "\n")).alias("doc_id"), "lines", "pos")
 
 
 SQUAD_SCHEMA = Ty.StructType([
@@ -145,14 +154,13 @@ def read_squad(spark: SparkSession, path) -> DataFrame:
 
 
 # Alias keys of retrieval records.
-RETRIEVAL_POS = ["positive_ctxs", "positive_passages", "positive_contexts", "positive_ctx"]
-RETRIEVAL_NEG = ["hard_negative_ctxs", "hard_negative_passages", "hard_negative_contexts", "hard_negative_ctx"]
+RETRIEVAL_POS = ["positive_contexts", "positive_ctxs", "positive_context", "positive_ctx"]
+RETRIEVAL_NEG = ["hard_negative_contexts", "hard_negative_ctxs", "hard_negative_context", "hard_negative_ctx"]
 
 
 def read_retrieval_json(spark: SparkSession, path, num_positives: int = 1, num_hard_negatives: int = 1) -> DataFrame:
-    """S11 + R10 + R11: retrieval records with alias keys. Query from ``question``/``query``/
-    ``questions``; positives from ``positive_ctxs``/``positive_passages``/``positive_contexts``/
-    ``positive_ctx``; hard negatives likewise. Missing passage id -> ``xxhash64`` of the text.
+    """S11 + R10 + R11: retrieval records with alias keys. Query from ``question``/``questions``/
+    ``query``; positives from ``RETRIEVAL_POS``, hard negatives from ``RETRIEVAL_NEG``. Missing passage id -> ``xxhash64`` of the text.
     Output: ``query, positives, hard_negatives`` (title, text, passage_id structs, sliced)."""
     ctx_t = "array<struct<title:string,text:string,passage_id:string>>"
     keys = {"question": "string", "query": "string", "questions": "string"}
@@ -166,7 +174,7 @@ def read_retrieval_json(spark: SparkSession, path, num_positives: int = 1, num_h
         return F.coalesce(*present) if present else default
 
     ctx_t = "array<struct<title:string,text:string,passage_id:string>>"
-    q = first(["question", "query", "questions"], F.lit(None).cast("string"))
+    q = first(["question", "questions", "query"], F.lit(None).cast("string"))
     pos = first(RETRIEVAL_POS, F.lit(None))
     neg = first(RETRIEVAL_NEG, F.lit(None))
 
@@ -180,17 +188,19 @@ def read_retrieval_json(spark: SparkSession, path, num_positives: int = 1, num_h
                      norm(neg, num_hard_negatives).alias("hard_negatives"))
 
 
+def python_list(col, element: str) -> Column:
+    """A Python list literal (``['a', "don't"]``) as an array: single or double quotes, backslash escapes."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.from_json(c, f"array<{element}>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
+
+
 def read_mtl_csv(spark: SparkSession, path) -> DataFrame:
     """Multi-task CSV whose cells hold Python list literals -> native arrays."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-
-    def lst(c, t):
-        return F.from_json(F.regexp_replace(F.col(c), "'", '"'), f"array<{t}>")
-
     return df.select(
-        F.col("text"), lst("text_tokens", "string").alias("text_tokens"),
-        lst("token_label_iob", "string").alias("token_label_iob"),
-        lst("token_label_binary", "int").alias("token_label_binary"), F.col("text_label").cast("int").alias("text_label"),
+        F.col("text"), python_list("text_tokens", "string").alias("text_tokens"),
+        python_list("token_label_iob", "string").alias("token_label_iob"),
+        python_list("token_label_binary", "int").alias("token_label_binary"), F.col("text_label").cast("int").alias("text_label"),
     )
 
 

@@ -16,12 +16,17 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by=
     w.json(path)
 
 
+def _token_lines(tokens, labels) -> F.Column:
+    """``token<TAB>label`` lines up to the end of the shorter list."""
+    t, l = F.col(tokens), F.col(labels)
+    n = F.least(F.size(t), F.size(l))
+    pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(l, F.lit(1), n), lambda x, y: F.concat(x, F.lit("\t"), F.coalesce(y, F.lit(""))))
+    return F.array_join(pairs, "\n")
+
+
 def token_block(tokens, labels, opener: str = "SAMPLE_START\tO") -> F.Column:
     """One K2 record: opener line, ``token<TAB>label`` lines (pairs stop at the shorter list), blank line."""
-    pairs = F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col(labels).alias("l")),
-                        lambda z: F.concat_ws("\t", z["t"], z["l"]))
-    pairs = F.filter(pairs, lambda x: x.isNotNull())
-    return F.concat(F.lit(opener + "\n"), F.array_join(pairs, "\n"), F.lit("\n"))
+    return F.concat(F.lit(opener + "\n"), _token_lines(tokens, labels), F.lit("\n"))
 
 
 def write_token_blocks(df: DataFrame, path: str, tokens: str = "tokens", labels: str = "labels", order: str = "pos",
@@ -35,12 +40,17 @@ def write_token_blocks(df: DataFrame, path: str, tokens: str = "tokens", labels:
     w.text(path)
 
 
+CONLL_HEADER = "-DOCSTART- O\n"
+
+
 def write_conll(df: DataFrame, path: str, tokens: str = "tokens", labels: str = "ner_label", order: str = "pos",
                 mode: str = "overwrite") -> None:
-    """K3: ``token<TAB>label`` lines, a blank line after every sentence."""
-    pairs = F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col(labels).alias("l")), lambda z: F.concat_ws("\t", z["t"], z["l"]))
-    out = df.orderBy(order) if order in df.columns else df
-    out.select(F.concat(F.array_join(F.filter(pairs, lambda x: x.isNotNull()), "\n"), F.lit("\n")).alias("value")).write.mode(mode).text(path)
+    """K3: a ``-DOCSTART-`` header (once, before the first sentence), ``token<TAB>label`` lines, a blank line after every sentence."""
+    rows = df.select(F.concat(_token_lines(tokens, labels), F.lit("\n")).alias("value"), F.lit(1).alias("__part"),
+                     *([F.col(order).alias("__order")] if order in df.columns else [F.lit(None).cast("int").alias("__order")]))
+    header = df.sparkSession.range(1).select(F.lit(CONLL_HEADER).alias("value"), F.lit(0).alias("__part"),
+                                             F.lit(None).cast(rows.schema["__order"].dataType).alias("__order"))
+    header.unionByName(rows).orderBy("__part", "__order").select("value").write.mode(mode).text(path)
 
 
 def sentence_to_tsv(df: DataFrame, path: str, text: str = "text", cols=("id", "text", "label"), drop_empty: bool = True,
@@ -50,7 +60,7 @@ def sentence_to_tsv(df: DataFrame, path: str, text: str = "text", cols=("id", "t
     out = df.withColumn(text, T.preprocess_text(F.col(text)))
     if drop_empty:
         out = out.filter(F.length(text) > 0)
-    out.select(*cols).write.mode(mode).option("sep", "\t").option("header", True).csv(path)
+    out.select(*cols).write.mode(mode).option("sep", "\t").option("escape", '"').option("header", True).csv(path)
 
 
 def write_lm_text(df: DataFrame, path: str, sentences: str = "sentences", per_document: bool = True, mode: str = "overwrite") -> None:

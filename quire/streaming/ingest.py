@@ -6,9 +6,9 @@ The same column functions run in batch and streaming; the stream only changes th
 X5 de-duplicating ingest keeps the set of seen content digests in a Delta-free way: every
 micro-batch is de-duplicated inside itself (keep first by ``order``), anti-joined against the
 digests stored by EARLIER epochs, and written to its own ``epoch=<id>`` folder with overwrite.
-A micro-batch that is retried after a lost executor or a restart rewrites exactly its own folder,
-so the sink is idempotent (exactly-once together with the checkpoint). The state is the output
-table itself on the shared file system; its size is bounded by the number of distinct documents,
+A micro-batch that is retried after a lost executor or a restart rewrites exactly its own folders,
+so the sink is idempotent (exactly-once together with the checkpoint). The state is a table of digests
+on the shared file system, in buckets; its size is bounded by the number of distinct documents,
 not by a watermark.
 """
 
@@ -31,25 +31,53 @@ def cleaned(stream: DataFrame, text: str = "text") -> DataFrame:
     return stream.withColumn(text, T.preprocess_text(F.col(text))).filter(F.length(text) > 0)
 
 
+BUCKETS = 64
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there; any other fault of the file system is raised."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def dedup_ingest(stream: DataFrame, out_path: str, checkpoint: str, key: str = "text", order: str = "doc_id",
                  min_docs: int = 1, trigger_once: bool = True):
     """X5 (+X4): de-duplicating append of a document stream to ``out_path`` (Parquet).
 
-    ``min_docs``: micro-batches with fewer rows are skipped (X4 guard for pair tasks)."""
+    The digests seen so far are a table of their own, ``<out_path>_digests``, partitioned by a bucket of the digest:
+    a micro-batch reads two numbers a row of the buckets it touches, never the documents. The first batch is
+    told by the missing folder; a read that fails for another reason fails the batch, which is then retried
+    from the checkpoint. Documents and digests of an epoch go to folders of that epoch, overwritten on retry.
+
+    ``min_docs`` (X4, for tasks that need several documents at once): the rows of a smaller micro-batch are not lost but
+    carried over, in ``<out_path>_carried``, and join the next one."""
     spark = stream.sparkSession
+    digests, carried = f"{out_path}_digests", f"{out_path}_carried"
 
     def handle(batch: DataFrame, epoch: int) -> None:
+        columns = batch.columns
+        if min_docs > 1 and _exists(spark, carried):
+            # what epoch n carries is the whole backlog before epoch n + 1
+            waiting = spark.read.parquet(carried)
+            last = waiting.filter(F.col("epoch") < epoch).agg(F.max("epoch")).first()[0]
+            done = _exists(spark, out_path) and last is not None and spark.read.parquet(out_path).filter(
+                (F.col("epoch") > last) & (F.col("epoch") < epoch)).limit(1).count() > 0
+            if last is not None and not done:
+                batch = batch.unionByName(waiting.filter(F.col("epoch") == last).select(*columns))
         if min_docs > 1 and batch.limit(min_docs).count() < min_docs:
+            batch.write.mode("overwrite").parquet(f"{carried}/epoch={epoch}")
             return
         dg = batch.select("*", *content_digest(key))
-        first = dg.groupBy("__dg1", "__dg2").agg(F.min_by(F.struct(*batch.columns), F.col(order)).alias("r"))
-        first = first.select("__dg1", "__dg2", "r.*")
-        try:
-            seen = spark.read.parquet(out_path).filter(F.col("epoch") < epoch).select("__dg1", "__dg2")
-            first = first.join(seen, ["__dg1", "__dg2"], "left_anti")
-        except Exception:  # first batch: no table yet
-            pass
-        first.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        first = dg.groupBy("__dg1", "__dg2").agg(F.min_by(F.struct(*columns), F.col(order)).alias("r"))
+        first = first.select("__dg1", "__dg2", "r.*").withColumn("__bucket", F.pmod("__dg1", F.lit(BUCKETS)).cast("int"))
+        if _exists(spark, digests):
+            seen = spark.read.parquet(digests).filter(F.col("epoch") < epoch).select("__bucket", "__dg1", "__dg2")
+            first = first.join(seen, ["__bucket", "__dg1", "__dg2"], "left_anti")
+        first.drop("__bucket").write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        # written last, from what was stored: digests never name a document that is not there
+        kept = spark.read.parquet(f"{out_path}/epoch={epoch}").select(
+            "__dg1", "__dg2", F.pmod("__dg1", F.lit(BUCKETS)).cast("int").alias("__bucket"))
+        kept.write.mode("overwrite").partitionBy("__bucket").parquet(f"{digests}/epoch={epoch}")
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w

@@ -118,3 +118,48 @@ def test_split_files(spark, tmp_path):
     out = str(tmp_path / "parts")
     R.split_files(df, out, 30)
     assert spark.read.parquet(out).count() == 100
+
+
+def test_shorter_label_list_ends_the_block(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a", "b", "c"], ["O", "O"]), (2, ["x"], ["O", "B"])], "pos int, tokens array<string>, ner_label array<string>")
+    lines = df.select(W.token_block("tokens", "ner_label").alias("b")).collect()
+    assert [r.b for r in lines] == ["SAMPLE_START\tO\na\tO\nb\tO\n", "SAMPLE_START\tO\nx\tO\n"]
+    W.write_conll(df, str(tmp_path / "c"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "c")).collect())
+    assert text.startswith("-DOCSTART-") and text.count("-DOCSTART-") == 1 and "c\t" not in text
+    back = R.read_conll(spark, str(tmp_path / "c")).select("tokens", "ner_label").collect()
+    assert sorted((tuple(r.tokens), tuple(r.ner_label)) for r in back) == [(("a", "b"), ("O", "O")), (("x",), ("O",))]
+
+
+def test_quotes_survive_delimited_text(spark, tmp_path):
+    rows = [("1", 'say "hi" now', "a"), ("2", 'tab\there', "b"), ("3", "plain", "c")]
+    df = spark.createDataFrame(rows, "id string, text string, label string")
+    df.write.option("sep", "\t").option("escape", '"').option("header", True).csv(str(tmp_path / "t"))
+    back = R.read_tsv(spark, str(tmp_path / "t"), ["id", "text", "label"])
+    assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_python_lists_with_apostrophes(spark):
+    df = spark.createDataFrame([("""['a', "don't", 'x"y', 'it\\'s']""", "[0, 1]")], "t string, n string")
+    r = df.select(R.python_list("t", "string").alias("t"), R.python_list("n", "int").alias("n")).first()
+    assert r.t == ["a", "don't", 'x"y', "it's"] and r.n == [0, 1]
+
+
+def test_alias_keys_of_retrieval_records(spark, tmp_path):
+    (tmp_path / "r.json").write_text('[{"query": "q?", "positive_context": [{"title": "t", "text": "p"}], "hard_negative_contexts": [{"text": "n"}]}]')
+    r = R.read_retrieval_json(spark, str(tmp_path / "r.json")).first()
+    assert (r.query, r.positives[0].text, r.hard_negatives[0].text) == ("q", "p", "n")
+
+
+def test_ids_do_not_depend_on_the_split(spark, tmp_path):
+    blocks = "".join(f"SAMPLE_START\tO\ntok{i % 40}\tO\n" for i in range(400))
+    (tmp_path / "f.txt").write_text(blocks)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        ids = []
+        for size in ("128m", "700b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            ids.append(sorted((r.instance_id, tuple(r.tokens)) for r in R.read_token_blocks(spark, str(tmp_path / "f.txt")).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert ids[0] == ids[1] and len({i for i, _ in ids[0]}) == 400
