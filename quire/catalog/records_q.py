@@ -133,7 +133,7 @@ def length_stats(spark, sf_dir):
 )
 def dataset_fingerprint(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.agg(F.count(F.lit(1)).cast("long").alias("n_rows"), F.bit_xor(seeded_hash("fp", "doc_id", F.md5("text"))).alias("xor_hash"))
+    return corpus.fingerprint(d, hashed=seeded_hash("fp", "doc_id", F.md5("text"))).select("n_rows", "xor_hash")
 
 
 @register(

@@ -20,4 +20,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     # importing the modules fills the registry
-    from quire.catalog import corpus_q, extra_q, leakage_q, metrics_q, qa_q, ranking_q, records_q, splits_q, vectors_q  # noqa: F401
+    from quire.catalog import corpus_q, extra_q, formats_q, leakage_q, metrics_q, qa_q, ranking_q, records_q, splits_q, vectors_q  # noqa: F401

@@ -140,10 +140,10 @@ def trim_vocabulary(vocab: DataFrame, min_count: int, specials: Sequence[str] =
     return ordered_index(kept, [-F.col("n"), F.col("word")], name="index")
 
 
-def fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Order-free fingerprint of a table: row count, xor and sum of per-row 64-bit hashes."""
-    cols = list(cols or df.columns)
-    h = F.xxhash64(*[F.col(c) for c in cols])
+def fingerprint(df: DataFrame, cols: Sequence[str] | None = None, hashed: Column | None = None) -> DataFrame:
+    """Order-free fingerprint of a table: row count, xor and sum of per-row 64-bit hashes
+    (``xxhash64`` of the columns, or ``hashed``)."""
+    h = hashed if hashed is not None else F.xxhash64(*[F.col(c) for c in (cols or df.columns)])
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.bit_xor(h).alias("xor_hash"),

@@ -222,10 +222,16 @@ def ranking_duplicates(run: DataFrame, qid: str = "qid", pid: str = "pid") -> Da
 
 
 def top_passage_quality(df: DataFrame, qid: str, score: str, label: str, tie: Sequence[str]) -> DataFrame:
-    """Rank-1 flag per query vs the label, accuracy and F1 over all query x passage cells."""
-    w = Window.partitionBy(qid).orderBy(F.desc(score), *[F.col(t) for t in tie])
-    flagged = df.withColumn("pred", (F.row_number().over(w) == 1).cast("int"))
-    return binary_f1(flagged.withColumn("y", F.col(label).cast("int")), "y", "pred")
+    """Rank-1 flag per query vs the label, accuracy, F1 and their mean over all query x passage cells. The top passage's
+    label comes from a ``min_by`` aggregate (partial per task), so a query with very many passages is not sorted in one."""
+    y = F.col(label).cast("int")
+    per = df.groupBy(qid).agg(F.min_by(y, F.struct((-F.col(score)).alias("s"), *[F.col(t) for t in tie])).alias("top"),
+                              F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
+    t = per.agg(F.sum("top").alias("tp"), F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("q"))
+    tp, fp, fn = F.col("tp"), F.col("q") - F.col("tp"), F.col("pos") - F.col("tp")
+    acc = (F.col("n") - fp - fn) / F.col("n")
+    f1 = F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
+    return t.select(acc.alias("acc"), f1.alias("f1"), ((acc + f1) / 2).alias("acc_and_f1"))
 
 
 def positive_rank(df: DataFrame, qid: str, score: str, label: str, tie: Sequence[str]) -> DataFrame:
@@ -257,18 +263,24 @@ def dev_ranking_table(run: DataFrame, qrels: DataFrame, queries: DataFrame, pass
             .withColumn("label", F.coalesce("__hit", F.lit(0))).drop("__hit"))
 
 
-def temperature_fit(df: DataFrame, logits: str, label: str, grid=None) -> DataFrame:
-    """One-parameter temperature calibration: the NLL of ``softmax(logits / T)`` summed over
+def temperature_fit(df: DataFrame, logits, label, grid=None) -> DataFrame:
+    """One-parameter temperature calibration; ``logits`` and ``label`` are column names, or lists of them whose losses are
+    added (start and end of a span; a label below 0 counts as 0): the NLL of ``softmax(logits / T)`` summed over
     rows for every temperature of a grid (exploded, aggregated per temperature), arg-min, then
     two refinements around it. Returns ``temperature, nll``."""
     import numpy as np
 
+    pairs = [(logits, label)] if isinstance(logits, str) else list(zip(logits, label))
+
+    def loss(l, y):
+        scaled = F.transform(F.col(l), lambda x: x / F.col("T"))
+        # around the maximum, so that large logits do not overflow
+        return L.let(scaled, lambda v: L.let(F.array_max(v), lambda m: m + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - m))))
+                     ) - F.get(F.col(l), F.least(F.greatest(F.col(y), F.lit(0)), F.size(F.col(l)) - 1)) / F.col("T")
+
     def nll_for(ts):
-        t = df.select(F.col(logits).alias("__l"), F.col(label).alias("__y")).withColumn(
-            "T", F.explode(F.array(*[F.lit(float(x)) for x in ts])))
-        z = F.aggregate(F.col("__l"), F.lit(0.0), lambda a, x: a + F.exp(x / F.col("T")))
-        nll = F.log(z) - F.get("__l", F.col("__y")) / F.col("T")
-        return t.groupBy("T").agg(F.sum(nll).alias("nll"))
+        t = df.select(*{c for p in pairs for c in p}).withColumn("T", F.explode(F.array(*[F.lit(float(x)) for x in ts])))
+        return t.groupBy("T").agg(F.sum(sum((loss(l, y) for l, y in pairs[1:]), loss(*pairs[0]))).alias("nll"))
 
     grid = list(grid or np.round(np.linspace(0.25, 4.0, 16), 4))
     best = nll_for(grid).orderBy("nll", "T").first()

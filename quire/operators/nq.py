@@ -19,13 +19,19 @@ def window_length(max_seq_len: int, question_len, n_special: int = 3) -> Column:
 
 
 def annotation_has_no_answer(ann) -> Column:
-    """Q5: an annotation is "no answer" when its long answer and all short answers are (-1, -1)."""
+    """Part of Q7/Q9: an annotation is "no answer" when its long answer and all short answers are (-1, -1)."""
     a = _c(ann)
     long_none = (a["long_answer"]["start_token"] <= -1) & (a["long_answer"]["end_token"] <= -1)
     shorts = F.coalesce(a["short_answers"], F.array())
     return long_none & F.forall(shorts, lambda s: (s["start_token"] <= -1) & (s["end_token"] <= -1))
 
 
+def answer_in_passage(start, end, passage_len) -> Column:
+    """Q5: whether a token span lies inside a passage of ``passage_len`` tokens: ``0 <= start < len`` and ``0 < end < len``."""
+    st, en, n = _c(start), _c(end), _c(passage_len)
+    return (st >= 0) & (st < n) & (en > 0) & (en < n)
+
+
 def sample_has_no_answer(answers, passage_start_t, passage_len) -> Column:
     """Q7: a passage sample is "no answer" when it has no answer, the first answer starts before
     the passage or ends after it, or its type is ``no_answer``."""
@@ -73,14 +79,36 @@ def nq_to_squad(df: DataFrame, text: str = "document_text", annotations: str = "
         .withColumn("answer_type", typ)
 
 
-def crop_no_answer_document(df: DataFrame, text: str, annotations: str, max_seq_len: int, context: int, seed: int,
-                            key: str) -> DataFrame:
-    """Q9: with exactly one annotation and no answer, keep only the first
-    ``max_seq_len + 1 + h mod context`` tokens of the document (seeded margin)."""
+def crop_document(df: DataFrame, text: str, annotations: str, max_seq_len: int, context: int, seed: int, key: str) -> DataFrame:
+    """Q9: shorten documents with exactly one annotation.
+
+    Without an answer only the first ``max_seq_len + m`` tokens stay. With one, the tokens from the earliest start
+    minus ``m`` to the latest end plus ``m'`` stay, and the annotation's offsets are shifted to the crop. The margins are
+    ``1 + seeded hash mod context``. Adds ``crop_start``, the number of tokens cut at the front."""
+    ann = _c(annotations)
+    a = F.get(ann, 0)
+    shorts = F.coalesce(a["short_answers"], F.array().cast("array<struct<start_token:int,end_token:int>>"))
+    one = F.size(ann) == 1
+    none = annotation_has_no_answer(a)
+
+    def margin(n):
+        return (seeded_hash(seed + n, key) % context + 1).cast("int")
+
+    first = F.least(a["long_answer"]["start_token"], F.array_min(F.transform(shorts, lambda s: s["start_token"])))
+    last = F.greatest(a["long_answer"]["end_token"], F.array_max(F.transform(shorts, lambda s: s["end_token"])))
+    start = F.when(one & ~none, F.greatest(first - margin(0), F.lit(0))).otherwise(0)
+    keep = F.when(one & none, F.lit(max_seq_len) + margin(0)).when(one, last + margin(1) - start)
+    d = df.withColumn("crop_start", start.cast("int")).withColumn("__keep", keep.cast("int"))
     toks = F.split(_c(text), " ")
-    keep = F.lit(max_seq_len) + 1 + (seeded_hash(seed, key) % context).cast("int")
-    one_none = (F.size(_c(annotations)) == 1) & annotation_has_no_answer(F.get(_c(annotations), 0))
-    return df.withColumn(text, F.when(one_none, F.array_join(F.slice(toks, 1, keep), " ")).otherwise(_c(text)))
+    at = F.col("crop_start")
+
+    def shifted(x):
+        return x.withField("start_token", x["start_token"] - at).withField("end_token", x["end_token"] - at)
+
+    moved = F.transform(ann, lambda x: x.withField("long_answer", shifted(x["long_answer"])).withField(
+        "short_answers", F.transform(x["short_answers"], shifted)))
+    return d.withColumn(text, F.when(F.col("__keep").isNotNull(), F.array_join(F.slice(toks, at + 1, F.greatest(F.col("__keep"), F.lit(0))), " "))
+                        .otherwise(_c(text))).withColumn(annotations, F.when(at > 0, moved).otherwise(ann)).drop("__keep")
 
 
 def format_qa_result(df: DataFrame, qid: str, answers: str, squad: bool = False) -> DataFrame:

@@ -91,21 +91,24 @@ def squad_summary(scored: DataFrame) -> DataFrame:
     )
 
 
-def best_threshold(scored: DataFrame, score: str, na_prob: str, pred: str, order: str) -> DataFrame:
+def best_threshold(scored: DataFrame, score: str, na_prob: str, pred: str, order: str, has_ans_average: bool = False) -> DataFrame:
     """Sweep the no-answer threshold over questions sorted by ``na_prob`` (ties by
     ``order``). Start = number of unanswerable questions, threshold 0.0; each question adds its
     score (answerable), -1 (unanswerable with a non-empty prediction) or 0; the first strict
-    maximum wins. Output ``best_<score>`` (x100) and ``best_<score>_thresh``."""
+    maximum wins. Output ``best_<score>`` (x100) and ``best_<score>_thresh``; with ``has_ans_average`` (the second version
+    of the search) also ``<score>_has_ans``, the mean score of the answerable questions (not x100)."""
     diff = F.when(F.col("has_ans"), F.col(score)).when(F.length(F.col(pred)) > 0, F.lit(-1.0)).otherwise(F.lit(0.0))
     base = scored.select(F.col(na_prob).alias("p"), F.col(order).alias("o"), diff.alias("d"), F.col("has_ans"))
     cum = prefix_sum(base, ["p", "o"], "d", name="cum")
-    tot = base.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("has_ans")).alias("n_no"))
+    tot = base.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("has_ans")).alias("n_no"),
+                   F.avg(F.when(F.col("has_ans"), F.col("d"))).alias("has_avg"))
     best = cum.agg(F.max("cum").alias("mx"), F.min_by("p", F.struct(-F.col("cum"), F.col("p"), F.col("o"))).alias("pt"))
     r = scalar_join(tot, best)
     better = F.col("n_no") + F.col("mx") > F.col("n_no")
     return r.select(
         (100.0 * F.greatest(F.col("n_no").cast("double"), F.col("n_no") + F.col("mx")) / F.col("n")).alias(f"best_{score}"),
         F.when(better, F.col("pt")).otherwise(F.lit(0.0)).alias(f"best_{score}_thresh"),
+        *([F.col("has_avg").alias(f"{score}_has_ans")] if has_ans_average else []),
     )
 
 

@@ -37,12 +37,15 @@ def next_sentence_pairs(docs: DataFrame, doc_id: str, lines: str, seed: int = 0,
     pairs = pairs.withColumn("__u", seeded_unit(seed, doc_id, "line_no")).withColumn("is_next", F.col("__u") < p_next)
     h = seeded_hash(seed + 1, doc_id, "line_no")
     pairs = pairs.withColumn("__partner", (F.col("__i") + 1 + h % F.greatest(F.col("__n") - 1, F.lit(1))) % F.col("__n"))
-    part = idx.select(F.col("__i").alias("__partner"), F.col(doc_id).alias("partner_doc"), F.col(lines).alias("__pl"))
-    j = pairs.join(part, "__partner", "left")
-    pick = F.get("__pl", (seeded_hash(seed + 2, doc_id, "line_no") % F.greatest(F.size("__pl"), F.lit(1))).cast("int"))
-    return j.select(doc_id, "line_no", F.col("z.a").alias("first"),
-                    F.when(F.col("is_next"), F.col("z.b")).otherwise(pick).alias("second"), "is_next",
-                    F.when(F.col("is_next"), F.lit(None)).otherwise(F.col("partner_doc")).alias("partner_doc"))
+    own = pairs.filter("is_next").select(doc_id, "line_no", F.col("z.a").alias("first"), F.col("z.b").alias("second"), "is_next",
+                                         F.lit(None).cast(docs.schema[doc_id].dataType).alias("partner_doc"))
+    # only replaced rows are joined, first with the partner's number of lines, then with one of its lines
+    about = idx.select(F.col("__i").alias("__partner"), F.col(doc_id).alias("partner_doc"), F.size(_c(lines)).alias("__size"))
+    every = idx.select(F.col("__i").alias("__partner"), F.posexplode(_c(lines)).alias("__k", "second"))
+    other = pairs.filter(~F.col("is_next")).join(about, "__partner").withColumn(
+        "__k", (seeded_hash(seed + 2, doc_id, "line_no") % F.greatest(F.col("__size"), F.lit(1))).cast("int"))
+    other = other.join(every, ["__partner", "__k"], "left")
+    return own.unionByName(other.select(doc_id, "line_no", F.col("z.a").alias("first"), "second", "is_next", "partner_doc"))
 
 
 def fill_to_budget(lengths: Column, budget: int) -> Column:
@@ -80,8 +83,8 @@ def label_ids(df: DataFrame, label: str, label_list: list[str], out: str = "labe
     pos = F.array_position(F.array(*[F.lit(x) for x in label_list]), _c(label)) - 1
     tagged = df.withColumn(out, pos.cast("int"))
     good = tagged.filter(F.col(out) >= 0)
-    rejected = tagged.filter(F.col(out) < 0).drop(out).withColumn("operator", F.lit("label_ids")).withColumn(
-        "reason", F.concat(F.lit("unknown label: "), _c(label).cast("string")))
+    rejected = tagged.filter((F.col(out) < 0) | F.col(out).isNull()).drop(out).withColumn("operator", F.lit("label_ids")).withColumn(
+        "reason", F.coalesce(F.concat(F.lit("unknown label: "), _c(label).cast("string")), F.lit("no label")))
     return good, rejected
 
 

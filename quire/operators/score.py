@@ -28,22 +28,74 @@ def register_metric(name: str, fn: Callable | None = None):
     return deco(fn) if fn is not None else deco
 
 
+REPORTS: dict[str, Callable] = {}
+
+
+def register_report(name: str, fn: Callable | None = None):
+    """register a report ``fn(df, **columns) -> DataFrame`` for an output type (``per_token``, ...); usable as decorator. A name
+    that is registered again is replaced."""
+    def deco(f):
+        REPORTS[name] = f
+        return f
+
+    return deco(fn) if fn is not None else deco
+
+
+def report(df: DataFrame, name: str, **kw) -> DataFrame:
+    """the report registered for an output type; an unknown type raises ``KeyError``."""
+    return REPORTS[name](df, **kw)
+
+
 def compute_metrics(df: DataFrame, names, **kw) -> DataFrame:
-    """Evaluate several registered metrics and return them side by side (one row).
-    Unknown names raise ``KeyError``."""
+    """Evaluate registered metrics and return them side by side (one row). ``names`` is a name, a function, or a list of
+    these, nested as deep as wanted; a column computed twice stays once, the later one. Unknown names raise ``KeyError``."""
     from quire.operators.metrics import scalar_join
 
-    frames = [METRICS[n](df, **kw) for n in names]
-    return scalar_join(*frames)
+    def flat(x):
+        return [f for y in x for f in flat(y)] if isinstance(x, (list, tuple)) else [x]
+
+    frames, seen = [], set()
+    for n in reversed(flat(names)):
+        one = n(df, **kw) if callable(n) else METRICS[n](df, **kw)
+        fresh = [c for c in one.columns if c not in seen]
+        seen |= set(fresh)
+        if fresh:
+            frames.append(F.broadcast(one.select(*fresh)))  # one row each
+    return scalar_join(*reversed(frames))
+
+
+# Names of the predefined metrics.
+PREDEFINED = ["mcc", "acc", "acc_f1", "pear_spear", "seq_f1", "f1_macro", "squad", "mse", "r2", "top_n_accuracy", "text_similarity_metric"]
 
 
 def _builtin():
     from quire.operators import metrics as M
+    from quire.operators import qa as Q
+    from quire.operators import vectors as V
+
+    def columns(fn, *names, **renamed):
+        def run(df, **kw):
+            r = fn(df, **kw)
+            return r.select(*names, *[F.col(a).alias(b) for a, b in renamed.items()])
+        return run
 
     register_metric("acc", M.accuracy)
     register_metric("f1_macro", M.macro_f1)
     register_metric("acc_f1", M.binary_f1)
     register_metric("mcc", M.mcc)
+    register_metric("pear_spear", columns(M.regression, "pearson", "spearman", corr_mean="corr"))
+    register_metric("mse", columns(M.regression, "mse"))
+    # the predefined name takes the predictions for the truth
+    register_metric("r2", columns(M.regression, r2_swapped="r2"))
+    register_metric("seq_f1", lambda df, id_col="id", labels="labels", preds="preds": M.entity_f1(df, id_col, labels, preds).select(F.col("f1").alias("seq_f1")))
+    register_metric("squad", lambda df, cands="cands", labels="labels": Q.span_metrics(df, cands, labels))
+    register_metric("top_n_accuracy", lambda df, cands="cands", labels="labels": Q.span_metrics(df, cands, labels).select(F.col("top_n").alias("top_n_accuracy")))
+    register_metric("text_similarity_metric", lambda df, qid="qid", score="score", label="label", tie=("pid",): V.scalar_join(
+        M.top_passage_quality(df, qid, score, label, list(tie)), F.broadcast(M.positive_rank(df, qid, score, label, list(tie)))))
+    register_report("per_sequence", M.class_report)
+    register_report("per_token", lambda df, id_col="id", labels="labels", preds="preds": M.entity_f1(df, id_col, labels, preds))
+    register_report("per_token_squad", lambda df, cands="cands", labels="labels": Q.span_metrics(df, cands, labels))
+    register_report("regression", M.regression)
 
 
 _builtin()

@@ -49,10 +49,42 @@ def pool(df: DataFrame, vec: str, group: list[str]) -> DataFrame:
     return per_dim_stats(df, vec, group)
 
 
-def remove_mean(df: DataFrame, vec: str, out: str = "centered") -> DataFrame:
-    """Subtract the corpus mean vector (one broadcast row of dimension size)."""
+def extract_vector(token_vectors, strategy: str, mask=None, ignore_first: bool = True, pooled=None) -> Column:
+    """Q24: one vector from a sequence's token vectors (``array<array<double>>``): ``cls_token`` (the first), ``pooled`` (the given
+    column), ``per_token`` (all), ``reduce_mean`` or ``reduce_max`` over the tokens whose ``mask`` is not 0, without the first if
+    ``ignore_first``. In-row; NULL if no token is left."""
+    from quire.functions.labels import let
+
+    v = _c(token_vectors)
+    if strategy == "cls_token":
+        return F.get(v, 0)
+    if strategy == "pooled":
+        return _c(pooled)
+    if strategy == "per_token":
+        return v
+    if strategy not in ("reduce_mean", "reduce_max"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    keep = (lambda x, i: (i > 0) | F.lit(not ignore_first)) if mask is None else (
+        lambda x, i: ((i > 0) | F.lit(not ignore_first)) & (F.get(_c(mask), i) != 0))
+    used = F.filter(v, keep)
+
+    def reduce(rows):
+        rest = F.slice(rows, 2, 1 << 30)
+        if strategy == "reduce_max":
+            return F.aggregate(rest, F.get(rows, 0), lambda acc, x: F.zip_with(acc, x, lambda a, b: F.greatest(a, b)))
+        return F.aggregate(rest, F.get(rows, 0), lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b),
+                           lambda acc: F.transform(acc, lambda a: a / F.size(rows)))
+
+    return let(used, lambda rows: F.when(F.size(rows) > 0, reduce(rows)))
+
+
+def remove_mean(df: DataFrame, vec: str, out: str = "centered", special: Column | None = None) -> DataFrame:
+    """Subtract the corpus mean vector (one broadcast row of dimension size). Rows for which ``special`` holds (special
+    tokens) take the mean vector itself."""
     m = per_dim_stats(df, vec).select(F.col("mean").alias("__mean"))
-    return scalar_join(df, F.broadcast(m)).withColumn(out, F.zip_with(_c(vec), F.col("__mean"), lambda x, y: x - y)).drop("__mean")
+    centred = F.zip_with(_c(vec), F.col("__mean"), lambda x, y: x - y)
+    value = centred if special is None else F.when(special, F.col("__mean")).otherwise(centred)
+    return scalar_join(df, F.broadcast(m)).withColumn(out, value).drop("__mean")
 
 
 def remove_top_components(df: DataFrame, vec: str, k: int = 1, out: str = "reduced") -> DataFrame:
@@ -147,7 +179,7 @@ def s3e_embed(sent_tokens: DataFrame, sent_id: str, tokens: str, model: DataFram
     Distinct tokens of a sentence are joined with the model table (vocabulary-sized); the
     sentence's tokens are regrouped (a group is one input sentence) and everything else is
     in-row array arithmetic against the k x d centroid literal. Tokens without a vector are
-    ignored. Output: ``sent_id, embedding ARRAY<DOUBLE>``."""
+    ignored; a sentence without any known token has a NULL embedding. Output: ``sent_id, embedding ARRAY<DOUBLE>``."""
     k = len(centroids)
     toks = sent_tokens.select(sent_id, F.explode(F.array_distinct(F.col(tokens))).alias("token")).join(model, "token")
     g = toks.groupBy(sent_id).agg(F.collect_list(F.struct("weight", "cluster", F.col("vec").cast("array<double>").alias("vec"))).alias("t"))
@@ -174,7 +206,8 @@ def s3e_embed(sent_tokens: DataFrame, sent_id: str, tokens: str, model: DataFram
 
     cov = let(centered, lambda m: F.array(*[cov_entry(m, i, j) for i, j in pairs]))
     normed = let(cov, lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y))))
-    return g.select(sent_id, F.concat(wmean, normed).alias("embedding"))
+    known = g.select(sent_id, F.concat(wmean, normed).alias("embedding"))
+    return sent_tokens.select(sent_id).join(known, sent_id, "left")
 
 
 def vocab_vectors(vocab: DataFrame, vectors: DataFrame, specials=("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from quire.functions import text as T
+from quire.functions.labels import let
 
 SENTENCE_SCHEMA = "id BIGINT, sentence STRING, label INT"
 DOCUMENT_SCHEMA = "id BIGINT, text STRING"
@@ -31,6 +32,10 @@ def file_pos() -> Column:
     )
 
 
+def _col(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
 def stable_id(df: DataFrame, content: Column) -> Column:
     """An id from the file, the record's content and its number among equal records of the file: the same however the input
     is split, so a seeded split on it is reproducible."""
@@ -48,21 +53,22 @@ def _blocks(spark: SparkSession, path, sep: str) -> DataFrame:
     return spark.read.option("lineSep", sep).text(path).select(F.col("value").alias("block"), file_pos().alias("pos"))
 
 
+def parse_token_block(block, train: bool = True) -> Column:
+    """S3, one record without its opener: ``struct<tokens,labels>``; per line ``token<TAB>label``, token stripped, label = field 1;
+    test records hold tokens only (whole lines) and NULL labels."""
+    lines = F.split(T.py_strip(_col(block)), "\n")
+    if not train:
+        return F.struct(lines.alias("tokens"), F.lit(None).cast("array<string>").alias("labels"))
+    return let(F.transform(lines, lambda l: F.split(l, "\t")), lambda fields: F.struct(
+        F.transform(fields, lambda f: T.py_strip(F.get(f, 0))).alias("tokens"), F.transform(fields, lambda f: F.get(f, 1)).alias("labels")))
+
+
 def read_token_blocks(spark: SparkSession, path, train: bool = True) -> DataFrame:
     """S3: blocks opened by ``SAMPLE_START\\tO`` (train) or ``SAMPLE_START`` (test); a block of
-    length <= 1 is dropped; per line ``token<TAB>label``; token stripped, label = field 1.
-    Test files yield tokens only (whole lines) and NULL labels.
-    Output: ``instance_id, tokens, labels, pos``."""
+    length <= 1 is dropped; each is read by ``parse_token_block``. Output: ``instance_id, tokens, labels, pos``."""
     b = _blocks(spark, path, "SAMPLE_START\tO" if train else "SAMPLE_START").filter(F.length("block") > 1)
-    lines = F.split(T.py_strip(F.col("block")), "\n")
-    if train:
-        fields = F.transform(lines, lambda l: F.split(l, "\t"))
-        tokens = F.transform(fields, lambda f: T.py_strip(F.get(f, 0)))
-        labels = F.transform(fields, lambda f: F.get(f, 1))
-    else:
-        tokens = lines
-        labels = F.lit(None).cast("array<string>")
-    return b.select(stable_id(b, F.col("block")).alias("instance_id"), tokens.alias("tokens"), labels.alias("labels"), "pos")
+    return b.select(stable_id(b, F.col("block")).alias("instance_id"), parse_token_block("block", train).alias("x"), "pos").select(
+        "instance_id", "x.tokens", "x.labels", "pos")
 
 
 def read_conll(spark: SparkSession, path, sep: str = "\t", comment_prefix: str = "# ", token_field: int = 0,
@@ -72,24 +78,32 @@ def read_conll(spark: SparkSession, path, sep: str = "\t", comment_prefix: str =
     tokens) are skipped; token = ``token_field``, label = ``label_field`` (GermEval: 1 and -2), empty
     label -> ``O``. Output: ``sent_id, text, tokens, ner_label, pos``."""
     b = _blocks(spark, path, "\n\n")
-    parts = F.split(F.col("block"), "(?m)^[^\n]*-DOCSTART-[^\n]*$")
-    sents = b.select(F.posexplode(parts).alias("part", "s"), "pos")
-    lines = F.filter(F.split(F.col("s"), "\n"), lambda l: (F.length(T.py_strip(l)) > 0) & ~l.startswith(comment_prefix))
-    fields = F.transform(lines, lambda l: F.split(l, sep))
-
-    def pick(f, i):
-        return F.get(f, i) if i >= 0 else F.get(f, F.size(f) + i)
-
-    tokens = F.transform(fields, lambda f: pick(f, token_field))
-    labels = F.transform(fields, lambda f: F.when(pick(f, label_field) == "", "O").otherwise(T.py_strip(pick(f, label_field))))
-    out = sents.select(tokens.alias("tokens"), labels.alias("ner_label"),
+    sents = b.select(F.posexplode(conll_sentences("block")).alias("part", "s"), "pos")
+    out = sents.select(parse_conll_sentence("s", sep, comment_prefix, token_field, label_field).alias("x"),
                        F.struct(F.col("pos.file"), F.col("pos.block"), F.col("pos.row"), F.col("part")).alias("pos"))
-    out = out.filter(F.size("tokens") > 0)
+    out = out.select(F.col("x.tokens").alias("tokens"), F.col("x.labels").alias("ner_label"), "pos").filter(F.size("tokens") > 0)
     content = F.concat_ws("\u0001", F.col("tokens"), F.lit("\u0002"), F.col("ner_label"))
     return out.select(stable_id(out, content).alias("sent_id"), F.array_join("tokens", " ").alias("text"),
                       "tokens", "ner_label", "pos")
 
 
+def conll_sentences(block) -> Column:
+    """Text between blank lines, cut at ``-DOCSTART-`` lines."""
+    return F.split(_col(block), "(?m)^[^\n]*-DOCSTART-[^\n]*$")
+
+
+def parse_conll_sentence(sentence, sep: str = "\t", comment_prefix: str = "# ", token_field: int = 0, label_field: int = -1) -> Column:
+    """S4, one sentence: ``struct<tokens,labels>``; comment and blank lines are skipped, an empty label is ``O``."""
+    lines = F.filter(F.split(_col(sentence), "\n"), lambda l: (F.length(T.py_strip(l)) > 0) & ~l.startswith(comment_prefix))
+
+    def pick(f, i):
+        return F.get(f, i) if i >= 0 else F.get(f, F.size(f) + i)
+
+    return let(F.transform(lines, lambda l: F.split(l, sep)), lambda fields: F.struct(
+        F.transform(fields, lambda f: pick(f, token_field)).alias("tokens"),
+        F.transform(fields, lambda f: F.when(pick(f, label_field) == "", "O").otherwise(T.py_strip(pick(f, label_field)))).alias("labels")))
+
+
 def germeval_labels(labels) -> Column:
     """Drop the ``part``/``deriv`` suffixes of the first annotation level."""
     return F.transform(F.col(labels) if isinstance(labels, str) else labels, lambda x: F.regexp_replace(x, "part|deriv", ""))
@@ -232,6 +246,12 @@ def read_word_vectors(spark: SparkSession, path, vocab: DataFrame | None = None,
     return vocab.join(v, "word", "left").withColumn("vec", F.coalesce("vec", zeros))
 
 
+def parse_vector(line) -> Column:
+    """S15, one line ``word v1 ... vd``: ``struct<word,vec>``."""
+    return let(F.split(_col(line), " "), lambda f: F.struct(
+        F.get(f, 0).alias("word"), F.transform(F.slice(f, F.lit(2), F.greatest(F.size(f) - 1, F.lit(0))), lambda x: x.cast("float")).alias("vec")))
+
+
 def read_vocab(spark: SparkSession, path) -> DataFrame:
     """``word count`` lines (space separated)."""
     return spark.read.schema("word STRING, n BIGINT").option("sep", " ").csv(path)

@@ -67,7 +67,7 @@ def write_lm_text(df: DataFrame, path: str, sentences: str = "sentences", per_do
     """K5: language-model text: a document's sentences one per line followed by a blank line, or
     (``per_document=False``) every sentence followed by a blank line."""
     if per_document:
-        rec = F.concat(F.array_join(F.col(sentences), "\n"), F.lit("\n"))
+        rec = F.concat(lm_record(sentences), F.lit("\n"))
         df.select(rec.alias("value")).write.mode(mode).text(path)
     else:
         df.select(F.concat(F.explode(F.col(sentences)), F.lit("\n")).alias("value")).write.mode(mode).text(path)
@@ -86,9 +86,19 @@ def msmarco_scores(df: DataFrame, label: str = "label", prob: str = "probability
     return df.withColumn("score", F.when(F.col(label) == "1", F.col(prob)).when(F.col(label) == "0", 1 - F.col(prob)))
 
 
+def vector_line(word, vec) -> F.Column:
+    """K10, one line: ``word v1 ... vd``."""
+    return F.concat_ws(" ", F.col(word), F.array_join(F.transform(F.col(vec), lambda x: x.cast("string")), " "))
+
+
+def lm_record(sentences) -> F.Column:
+    """K5, one document: its sentences one per line."""
+    return F.array_join(F.col(sentences), "\n")
+
+
 def write_vectors(df: DataFrame, path: str, word: str = "word", vec: str = "vec", mode: str = "overwrite") -> None:
     """``word v1 ... vd`` text lines."""
-    df.select(F.concat_ws(" ", F.col(word), F.array_join(F.transform(vec, lambda x: x.cast("string")), " ")).alias("value")) \
+    df.select(vector_line(word, vec).alias("value")) \
         .write.mode(mode).text(path)
 
 

@@ -102,3 +102,44 @@ def test_split_helpers_and_records(spark):
     assert r.q_clipped == 0.5 and r.p_max == 100
     seq = spark.createDataFrame([(1, ["x y z", "w"])], "d int, l array<string>")
     assert [x.tokens for x in records.one_sequence_per_sentence(seq, "d", "l", 2).collect()] == [["x", "y"], ["w"]]
+
+
+def test_null_labels_are_rejected_not_lost(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "id int, y string")
+    good, bad = records.label_ids(df, "y", ["a", "b"])
+    assert [r.id for r in good.collect()] == [1]
+    assert {(r.id, r.reason) for r in bad.collect()} == {(2, "no label"), (3, "unknown label: z")}
+
+
+def test_joint_temperature_matches_numpy(spark):
+    import numpy as np
+
+    from quire.operators import metrics
+
+    rng = np.random.default_rng(1)
+    s, e = rng.normal(size=(60, 5)) * 4, rng.normal(size=(60, 5)) * 4
+    ys, ye = rng.integers(-1, 5, 60), rng.integers(0, 5, 60)
+    df = spark.createDataFrame([(a.tolist(), b.tolist(), int(c), int(d)) for a, b, c, d in zip(s, e, ys, ye)],
+                               "s array<double>, e array<double>, ys int, ye int")
+    got = metrics.temperature_fit(df, ["s", "e"], ["ys", "ye"]).first()
+
+    def nll(t):
+        def one(l, y):
+            z = l / t
+            return (np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - z[np.arange(len(y)), np.maximum(y, 0)]).sum()
+        return one(s, ys) + one(e, ye)
+    assert abs(got.nll - nll(got.temperature)) < 1e-6
+    assert got.nll <= min(nll(t) for t in np.linspace(0.25, 4, 200)) + 0.5
+    big = spark.createDataFrame([([2000.0, 0.0], 0)], "l array<double>, y int")
+    assert metrics.temperature_fit(big, "l", "y").first().nll == 0.0
+
+
+def test_reports_and_nested_metrics(spark):
+    from quire.operators import score
+
+    df = spark.createDataFrame([(1, 1), (0, 1), (1, 1), (0, 0)], "label int, pred int")
+    r = score.compute_metrics(df, ["acc", [["mcc"], lambda d: d.selectExpr("count(*) as n")]]).first()
+    assert r.n == 4 and abs(r.acc - 0.75) < 1e-9
+    score.register_report("mine", lambda d: d.groupBy("label").count())
+    assert score.report(df, "mine").count() == 2 and score.report(df, "per_sequence").count() == 5
+    assert set(score.PREDEFINED) <= set(score.METRICS)
