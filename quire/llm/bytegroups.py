@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,3 +38,19 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
     np.cumsum(values, axis=0, out=total[1:], dtype=np.float64)
     return total[ends] - total[starts]
+
+
+def tidy(run):
+    """``run`` for ``mapInArrow``, giving freed memory back to the system when a task ends: Python workers live on from stage to
+    stage, and what their allocators hoard would add up beside the executor's heap."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+    return wrapped

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.bytegroups import tidy
 from quire.llm.wordscan import automaton, line_of, starts_in, texts_of, word_spans, words_of
 
 WINDOW = 13
@@ -114,7 +115,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     first = carry or "doc_id"
     source = docs.select(F.col(first), F.col(text_col).cast("string").alias("__text"))
-    return source.mapInArrow(scan, f"{first} {source.schema[0].dataType.simpleString()}, {RESULT}")
+    return source.mapInArrow(tidy(scan), f"{first} {source.schema[0].dataType.simpleString()}, {RESULT}")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

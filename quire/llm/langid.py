@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bytegroups import GROUP_BYTES, byte_groups, joined
+from quire.llm.bytegroups import GROUP_BYTES, byte_groups, joined, tidy
 from quire.llm.common import crc_mod
 
 SAMPLE_PER_LANGUAGE = 400
@@ -131,7 +131,7 @@ def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Mo
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()),
                                               pa.array(t[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    counted = (sample.mapInArrow(count, "lang string, bucket int, n long")
+    counted = (sample.mapInArrow(tidy(count), "lang string, bucket int, n long")
                .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     if counted.empty:
         return None
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: Model | None, carry: str = "doc_id") -> Data
                 names=[carry, "lang_pred", "score", "ambiguous"])
 
     source = docs.select(carry, F.col("text").cast("string").alias("__text"))
-    return source.mapInArrow(run, f"{carry} {source.schema[0].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+    return source.mapInArrow(tidy(run), f"{carry} {source.schema[0].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
 
 
 def identify(docs: DataFrame, folds: int = 5, held_out_fold: int = 0) -> DataFrame:

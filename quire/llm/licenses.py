@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.bytegroups import tidy
 from quire.llm.wordscan import automaton, line_of, starts_in, texts_of, words_of
 
 # Phrases and labels that the scan must know.
@@ -155,4 +156,4 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
                                                             "base_labels", "labels", "score", "notices"])
 
     source = docs.select("doc_id", F.col(text_col).cast("string").alias("__text"))
-    return source.mapInArrow(scan, f"doc_id {source.schema[0].dataType.simpleString()}, {RESULT}")
+    return source.mapInArrow(tidy(scan), f"doc_id {source.schema[0].dataType.simpleString()}, {RESULT}")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.bytegroups import tidy
 from quire.llm.common import among, keep_rows, stored, text_or_empty
 from quire.llm.components import components
 from quire.llm.dartminhash import bands, sketches, weight_regions
@@ -74,7 +75,7 @@ def sketch_documents(docs: DataFrame, width: int = WIDTH, coordinates: int = COO
                 names=["doc_id", "text_key", "node", "n_shingles", "bands"])
 
     id_type = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {id_type}, text_key long, node binary, n_shingles long, bands array<long>")
+    return source.mapInArrow(tidy(run), f"doc_id {id_type}, text_key long, node binary, n_shingles long, bands array<long>")
 
 
 def shingle_sets(texts, width: int) -> list[np.ndarray]:
@@ -207,7 +208,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
             if stars := forest.stars(names, t["hub"][0].as_py()):
                 yield _edges(stars)
 
-    links = stored(blocks.mapInArrow(compare_block, "a long, b long"), "op6-links")
+    links = stored(blocks.mapInArrow(tidy(compare_block), "a long, b long"), "op6-links")
     classes = components(links, "op6-class")  # the hub is the centre in each of its blocks, so these are stars already
     # links across blocks join classes: the components of the classes
     joined = components(_across(members, home, classes, node_texts, similarity, width, block_shingles), "op6-joined")
@@ -266,7 +267,7 @@ def _across(members, home, classes, node_texts, similarity, width, block_shingle
             if stars := forest.stars(comps):
                 yield _edges(stars)
 
-    return blocks.mapInArrow(compare, "a long, b long")
+    return blocks.mapInArrow(tidy(compare), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bytegroups import byte_groups
+from quire.llm.bytegroups import byte_groups, tidy
 from quire.llm.common import stored
 
 CAPACITY = 2048
@@ -279,7 +279,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
             yield from t.to_batches(max_chunksize=50_000)
         return merge
 
-    rows = stored(source.mapInArrow(tokenise, fields), "op3-round0")
+    rows = stored(source.mapInArrow(tidy(tokenise), fields), "op3-round0")
     final, round_no, tasks, before = [rows.filter("not open")], 0, None, None
     while True:
         left = rows.filter("open")
@@ -289,7 +289,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
             final.append(left)
             break
         round_no, before = round_no + 1, n_bins
-        rows = stored(left.repartition(tasks, "sequence_id").mapInArrow(merge_round(round_no), fields), f"op3-round{round_no}")
+        rows = stored(left.repartition(tasks, "sequence_id").mapInArrow(tidy(merge_round(round_no)), fields), f"op3-round{round_no}")
         final.append(rows.filter("not open"))
     out = final[0]
     for f in final[1:]:

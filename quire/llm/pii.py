@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.bytegroups import tidy
 from quire.llm.crf_tagger import KINDS, Tagger, character_ids
 from quire.llm.wordscan import texts_of
 
@@ -291,4 +292,4 @@ def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                                              names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
-    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, {RESULT}")
+    return source.mapInArrow(tidy(run), f"doc_id {source.schema[0].dataType.simpleString()}, {RESULT}")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bytegroups import byte_groups, joined, segment_sums
+from quire.llm.bytegroups import byte_groups, joined, segment_sums, tidy
 from quire.llm.common import crc_mod
 from quire.llm.toxicity import labelled_sample, pieces
 from quire.llm.wordhash import mix, words_in
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS) ->
             x = np.concatenate([measures(t) for _, t in byte_groups(batch.column(1))] or [np.zeros((0, len(MEASURES)))])
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, j]) for j in range(x.shape[1])]], names=["label", *MEASURES])
 
-    got = rows.select("label", "text").mapInArrow(run, fields).toPandas()  # bounded by the sample
+    got = rows.select("label", "text").mapInArrow(tidy(run), fields).toPandas()  # bounded by the sample
     if got["label"].nunique() < 2:
         return None
     got = got.sort_values(["label", *MEASURES])
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
                                              names=["doc_id", "score", "predicted"])
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
-    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, score double, predicted int")
+    return source.mapInArrow(tidy(run), f"doc_id {source.schema[0].dataType.simpleString()}, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1) -> DataFrame:

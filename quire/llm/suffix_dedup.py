@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bytegroups import GROUP_BYTES
+from quire.llm.bytegroups import GROUP_BYTES, tidy
 from quire.llm.common import among, stored
 from quire.llm.near_dedup import _by_key
 from quire.llm.suffix_array import repeated_prefixes
@@ -106,7 +106,7 @@ def _anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
                     [nodes.take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(s1.astype(np.int32)), pa.array(s2.astype(np.int32))],
                     names=["node", "h", "s1", "s2"])
 
-    return docs.select("node", "body").mapInArrow(run, "node binary, h long, s1 int, s2 int")
+    return docs.select("node", "body").mapInArrow(tidy(run), "node binary, h long, s1 int, s2 int")
 
 
 def _runs(offsets: np.ndarray) -> tuple[list[int], list[int]]:
@@ -236,7 +236,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_by
     wanted = shared.groupBy("node").agg(F.collect_list(F.struct("h", "s1", "s2")).alias("runs"))  # within one text
     texts = among(long, shared, "node").filter("maybe").select("node", "body").dropDuplicates(["node"])
     snips = texts.join(wanted, "node").select("node", "body", "runs").mapInArrow(
-        _extract(size), "node binary, h long, s1 int, s2 int, snip binary")
+        tidy(_extract(size)), "node binary, h long, s1 int, s2 int, snip binary")
     snips = stored(snips.withColumn("sd", F.xxhash64("snip")), "op2-snippets")
 
     sizes = snips.select("h", "sd", (F.col("s2") - F.col("s1") + size).alias("bytes")).distinct().groupBy("h").agg(F.sum("bytes").alias("bytes"))
@@ -249,9 +249,9 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_by
              .withColumn("salt", F.pmod("sd", "spread").cast("int"))
              .withColumn("shard", F.when(F.col("spread") > 1, F.xxhash64("h", "salt")).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards)))))
     dealt = dealt.select("shard", "h", "sd", "n", "salt", "spread", "snip").repartition("shard").sortWithinPartitions("shard")
-    compared = stored(dealt.mapInArrow(_compare_shards(size), SHARD_FIELDS), "op2-compared")
+    compared = stored(dealt.mapInArrow(tidy(_compare_shards(size)), SHARD_FIELDS), "op2-compared")
     across = (compared.filter("digests is not null").select("h", "part", "digests", "places")
-              .repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(_merge_shards, SHARD_FIELDS))
+              .repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(tidy(_merge_shards), SHARD_FIELDS))
     repeats = compared.filter("digests is null").select("h", "sd", "firsts", "lasts").unionByName(across.select("h", "sd", "firsts", "lasts"))
 
     windows = snips.select("node", "h", "sd", "s1").join(repeats, ["h", "sd"]).select(
@@ -280,4 +280,4 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_by
 
     id_type = base.schema[0].dataType.simpleString()
     return whole.unionByName(joined.mapInArrow(
-        cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"))
+        tidy(cut), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bytegroups import GROUP_BYTES, byte_groups
+from quire.llm.bytegroups import GROUP_BYTES, byte_groups, tidy
 from quire.llm.common import crc_mod, stored
 from quire.llm.langid import FOLD
 from quire.llm.wordhash import mix
@@ -211,7 +211,7 @@ def corpus_contexts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 if len(code):
                     yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64))], names=["gram"])
 
-    every = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(distinct, "gram long")
+    every = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(distinct), "gram long")
     low = F.col("gram").bitwiseAND(F.lit(int(LOW_BYTES[order - 1])))
     return every.distinct().groupBy(low.alias("low")).agg(F.count("*").alias("contexts"))
 
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int =
                     yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n * (value == 1), pa.int64()),
                                                       pa.array(n * (value == 0), pa.int64())], names=["gram", "toxic", "ordinary"])
 
-    counted = (rows.filter("part = 'count'").select("label", "text").mapInArrow(count, "gram long, toxic long, ordinary long")
+    counted = (rows.filter("part = 'count'").select("label", "text").mapInArrow(tidy(count), "gram long, toxic long, ordinary long")
                .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     counted = stored(counted, "op4-grams")
     prefix = F.shiftright(F.col("gram").bitwiseAND(F.lit(int(LOW_BYTES[order - 1]))), 8)
@@ -250,9 +250,9 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int =
             x = np.concatenate([sent.value.features(t) for _, t in byte_groups(batch.column(1))] or [np.zeros((0, 2))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["label", "a", "b"])
 
-    held = rows.filter("part = 'calibrate'").select("label", "text").mapInArrow(features, "label int, a double, b double").toPandas()
+    held = rows.filter("part = 'calibrate'").select("label", "text").mapInArrow(tidy(features), "label int, a double, b double").toPandas()
     if held["label"].nunique() < 2:  # too few rows to set any aside
-        held = rows.select("label", "text").mapInArrow(features, "label int, a double, b double").toPandas()
+        held = rows.select("label", "text").mapInArrow(tidy(features), "label int, a double, b double").toPandas()
     held = held.sort_values(["label", "a", "b"])
     model.calibrate(held[["a", "b"]].to_numpy(), (held["label"] == 1).to_numpy().astype(float))
     return model
@@ -271,7 +271,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
                                              names=["doc_id", "score", "predicted"])
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
-    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, score double, predicted int")
+    return source.mapInArrow(tidy(run), f"doc_id {source.schema[0].dataType.simpleString()}, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out_fold: int = 2) -> DataFrame:
