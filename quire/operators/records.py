@@ -284,11 +284,12 @@ def format_by_scheme(tags, probs, scheme: str) -> Column:
     return _c(tags)
 
 
-def demux_tasks(df: DataFrame, task_col: str = "task"):
-    """Split multi-task predictions into one frame per task value (returns a dict;
-    the task set is read from the small distinct table)."""
-    tasks = [r[0] for r in df.select(task_col).distinct().collect()]
-    return {t: df.filter(F.col(task_col) == t) for t in tasks}
+def demux_tasks(df: DataFrame, task_col: str = "task", tasks: list | None = None):
+    """Split multi-task predictions into one frame per task value (returns a dict). ``tasks`` names them; without it the task
+    set, which is as small as the model's list of heads, is read from the distinct values."""
+    if tasks is None:
+        tasks = [r[0] for r in df.select(task_col).distinct().collect()]
+    return {t: df.filter(F.col(task_col).eqNullSafe(F.lit(t))) for t in tasks}
 
 
 def normalize_whitespace_tokens(text) -> Column:

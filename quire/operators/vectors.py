@@ -151,12 +151,14 @@ def answer_similarity(cands: DataFrame, labels: DataFrame, qid: str, cvec: str,
 
 
 def fit_s3e(token_counts: DataFrame, word_vectors: DataFrame, k: int, seed: int = 0, eps: float = 1e-3,
-            min_count: int = 1):
+            min_count: int = 1, vocab: DataFrame | None = None, default_weight: float = 1.0, mean_removal: bool = False,
+            remove_components: int = 0):
     """Q26: fit the semantic-subspace model on a corpus.
 
     ``token_counts``: (token, n) corpus counts (A8/A9); ``word_vectors``: (word, vec). Steps:
-    A9 weights ``eps/(eps+p)``, A10 vocabulary trim, A13 weighted k-means over the word vectors
-    (Spark ML). Returns ``(model table (token, weight, cluster, vec), centroids k x d)``; the
+    A9 weights ``eps/(eps+p)``, A10 vocabulary trim, optionally A11 mean removal and A12 weakening of the top components of
+    the word vectors, A13 weighted k-means over them (Spark ML). Words of ``vocab`` (column ``word``) that the corpus
+    lacks take part with ``default_weight``. Returns ``(model table (token, weight, cluster, vec), centroids k x d)``; the
     centroid matrix is bounded by k and the dimension."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -164,7 +166,14 @@ def fit_s3e(token_counts: DataFrame, word_vectors: DataFrame, k: int, seed: int
     total = token_counts.agg(F.sum("n").alias("__t"))
     w = scalar_join(token_counts.filter(F.col("n") >= min_count), F.broadcast(total)).select(
         "token", (F.lit(eps) / (F.lit(eps) + F.col("n") / F.col("__t"))).alias("weight"))
+    if vocab is not None:
+        absent = vocab.select(F.col("word").alias("token")).distinct().join(token_counts.select("token"), "token", "left_anti")
+        w = w.unionByName(absent.withColumn("weight", F.lit(float(default_weight))))
     tv = w.join(word_vectors.withColumnRenamed("word", "token"), "token")
+    if mean_removal:
+        tv = remove_mean(tv, "vec", out="vec")
+    if remove_components:
+        tv = remove_top_components(tv, "vec", remove_components, out="vec")
     km = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster", weightCol="weight")
     model = km.fit(tv.withColumn("__v", array_to_vector("vec")))
     centroids = [list(map(float, c)) for c in model.clusterCenters()]
@@ -172,6 +181,43 @@ def fit_s3e(token_counts: DataFrame, word_vectors: DataFrame, k: int, seed: int
     return assigned, centroids
 
 
+def first_singular_vector(df: DataFrame, vec: str) -> list[float]:
+    """Q26, last step: the first right singular vector of all vectors (not centred). Each task adds up one d x d Gram matrix; the
+    driver gets one matrix a task and solves the d x d problem."""
+    import numpy as np
+    import pyarrow as pa
+
+    def gram(batches):
+        total = None
+        for b in batches:
+            col = b.column(0).drop_null()
+            if len(col):
+                x = np.asarray(col.flatten()).reshape(len(col), -1)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            n = len(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n, dtype=np.int32), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), n)),
+                                              pa.array(total.ravel())], names=["i", "j", "g"])
+
+    cells = df.select(_c(vec).cast("array<double>").alias("v")).mapInArrow(gram, "i int, j int, g double").groupBy("i", "j").agg(
+        F.sum("g").alias("g")).toPandas()
+    if cells.empty:
+        return []
+    n = int(cells["i"].max()) + 1
+    m = np.zeros((n, n))
+    m[cells["i"], cells["j"]] = cells["g"]
+    u = np.linalg.eigh(m)[1][:, -1]
+    return (u * (1 if u[np.abs(u).argmax()] > 0 else -1)).tolist()
+
+
+def remove_direction(vec, u: list[float]) -> Column:
+    """``x - (u.x) u``: the vector without its part along the unit vector ``u``."""
+    from quire.functions.labels import let
+
+    ua = F.array(*[F.lit(float(x)) for x in u])
+    return let(_c(vec).cast("array<double>"), lambda v: let(dot(v, ua), lambda p: F.zip_with(v, ua, lambda a, b: a - p * b)))
+
+
 def s3e_embed(sent_tokens: DataFrame, sent_id: str, tokens: str, model: DataFrame, centroids) -> DataFrame:
     """Q25: S3E sentence embedding = [weighted mean of the distinct token vectors,
     normalised upper triangle of the cluster residual covariance (off-diagonal x sqrt(2))].

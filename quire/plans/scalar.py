@@ -6,11 +6,12 @@ one row; it is never used to pair row-level data."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def scalar_join(*frames: DataFrame) -> DataFrame:
-    """Attach the columns of single-row frames to the first frame."""
+    """Attach the columns of single-row frames to the first frame. The hint keeps the planner from a cartesian product."""
     out = frames[0]
     for f in frames[1:]:
-        out = out.join(f, how="inner")
+        out = out.join(F.broadcast(f), how="inner")
     return out

@@ -18,6 +18,7 @@ from pyspark.sql import types as Ty
 
 from quire.functions import text as T
 from quire.functions.labels import let
+from quire.plans.scalar import scalar_join
 
 SENTENCE_SCHEMA = "id BIGINT, sentence STRING, label INT"
 DOCUMENT_SCHEMA = "id BIGINT, text STRING"
@@ -242,8 +243,10 @@ def read_word_vectors(spark: SparkSession, path, vocab: DataFrame | None = None,
     v = v.groupBy("word").agg(F.min_by("vec", "pos").alias("vec"))
     if vocab is None:
         return v
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), F.lit(dim or 0))
-    return vocab.join(v, "word", "left").withColumn("vec", F.coalesce("vec", zeros))
+    size = v.agg(F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("__dim")) if dim is None else None
+    j = vocab.join(v, "word", "left")
+    j = scalar_join(j, size) if size is not None else j.withColumn("__dim", F.lit(dim))
+    return j.withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0).cast("float"), F.col("__dim")))).drop("__dim")
 
 
 def parse_vector(line) -> Column:

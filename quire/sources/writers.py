@@ -102,12 +102,13 @@ def write_vectors(df: DataFrame, path: str, word: str = "word", vec: str = "vec"
         .write.mode(mode).text(path)
 
 
-def write_metrics(df: DataFrame, path: str, task: str, split: str, mode: str = "append") -> None:
+def write_metrics(df: DataFrame, path: str, task: str, split: str) -> None:
     """Metrics as a long table ``(task, split, metric, value)`` (one column per metric in, one row
-    per metric out), appended to a Parquet table."""
+    per metric out) in a Parquet table with a folder for each task and split; a retry replaces its own folder only."""
     cols = [c for c in df.columns]
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])).alias("m"))
-    stacked.select(F.lit(task).alias("task"), F.lit(split).alias("split"), "m.metric", "m.value").write.mode(mode).parquet(path)
+    stacked.select(F.lit(task).alias("task"), F.lit(split).alias("split"), "m.metric", "m.value").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("task", "split").parquet(path)
 
 
 def dump_labels_and_preds(df: DataFrame, path: str, qid: str = "qid", answers: str = "answers", pred: str = "pred",

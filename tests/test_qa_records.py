@@ -243,3 +243,28 @@ def test_passage_eval_and_split_token_data(spark):
     assert ok.count() == 1 and [r.id for r in bad.collect()] == [2]
     s = spark.createDataFrame([(0, "one two three four five"), (0, "one two"), (1, "a b c d e f")], "label int, text string")
     assert records.negative_sentences(s).count() == 1
+
+
+def test_first_singular_vector_and_special_tokens(spark):
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(50, 6)) + 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id int, v array<double>").repartition(3)
+    u = np.array(vectors.first_singular_vector(df, "v"))
+    want = np.linalg.svd(x, full_matrices=False)[2][0]
+    assert np.allclose(np.abs(u), np.abs(want), atol=1e-8)
+    got = {r.id: np.array(r.w) for r in df.filter("v is not null").select("id", vectors.remove_direction("v", u.tolist()).alias("w")).collect()}
+    for i, v in enumerate(x):
+        assert np.allclose(got[i], v - (v @ u) * u)
+    mean = x.mean(0)
+    c = {r.id: np.array(r.c) for r in vectors.remove_mean(df.filter("v is not null"), "v", "c", special=F.col("id") < 2).collect()}
+    assert np.allclose(c[0], mean) and np.allclose(c[5], x[5] - mean)
+
+
+def test_s3e_fit_options(spark):
+    counts = spark.createDataFrame([("a", 5), ("b", 3), ("c", 1)], "token string, n long")
+    wv = spark.createDataFrame([(w, [float(i), float(i * i), 1.0]) for i, w in enumerate("abcde")], "word string, vec array<double>")
+    model, cents = vectors.fit_s3e(counts, wv, 2, seed=1, vocab=wv.select("word"), default_weight=0.7, mean_removal=True, remove_components=1)
+    rows = {r.token: r for r in model.collect()}
+    assert set(rows) == set("abcde") and rows["e"].weight == 0.7 and rows["a"].weight < 0.01
+    assert len(cents) == 2 and abs(sum(r.vec[2] for r in rows.values())) < 1e-9
