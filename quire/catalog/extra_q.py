@@ -128,7 +128,7 @@ def pages_repeat_collapse(spark, sf_dir):
 @register(
     "argmax_accuracy",
     f"""
-    WITH x AS (SELECT label, list_slice(CAST(embedding AS DOUBLE[]), 1, 10) AS l FROM embeddings),
+    WITH x AS (SELECT label, CAST(embedding AS DOUBLE[]) AS l FROM embeddings),
     y AS (SELECT label, list_position(l, list_max(l)) - 1 AS pred,
                  1.0 / list_sum(list_transform(l, lambda v: exp(v - list_max(l)))) AS prob FROM x)
     SELECT round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), {R}) AS acc, round(avg(prob), {R}) AS mean_prob,
@@ -136,10 +136,10 @@ def pages_repeat_collapse(spark, sf_dir):
     """,
 )
 def argmax_accuracy(spark, sf_dir):
-    """R16 + M1: class arg-max and softmax probability of the first 10 components as logits."""
+    """R16 + M1: class arg-max and softmax probability of all components as logits."""
     from quire.operators import metrics
 
-    e = table(spark, sf_dir, "embeddings").select("label", F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("l"))
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("l"))
     p = e.select("label", L.argmax_prob("l").alias("a")).select("label", F.col("a.label_id").alias("pred"), F.col("a.probability").alias("prob"))
     acc = metrics.accuracy(p, "label", "pred")
     rest = p.agg(F.avg("prob").alias("mean_prob"), F.count(F.lit(1)).cast("long").alias("n"))
@@ -183,7 +183,7 @@ def pairs_to_rows(spark, sf_dir):
 @register(
     "context_windows",
     """
-    WITH b AS (SELECT conv_id, turn, text, length(text) AS n, least(10, length(text)) AS s, least(30, length(text)) AS e
+    WITH b AS (SELECT conv_id, turn, text, length(text) AS n, length(text) // 3 AS s, least(length(text) // 3 + 20, length(text)) AS e
                FROM conversations),
     c AS (SELECT *, greatest(20, e - s + 1) AS sz FROM b),
     d AS (SELECT *, (e - s) // 2 + s AS mid FROM c),
@@ -196,10 +196,10 @@ def pairs_to_rows(spark, sf_dir):
     """,
 )
 def context_windows(spark, sf_dir):
-    """T12 on conversation turns: answer = characters [10, 30), window 20."""
+    """T12 on conversation turns: answer = 20 characters from a third of the text on, window 20."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     n = F.length("text")
-    w = qa.context_window(F.col("text"), F.least(F.lit(10), n), F.least(F.lit(30), n), 20)
+    w = qa.context_window(F.col("text"), F.floor(n / 3).cast("int"), F.least((F.floor(n / 3) + 20).cast("int"), n), 20)
     return c.select("conv_id", "turn", w.alias("w")).select("conv_id", "turn", "w.context", "w.start", "w.end")
 
 
@@ -247,7 +247,8 @@ def spans_to_binary_q(spark, sf_dir):
 @register(
     "passage_doc_spans",
     """
-    WITH p AS (SELECT doc_id, CAST(pid AS INTEGER) AS passage_id FROM documents, range(0, 3) x(pid))
+    WITH n AS (SELECT doc_id, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS n FROM documents),
+    p AS (SELECT doc_id, CAST(unnest(range(greatest(1, CAST(ceil(n / 64.0) AS BIGINT)))) AS INTEGER) AS passage_id FROM n)
     SELECT doc_id, passage_id,
            CAST(CASE WHEN (doc_id + passage_id) % 4 = 0 THEN -1 ELSE (doc_id + passage_id) % 4 + passage_id * 64 END AS INTEGER) AS start,
            CAST(CASE WHEN (doc_id + passage_id) % 4 = 0 THEN -1 ELSE (doc_id + passage_id) % 4 + 2 + passage_id * 64 END AS INTEGER) AS "end"
@@ -256,7 +257,9 @@ def spans_to_binary_q(spark, sf_dir):
 )
 def passage_doc_spans(spark, sf_dir):
     """Q10: passage-relative spans -> document spans; (0, 0) = no answer -> (-1, -1)."""
-    d = table(spark, sf_dir, "documents").select("doc_id").withColumn("passage_id", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    n = F.size(F.filter(F.split("text", " "), lambda x: x != ""))
+    last = F.greatest(F.lit(1), F.ceil(n / 64)).cast("int") - 1  # passages of 64 tokens over the whole text
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), last)).alias("passage_id"))
     k = ((F.col("doc_id") + F.col("passage_id")) % 4).cast("int")
     st = F.when(k == 0, 0).otherwise(k)
     en = F.when(k == 0, 0).otherwise(k + 2)

@@ -145,16 +145,22 @@ def na_prob_histogram(spark, sf_dir):
     return h.select("has_ans", "bin", F.round("share", R).alias("share"))
 
 
+def _f1(ps, pe, ls, le):
+    ov = f"greatest(0, least({pe}, {le}) - greatest({ps}, {ls}) + 1)"
+    return (f"CASE WHEN {ps} + {pe} = 0 OR {ls} + {le} = 0 THEN CASE WHEN {ps} = {ls} THEN 1.0 ELSE 0.0 END "
+            f"WHEN {ov} = 0 THEN 0.0 ELSE 2.0 * {ov} / ({pe} - {ps} + 1 + {le} - {ls} + 1) END")
+
+
 @register(
     "span_metrics",
     f"""
     WITH {Q_SQL},
-    x AS (SELECT qid, has_ans, CAST({S.seeded_hash(17, 'qid')} % 6 AS INTEGER) AS k FROM sc),
-    m AS (SELECT has_ans, k,
-                 CASE WHEN has_ans THEN CASE WHEN k = 4 THEN 1.0 ELSE 0.0 END ELSE CASE WHEN k = -1 THEN 1.0 ELSE 0.0 END END AS em,
-                 CASE WHEN has_ans THEN 1.0 ELSE 0.0 END AS em_start,
-                 CASE WHEN has_ans THEN CASE WHEN k = 0 THEN 1.0 ELSE 2.0 * (least(k, 4) + 1) / (k + 1 + 5) END ELSE 0.0 END AS f1,
-                 CASE WHEN has_ans THEN 1.0 ELSE 0.0 END AS top_n FROM x)
+    h AS (SELECT qid, has_ans, CAST({S.seeded_hash(17, 'qid')} % 24 AS INTEGER) AS a, CAST({S.seeded_hash(19, 'qid')} % 5 AS INTEGER) AS b FROM sc),
+    x AS (SELECT has_ans, a % 4 AS ps, a % 4 + a // 4 AS pe, a % 4 + 5 AS qs, a % 4 + 8 AS qe,
+                 CASE WHEN has_ans THEN b ELSE -1 END AS ls, CASE WHEN has_ans THEN b + 3 ELSE -1 END AS le FROM h),
+    m AS (SELECT has_ans, CASE WHEN ps = ls AND pe = le THEN 1.0 ELSE 0.0 END AS em, CASE WHEN ps = ls THEN 1.0 ELSE 0.0 END AS em_start,
+                 {_f1('ps', 'pe', 'ls', 'le')} AS f1,
+                 CASE WHEN ({_f1('ps', 'pe', 'ls', 'le')}) > 0 OR ({_f1('qs', 'qe', 'ls', 'le')}) > 0 THEN 1.0 ELSE 0.0 END AS top_n FROM x)
     SELECT round(avg(em), {R}) AS em, round(avg(em_start), {R}) AS em_start, round(avg(f1), {R}) AS f1, round(avg(top_n), {R}) AS top_n,
            CAST(count(*) AS BIGINT) AS total,
            round(coalesce(avg(CASE WHEN has_ans THEN em END), 0), {R}) AS em_text_answer,
@@ -171,14 +177,15 @@ def na_prob_histogram(spark, sf_dir):
     """,
 )
 def span_metrics(spark, sf_dir):
+    """Two candidates and one label for each question, at seeded places, so that every measure can fail."""
     s = scored(spark, sf_dir)
-    k = (seeded_hash(17, "qid") % 6).cast("int")
-    sp = lambda a, b: F.struct(F.lit(a).alias("start") if isinstance(a, int) else a.alias("start"),
-                               F.lit(b).alias("end") if isinstance(b, int) else b.alias("end"))
-    labels = F.when(F.col("has_ans"), F.array(sp(0, 4))).otherwise(F.array(sp(-1, -1)))
-    cands = F.array(sp(F.lit(0), k), sp(7, 9))
-    m = qa.span_metrics(s.select(labels.alias("labels"), cands.alias("cands")), "cands", "labels")
-    return m.select(*[F.col(c).cast("long").alias(c) if c.startswith("total") else F.round(c, R).alias(c) for c in m.columns])
+    a, b = (seeded_hash(17, "qid") % 24).cast("int"), (seeded_hash(19, "qid") % 5).cast("int")
+    first = a % 4
+    span = lambda x, y: F.struct(x.cast("int").alias("start"), y.cast("int").alias("end"))
+    cands = F.array(span(first, first + F.floor(a / 4)), span(first + 5, first + 8))
+    labels = F.array(F.when(F.col("has_ans"), span(b, b + 3)).otherwise(span(F.lit(-1), F.lit(-1))))
+    r = qa.span_metrics(s.select(cands.alias("cands"), labels.alias("labels")), "cands", "labels")
+    return r.select(*[(F.round(c, R) if not c.startswith("total") else F.col(c).cast("long")).alias(c) for c in r.columns])
 
 
 @register(
