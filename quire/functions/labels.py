@@ -231,12 +231,15 @@ def lenient_chunks(tags) -> Column:
 def word_to_token_labels(word_labels, initial_mask, filler: str = "X") -> Column:
     """Word labels spread over sub-word tokens: the k-th word-initial token gets the k-th
     word label, other tokens ``filler``. The word index is the running count of initial flags."""
-    mask = _c(initial_mask)
-    wl = _c(word_labels)
-    return F.transform(
-        mask,
-        lambda m, i: F.when(m == 1, F.get(wl, F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda a, x: a + x) - 1)).otherwise(F.lit(filler)),
-    )
+    def spread(wl):
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("k"))
+
+        def step(acc, m):
+            k = acc["k"] + F.when(m == 1, 1).otherwise(0)
+            return F.struct(F.concat(acc["out"], F.array(F.when(m == 1, F.get(wl, k - 1).cast("string")).otherwise(F.lit(filler)))).alias("out"), k.alias("k"))
+        return F.aggregate(_c(initial_mask), start, step, lambda acc: acc["out"])
+
+    return let(_c(word_labels), spread)
 
 
 def pad_to(arr, n, value=0) -> Column:
@@ -264,25 +267,24 @@ def run_starts(labels) -> Column:
 
 
 def array_mode(values) -> Column:
-    """Most frequent element of an array; ties -> the smallest element (deterministic)."""
-    vals = _c(values)
-    d = F.array_sort(F.array_distinct(vals))
-    counted = F.transform(d, lambda v: F.struct(F.size(F.filter(vals, lambda x: x == v)).alias("n"), v.alias("v")))
-    best = F.aggregate(
-        counted,
-        F.get(counted, 0),
-        lambda acc, s: F.when(s["n"] > acc["n"], s).otherwise(acc),
-    )
-    return best["v"]
+    """Most frequent element of an array; ties -> the smallest element (deterministic). The array and its counts are bound once."""
+    def best(counted):
+        return F.aggregate(counted, F.get(counted, 0), lambda acc, s: F.when(s["n"] > acc["n"], s).otherwise(acc))["v"]
+
+    def counts(vals):
+        return F.transform(F.array_sort(F.array_distinct(vals)),
+                           lambda v: F.struct(F.size(F.filter(vals, lambda x: x == v)).alias("n"), v.alias("v")))
+
+    return let(_c(values), lambda vals: let(counts(vals), best))
 
 
 def argmax_prob(logits) -> Column:
     """Arg-max class index and its softmax probability from an array of logits."""
-    arr = _c(logits)
-    mx = F.array_max(arr)
-    idx = F.array_position(arr, mx) - 1
-    z = F.aggregate(arr, F.lit(0.0), lambda a, x: a + F.exp(x - mx))
-    return F.struct(idx.cast("int").alias("label_id"), (F.lit(1.0) / z).alias("probability"))
+    def both(arr, mx):
+        z = F.aggregate(arr, F.lit(0.0), lambda a, x: a + F.exp(x - mx))
+        return F.struct((F.array_position(arr, mx) - 1).cast("int").alias("label_id"), (F.lit(1.0) / z).alias("probability"))
+
+    return let(_c(logits), lambda arr: let(F.array_max(arr), lambda mx: both(arr, mx)))
 
 
 def multilabel_decision(label_list, logits, threshold: float = 0.5) -> Column:

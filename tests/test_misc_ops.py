@@ -143,3 +143,14 @@ def test_reports_and_nested_metrics(spark):
     score.register_report("mine", lambda d: d.groupBy("label").count())
     assert score.report(df, "mine").count() == 2 and score.report(df, "per_sequence").count() == 5
     assert set(score.PREDEFINED) <= set(score.METRICS)
+
+
+def test_second_phase_uses_the_first_model(spark):
+    from quire.operators import score
+
+    first = spark.createDataFrame([(i, "good fine" if i % 2 else "bad poor", i % 2) for i in range(40)], "id int, text string, label int")
+    train = spark.createDataFrame([(i, "good apple" if i % 2 else "bad apple", i % 2) for i in range(20)], "id int, text string, label int")
+    test = spark.createDataFrame([(100, "fine"), (101, "poor")], "id int, text string")  # words that only the first phase has seen
+    folds3 = train.selectExpr("id", "cast(id / 2 as int) % 2 as fold")
+    got = {(r.fold, r.id): r.label for r in score.transfer_fold_ensemble(first, train, test, folds3, n_folds=2, num_features=64).collect()}
+    assert got == {(0, 100): 1, (1, 100): 1, (0, 101): 0, (1, 101): 0}
