@@ -40,6 +40,12 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return total[ends] - total[starts]
 
 
+def small_batches(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices, so that the executor holds few rows of a wide result at a time."""
+    for a in range(0, max(batch.num_rows, 1), rows):
+        yield batch.slice(a, rows)
+
+
 def tidy(run):
     """``run`` for ``mapInArrow``, giving freed memory back to the system when a task ends: Python workers live on from stage to
     stage, and what their allocators hoard would add up beside the executor's heap."""

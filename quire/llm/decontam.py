@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bytegroups import tidy
+from quire.llm.bytegroups import small_batches, tidy
 from quire.llm.wordscan import automaton, line_of, starts_in, texts_of, word_spans, words_of
 
 WINDOW = 13
@@ -81,9 +81,9 @@ def _scan_one(text: str, automata: list) -> tuple:
             n_hit > 0 and 20 * n_hit >= len(words), names, spans)
 
 
-def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: str | None = None,
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, boxed: str | None = None,
                        text_col: str = "text", automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
-    """``doc_id`` (or the column ``carry``) of each row of ``docs`` with ``n_words, n_hit, n_items, items_sha256,
+    """``doc_id`` (or the column ``boxed``, a struct that has the text) of each row of ``docs`` with ``n_words, n_hit, n_items, items_sha256,
     contaminated, items, hit_spans`` (code point offsets of hit runs).
 
     A document is contaminated if a word is hit and hit words are at least 5 % of its words. Null
@@ -105,21 +105,21 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             _CACHE[key] = _automata(shared.value, window, automaton_chars)
         automata = _CACHE[key]
         for batch in batches:
-            rows = [_scan_one(t, automata) for t in texts_of(batch.column(1))]
+            rows = [_scan_one(t, automata) for t in texts_of(batch.column(0).field(text_col) if boxed else batch.column(1))]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_(), pa.list_(pa.string()),
                                         pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
             arrays = [batch.column(0)] + [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[first, "n_words", "n_hit", "n_items", "items_sha256",
-                                                            "contaminated", "items", "hit_spans"])
+            yield from small_batches(pa.RecordBatch.from_arrays(arrays, names=[
+                first, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_spans"]))
 
-    first = carry or "doc_id"
-    source = docs.select(F.col(first), F.col(text_col).cast("string").alias("__text"))
+    first = boxed or "doc_id"
+    source = docs.select(boxed) if boxed else docs.select("doc_id", F.col(text_col).cast("string").alias("__text"))
     return source.mapInArrow(tidy(scan), f"{first} {source.schema[0].dataType.simpleString()}, {RESULT}")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The clean rows of ``docs`` with all their columns; rows travel inside one struct, so no join."""
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text"))
-    marked = mark_contamination(boxed, benchmark, window, carry="__row")
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    marked = mark_contamination(boxed, benchmark, window, boxed="__row")
     return marked.filter(~F.col("contaminated")).select("__row.*")

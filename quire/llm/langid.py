@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bytegroups import GROUP_BYTES, byte_groups, joined, tidy
+from quire.llm.bytegroups import GROUP_BYTES, byte_groups, joined, small_batches, tidy
 from quire.llm.common import crc_mod
 
 SAMPLE_PER_LANGUAGE = 400
@@ -145,8 +145,8 @@ def _has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def predict(docs: DataFrame, model: Model | None, carry: str = "doc_id") -> DataFrame:
-    """The column ``carry`` of each row of ``docs`` with ``lang_pred, score, ambiguous``.
+def predict(docs: DataFrame, model: Model | None, boxed: str | None = None) -> DataFrame:
+    """``doc_id`` of each row of ``docs`` with ``lang_pred, score, ambiguous``; or the column ``boxed``, a struct that has the text.
 
     ``und`` with score 0 for null, empty and letterless text, and for every text if nothing was
     learned. Repeated rows are judged each; ties go to the language that sorts first; other columns
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Model | None, carry: str = "doc_id") -> Data
         m = shared.value
         for batch in batches:
             langs, scores, unsure = [], [], []
-            for _, texts in byte_groups(batch.column(1)):
+            for _, texts in byte_groups(batch.column(0).field("text") if boxed else batch.column(1)):
                 letters = [t[:200].upper() != t[:200].lower() or _has_letter(t) for t in texts]
                 if m is None:
                     best, score, vague, letters = [0] * len(texts), [0.0] * len(texts), [False] * len(texts), [False] * len(texts)
@@ -166,12 +166,14 @@ def predict(docs: DataFrame, model: Model | None, carry: str = "doc_id") -> Data
                 langs += [m.languages[b] if ok else NO_LANGUAGE for b, ok in zip(best, letters, strict=True)]
                 scores += [float(s) if ok else 0.0 for s, ok in zip(score, letters, strict=True)]
                 unsure += [bool(v) and ok for v, ok in zip(vague, letters, strict=True)]
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())],
-                names=[carry, "lang_pred", "score", "ambiguous"])
+                names=[first, "lang_pred", "score", "ambiguous"])
+            yield from small_batches(out)
 
-    source = docs.select(carry, F.col("text").cast("string").alias("__text"))
-    return source.mapInArrow(tidy(run), f"{carry} {source.schema[0].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+    first = boxed or "doc_id"
+    source = docs.select(boxed) if boxed else docs.select("doc_id", F.col("text").cast("string").alias("__text"))
+    return source.mapInArrow(tidy(run), f"{first} {source.schema[0].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
 
 
 def identify(docs: DataFrame, folds: int = 5, held_out_fold: int = 0) -> DataFrame:
@@ -186,5 +188,5 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is identified, with all their columns. Rejected: texts without a
     letter (``und``). An ambiguous text has a language among the learned ones and stays."""
     model = train(docs.filter(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "text", "lang"))
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text"))
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     return predict(boxed, model, "__row").filter(F.col("lang_pred") != NO_LANGUAGE).select("__row.*")

@@ -34,7 +34,8 @@ END_OF_DOCUMENT = 0
 NEARLY_FULL = 8  # tokens that a final bin may lack
 ROWS_PER_TASK = 200_000
 FAN_IN = 8
-MAX_CHUNKS = 300_000  # distinct chunks a worker remembers; a third of them, the most frequent, from task to task
+MAX_CHUNKS = 200_000  # distinct chunks a worker remembers
+KEPT_CHUNKS = 30_000  # of them the most frequent, from task to task
 SLICE_CHARS = 2_000_000  # longer texts are encoded in slices cut at a blank
 
 # How the tokenizer's pre-tokenizer splits normalised text.
@@ -65,12 +66,13 @@ class ChunkEncoder:
         self.flat, self.start, self.size = array("I"), array("q", [0]), array("q", [0])
         self.uses = np.zeros(0, np.int64)
 
-    def shrink(self) -> None:
-        """Forget all but the chunks that were met most often, a third of ``max_chunks`` at most."""
+    def shrink(self, most: int) -> None:
+        """Forget all but the chunks that were met most often, about ``most`` of them."""
         uses = np.zeros(len(self.start), np.int64)
         uses[:len(self.uses)] = self.uses
         uses[0] = max(uses.max(), 1)  # the empty chunk stays first
-        limit = max(2, np.partition(uses, -min(len(uses), self.max_chunks // 3))[-min(len(uses), self.max_chunks // 3)] + 1)
+        most = max(1, min(len(uses), most))
+        limit = max(2, int(np.partition(uses, -most)[-most]) + 1)
         known, flat = [(c, i) for c, i in self.index.items() if uses[i] >= limit or not c], self.flat
         self.index, self.words, self.flat = {}, {}, array("I")
         start, size = array("q"), array("q")
@@ -153,7 +155,7 @@ class ChunkEncoder:
         if not texts:
             return []
         if len(self.index) > self.max_chunks:
-            self.shrink()
+            self.shrink(self.max_chunks // 3)
         flat_chunks = [c for t in texts for c in t]
         index = self.index
         at = np.fromiter(map(index.get, flat_chunks, repeat(-1)), np.int64, len(flat_chunks))
@@ -251,7 +253,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                             kept.append(part)
                 rows.append(np.array([h[1:] for h in here], np.int64).reshape(-1, 4))
                 ids_of_docs.append(batch.column(0).take(pa.array([h[0] for h in here], pa.int64())))
-        encoder.shrink()
+        encoder.shrink(KEPT_CHUNKS)
         if not rows:
             return
         cols = np.concatenate(rows)
