@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quire.session import checkpoint_dir
 
+ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 2000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -16,10 +18,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` but keeps a compressed, column-prunable table that any
-    executor can read again after a loss."""
+    executor can read again after a loss. While it is written, whole texts go to Python workers at most
+    ``ARROW_ROWS`` at a time, so that few copies of them are in memory at once."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/quire-llm/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = int(spark.conf.get(ARROW_KEY))
+    spark.conf.set(ARROW_KEY, str(min(rows, ARROW_ROWS) if rows > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_KEY, str(rows))
     return spark.read.schema(df.schema).parquet(path)
 
 
