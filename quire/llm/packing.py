@@ -95,12 +95,9 @@ class ChunkEncoder:
 
     def _parts(self, chunk: str) -> list[str] | None:
         """The words that the pre-tokenizer makes of a chunk; None if that is left to the tokenizer."""
-        if chunk.isascii():  # mostly a word, or a word and a mark
-            low = chunk.lower()
-            if low.isalpha():
-                return [low]
-            if low[-1] in ",.;:!?" and low[:-1].isalpha():
-                return [low[:-1], low[-1]]
+        body, mark = (chunk[:-1], [chunk[-1]]) if chunk[-1] in ",.;:!?" else (chunk, [])
+        if body.isalpha() and (body.isascii() or not BEYOND_LATIN.search(body)):  # mostly a word, or a word and a mark
+            return [body.lower(), *mark]
         if len(chunk) > 1_000_000 or not LATIN.fullmatch(chunk):
             return None
         return WORD_PATTERN.findall(chunk.lower())
