@@ -143,17 +143,21 @@ class Tagger:
         np.add.at(g["emb"], ids.ravel(), d_e.reshape(-1, e.shape[2]))
         return float((z - gold).mean()), g
 
-    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 5, batch: int = 48, rate: float = 0.012, seed: int = 3) -> list[float]:
-        """Adam over shuffled batches; the mean loss of each epoch."""
+    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 5, batch: int = 48, rate: float = 0.012, seed: int = 3,
+            more: list[tuple[np.ndarray, np.ndarray]] = ()) -> list[float]:
+        """Adam over shuffled batches, each of one of the sets (``ids, tags`` and ``more``, which may have other widths); the mean loss of each epoch."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
         losses, step = [], 0
         for epoch in range(epochs):
-            order, total = rng.permutation(len(ids)), 0.0
-            for a in range(0, len(order), batch):
-                some = order[a:a + batch]
-                loss, g = self.gradients(ids[some], tags[some].astype(np.int64))
+            batches, total = [], 0.0
+            for x, y in ((ids, tags), *more):
+                order = rng.permutation(len(x))
+                batches += [(x[order[a:a + batch]], y[order[a:a + batch]]) for a in range(0, len(order), batch)]
+            for at in rng.permutation(len(batches)) if more else range(len(batches)):
+                some, gold = batches[at]
+                loss, g = self.gradients(some, gold.astype(np.int64))
                 norm = np.sqrt(sum(float((x ** 2).sum()) for x in g.values()))
                 step += 1
                 for k, x in g.items():
@@ -162,5 +166,5 @@ class Tagger:
                     v[k] = 0.99 * v[k] + 0.01 * x ** 2
                     self.w[k] -= (rate * (0.6 ** epoch) * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
                 total += loss * len(some)
-            losses.append(total / max(len(order), 1))
+            losses.append(total / max(len(ids) + sum(len(x) for x, _ in more), 1))
         return losses

@@ -3,15 +3,17 @@
 The tagger is trained on the driver from labelled spans: windows of a bounded sample of documents
 (``SAMPLE_TEXTS`` of at most ``SAMPLE_CHARS``, chosen by a hash) with their pattern spans, and the same windows with written variants of
 such data, and with harmless numbers, put in. Texts are cut into overlapping windows; every window is decoded by Viterbi,
-and the spans of all windows of a text are reconciled globally: spans cut by a window's edge give way to
-the neighbour that sees them whole, and of the rest the non-overlapping set of greatest confidence is taken. Pattern
-spans always stay.
+and the spans of all windows of a text are reconciled globally: where a window's edge cuts a span that no neighbour
+sees whole, the stretch around it is decoded again with twice the reach until the span ends inside, and of all whole spans the
+non-overlapping set of greatest confidence is taken. Pattern spans always stay. Stretches of more than ``WIDE`` characters are decoded in
+overlapping parts, and each character has the tag of the part where it is most central, so no length is lost.
 
-A span must hold a digit or an @, so windows without either cannot hold one and are not decoded.
+A span must hold a digit or an @, so windows without either cannot hold one and are not decoded at first.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -26,9 +28,11 @@ from quire.llm.wordscan import texts_of
 
 WINDOW = 64
 STRIDE = 32
+WIDE = 1024  # characters of a stretch decoded at once
 SAMPLE_TEXTS = 1500
 SAMPLE_CHARS = 4000  # of a training text; searching reads whole texts
 TRAIN_WINDOWS = 2000
+TRAIN_WIDTH = 160  # of the wide training windows
 CONFIDENCE = 0.7
 BATCH_WINDOWS = 2048
 
@@ -92,12 +96,12 @@ def _padded(ids: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def tag_row(spans: list[tuple[str, int, int]], start: int) -> np.ndarray:
+def tag_row(spans: list[tuple[str, int, int]], start: int, width: int = WINDOW) -> np.ndarray:
     """Tags of the window at ``start``."""
-    out = np.zeros(WINDOW, np.int8)
+    out = np.zeros(width, np.int8)
     for kind, a, b in spans:
         k = KINDS.index(kind)
-        lo, hi = max(a - start, 0), min(b - start, WINDOW)
+        lo, hi = max(a - start, 0), min(b - start, width)
         if lo < hi and not out[lo:hi].any():
             out[lo:hi] = 2 + 2 * k
             out[lo] = 1 + 2 * k
@@ -136,6 +140,28 @@ def written_variant(rng: np.random.Generator) -> tuple[str | None, str]:
                              f"{digits(2)} %", f"{digits(1)},{digits(3)}", f"{digits(6)}", f"{digits(2)}:{digits(2)}", f"No. {digits(3)}", "@", f"@{name()}"])
 
 
+def long_variant(rng: np.random.Generator) -> tuple[str, str]:
+    """Personal data written with 32 to 100 characters, longer than what neighbouring windows share."""
+    def name():
+        return "".join(rng.choice(list("abcdefghiklmnoprstuvw"), rng.integers(3, 13)))
+    length, which = int(rng.integers(32, 101)), int(rng.integers(0, 8))
+    if which == 0:  # every digit of a card or phone number apart
+        n = int(rng.integers(12, 16))
+        number = "".join(map(str, rng.integers(0, 10, n)))
+        number = next(x for x in (f"{number}{c}" for c in range(10)) if luhn(x))
+        return "card", rng.choice([" - ", " . "]).join(number)
+    if which == 1:
+        return "phone", "+" + rng.choice([" - ", " . "]).join(map(str, rng.integers(0, 10, rng.integers(10, 13))))
+    at = rng.choice([" @ ", " @", "@ "])
+    local, domain = name(), f"{name()}.{rng.choice(['com', 'org', 'net', 'edu'])}"
+    while len(local) + len(at) + len(domain) < length:
+        if rng.random() < 0.5 and len(local) < 48:
+            local = f"{name()}{rng.choice(['.', '_', '-'])}{local}"
+        else:
+            domain = f"{name()}.{domain}"
+    return "email", f"{local}{at}{domain}"[-100:].lstrip("._- @")
+
+
 def training_windows(texts: list[str], limit: int = TRAIN_WINDOWS, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """Windows and tags: pattern spans as found, and texts with written variants put in at a blank."""
     rng = np.random.default_rng(seed)
@@ -161,15 +187,41 @@ def training_windows(texts: list[str], limit: int = TRAIN_WINDOWS, seed: int = 9
     return np.array(ids[:limit]), np.array(tags[:limit])
 
 
+def long_windows(texts: list[str], limit: int, width: int, seed: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and tags of texts with data put in at a blank: in narrow windows long spans, mostly cut; in wide ones long and short spans, mostly whole."""
+    rng = np.random.default_rng(seed)
+    ids, tags = np.zeros((limit, width), np.int16), np.zeros((limit, width), np.int8)
+    plain = [t for t in texts if len(t) > 20 and not base_spans(t)] or ["some words of plain text and some more words here"]
+    for n in range(limit):
+        t = plain[int(rng.integers(0, len(plain)))]
+        at = int(rng.integers(0, max(1, len(t) - 2 * width)))
+        part = t[at:at + 2 * width]
+        cut = part.find(" ", int(rng.integers(0, width)))
+        cut = len(part) if cut < 0 else cut + 1
+        kind, data = written_variant(rng) if width > WINDOW and rng.random() < 0.4 else long_variant(rng)
+        whole = part[:cut] + str(data) + " " + part[cut:]
+        sign = cut + (data.find("@") if kind == "email" else len(data) - 1)  # the window holds a sign
+        shift = int(rng.integers(max(0, sign - width + 1), sign + 1) if width == WINDOW else rng.integers(max(0, cut + len(data) - width), cut + 1))
+        chars = character_ids(whole[shift:shift + width])
+        ids[n, :len(chars)] = chars
+        tags[n] = tag_row([(kind, cut, cut + len(data))] if kind else [], shift, width)
+    return ids, tags
+
+
+def fitted(texts: list[str], windows: int = TRAIN_WINDOWS, epochs: int = 8) -> Tagger:
+    """A tagger trained on the windows of ``texts``, narrow and wide."""
+    tagger = Tagger()
+    tagger.fit(*training_windows(texts, windows), epochs,
+               more=[long_windows(texts, windows // 4, WINDOW), long_windows(texts, windows // 2, TRAIN_WIDTH)])
+    return tagger
+
+
 def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, windows: int = TRAIN_WINDOWS, epochs: int = 8) -> Tagger:
     """Fit on a bounded sample: half of texts with a digit or @, half of any texts, by a hash of the id."""
     known = docs.filter(F.length("text") > 0).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     order = [F.xxhash64("doc_id", F.substring("text", 1, 100)), F.col("text")]
     some = known.orderBy(*order).limit(sample_texts // 2).collect() + known.filter(F.col("text").rlike("[0-9@]")).orderBy(*order).limit(sample_texts // 2).collect()
-    ids, tags = training_windows([r["text"] for r in some], windows)
-    tagger = Tagger()
-    tagger.fit(ids, tags, epochs)
-    return tagger
+    return fitted([r["text"] for r in some], windows, epochs)
 
 
 def plausible(kind: str, found: str) -> bool:
@@ -200,10 +252,10 @@ def trimmed(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def window_spans(text: str, start: int, tags: np.ndarray, sure: np.ndarray) -> list[tuple[float, str, int, int]]:
-    """(confidence, kind, start, end) of a decoded window, without spans that its edges may have cut."""
-    out, s = [], 0
-    inside = min(WINDOW, len(text) - start)
+def window_spans(text: str, start: int, tags: np.ndarray, sure: np.ndarray) -> tuple[list[tuple[float, str, int, int]], list[tuple[str, int, int]]]:
+    """(confidence, kind, start, end) of the whole spans of a decoded window, and (kind, start, end) of those that its edges may have cut."""
+    out, cut, s = [], [], 0
+    inside = min(len(tags), len(text) - start)
     while s < inside:
         tag = int(tags[s])
         if tag == 0:
@@ -213,14 +265,85 @@ def window_spans(text: str, start: int, tags: np.ndarray, sure: np.ndarray) -> l
         while e < inside and tags[e] == 2 + 2 * k:
             e += 1
         a, b = trimmed(KINDS[k], text, start + s, start + e)
-        whole = (s > 0 or start == 0) and (e < WINDOW or start + e == len(text))
+        whole = (s > 0 or start == 0) and (e < len(tags) or start + e == len(text))
         confidence = float(sure[s:e].mean())
-        if whole and confidence >= CONFIDENCE and plausible(KINDS[k], text[a:b]):
+        if not whole:
+            cut.append((KINDS[k], start + s, start + e))
+        elif confidence >= CONFIDENCE and plausible(KINDS[k], text[a:b]):
             out.append((confidence, KINDS[k], a, b))
         s = e
+    return out, cut
+
+
+def stretches(pieces: list[tuple[str, int, int]], reach: int, size: int) -> list[tuple[int, int]]:
+    """The pieces of a text of ``size`` characters with ``reach`` more on both sides, joined where they overlap."""
+    out: list[list[int]] = []
+    for a, b in sorted((max(0, a - reach), min(size, b + reach)) for _, a, b in pieces):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def decode_stretches(texts: list[str], work: list[tuple[int, int, int]], tagger: Tagger) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tags and their marginals of each (text, start, end). A stretch of more than ``WIDE`` characters is decoded in parts that overlap by half."""
+    out, by_width = [], {}
+    for j, (i, a, b) in enumerate(work):
+        out.append((np.zeros(b - a, np.int8), np.zeros(b - a, np.float32)))
+        width = min(WIDE, 1 << (b - a - 1).bit_length())
+        starts = [a] if b - a <= WIDE else range(a, b - WIDE // 2, WIDE // 2)
+        by_width.setdefault(width, []).extend((j, i, s, s == starts[0], s == starts[-1]) for s in starts)
+    for width, parts in by_width.items():
+        rows = max(1, BATCH_WINDOWS * WINDOW // width)
+        for some in (parts[x:x + rows] for x in range(0, len(parts), rows)):
+            ids = np.zeros((len(some), width), np.int16)
+            for row, (j, i, s, _, _) in zip(ids, some, strict=True):
+                chars = character_ids(texts[i][s:min(s + width, work[j][2])])
+                row[:len(chars)] = chars
+            tags, sure = tagger.decode(ids)
+            for (j, _, s, first, last), t, p in zip(some, tags, sure, strict=True):
+                a, b = work[j][1:]
+                lo, hi = s if first else s + width // 4, b if last else s + 3 * width // 4  # where this part is the most central
+                out[j][0][lo - a:hi - a], out[j][1][lo - a:hi - a] = t[lo - s:hi - s], p[lo - s:hi - s]
     return out
 
 
+def _open(cut: list[tuple[str, int, int]], found: list[tuple[float, str, int, int]], fixed: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The cut pieces that neither touch a fixed span nor lie in a whole span of their kind."""
+    ends = np.array(sorted((b, a) for _, a, b in fixed)).reshape(-1, 2)
+    out = []
+    whole: dict[str, list[tuple[int, int]]] = {}
+    for _, kind, a, b in sorted(found, key=lambda f: (f[2], f[3])):
+        mine = whole.setdefault(kind, [])
+        if not mine or b > mine[-1][1]:  # starts and ends both ascend
+            mine.append((a, b))
+    for kind, a, b in cut:
+        at = int(np.searchsorted(ends[:, 0], a, side="right"))
+        if (ends[at:, 1] < b).any():
+            continue
+        mine = whole.get(kind, [])
+        at = bisect.bisect_right(mine, (a, float("inf"))) - 1
+        if at < 0 or mine[at][1] < b:
+            out.append((kind, a, b))
+    return out
+
+
+def add_long_spans(texts: list[str], base: list[list], found: list[list], cut: list[list], tagger: Tagger) -> None:
+    """Add to ``found`` the spans whose pieces in ``cut`` the edges of windows have cut, from stretches that are widened until
+    nothing is cut. The reach doubles and stretches that overlap are one, so a text is decoded at most a logarithmic number of times."""
+    reach = WINDOW
+    while any(cut):
+        work = [(i, a, b) for i, pieces in enumerate(cut) if pieces
+                for a, b in stretches(_open(pieces, found[i], base[i]), reach, len(texts[i]))]
+        cut = [[] for _ in texts]
+        for (i, a, _), (tags, sure) in zip(work, decode_stretches(texts, work, tagger), strict=True):
+            spans, pieces = window_spans(texts[i], a, tags, sure)
+            found[i] += spans
+            cut[i] += pieces
+        reach *= 2
+
+
 def reconcile(found: list[tuple[float, str, int, int]], fixed: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """The non-overlapping spans of greatest total confidence times length, away from the fixed ones (weighted interval scheduling)."""
     best: dict[tuple[str, int, int], float] = {}
@@ -248,6 +371,7 @@ def find_spans(texts: list[str], tagger: Tagger | None) -> list[tuple[list, list
     """(pattern spans, all spans) of each text."""
     base = [base_spans(t) for t in texts]
     found: list[list] = [[] for _ in texts]
+    cut: list[list] = [[] for _ in texts]
     if tagger is not None:
         work = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
         chars, last = None, -1
@@ -260,7 +384,10 @@ def find_spans(texts: list[str], tagger: Tagger | None) -> list[tuple[list, list
             tags, sure = tagger.decode(np.array(rows))
             for (i, s), t, p in zip(some, tags, sure, strict=True):
                 if t.any():
-                    found[i] += window_spans(texts[i], s, t, p)
+                    spans, pieces = window_spans(texts[i], s, t, p)
+                    found[i] += spans
+                    cut[i] += pieces
+        add_long_spans(texts, base, found, cut, tagger)
     return [(b, sorted(b + reconcile(f, b), key=_place) if f else b) for b, f in zip(base, found, strict=True)]
 
 

@@ -107,6 +107,41 @@ def test_spans_across_windows_are_reconciled(tagger):
             assert b <= a  # nothing overlaps here
 
 
+class Marks:
+    """Stands in for a tagger: the letters of ``xyz@.`` are an address, which begins anew at a window's start."""
+
+    def decode(self, ids):
+        hit = np.isin(ids, [ord(c) for c in "xyz@."])
+        before = np.concatenate((np.zeros((len(ids), 1), bool), hit[:, :-1]), 1)
+        return np.where(hit, np.where(before, 2, 1), 0).astype(np.int8), np.ones(ids.shape, np.float32)
+
+
+@pytest.mark.parametrize("size", [32, 36, 50, 63, 64, 65, 100, 300, 1100, 5000])
+def test_no_length_is_lost_at_any_offset(size):
+    texts, want = [], []
+    for offset in range(pii.STRIDE):
+        at = 1 + (7 * offset) % (size - 6)
+        texts.append("a" * (70 + offset) + "x" * at + "@.y" + "z" * (size - at - 3) + " b" * 50)
+        want.append([("email", 70 + offset, 70 + offset + size)])
+    assert [every for _, every in pii.find_spans(texts, Marks())] == want
+
+
+def test_long_variants_are_found_at_every_offset():
+    rng = np.random.default_rng(3)
+
+    def plain(n):
+        return " ".join("".join(rng.choice(list("etaoinshr"), rng.integers(2, 9))) for _ in range(n))
+    tagger = pii.fitted([plain(60) for _ in range(40)])
+    found, whole = {}, []
+    for i in range(6 * pii.STRIDE):
+        kind, data = pii.long_variant(rng)
+        at = 96 + i % pii.STRIDE
+        whole.append((at, kind, at + len(data), plain(40)[:at - 1] + " " + data + " " + plain(30)))
+    for (at, kind, end, _), (_, every) in zip(whole, pii.find_spans([w[3] for w in whole], tagger), strict=True):
+        found.setdefault((end - at) // 32, []).append(any(k == kind and abs(a - at) <= 1 and abs(b - end) <= 1 for k, a, b in every))
+    assert len(found) >= 3 and all(np.mean(v) > 0.8 for v in found.values()), {k: np.mean(v) for k, v in found.items()}
+
+
 def test_reconcile_takes_the_best_set():
     spans = [(0.9, "phone", 0, 10), (0.8, "phone", 8, 20), (0.9, "phone", 10, 20), (0.99, "card", 30, 35)]
     assert pii.reconcile(spans, []) == [("card", 30, 35), ("phone", 10, 20), ("phone", 0, 10)]
