@@ -36,6 +36,7 @@ from quire.llm.wordhash import _powers, mix
 SIZE = 400
 GRAM = 100
 SHARD_BYTES = 2_000_000
+EXTRACT_BYTES = 8 << 20  # of snippets in a batch
 
 
 def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
@@ -60,7 +61,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_windows(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, gram: int):
-    """Anchor hash, text number, first and last window start (in the text) of every run of windows with one anchor."""
+    """Anchor hash, text number, first and last window start (in the text) of every run of windows with one anchor hash."""
     none = np.zeros(0, np.int64)
     if len(buf) < size:
         return none.astype(np.uint64), none, none, none
@@ -73,6 +74,13 @@ def anchored_windows(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, size
     anchor = (picked[at] & low).astype(np.int64)
     new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))) if len(at) else np.zeros(0, bool)
     first = np.flatnonzero(new)
+    value, of = h[anchor[first]], text[first]
+    tied = np.concatenate(([False], (value[1:] == value[:-1]) & (of[1:] == of[:-1])))[:len(first)]
+    if tied.any():  # equal anchors one after the other (short periods): all but the first in runs of a window's length, so that the
+        # runs of a text have a few times its bytes; there are still two, so the anchor does not look unique
+        apart = ~tied | ~np.concatenate(([False], tied[:-1]))
+        part = (first - np.maximum.accumulate(np.where(apart, first, 0))) // (size - gram + 1)
+        first = first[apart | (part != np.concatenate(([0], part[:-1])))]
     last = np.append(first[1:], len(at)) - 1
     return h[anchor[first]], text[first], at[first] - starts[text[first]], at[last] - starts[text[first]]
 
@@ -187,17 +195,24 @@ def _merge_shards(batches):
                                 for a, b in zip(edge[:-1], edge[1:], strict=True)])
 
 
-def _extract(size: int):
+def _extract(size: int, limit: int = EXTRACT_BYTES):
+    def snippets(rows):
+        cols = list(zip(*rows, strict=True))
+        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["node", "h", "s1", "s2", "snip"])
+
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for node, body, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for r in runs:
                     rows.append((node, r["h"], r["s1"], r["s2"], body[r["s1"]:r["s2"] + size]))
+                    held += len(rows[-1][4])
+                    if held >= limit:
+                        yield snippets(rows)
+                        rows, held = [], 0
             if rows:
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["node", "h", "s1", "s2", "snip"])
+                yield snippets(rows)
     return run
 
 

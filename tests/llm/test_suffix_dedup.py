@@ -3,10 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm.suffix_array import common_prefixes, concatenate, repeated_prefixes, suffix_array
-from quire.llm.suffix_dedup import anchored_windows, remove_repeats, sliding_least
+from quire.llm.suffix_dedup import _extract, anchored_windows, remove_repeats, sliding_least
 
 
 def brute(rows, size):
@@ -55,6 +56,28 @@ def test_hard_rows_and_production_size(docs_of, hard):
     assert remove_repeats(docs_of([])).collect() == []
 
 
+@pytest.mark.parametrize("period", [1, 2, 7, 30, 31, 45])
+def test_short_periods_make_few_runs(docs_of, period):
+    rng = random.Random(period)
+    body = "".join(rng.choices("abcdefgh", k=period)) * (6000 // period)
+    rows = [(1, body), (2, body[:41]), (3, body[5:50] + "xyz"), (4, "q" * 41 + "r" * 60)]
+    assert got(remove_repeats(docs_of(rows), 40, 10)) == brute(rows, 40)
+    buf = np.frombuffer(body.encode(), np.uint8)
+    _, _, s1, s2 = anchored_windows(buf, np.array([0]), np.array([len(buf)]), 40, 10)
+    assert s1[0] == 0 and s2[-1] == len(buf) - 40 and (s1[1:] == s2[:-1] + 1).all()
+    assert (s2 - s1 + 40).sum() < 8 * len(buf)
+
+
+def test_megabytes_of_one_character():
+    buf = np.full(3_000_000, 97, np.uint8)
+    _, _, s1, s2 = anchored_windows(buf, np.array([0]), np.array([len(buf)]), 400, 100)
+    assert (s2 - s1 + 400).sum() < 3 * len(buf)
+    runs = [{"h": 1, "s1": int(a), "s2": int(b)} for a, b in zip(s1, s2, strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"n"]), pa.array([buf.tobytes()]), pa.array([runs])], names=["node", "body", "runs"])
+    out = list(_extract(400, 1 << 20)([batch]))
+    assert max(b.nbytes for b in out) < 2 << 20 and sum(b.num_rows for b in out) == len(s1)
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(2)
     for trial in range(120):
