@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.catalog import QUERIES
 from quire.operators import vectors
 
-from conftest import SF001
+from sample_dirs import SF001
 
 
 def test_pages_repeat_collapse_matches_python(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quire.plans.hashing import seeded_hash
 from quire.plans.ordered import hash_bucket, ordered_index, prefix_sum, quantile_bucket
 
-from conftest import SF01
+from sample_dirs import SF01
 
 
 def _events(spark):

@@ -5,7 +5,7 @@ import pytest
 
 from quire.catalog import QUERIES
 
-from conftest import SF001
+from sample_dirs import SF001
 
 NATIVE = ["corpus_profile", "dedup_documents", "leak_matches", "leak_remove_first", "containment_first_doc",
           "split_stratified", "kfold", "metrics_binary", "mrr_at_10", "squad_summary", "regression_metrics"]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import corpus, splits
 
-from conftest import SF01
+from sample_dirs import SF01
 
 
 def _docs(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quire.operators import score as S
 from quire.streaming import ingest
 
-from conftest import SF001
+from sample_dirs import SF001
 
 
 def _split_input(spark, tmp_path):
@@ -47,7 +47,7 @@ def test_metric_registry(spark):
 
 
 def test_event_dedup_within_watermark(spark, tmp_path):
-    from conftest import SF001
+    from sample_dirs import SF001
 
     src = str(tmp_path / "ev")
     ev = spark.read.parquet(f"{SF001}/events.parquet")
