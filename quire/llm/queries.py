@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quire.llm import decontam, exact_dedup, langid, licenses, near_dedup, packing, pii, quality, suffix_dedup, toxicity
+from quire.llm import decontam, exact_dedup, langid, licenses, near_dedup, packing, pii, prefix_trie, quality, repair, suffix_dedup, toxicity, warc
 from quire.llm.common import documents
+from quire.llm.conversation_sql import ORACLES as SHARED_SQL
 from quire.llm.tokenizer_files import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +72,21 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    return repair.repair_conversations(documents(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(documents(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_warc(spark, sf_dir):
+    return warc.archive_pages(documents(spark, sf_dir, "pages")).drop("url")
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
@@ -123,3 +139,5 @@ c as (select d.doc_id, least(d.doc_id, coalesce(min(r.y), d.doc_id)) as class_id
       from documents d left join reach r on r.x = d.doc_id group by d.doc_id)
 select doc_id, class_id, count(*) over (partition by class_id) as class_size, doc_id = class_id as kept from c
 """
+
+ORACLES.update(SHARED_SQL)
