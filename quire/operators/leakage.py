@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import text as T
+from quire.functions import winnow
+from quire.plans.bitset import maybe_in
 from quire.plans.scalar import scalar_join
+from quire.session import checkpoint_dir
 
 SEP = "[SEP]"
 
@@ -105,27 +107,31 @@ def remove_sentences_from_instances(instances: DataFrame, test: DataFrame, id_co
     an instance whose sentences are all removed disappears. Adds ``n_sentences``, ``n_removed``
     and the no-trigger count of the kept sentences (A3).
 
-    Only the matches travel: sentences are exploded map-side and semi-joined with the distinct
-    test keys, the (instance, sentence index) hits are grouped (small) and joined to the instances, which
-    are rebuilt in-row. Adaptive execution picks the join by the hits' measured size."""
-    from quire.functions.labels import join_with_sep, split_at_sep
+    One shuffle of narrow rows: an instance sends (id, sentence index, 64-bit key) of the sentences that a bit set does not rule out;
+    they meet the distinct test sentences; a hit brings the test sentence's tokens back, so that equality is checked where the instance is rebuilt, in one
+    pass over its array. Adaptive execution picks the join by the hits' measured size."""
+    from quire.functions.labels import join_with_sep, let, split_at_sep
 
-    sents = _keyed(explode_instances(instances, id_col, tokens, labels), "tokens")
+    keys = let(split_at_sep(F.col(tokens)), lambda ps: F.transform(ps, lambda p: F.xxhash64(F.array_join(p["tokens"], "\u0001"))))
+    sents = instances.select(id_col, F.posexplode(keys).alias("__i", "__k"))
     t = test_keys(test, test_tokens)
-    hits = sents.join(t, _match_cond(sents, t, "tokens", "__rtok"), "left_semi").select(id_col, "sent_idx")
-    rem = hits.groupBy(id_col).agg(F.collect_list("sent_idx").alias("__rm"))  # within one instance
-    j = instances.select(id_col, tokens, labels).join(rem, id_col, "left")
-    rm = F.coalesce(F.col("__rm"), F.array().cast("array<int>"))
-    parts = split_at_sep(F.col(tokens), F.col(labels))
-    kept = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("i"), p["tokens"].alias("t"), p["labels"].alias("l"))),
-                    lambda x: ~F.array_contains(rm, x["i"]))
-    out = j.select(F.col(id_col), parts.alias("__parts"), kept.alias("__kept")).select(
+    near = maybe_in(sents, t.withColumnRenamed("__rk", "__k"), "__k")
+    hits = near.join(t, near["__k"] == t["__rk"]).groupBy(id_col).agg(
+        F.collect_list(F.struct(F.col("__i").alias("i"), F.col("__rtok").alias("t"))).alias("__hits"))  # within one instance
+    j = instances.select(id_col, tokens, labels).join(hits, id_col, "left")
+    rm = F.col("__hits")
+
+    def rebuilt(parts):
+        kept = F.when(rm.isNull(), parts).otherwise(F.filter(parts, lambda p, i: ~F.exists(rm, lambda h: (h["i"] == i) & (h["t"] == p["tokens"]))))
+        return F.struct(F.size(parts).alias("n"), kept.alias("kept"))
+
+    out = j.select(F.col(id_col), let(split_at_sep(F.col(tokens), F.col(labels)), rebuilt).alias("__x")).select(id_col, "__x.n", "__x.kept").select(
         F.col(id_col),
-        join_with_sep(F.transform("__kept", lambda x: x["t"]), SEP).alias("tokens"),
-        join_with_sep(F.transform("__kept", lambda x: x["l"]), "O").alias("labels"),
-        F.size("__kept").alias("n_sentences"),
-        (F.size("__parts") - F.size("__kept")).alias("n_removed"),
-        F.size(F.filter("__kept", lambda x: ~F.array_contains(x["l"], "B-trigger"))).alias("n_without_trigger"),
+        join_with_sep(F.transform("kept", lambda x: x["tokens"]), SEP).alias("tokens"),
+        join_with_sep(F.transform("kept", lambda x: x["labels"]), "O").alias("labels"),
+        F.size("kept").alias("n_sentences"),
+        (F.col("n") - F.size("kept")).alias("n_removed"),
+        F.size(F.filter("kept", lambda x: ~F.array_contains(x["labels"], "B-trigger"))).alias("n_without_trigger"),
     )
     return out.filter(F.size("tokens") > 0)
 
@@ -133,66 +139,65 @@ def remove_sentences_from_instances(instances: DataFrame, test: DataFrame, id_co
 # --- J4: containment join --------------------------------------------------------------------
 
 
-ANCHOR_LEN = 16
+def _chosen_keys(items: DataFrame, docs: DataFrame, sample: float) -> DataFrame:
+    """``id, level, key, key2``: of every item's keys the one that is rarest in a sample of the documents (ties: the least). The sample
+    steers the plan only: every document is searched."""
+    levels = _levels(items)
+    per = winnow.item_keys(items, "__iid", "__itext").filter(F.col("level") >= winnow.EXACT)
+    part = docs.sample(False, sample, seed=17) if sample < 1 else docs
+    seen = winnow.document_keys(part, "__did", "__dtext", [lv for lv in levels if lv >= winnow.EXACT])
+    freq = seen.join(per.select("level", "key").distinct(), ["level", "key"], "left_semi").groupBy("level", "key").agg(F.count(F.lit(1)).alias("__f"))
+    return per.join(freq, ["level", "key"], "left").groupBy("id", "level").agg(
+        F.min_by("key", F.struct(F.coalesce("__f", F.lit(0)), F.col("key"))).alias("key"))
 
 
-def _shingles_after_ws(text: Column, n: int) -> Column:
-    """Every ``n``-char substring that starts right after a whitespace character (zero-width
-    regex matches with a capturing look-ahead: one pass over the text, no offsets needed)."""
-    return F.regexp_extract_all(text, F.lit("(?s)(?<=" + T.WS + ")(?=(.{" + str(n) + "}))"), 1)
+def _levels(items: DataFrame) -> list[int]:
+    """Levels that occur: at most ``EXACT + len(LEVELS)`` numbers reach the driver."""
+    level = winnow.level_of(F.length("__itext"))
+    return sorted(r[0] for r in items.select(level.alias("l")).filter("l is not null").distinct().collect())
 
 
 def containment_first_doc(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_text: str = "text",
-                          doc_id: str = "doc_id", doc_text: str = "text", anchor_len: int = ANCHOR_LEN,
-                          anchor_sample: float = 1 / 16) -> DataFrame:
+                          doc_id: str = "doc_id", doc_text: str = "text", anchor_sample: float = 1 / 16) -> DataFrame:
     """For every item (sentence) the smallest ``doc_id`` whose text contains it (Python ``in``).
 
-    Never a cross join. An item with a whitespace character followed by at least ``anchor_len``
-    characters is anchored on ``anchor_len`` characters after one of its whitespace characters. Any
-    occurrence of the item in a document puts that anchor right after a whitespace character of
-    the document, so documents only emit one shingle per whitespace character. Anchor hits are
-    candidates; ``instr`` verifies them against the document text. Items without such an anchor (short, or
-    without whitespace, of whatever length) are matched on their first ``min(length, anchor_len)``
-    characters at every position of the documents: one pass for the lengths that occur, ``anchor_len`` of
-    them at most. The empty item is contained in every document.
-
-    Skew: boilerplate anchors (a licence line in a third of all documents) would turn into all
-    (item, document) pairs of a hot key. Every anchor of an item is a choice; their frequencies are
-    estimated on a seeded ``anchor_sample`` of the documents and each item keeps its RAREST one. The
-    estimate only steers the plan: every document is still searched, so the result does not depend
-    on the sample. Output: ``item_id, doc_id``; items contained in no document are absent.
-    """
-    it = items.select(F.col(item_id).alias("__iid"), F.col(item_text).alias("__itext"))
-    after = _shingles_after_ws(F.col("__itext"), anchor_len)
-    it = it.withColumn("__cands", F.array_distinct(after))
-    d = docs.select(F.col(doc_id).alias("__did"), F.col(doc_text).alias("__dtext"))
-
-    per = it.select("__iid", F.posexplode("__cands").alias("__apos", "__anchor"))
-    sample = d.sample(False, anchor_sample, seed=17) if anchor_sample < 1 else d
-    sh_s = sample.select(F.explode(_shingles_after_ws(F.col("__dtext"), anchor_len)).alias("__anchor"))
-    freq = sh_s.join(per.select("__anchor").distinct(), "__anchor", "left_semi").groupBy("__anchor").agg(
-        F.count(F.lit(1)).alias("__f"))
-    chosen = per.join(freq, "__anchor", "left").groupBy("__iid").agg(
-        F.min_by("__anchor", F.struct(F.coalesce("__f", F.lit(0)), F.col("__apos"))).alias("__anchor"))
-    sh = d.select("__did", F.explode(_shingles_after_ws(F.col("__dtext"), anchor_len)).alias("__anchor"))
-    cand = sh.join(chosen, "__anchor").select("__did", "__iid")
-
-    loose = it.filter((F.size("__cands") == 0) & (F.length("__itext") > 0)).select(
-        "__iid", F.substring("__itext", 1, anchor_len).alias("__anchor"))
-    # at most anchor_len lengths, as one array in one row
-    lengths = loose.agg(F.collect_set(F.length("__anchor")).alias("__lens"))
-    every = scalar_join(d, F.broadcast(lengths)).select("__did", "__dtext", F.explode("__lens").alias("__n"))
-    every = every.select("__did", F.explode(F.regexp_extract_all(
-        F.col("__dtext"), F.concat(F.lit("(?s)(?=(.{"), F.col("__n").cast("string"), F.lit("}))")), 1)).alias("__anchor"))
-    cand = cand.unionByName(every.join(loose, "__anchor").select("__did", "__iid")).distinct()
-
-    texts = it.select("__iid", "__itext")
-    hits = d.join(cand, "__did").join(texts, "__iid").filter(
-        F.instr(F.col("__dtext"), F.col("__itext")) > 0).select("__iid", "__did")
+    Never a cross join: a minimizer index (``functions.winnow``) over both sides. Equal item texts are searched once. Items of 16 and more
+    characters meet the documents on ONE of their winnowing keys, which any document that contains them has too, whatever the
+    characters are and wherever the item stands; ``contains`` verifies the candidates. Shorter items are compared as a whole with the
+    documents' grams of their length (two independent 64-bit hashes), reduced to the least ``doc_id`` a gram before anything is
+    joined, so a short item that stands in every document makes no pairs. The empty item is contained in every document.
+
+    Skew: boilerplate (a licence line, an URL's first part) would turn into all (item, document) pairs of a hot key. Every key of
+    an item is a choice; frequencies are estimated on a seeded ``anchor_sample`` of the documents and the item keeps its
+    RAREST key. The result does not depend on the sample. Output: ``item_id, doc_id``; items contained in no document, null items among
+    them, are absent; null documents contain nothing."""
+    named = items.select(F.col(item_id).alias("__id"), F.col(item_text).cast("string").alias("__itext")).filter("__itext is not null")
+    text_key = F.struct(F.xxhash64("__itext").alias("a"), F.md5("__itext").alias("b"))
+    named = named.withColumn("__iid", F.concat_ws(":", text_key["a"].cast("string"), text_key["b"]))
+    it = named.groupBy("__iid").agg(F.first("__itext").alias("__itext"))
+    d = docs.select(F.col(doc_id).alias("__did"), F.col(doc_text).cast("string").alias("__dtext")).filter("__dtext is not null")
+
+    levels = _levels(it)
+    long_levels, short = [lv for lv in levels if lv >= winnow.EXACT], [lv for lv in levels if lv < winnow.EXACT]
+    found = []
+    if long_levels:
+        checkpoint_dir(items.sparkSession)
+        chosen = _chosen_keys(it, d, anchor_sample).withColumnRenamed("id", "__iid").checkpoint()  # one narrow row an item, used twice
+        keys = maybe_in(winnow.document_keys(d, "__did", "__dtext", long_levels).withColumnRenamed("id", "__did"), chosen, "key")
+        cand = keys.join(chosen, ["level", "key"]).select("__did", "__iid").distinct()
+        found.append(d.join(cand, "__did").join(it, "__iid").filter(F.contains("__dtext", "__itext")).groupBy("__iid").agg(F.min("__did").alias("__did")))
+    if short:
+        wanted = winnow.item_keys(it, "__iid", "__itext").filter(F.col("level") < winnow.EXACT).withColumnRenamed("id", "__iid")
+        grams = maybe_in(winnow.document_keys(d, "__did", "__dtext", short), wanted, "key")
+        hit = grams.join(wanted.drop("__iid"), ["level", "key", "key2"], "left_semi").groupBy("level", "key", "key2").agg(F.min("id").alias("__did"))
+        found.append(wanted.join(hit, ["level", "key", "key2"]).select("__iid", "__did"))
     empty = it.filter(F.length("__itext") == 0).select("__iid")
     first_doc = d.agg(F.min("__did").alias("__did"))
-    hits = hits.unionByName(scalar_join(empty, F.broadcast(first_doc)).filter("__did is not null").select("__iid", "__did"))
-    return hits.groupBy("__iid").agg(F.min("__did").alias(doc_id)).withColumnRenamed("__iid", item_id)
+    found.append(scalar_join(empty, F.broadcast(first_doc)).filter("__did is not null").select("__iid", "__did"))
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    return named.join(hits, "__iid").select(F.col("__id").alias(item_id), F.col("__did").alias(doc_id)).groupBy(item_id).agg(F.min(doc_id).alias(doc_id))
 
 
 def split_without_leakage(train: DataFrame, test: DataFrame, tokens: str, key_cols: Sequence[str], seed, dev_fraction: float = 0.2,

@@ -65,6 +65,79 @@ def test_containment_of_items_without_whitespace_of_many_lengths(spark):
     assert got == {i: min(d for d, t in docs if s in t) for i, s in items if any(s in t for _, t in docs)}
 
 
+def _urls_and_cjk(n=90):
+    """Items of which a third share their first characters, without whitespace, and documents that hold half of them."""
+    import random
+
+    rng = random.Random(11)
+    cjk = "".join(map(chr, range(0x4E00, 0x4E40)))
+    items = [(i, "https://www.example.org/archive/pages/2024/" + "".join(rng.choices("abcdef0123", k=rng.randrange(6, 60)))) for i in range(n // 3)]
+    items += [(i, "日本語の文章" + "".join(rng.choices(cjk, k=rng.randrange(1, 90)))) for i in range(n // 3, 2 * n // 3)]
+    items += [(i, "".join(rng.choices("xyz ", k=rng.randrange(1, 120)))) for i in range(2 * n // 3, n)]
+    docs = []
+    for d in range(400):
+        body = [rng.choice(items)[1] for _ in range(rng.randrange(3))] if d % 2 else []
+        noise = ["https://www.example.org/archive/pages/2024/", "日本語の文章", "".join(rng.choices("xyz ", k=30)), "".join(rng.choices(cjk, k=40))]
+        parts = body + noise
+        rng.shuffle(parts)
+        docs.append((d, "".join(parts)))
+    return items, docs
+
+
+def test_containment_of_urls_and_cjk_with_a_shared_prefix(spark):
+    items, docs = _urls_and_cjk()
+    more_items = items + [(1000, None), (1001, items[0][1]), (1002, "")]
+    got = {r.item_id: r.doc_id for r in leakage.containment_first_doc(
+        spark.createDataFrame(more_items, "item_id long, text string"), spark.createDataFrame([*docs, (9000, None)], "doc_id long, text string")).collect()}
+    assert got == {i: min(d for d, t in docs if s in t) for i, s in more_items if s is not None and any(s in t for _, t in docs)}
+
+
+def test_containment_keys_are_not_hot(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions import winnow
+
+    items, docs = _urls_and_cjk(300)
+    it = spark.createDataFrame(items, "__iid long, __itext string").filter(F.length("__itext") >= winnow.EXACT)
+    d = spark.createDataFrame(docs, "__did long, __dtext string")
+    chosen = leakage._chosen_keys(it, d, 1.0)
+    assert chosen.count() == it.count()  # one key an item
+    # candidates a key: the shared first part, which stands in every document, is nobody's key
+    seen = winnow.document_keys(d, "__did", "__dtext", [lv for lv, _, _ in winnow.LEVELS])
+    most = seen.join(chosen.withColumnRenamed("id", "item"), ["level", "key"]).groupBy("level", "key").agg(F.countDistinct("item", "id").alias("n")).agg(F.max("n")).first()[0]
+    assert most < len(docs) / 10
+
+
+def test_winnowing_keys_of_a_part_are_keys_of_the_whole(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from quire.functions import winnow
+
+    monkeypatch.setattr(winnow, "PIECE", 100)
+    rng = random.Random(8)
+
+    def keys(text, level):
+        out = set()
+        for _, group in winnow._pieces([text]):
+            codes = np.frombuffer("".join(group).encode("utf-32-le"), np.uint32)
+            _, key, second = winnow._group_keys(codes, np.cumsum([len(t) for t in group]), level)
+            out |= set(zip(key.tolist(), second.tolist(), strict=True))
+        return out
+
+    for level in (1, 2, 3, 7, 15, 16, 64):
+        for _ in range(40):
+            text = "".join(rng.choices("ab語\U0001f600é", k=rng.randrange(1, 400)))
+            n = rng.randrange(level, level + 40) if level >= winnow.EXACT else level
+            if len(text) >= n:
+                a = rng.randrange(len(text) - n + 1)
+                part = keys(text[a:a + n], level)
+                assert part and part <= keys(text, level)
+                assert level >= winnow.EXACT or len(part) == 1
+    assert keys("ab", 3) == set() and keys("abc", 3) != keys("abd", 3)
+
+
 def test_split_without_leakage_sizes(spark):
     import pytest
 
