@@ -234,7 +234,9 @@ def read_records(folder: str, index: DataFrame, payload: bool = True, limit: int
     gaps of at most ``gap``; a longer record is read alone. A row named twice is read twice. ``payload``: whether payloads are
     returned (they are read and checked anyway). A record that is damaged or missing ends the job."""
     stretch = F.floor(F.col("offset") / STRETCH_BYTES)
-    dealt = index.select("file", "offset", "length", stretch.alias("stretch")).repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    # a fixed number of tasks: an index row is small beside the record that it stands for, and would be dealt by its own size
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.select("file", "offset", "length", stretch.alias("stretch")).repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
     return dealt.drop("stretch").mapInArrow(_read(_shared(folder), payload, limit, gap), RECORDS)
 
 
