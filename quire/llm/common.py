@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.session import checkpoint_dir
@@ -50,6 +50,25 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+SPREAD = 1 << 40
+
+
+def hash_share(limit: int, count: Column, *key: Column | str) -> Column:
+    """Whether a row is among about 2 * ``limit`` + 100 of ``count``, by a hash of ``key``: what is left of a group before its rows are ranked for a
+    sample, so that no task ranks a whole group. Groups of no more rows than that keep all."""
+    return F.pmod(F.xxhash64(*key, F.lit("share")), F.lit(SPREAD)) < F.lit(float(SPREAD)) * (2 * limit + 100) / F.greatest(count, F.lit(1))
+
+
+def sampled_ids(rows: DataFrame, group: str, limit: int) -> DataFrame:
+    """``doc_id`` and ``group`` of at most ``limit`` ids of each value of ``group`` (few values, each a class that is learned): those with the
+    least hash. Only ids that pass ``hash_share`` are shuffled and ranked."""
+    ids = rows.select("doc_id", group)
+    counts = ids.groupBy(group).agg(F.count("*").alias("__n"))  # one row a class
+    near = ids.join(F.broadcast(counts), group).filter(hash_share(limit, F.col("__n"), "doc_id")).select("doc_id", group).distinct()
+    order = Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return near.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= limit).drop("__r")
+
+
 BITS = 1 << 24
 
 

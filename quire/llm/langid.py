@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytegroups import GROUP_BYTES, byte_groups, joined, small_batches, tidy
-from quire.llm.common import crc_mod
+from quire.llm.common import crc_mod, sampled_ids
 
 SAMPLE_PER_LANGUAGE = 400
 BUCKETS = 1 << 16
@@ -110,9 +110,7 @@ class Model:
 def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """Fit on rows of ``docs`` (``doc_id, text, lang``); None without a labelled text."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(order))
-              .filter(F.col("r") <= sample_per_language).select("doc_id", "lang").distinct())
+    chosen = sampled_ids(labelled, "lang", sample_per_language)
     # bounded: sample_per_language ids of each language
     sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
 
@@ -146,47 +144,50 @@ def _has_letter(text: bytes) -> bool:
 
 
 def predict(docs: DataFrame, model: Model | None, boxed: str | None = None) -> DataFrame:
-    """``doc_id`` of each row of ``docs`` with ``lang_pred, score, ambiguous``; or the column ``boxed``, a struct that has the text.
+    """``doc_id`` of each row of ``docs`` with ``lang_pred, score, ambiguous, rejected``; or the column ``boxed``, a struct that has the text.
 
-    ``und`` with score 0 for null, empty and letterless text, and for every text if nothing was
-    learned. Repeated rows are judged each; ties go to the language that sorts first; other columns
-    are ignored."""
+    Null, empty and letterless texts are ``rejected``, with ``und`` and score 0. If nothing was learned, every text has ``und`` and score 0, but
+    texts with letters are not rejected; a learned language may be called ``und`` too. Repeated rows are judged each; ties go to the
+    language that sorts first; a very long text is judged whole, in slices; an empty table gives an empty result; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS weights at most
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            langs, scores, unsure = [], [], []
+            langs, scores, unsure, none = [], [], [], []
             for _, texts in byte_groups(batch.column(0).field("text") if boxed else batch.column(1)):
                 letters = [t[:200].upper() != t[:200].lower() or _has_letter(t) for t in texts]
                 if m is None:
-                    best, score, vague, letters = [0] * len(texts), [0.0] * len(texts), [False] * len(texts), [False] * len(texts)
+                    best, score, vague = [0] * len(texts), [0.0] * len(texts), [False] * len(texts)
                 else:
                     best, score, vague = m.decode(m.margins(texts))
-                langs += [m.languages[b] if ok else NO_LANGUAGE for b, ok in zip(best, letters, strict=True)]
+                langs += [m.languages[b] if ok and m is not None else NO_LANGUAGE for b, ok in zip(best, letters, strict=True)]
                 scores += [float(s) if ok else 0.0 for s, ok in zip(score, letters, strict=True)]
                 unsure += [bool(v) and ok for v, ok in zip(vague, letters, strict=True)]
+                none += [not ok for ok in letters]
             out = pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())],
-                names=[first, "lang_pred", "score", "ambiguous"])
+                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_()), pa.array(none, pa.bool_())],
+                names=[first, "lang_pred", "score", "ambiguous", "rejected"])
             yield from small_batches(out)
 
     first = boxed or "doc_id"
     source = docs.select(boxed) if boxed else docs.select("doc_id", F.col("text").cast("string").alias("__text"))
-    return source.mapInArrow(tidy(run), f"{first} {source.schema[0].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+    return source.mapInArrow(tidy(run), f"{first} {source.schema[0].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean, rejected boolean")
 
 
 def identify(docs: DataFrame, folds: int = 5, held_out_fold: int = 0) -> DataFrame:
     """Train on the rows outside the held-out fold (crc32 of the id), predict every row:
-    ``doc_id, held_out, lang_pred, score, ambiguous``. A null id belongs to the fold of the empty text."""
+    ``doc_id, held_out, lang_pred, score, ambiguous``. A null id belongs to the fold of the empty text. Texts without a letter are ``und``;
+    so is every text of a table that has no labelled text to learn from. The rest is as ``predict`` says."""
     held = crc_mod(F.col("doc_id"), folds) == held_out_fold
     model = train(docs.filter(~held).select("doc_id", "text", "lang"))
     return predict(docs, model).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is identified, with all their columns. Rejected: texts without a
-    letter (``und``). An ambiguous text has a language among the learned ones and stays."""
+    """The rows of ``docs`` whose language is identified, with all their columns. Rejected: null texts and
+    texts without a letter. An ambiguous text has a language among the learned ones and stays, and where nothing could be learned
+    all texts with letters stay."""
     model = train(docs.filter(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "text", "lang"))
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    return predict(boxed, model, "__row").filter(F.col("lang_pred") != NO_LANGUAGE).select("__row.*")
+    return predict(boxed, model, "__row").filter(~F.col("rejected")).select("__row.*")

@@ -183,3 +183,29 @@ def test_held_out_accuracy(spark):
     for out, name in ((toxicity.toxicity(docs, labels), "toxic"), (quality.quality(docs, labels), "quality")):
         rows = out.join(labels, "doc_id").filter("held_out").collect()
         assert np.mean([r.predicted == r[name] for r in rows]) > 0.9
+
+
+def test_nothing_learned_drops_no_text_with_letters(spark):
+    from pyspark.sql import functions as F
+
+    from quire.llm import langid
+
+    rows = [(i, t, None) for i, t in enumerate(["some words", "", None, "12 34 !", "ещё слова", "more words of text"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    letters = [0, 4, 5]
+    assert sorted(r.doc_id for r in langid.drop_unidentified(docs).collect()) == letters
+    und = docs.withColumn("lang", F.lit("und"))  # a learned language of that name
+    assert sorted(r.doc_id for r in langid.drop_unidentified(und).collect()) == letters
+    assert {r.lang_pred for r in langid.identify(docs).collect()} == {"und"}
+
+
+def test_samples_are_exact_and_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from quire.llm.common import sampled_ids
+
+    ids = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("kind"))
+    ids = ids.unionByName(spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("b").alias("kind"))).unionByName(
+        spark.createDataFrame([(1, "rare"), (2, "rare")], "doc_id long, kind string"))
+    got = {r.kind: r.ids for r in sampled_ids(ids, "kind", 300).groupBy("kind").agg(F.collect_set("doc_id").alias("ids")).collect()}
+    assert {k: len(v) for k, v in got.items()} == {"a": 300, "b": 300, "rare": 2}
