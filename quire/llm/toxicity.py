@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytegroups import GROUP_BYTES, byte_groups, tidy
-from quire.llm.common import crc_mod, stored
+from quire.llm.common import crc_mod, sampled_ids, stored
 from quire.llm.langid import FOLD
 from quire.llm.wordhash import mix
 
@@ -184,17 +184,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limits: dict
     ``limits`` add up to (those with the smallest hash of the id), dealt to the parts in proportion by another hash."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sum(limits.values()))
     total = sum(limits.values())
+    ranked = sampled_ids(known, "label", total)
     few = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(total))
     at, by_hash = 0, F.lit(None).cast("string")
     for name, n in limits.items():
         by_hash = F.when((few >= at) & (few < at + n), F.lit(name)).otherwise(by_hash)
         at += n
     chosen = ranked.select("doc_id", "label", by_hash.alias("part"))
-    # bounded: at most sum(limits) ids of each label value
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("part", "label", F.col("text").cast("string").alias("text"))
+    # bounded: at most sum(limits) ids of each label value, and of rows repeated under an id the text that sorts first
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "part", "label").agg(F.min("text").alias("text")).select("part", "label", "text")
 
 
 def corpus_contexts(docs: DataFrame, order: int = ORDER) -> DataFrame:
