@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytegroups import tidy
+from quire.llm.common import hash_share, stored
 from quire.llm.crf_tagger import KINDS, Tagger, character_ids
 from quire.llm.wordscan import texts_of
 
@@ -30,7 +31,7 @@ WINDOW = 64
 STRIDE = 32
 WIDE = 1024  # characters of a stretch decoded at once
 SAMPLE_TEXTS = 1500
-SAMPLE_CHARS = 4000  # of a training text; searching reads whole texts
+SAMPLE_CHARS = 4000  # of a training text, from a place in it that a hash picks; searching reads whole texts
 TRAIN_WINDOWS = 2000
 TRAIN_WIDTH = 160  # of the wide training windows
 CONFIDENCE = 0.7
@@ -169,7 +170,8 @@ def training_windows(texts: list[str], limit: int = TRAIN_WINDOWS, seed: int = 9
     found = [(t, base_spans(t)) for t in texts]
     for t, spans in [f for f in found if f[1]][:limit // 3]:
         chars = character_ids(t)
-        for s in window_starts(t)[:4]:
+        starts = window_starts(t)
+        for s in sorted(rng.choice(starts, min(4, len(starts)), replace=False).tolist()):
             ids.append(_padded(chars, s))
             tags.append(tag_row(spans, s))
     plain = [t for t, spans in found if not spans and len(t) > 20] or ["some words of plain text and some more words here"]
@@ -217,10 +219,21 @@ def fitted(texts: list[str], windows: int = TRAIN_WINDOWS, epochs: int = 8) -> T
 
 
 def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, windows: int = TRAIN_WINDOWS, epochs: int = 8) -> Tagger:
-    """Fit on a bounded sample: half of texts with a digit or @, half of any texts, by a hash of the id."""
-    known = docs.filter(F.length("text") > 0).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    order = [F.xxhash64("doc_id", F.substring("text", 1, 100)), F.col("text")]
-    some = known.orderBy(*order).limit(sample_texts // 2).collect() + known.filter(F.col("text").rlike("[0-9@]")).orderBy(*order).limit(sample_texts // 2).collect()
+    """Fit on a bounded sample: half of texts with a digit or @, half of any texts, by a hash of the id. Of a long text the stretch that a hash
+    of the id picks is learned from. Rows are kept by a share derived from their number before they are ranked, so that what meets in a
+    task and on the driver does not grow with the input."""
+    size = F.length("text")
+    at = F.pmod(F.xxhash64("doc_id", F.lit("at")), F.greatest(size - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    known = docs.filter(size > 0).select("doc_id", F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("text"))
+    signed = F.col("text").rlike("[0-9@]")
+    n, n_signed = known.agg(F.count("*"), F.count_if(signed)).first()
+    key = [F.col("doc_id"), F.substring("text", 1, 100)]
+
+    def some(rows, count):
+        near = rows.filter(hash_share(sample_texts // 2, F.lit(count), *key))
+        return stored(near.orderBy(F.xxhash64(*key), "text").limit(sample_texts // 2), "op1-sample").collect()
+
+    some = some(known, n) + some(known.filter(signed), n_signed)
     return fitted([r["text"] for r in some], windows, epochs)
 
 
