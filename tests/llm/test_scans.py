@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm.decontam import drop_contaminated, mark_contamination
 from quire.llm.licenses import evaluate, scan_licenses, to_postfix
@@ -51,8 +52,8 @@ def test_contamination_against_brute_force(docs_of, bench, hard):
     rows = [(i, " ".join(rng.choices("alpha beta, gamma-Délta DÉLTA délta X1\n".split(), k=rng.randint(0, 80)))) for i in range(60)]
     rows += [(100 + i, "filler words " * i + str(items[6][1]).upper() + "! more " * 3) for i in range(0, 400, 40)] + hard
     df = docs_of(rows)
-    for chars in (2_000_000, 300):  # one automaton, or many
-        out = mark_contamination(df, table, automaton_chars=chars).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    for chars, size in ((2_000_000, 1 << 20), (300, 1 << 20), (300, 250)):  # one automaton, or many; one part, or several
+        out = mark_contamination(df, table, automaton_chars=chars, part_bytes=size).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
         assert sorted(str(tuple(r)) for r in out.collect()) == brute_contamination(rows, items)
 
 
@@ -63,6 +64,13 @@ def test_hit_spans_point_into_the_original(docs_of, spark):
     assert [text[s.start:s.end] for s in r.hit_spans] == ["grüße,\nAN die   welt"]
 
 
+def test_parts_of_a_benchmark_change_nothing(docs_of, bench, hard):
+    df = docs_of([*hard, (50, "and " + bench[0][6][1] + " and " + bench[0][8][1])])
+    boxed = df.select(F.struct("doc_id", "text").alias("row"))
+    whole, parts = (sorted(str(r) for r in mark_contamination(boxed, bench[1], boxed="row", part_bytes=n).collect()) for n in (1 << 20, 200))
+    assert whole == parts and any("contaminated=True" in r for r in whole)
+
+
 def test_clean_rows_stay_whole(docs_of, bench, hard, spark):
     df = docs_of(hard)
     kept = drop_contaminated(df, bench[1])
