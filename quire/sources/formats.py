@@ -19,9 +19,12 @@ from pyspark.sql import types as Ty
 from quire.functions import text as T
 from quire.functions.labels import let
 from quire.plans.scalar import scalar_join
+from quire.sources.records import csv_records, json_records
 
 SENTENCE_SCHEMA = "id BIGINT, sentence STRING, label INT"
 DOCUMENT_SCHEMA = "id BIGINT, text STRING"
+FAILFAST = {"mode": "FAILFAST"}
+LINE_MARK = "\ue000\ue001"  # private use characters
 
 
 def file_pos() -> Column:
@@ -154,12 +157,12 @@ SQUAD_SCHEMA = Ty.StructType([
 
 
 def read_squad(spark: SparkSession, path) -> DataFrame:
-    """S9 + R13: one SQuAD JSON document -> one row per question
-    ``(doc_idx, par_idx, context, qid, question, answers, answer_type)``. The file is one JSON
-    value (not splittable); convert it once to Parquet/JSONL for parallel jobs."""
-    raw = spark.read.schema(SQUAD_SCHEMA).option("multiLine", True).json(path)
-    d = raw.select(F.posexplode("data").alias("doc_idx", "d"))
-    p = d.select("doc_idx", F.posexplode("d.paragraphs").alias("par_idx", "p"))
+    """S9 + R13: SQuAD JSON documents -> one row per question
+    ``(doc_idx, par_idx, context, qid, question, answers, answer_type)``. A file is one JSON value: it is cut at its articles
+    (``sources.records``), so that many tasks read it; ``doc_idx`` is the article's number in its file."""
+    article = SQUAD_SCHEMA["data"].dataType.elementType
+    raw = json_records(spark, path, depth=2).select(F.col("idx").cast("int").alias("doc_idx"), F.from_json("value", article, FAILFAST).alias("d"))
+    p = raw.select("doc_idx", F.posexplode("d.paragraphs").alias("par_idx", "p"))
     q = p.select("doc_idx", "par_idx", F.col("p.context").alias("context"), F.explode("p.qas").alias("qa"))
     return q.select(
         "doc_idx", "par_idx", "context", F.col("qa.id").alias("qid"), F.col("qa.question").alias("question"),
@@ -173,34 +176,34 @@ RETRIEVAL_POS = ["positive_contexts", "positive_ctxs", "positive_context", "posi
 RETRIEVAL_NEG = ["hard_negative_contexts", "hard_negative_ctxs", "hard_negative_context", "hard_negative_ctx"]
 
 
-def read_retrieval_json(spark: SparkSession, path, num_positives: int = 1, num_hard_negatives: int = 1) -> DataFrame:
+def read_retrieval_json(spark: SparkSession, path, num_positives: int = 1, num_hard_negatives: int = 1, max_samples: int | None = None,
+                        shuffle_positives: bool = False, shuffle_negatives: bool = False, seed: int = 0, lines: bool = False) -> DataFrame:
     """S11 + R10 + R11: retrieval records with alias keys. Query from ``question``/``questions``/
     ``query``; positives from ``RETRIEVAL_POS``, hard negatives from ``RETRIEVAL_NEG``. Missing passage id -> ``xxhash64`` of the text.
-    Output: ``query, positives, hard_negatives`` (title, text, passage_id structs, sliced)."""
-    ctx_t = "array<struct<title:string,text:string,passage_id:string>>"
-    keys = {"question": "string", "query": "string", "questions": "string"}
-    for k in RETRIEVAL_POS + RETRIEVAL_NEG:
-        keys[k] = ctx_t
-    df = spark.read.schema(", ".join(f"{k} {t}" for k, t in keys.items())).option("multiLine", True).json(path)
-    cols = set(df.columns)
-
-    def first(names, default):
-        present = [F.col(n) for n in names if n in cols]
-        return F.coalesce(*present) if present else default
+    Output: ``query, positives, hard_negatives`` (title, text, passage_id structs, sliced).
 
+    A file is one array, cut at its records so that many tasks read it, or (``lines``) one record a line. ``max_samples``: a seeded sample of at
+    most so many records; ``shuffle_positives`` / ``shuffle_negatives``: passages in a seeded order before the first ones are taken."""
     ctx_t = "array<struct<title:string,text:string,passage_id:string>>"
-    q = first(["question", "questions", "query"], F.lit(None).cast("string"))
-    pos = first(RETRIEVAL_POS, F.lit(None))
-    neg = first(RETRIEVAL_NEG, F.lit(None))
-
-    def norm(arr, k):
-        fixed = F.transform(arr, lambda c: F.struct(
+    keys = {"question": "string", "query": "string", "questions": "string", **{k: ctx_t for k in RETRIEVAL_POS + RETRIEVAL_NEG}}
+    records = json_records(spark, path, depth=0 if lines else 1)
+    if max_samples is not None:
+        records = records.orderBy(F.xxhash64(F.lit(seed), "file", "idx"), "file", "idx").limit(max_samples)
+    df = records.select(F.from_json("value", ", ".join(f"{k} {t}" for k, t in keys.items()), FAILFAST).alias("r")).select("r.*")
+
+    def norm(names, k, shuffled):
+        arr = F.coalesce(*[F.col(n) for n in names], F.array().cast(ctx_t))
+        if shuffled:
+            ranked = F.transform(arr, lambda c, i: F.struct(F.xxhash64(F.lit(seed), c["text"], i).alias("h"), i.alias("i"), c.alias("c")))
+            arr = F.transform(F.array_sort(ranked), lambda x: x["c"])
+        fixed = F.transform(F.slice(arr, 1, k), lambda c: F.struct(
             F.coalesce(c["title"], F.lit("")).alias("title"), c["text"].alias("text"),
             F.coalesce(c["passage_id"].cast("string"), F.xxhash64(c["text"]).cast("string")).alias("passage_id")))
-        return F.slice(F.coalesce(fixed, F.array().cast(ctx_t)), 1, k)
+        return fixed
 
-    return df.select(F.regexp_replace(q, "\\?$", "").alias("query"), norm(pos, num_positives).alias("positives"),
-                     norm(neg, num_hard_negatives).alias("hard_negatives"))
+    q = F.coalesce("question", "questions", "query")
+    return df.select(F.regexp_replace(q, "\\?$", "").alias("query"), norm(RETRIEVAL_POS, num_positives, shuffle_positives).alias("positives"),
+                     norm(RETRIEVAL_NEG, num_hard_negatives, shuffle_negatives).alias("hard_negatives"))
 
 
 def python_list(col, element: str) -> Column:
@@ -209,9 +212,21 @@ def python_list(col, element: str) -> Column:
     return F.from_json(c, f"array<{element}>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
 
 
+def read_quoted_csv(spark: SparkSession, path, delimiter: str = ",") -> DataFrame:
+    """CSV files with one header, whose quoted cells may hold line breaks and doubled quotes: every column a string."""
+    header = spark.read.option("header", True).option("sep", delimiter).option("escape", '"').option("multiLine", True).csv(path).columns
+    rows = csv_records(spark, path).filter("idx > 0").select(F.regexp_replace("value", "\r?\n\\z", "").alias("v")).filter("length(v) > 0")
+    schema = Ty.StructType([Ty.StructField(f"c{i}", Ty.StringType()) for i in range(len(header))])
+    # cells hold their line breaks under a mark that text does not have, as from_csv takes one line
+    cells = F.from_csv(F.replace("v", F.lit("\n"), F.lit(LINE_MARK)), schema.simpleString()[7:-1].replace(":", " "), {"sep": delimiter, "escape": '"'})
+    parsed = rows.select(cells.alias("r"))
+    return parsed.select(*[F.replace(F.col(f"r.c{i}"), F.lit(LINE_MARK), F.lit("\n")).alias(c) for i, c in enumerate(header)])
+
+
 def read_mtl_csv(spark: SparkSession, path) -> DataFrame:
-    """Multi-task CSV whose cells hold Python list literals -> native arrays."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """Multi-task CSV whose cells hold Python list literals -> native arrays. Quoted cells may hold line breaks; a file is cut at its
+    records, so that many tasks read it."""
+    df = read_quoted_csv(spark, path)
     return df.select(
         F.col("text"), python_list("text_tokens", "string").alias("text_tokens"),
         python_list("token_label_iob", "string").alias("token_label_iob"),
