@@ -153,93 +153,78 @@ def spans_to_binary(spans) -> Column:
     return F.transform(_c(spans), lambda s: F.when(s["label"].isin(*IGNORED_SPAN_LABELS), 0).otherwise(s["label"].cast("int")))
 
 
+def _tag_runs(tags: Column, fn) -> Column:
+    """``fn(first index, last index)`` of every run of an IOB array: a run goes on while ``I-x`` follows ``B-x`` or ``I-x``. Runs come from their
+    borders, so the work is linear in the tags."""
+    def linked(i):
+        t, before = F.get(tags, i), F.get(tags, i - 1)
+        return (i > 0) & t.startswith("I-") & (before.startswith("B-") | before.startswith("I-")) & (F.substring(t, 3, 10**6) == F.substring(before, 3, 10**6))
+
+    borders = F.concat(F.filter(_indices(tags), lambda i: ~F.coalesce(linked(i), F.lit(False))), F.array(F.size(tags)))
+    return let(borders, lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda first, k: fn(first, F.get(at, k + 1) - 1)))
+
+
 def iob_to_spans(tags, probs=None, score: str = "next") -> Column:
     """IOB tags -> entities ``array<struct<tag, start, end, prob>>`` (token indices, end inclusive).
 
     ``I-x`` continuing an open ``x`` extends it; ``I-`` of another type closes the open entity
     and does not open one; ``O`` closes. ``score='next'`` keeps the reference's probability (of
     the token that closes the entity, or the last token); ``score='mean'`` averages the entity."""
-    arr = _c(tags)
-    pr = _c(probs) if probs is not None else F.transform(arr, lambda x: F.lit(1.0))
-    etype = "struct<tag:string,start:int,end:int,psum:double,pclose:double>"
-    init = F.struct(
-        F.array().cast(f"array<{etype}>").alias("done"),
-        F.lit(None).cast(etype).alias("cur"),
-    )
-
-    def close(acc, p):
-        c = acc["cur"]
-        closed = F.struct(c["tag"].alias("tag"), c["start"].alias("start"), c["end"].alias("end"),
-                          c["psum"].alias("psum"), p.alias("pclose"))
-        return F.when(c.isNotNull(), F.concat(acc["done"], F.array(closed))).otherwise(acc["done"])
-
-    def step(acc, i):
-        t, p = F.get(arr, i), F.get(pr, i).cast("double")
-        is_b = t.startswith("B-")
-        is_i = t.startswith("I-")
-        typ = F.substring(t, 3, 10**6)
-        cur = acc["cur"]
-        cont = is_i & cur.isNotNull() & (cur["tag"] == typ)
-        new_cur = F.struct(typ.alias("tag"), i.alias("start"), i.alias("end"), p.alias("psum"),
-                           F.lit(None).cast("double").alias("pclose"))
-        ext = F.struct(cur["tag"].alias("tag"), cur["start"].alias("start"), i.alias("end"),
-                       (cur["psum"] + p).alias("psum"), F.lit(None).cast("double").alias("pclose"))
-        done = F.when(cont, acc["done"]).otherwise(close(acc, p))
-        nxt = F.when(is_b, new_cur).when(cont, ext).otherwise(F.lit(None).cast(etype))
-        return F.struct(done.alias("done"), nxt.alias("cur"))
-
-    last_p = F.get(pr, F.size(arr) - 1).cast("double")
-
-    def finish(acc):
-        return close(acc, last_p)
-
-    ents = F.aggregate(_indices(arr), init, step, finish)  # pass column references: arr/pr are read per element
-    if score == "mean":
-        return F.transform(ents, lambda e: F.struct(e["tag"].alias("tag"), e["start"].alias("start"), e["end"].alias("end"),
-                                                    (e["psum"] / (e["end"] - e["start"] + 1)).alias("prob")))
-    return F.transform(ents, lambda e: F.struct(e["tag"].alias("tag"), e["start"].alias("start"), e["end"].alias("end"),
-                                                e["pclose"].alias("prob")))
+    def spans(arr, pr):
+        def one(first, last):
+            if score == "mean":
+                part = F.slice(pr, first + 1, last - first + 1)
+                prob = F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double")) / (last - first + 1)
+            else:
+                prob = F.get(pr, F.least(last + 1, F.size(arr) - 1)).cast("double")
+            return F.struct(F.substring(F.get(arr, first), 3, 10**6).alias("tag"), first.alias("start"), last.alias("end"), prob.alias("prob"),
+                            F.get(arr, first).startswith("B-").alias("opens"))
+
+        kept = F.filter(_tag_runs(arr, one), lambda e: e["opens"])
+        return F.transform(kept, lambda e: F.struct(*[e[c].alias(c) for c in ("tag", "start", "end", "prob")]))
+
+    given = _c(probs) if probs is not None else None
+    return let(_c(tags), lambda arr: let(given if given is not None else F.transform(arr, lambda x: F.lit(1.0)), lambda pr: spans(arr, pr)))
 
 
 def lenient_chunks(tags) -> Column:
     """Entity chunks for entity-level scoring (M8): like ``iob_to_spans`` but an ``I-x`` that does
     not continue an open ``x`` starts a new entity. Returns ``array<struct<tag,start,end>>``."""
-    arr = _c(tags)
-    etype = "struct<tag:string,start:int,end:int>"
-    init = F.struct(F.array().cast(f"array<{etype}>").alias("done"), F.lit(None).cast(etype).alias("cur"))
-
-    def step(acc, i):
-        t = F.get(arr, i)
-        typ = F.substring(t, 3, 10**6)
-        is_ent = t.startswith("B-") | t.startswith("I-")
-        cur = acc["cur"]
-        cont = t.startswith("I-") & cur.isNotNull() & (cur["tag"] == typ)
-        done = F.when(cont | cur.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(cur)))
-        nxt = (
-            F.when(cont, F.struct(cur["tag"].alias("tag"), cur["start"].alias("start"), i.alias("end")))
-            .when(is_ent, F.struct(typ.alias("tag"), i.alias("start"), i.alias("end")))
-            .otherwise(F.lit(None).cast(etype))
-        )
-        return F.struct(done.alias("done"), nxt.alias("cur"))
+    def chunks(arr):
+        every = _tag_runs(arr, lambda first, last: F.struct(F.substring(F.get(arr, first), 3, 10**6).alias("tag"), first.alias("start"), last.alias("end")))
+        return F.filter(every, lambda e: F.get(arr, e["start"]).startswith("B-") | F.get(arr, e["start"]).startswith("I-"))
 
-    return F.aggregate(
-        _indices(arr), init, step,
-        lambda acc: F.when(acc["cur"].isNotNull(), F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]),
-    )
+    return let(_c(tags), chunks)
 
 
 def word_to_token_labels(word_labels, initial_mask, filler: str = "X") -> Column:
     """Word labels spread over sub-word tokens: the k-th word-initial token gets the k-th
-    word label, other tokens ``filler``. The word index is the running count of initial flags."""
-    def spread(wl):
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("k"))
+    word label (NULL where there are fewer labels), other tokens ``filler``. Put together word by word, linear in the tokens."""
+    def spread(wl, mask, at):
+        def word(first, k):
+            size = F.coalesce(F.get(at, k + 1), F.size(mask)) - first
+            return F.concat(F.array(F.get(wl, k).cast("string")), F.array_repeat(F.lit(filler), size - 1))
+
+        head = F.array_repeat(F.lit(filler), F.coalesce(F.get(at, 0), F.size(mask)))
+        return F.concat(head, F.flatten(F.transform(at, word)))
+
+    return let(_c(word_labels), lambda wl: let(_c(initial_mask), lambda mask: let(
+        F.filter(_indices(mask), lambda i: F.get(mask, i) == 1), lambda at: spread(wl, mask, at))))
 
-        def step(acc, m):
-            k = acc["k"] + F.when(m == 1, 1).otherwise(0)
-            return F.struct(F.concat(acc["out"], F.array(F.when(m == 1, F.get(wl, k - 1).cast("string")).otherwise(F.lit(filler)))).alias("out"), k.alias("k"))
-        return F.aggregate(_c(initial_mask), start, step, lambda acc: acc["out"])
 
-    return let(_c(word_labels), spread)
+def token_record(tokens, initial_mask, word_labels, width: int, filler: str = "X", pad_token: str = "[PAD]") -> Column:
+    """One sequence as a record of fixed width: ``struct<tokens, padding_mask, segment_ids, initial_mask, labels, n>``, every array of
+    ``width`` elements. Labels are those of N10; padding has ``pad_token``, ``filler`` and zeros. More than ``width`` tokens, or a number of labels other than
+    that of word-initial tokens (N12), give NULL, to be routed to the quarantine table by the caller."""
+    def packed(toks, mask, wl):
+        n = F.size(toks)
+        ok = (n <= width) & (F.size(mask) == n) & (F.size(F.filter(mask, lambda m: m == 1)) == F.size(wl))
+        record = F.struct(pad_to(toks, width, pad_token).alias("tokens"), pad_to(F.array_repeat(F.lit(1), n), width).alias("padding_mask"),
+                          F.array_repeat(F.lit(0), width).alias("segment_ids"), pad_to(mask, width).alias("initial_mask"),
+                          pad_to(word_to_token_labels(wl, mask, filler), width, filler).alias("labels"), n.alias("n"))
+        return F.when(ok, record)
+
+    return let(_c(tokens), lambda toks: let(_c(initial_mask), lambda mask: let(_c(word_labels), lambda wl: packed(toks, mask, wl))))
 
 
 def pad_to(arr, n, value=0) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.labels import let
 from quire.plans.hashing import seeded_hash
 
 
@@ -58,11 +59,25 @@ def tok_to_char_span(start_t, end_t, offsets, text) -> Column:
         F.when(none, -1).when(end_t == n, F.length(t)).otherwise(tokens_end - lead).alias("end_c"))
 
 
+def blank_token_span(tokens, start_t, end_t) -> Column:
+    """Q8 for text split at single blanks: token span (end exclusive) -> ``struct<start_c, end_c>``. An offset is the summed length of
+    the tokens and blanks before it; (-1, -1) stays (-1, -1)."""
+    def chars(toks):
+        before = F.aggregate(F.slice(toks, F.lit(1), F.greatest(start_t, F.lit(0))), F.lit(0), lambda a, t: a + F.length(t) + 1)
+        inside = F.aggregate(F.slice(toks, F.greatest(start_t, F.lit(0)) + 1, F.greatest(end_t - start_t, F.lit(0))), F.lit(0), lambda a, t: a + F.length(t) + 1)
+        none = (start_t == -1) & (end_t == -1)
+        return let(before, lambda at: F.struct(F.when(none, -1).otherwise(at).alias("start_c"), F.when(none, -1).otherwise(at + F.greatest(inside - 1, F.lit(0))).alias("end_c")))
+
+    return let(_c(tokens), chars)
+
+
 def nq_to_squad(df: DataFrame, text: str = "document_text", annotations: str = "annotations") -> DataFrame:
     """Q6: NQ record -> SQuAD-shaped answer. Short answers are united into the smallest covering
     token span; else the long answer; else empty (start -1). The answer type comes from the first
-    annotation (``yes``/``no``; ``NONE`` -> ``span``; no answer -> ``no_answer``)."""
-    toks = F.split(_c(text), " ")
+    annotation (``yes``/``no``; ``NONE`` -> ``span``; no answer -> ``no_answer``). ``answer_start`` is the character at which
+    the answer begins in the text (-1: none)."""
+    df = df.withColumn("__toks", F.split(_c(text), " "))
+    toks = F.col("__toks")
     a0 = F.get(_c(annotations), 0)
     shorts = F.coalesce(a0["short_answers"], F.array())
     s_start = F.array_min(F.transform(shorts, lambda s: s["start_token"]))
@@ -75,8 +90,8 @@ def nq_to_squad(df: DataFrame, text: str = "document_text", annotations: str = "
     ans_text = F.when(st >= 0, F.array_join(F.slice(toks, st + 1, en - st), " ")).otherwise(F.lit(""))
     yn = F.upper(F.coalesce(a0["yes_no_answer"], F.lit("NONE")))
     typ = F.when(yn == "YES", "yes").when(yn == "NO", "no").when(st >= 0, "span").otherwise("no_answer")
-    return df.withColumn("answer_start_t", st).withColumn("answer_end_t", en).withColumn("answer_text", ans_text) \
-        .withColumn("answer_type", typ)
+    out = df.withColumn("answer_start_t", st).withColumn("answer_end_t", en).withColumn("answer_text", ans_text).withColumn("answer_type", typ)
+    return out.withColumn("answer_start", blank_token_span("__toks", F.col("answer_start_t"), F.col("answer_end_t"))["start_c"]).drop("__toks")
 
 
 def crop_document(df: DataFrame, text: str, annotations: str, max_seq_len: int, context: int, seed: int, key: str) -> DataFrame:
@@ -157,6 +172,17 @@ def external_id(df: DataFrame) -> Column:
     return F.coalesce(*cols) if cols else F.lit(None).cast("string")
 
 
+def question_of(df: DataFrame) -> Column:
+    """The question of a record of any shape: ``question``/``query``/``question_text``, or the first of ``questions`` or ``qas`` (first non-null)."""
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    cols = [F.col(c) for c in ("question", "query", "question_text") if c in fields]
+    if "questions" in fields:
+        cols.append(F.get("questions", 0) if fields["questions"].typeName() == "array" else F.col("questions"))
+    if "qas" in fields:
+        cols.append(F.get("qas", 0)["question"])
+    return F.coalesce(*cols) if cols else F.lit(None).cast("string")
+
+
 def gold_answers(df: DataFrame) -> Column:
     """Gold answers from ``answers`` or ``annotations`` (first non-null)."""
     cols = [F.col(c) for c in ("answers", "annotations") if c in df.columns]

@@ -88,6 +88,24 @@ def label_ids(df: DataFrame, label: str, label_list: list[str], out: str = "labe
     return good, rejected
 
 
+def reject_baskets(samples: DataFrame, basket: str, bad: Column, reason: Column, baskets: DataFrame | None = None):
+    """R15, whole baskets: a basket (the samples of one input record) of which one sample is bad is rejected as a whole. Returns
+    ``(samples of good baskets, rejected)``; ``rejected`` has one row a basket: ``basket, n_bad, reason`` (the least text of its reasons), ``operator``. A basket
+    of ``baskets`` (column ``basket``) without any sample is rejected too. NULL in ``bad`` counts as bad; samples without a basket are one basket.
+
+    Only bad rows are grouped; good samples are shuffled only if the rejected baskets are too many to broadcast, and a large
+    basket then splits like any skewed join key."""
+    fault = samples.filter(F.coalesce(bad, F.lit(True))).groupBy(F.col(basket).alias("__b")).agg(
+        F.count(F.lit(1)).alias("n_bad"), F.min(F.coalesce(reason.cast("string"), F.lit("bad sample"))).alias("reason"))
+    good = samples.join(fault.select("__b"), F.col(basket).eqNullSafe(F.col("__b")), "left_anti")
+    rejected = fault.withColumnRenamed("__b", basket)
+    if baskets is not None:
+        present = samples.select(F.col(basket).alias("__b")).distinct()
+        empty = baskets.select(basket).distinct().join(present, F.col(basket).eqNullSafe(F.col("__b")), "left_anti")
+        rejected = rejected.unionByName(empty.select(basket, F.lit(0).cast("long").alias("n_bad"), F.lit("no samples").alias("reason")))
+    return good, rejected.withColumn("operator", F.lit("reject_baskets"))
+
+
 def fit_scaler(train: DataFrame, col: str) -> DataFrame:
     """Mean and population std of the train labels (std 0 -> 1), one row."""
     return train.agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std")).select(
@@ -203,49 +221,51 @@ def whole_word_mask(tokens, seed, key: str, p: float = 0.15, max_predictions: in
     ``max(1, round(n * p))`` tokens (capped at ``max_predictions``, a training parameter) are chosen, skipping a group
     that would overshoot; chosen tokens become ``[MASK]`` (80 %), stay (10 %) or become another
     token of the sequence (10 %). Returns ``struct<tokens, labels>`` with labels = original token
-    at masked positions, ``""`` elsewhere. Every computed array is bound once, so the work is
-    linear in the tokens and in the groups."""
-    from quire.functions.labels import let
-
-    def numbered(toks):  # group number of each token (0: none), by one running pass
-        start = F.struct(F.array().cast("array<int>").alias("g"), F.lit(0).alias("n"))
-
-        def step(acc, t):
-            special = t.isin(*UNMASKED)
-            n = acc["n"] + F.when(special | (t.startswith("##") & (acc["n"] > 0)), 0).otherwise(1)
-            return F.struct(F.concat(acc["g"], F.array(F.when(special, 0).otherwise(n))).alias("g"), n.alias("n"))
-        return F.aggregate(toks, start, step, lambda acc: acc["g"])
-
-    def ordered(grp):  # (hash, group, size) of each group, by hash; groups are runs of the sorted numbers
-        runs = F.aggregate(
-            F.filter(grp, lambda g: g > 0), F.array().cast("array<struct<g:int,s:int>>"),
-            lambda acc, g: F.when(F.try_element_at(acc, F.lit(-1))["g"] == g, F.concat(
-                F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(g.alias("g"), (F.try_element_at(acc, F.lit(-1))["s"] + 1).alias("s")))))
-            .otherwise(F.concat(acc, F.array(F.struct(g.alias("g"), F.lit(1).alias("s"))))))
-        return F.array_sort(F.transform(runs, lambda r: F.struct(
-            F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), r["g"].cast("string"))).alias("h"), r["g"].alias("g"), r["s"].alias("s"))))
+    at masked positions, ``""`` elsewhere.
+
+    Groups come from their borders and only chosen groups, of which there are at most ``max_predictions``, are listed: the work is
+    linear in the tokens."""
+    from quire.functions.labels import _indices, let
+
+    def plain(t):
+        return ~t.isin(*UNMASKED)
+
+    def groups(toks):  # (hash, first token, end, tokens) of each group, in hash order
+        def with_first(first):
+            at = F.concat(F.filter(_indices(toks), lambda i: plain(F.get(toks, i)) & (~F.get(toks, i).startswith("##") | (i == first))), F.array(F.size(toks)))
+
+            def numbered(starts):
+                def group(start, k):
+                    end = F.get(starts, k + 1)
+                    size = F.size(F.filter(F.slice(toks, start + 1, end - start), plain))
+                    return F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), (k + 1).cast("string"))).alias("h"),
+                                    start.alias("a"), end.alias("b"), size.alias("s"))
+                return F.array_sort(F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), group))
+            return let(at, numbered)
+        return let(F.array_min(F.filter(_indices(toks), lambda i: plain(F.get(toks, i)))), with_first)
 
     def picked(order, budget):
-        return F.aggregate(order, F.struct(F.array().cast("array<int>").alias("gs"), F.lit(0).alias("n")),
+        empty = F.array().cast("array<struct<a:int,b:int>>")
+        return F.aggregate(order, F.struct(empty.alias("gs"), F.lit(0).alias("n")),
                            lambda acc, z: F.when(acc["n"] + z["s"] <= budget,
-                                                 F.struct(F.concat(acc["gs"], F.array(z["g"])).alias("gs"), (acc["n"] + z["s"]).alias("n")))
+                                                 F.struct(F.concat(acc["gs"], F.array(F.struct(z["a"].alias("a"), z["b"].alias("b")))).alias("gs"), (acc["n"] + z["s"]).alias("n")))
                            .otherwise(acc), lambda acc: acc["gs"])
 
-    def masked(toks, grp, chosen):
+    def masked(toks, chosen):
         n = F.size(toks)
 
         def one(t, i):
             u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}m"), F.col(key).cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") % 10
             repl = F.get(toks, ((u * 7919 + i) % n).cast("int"))
             new = F.when(u < 8, F.lit(mask_token)).when(u < 9, t).otherwise(repl)
-            hit = F.array_contains(chosen, F.get(grp, i))
+            hit = plain(t) & F.exists(chosen, lambda g: (g["a"] <= i) & (i < g["b"]))
             return F.struct(F.when(hit, new).otherwise(t).alias("t"), F.when(hit, t).otherwise(F.lit("")).alias("l"))
         return let(F.transform(toks, one), lambda out: F.struct(F.transform(out, lambda s: s["t"]).alias("tokens"),
                                                                 F.transform(out, lambda s: s["l"]).alias("labels")))
 
     def run(toks):
         budget = F.least(F.greatest(F.lit(1), F.bround(F.size(toks) * p)).cast("int"), F.lit(max_predictions))
-        return let(numbered(toks), lambda grp: let(picked(ordered(grp), budget), lambda chosen: masked(toks, grp, chosen)))
+        return let(picked(groups(toks), budget), lambda chosen: masked(toks, chosen))
 
     return let(_c(tokens), run)
 
@@ -284,11 +304,16 @@ def format_by_scheme(tags, probs, scheme: str) -> Column:
     return _c(tags)
 
 
+MAX_TASKS = 1000
+
+
 def demux_tasks(df: DataFrame, task_col: str = "task", tasks: list | None = None):
     """Split multi-task predictions into one frame per task value (returns a dict). ``tasks`` names them; without it the task
-    set, which is as small as the model's list of heads, is read from the distinct values."""
+    set, which is as small as the model's list of heads, is read from the distinct values (a bounded number, ``MAX_TASKS``)."""
     if tasks is None:
-        tasks = [r[0] for r in df.select(task_col).distinct().collect()]
+        tasks = [r[0] for r in df.select(task_col).distinct().limit(MAX_TASKS + 1).collect()]
+        if len(tasks) > MAX_TASKS:
+            raise ValueError(f"column {task_col} has more than {MAX_TASKS} values: it does not name tasks")
     return {t: df.filter(F.col(task_col).eqNullSafe(F.lit(t))) for t in tasks}
 
 

@@ -127,11 +127,27 @@ def score_batches(df: DataFrame, load: Callable[[], Callable], text_col: str, ou
 # fold ensemble on a distributed learner --------------------------------------------------------------
 
 
+def _fit_folds(fit: Callable[[int], DataFrame], n_folds: int, parallel: int) -> DataFrame:
+    """``fit(fold)`` of all folds, ``parallel`` at a time: a fold's fitting is many small jobs, and the cluster takes those of other folds meanwhile."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    from pyspark.sql import SparkSession
+
+    run = inheritable_thread_target(SparkSession.getActiveSession())(fit)
+    with ThreadPoolExecutor(max(1, min(parallel, n_folds))) as pool:
+        parts = list(pool.map(run, range(n_folds)))  # an error of a fold is raised here
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def train_fold_ensemble(train: DataFrame, test: DataFrame, folds: DataFrame, text: str = "text", label: str = "label",
-                        key: str = "id", n_folds: int = 5, weight_col: str | None = None, num_features: int = 1 << 18) -> DataFrame:
+                        key: str = "id", n_folds: int = 5, weight_col: str | None = None, num_features: int = 1 << 18, parallel: int = 4) -> DataFrame:
     """for every fold ``f`` train on rows whose ``fold != f`` (``folds``: key, fold), predict
     ``test``; returns the long table ``(fold, id, label)`` and leaves voting to
-    ``ensemble.sentence_majority``. Optional ``weight_col`` (e.g. A7 class weights)."""
+    ``ensemble.sentence_majority``. Optional ``weight_col`` (e.g. A7 class weights). ``parallel`` folds are fitted at the same time."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, Tokenizer
@@ -142,16 +158,16 @@ def train_fold_ensemble(train: DataFrame, test: DataFrame, folds: DataFrame, tex
     if weight_col:
         lr = lr.setWeightCol(weight_col)
     data = train.join(folds, key).withColumn("__y", F.col(label).cast("double"))
-    out = None
-    for f in range(n_folds):
+
+    def fit(f: int) -> DataFrame:
         model = Pipeline(stages=stages + [lr]).fit(data.filter(F.col("fold") != f))
-        pred = model.transform(test).select(F.lit(f).alias("fold"), F.col(key), F.col("prediction").cast("int").alias(label))
-        out = pred if out is None else out.unionByName(pred)
-    return out
+        return model.transform(test).select(F.lit(f).alias("fold"), F.col(key), F.col("prediction").cast("int").alias(label))
+
+    return _fit_folds(fit, n_folds, parallel)
 
 
 def transfer_fold_ensemble(first: DataFrame, train: DataFrame, test: DataFrame, folds: DataFrame, text: str = "text", label: str = "label",
-                           key: str = "id", n_folds: int = 5, num_features: int = 1 << 18) -> DataFrame:
+                           key: str = "id", n_folds: int = 5, num_features: int = 1 << 18, parallel: int = 4) -> DataFrame:
     """F5, re-aimed: two-phase training. The reference starts a fold's training from an earlier model; here a model is trained on
     ``first`` once, and its class probabilities are further features of every fold's model (the learner has no warm start in the
     Python API). Same output as ``train_fold_ensemble``."""
@@ -170,12 +186,12 @@ def transfer_fold_ensemble(first: DataFrame, train: DataFrame, test: DataFrame,
     data, asked = augmented(train.join(folds, key).withColumn("__y", F.col(label).cast("double"))), augmented(test)
     after = Pipeline(stages=[*words, IDF(inputCol="__tf", outputCol="__idf"), VectorAssembler(inputCols=["__idf", "__before"], outputCol="__x"),
                              LogisticRegression(featuresCol="__x", labelCol="__y", maxIter=50)])
-    out = None
-    for f in range(n_folds):
-        pred = after.fit(data.filter(F.col("fold") != f)).transform(asked).select(
+
+    def fit(f: int) -> DataFrame:
+        return after.fit(data.filter(F.col("fold") != f)).transform(asked).select(
             F.lit(f).alias("fold"), F.col(key), F.col("prediction").cast("int").alias(label))
-        out = pred if out is None else out.unionByName(pred)
-    return out
+
+    return _fit_folds(fit, n_folds, parallel)
 
 
 def length_loader():

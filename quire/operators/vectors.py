@@ -132,10 +132,13 @@ def pair_scores(left: DataFrame, right: DataFrame, on, lvec: str, rvec: str) ->
 
 
 def log_softmax_per_query(df: DataFrame, qid: str, score: str, out: str = "log_prob") -> DataFrame:
-    """Q17: log-softmax of scores within a query (aggregated per query, joined back)."""
-    m = df.groupBy(qid).agg(F.max(score).alias("__m"))
-    z = df.join(m, qid).groupBy(qid).agg((F.first("__m") + F.log(F.sum(F.exp(F.col(score) - F.col("__m"))))).alias("__lse"))
-    return df.join(z, qid).withColumn(out, F.col(score) - F.col("__lse")).drop("__lse")
+    """Q17: log-softmax of scores within a query. The sum of exponentials is gathered in steps of the score (a few rows a query, merged map-side), so the
+    scores are joined once, with one row a query."""
+    step = F.floor(F.col(score) / 16)  # exponentials of one step never differ by more than e^16
+    parts = df.groupBy(qid, step.alias("__s")).agg(F.sum(F.exp(F.col(score) - step * 16)).alias("__e"))
+    top = parts.groupBy(qid).agg(F.max("__s").alias("__m"), F.collect_list(F.struct("__s", "__e")).alias("__p"))
+    lse = F.col("__m") * 16 + F.log(F.aggregate("__p", F.lit(0.0), lambda a, x: a + x["__e"] * F.exp((x["__s"] - F.col("__m")) * 16)))
+    return df.join(top.select(qid, lse.alias("__lse")), qid).withColumn(out, F.col(score) - F.col("__lse")).drop("__lse")
 
 
 def answer_similarity(cands: DataFrame, labels: DataFrame, qid: str, cvec: str, lvec: str) -> DataFrame:
@@ -147,6 +150,24 @@ def answer_similarity(cands: DataFrame, labels: DataFrame, qid: str, cvec: str,
                                   F.max("best").alias("top_n_sas"))
 
 
+def worst_similarity_cases(cands: DataFrame, labels: DataFrame, qid: str, cvec: str, lvec: str, cand_name: str, label_name: str, k: int,
+                           unmatched: Column | None = None) -> DataFrame:
+    """M29, worst cases: of the questions for which ``unmatched`` holds on every candidate (default: all questions), the ``k`` whose best
+    similarity is least: ``qid, top1_sim, top1_pred, top1_label, topn_sim, topn_pred, topn_label``, ties by question. A question keeps one best
+    pair per task while it is grouped (ties: first candidate, then label by name), and each task sends its ``k`` worst questions.
+
+    ``cands``: ``qid, rank`` (1: first), ``cvec, cand_name``; ``labels``: ``qid, lvec, label_name``."""
+    c = cands.select(qid, "rank", F.col(cvec).alias("__c"), F.col(cand_name).alias("pred"), (F.lit(True) if unmatched is None else F.coalesce(unmatched, F.lit(False))).alias("__u"))
+    j = c.join(labels.select(qid, F.col(lvec).alias("__l"), F.col(label_name).alias("label")), qid).withColumn("sim", cosine("__c", "__l"))
+    pair = F.struct("sim", "pred", "label")
+    order = F.struct(-F.col("sim"), F.col("rank"), F.col("label"))
+    first = F.col("rank") == 1
+    per = j.groupBy(qid).agg(F.min_by(F.when(first, pair), F.when(first, order)).alias("a"), F.min_by(pair, order).alias("b"), F.bool_and("__u").alias("u"))
+    out = per.filter("u").select(qid, F.col("a.sim").alias("top1_sim"), F.col("a.pred").alias("top1_pred"), F.col("a.label").alias("top1_label"),
+                                 F.col("b.sim").alias("topn_sim"), F.col("b.pred").alias("topn_pred"), F.col("b.label").alias("topn_label"))
+    return out.orderBy("topn_sim", qid).limit(k)
+
+
 # --- S3E (Q25, Q26) --------------------------------------------------------------------------------
 
 
