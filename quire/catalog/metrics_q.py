@@ -216,24 +216,26 @@ def token_vote(spark, sf_dir):
         "conv_id", "turn", F.array_join("labels", " ").alias("labels"), F.size("labels").alias("n_tokens"))
 
 
-# M8: entity-level micro F1 of fold 0 against the gold tags
+# M8: entity-level micro F1 of every fold against the gold tags
 @register(
     "entity_f1",
     f"""
     WITH {TOK_SQL},
-    p0 AS (SELECT conv_id, turn, i, gold, label, lag(gold) OVER w AS pg, lag(label) OVER w AS pl
-           FROM fp WHERE fold = 0 WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+    p0 AS (SELECT fold, conv_id, turn, i, gold, label, lag(gold) OVER w AS pg, lag(label) OVER w AS pl
+           FROM fp WINDOW w AS (PARTITION BY fold, conv_id, turn ORDER BY i)),
     st AS (SELECT *, CASE WHEN gold LIKE 'B-%' OR (gold LIKE 'I-%' AND (pg IS NULL OR pg = 'O' OR substr(pg, 3) <> substr(gold, 3)))
                           THEN 1 ELSE 0 END AS gst,
                      CASE WHEN label LIKE 'B-%' OR (label LIKE 'I-%' AND (pl IS NULL OR pl = 'O' OR substr(pl, 3) <> substr(label, 3)))
                           THEN 1 ELSE 0 END AS pst FROM p0),
-    ch AS (SELECT conv_id, turn, i, gold, label, sum(gst) OVER w AS gs, sum(pst) OVER w AS ps
-           FROM st WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
-    ge AS (SELECT conv_id, turn, gs, substr(arg_min(gold, i), 3) AS tag, min(i) AS s, max(i) AS e FROM ch WHERE gold <> 'O' GROUP BY conv_id, turn, gs),
-    pe AS (SELECT conv_id, turn, ps, substr(arg_min(label, i), 3) AS tag, min(i) AS s, max(i) AS e FROM ch WHERE label <> 'O' GROUP BY conv_id, turn, ps),
-    x AS (SELECT (SELECT count(*) FROM ge) AS nt, (SELECT count(*) FROM pe) AS np,
-                 (SELECT count(*) FROM ge JOIN pe USING (conv_id, turn, tag, s, e)) AS tp)
-    SELECT round(CASE WHEN np > 0 THEN tp / np ELSE 0 END, {R}) AS precision,
+    ch AS (SELECT fold, conv_id, turn, i, gold, label, sum(gst) OVER w AS gs, sum(pst) OVER w AS ps
+           FROM st WINDOW w AS (PARTITION BY fold, conv_id, turn ORDER BY i)),
+    ge AS (SELECT fold, conv_id, turn, gs, substr(arg_min(gold, i), 3) AS tag, min(i) AS s, max(i) AS e FROM ch WHERE gold <> 'O' GROUP BY fold, conv_id, turn, gs),
+    pe AS (SELECT fold, conv_id, turn, ps, substr(arg_min(label, i), 3) AS tag, min(i) AS s, max(i) AS e FROM ch WHERE label <> 'O' GROUP BY fold, conv_id, turn, ps),
+    nt AS (SELECT fold, count(*) AS nt FROM ge GROUP BY fold), np AS (SELECT fold, count(*) AS np FROM pe GROUP BY fold),
+    tp AS (SELECT fold, count(*) AS tp FROM ge JOIN pe USING (fold, conv_id, turn, tag, s, e) GROUP BY fold),
+    x AS (SELECT fold, coalesce(nt, 0) AS nt, coalesce(np, 0) AS np, coalesce(tp, 0) AS tp FROM (SELECT DISTINCT fold FROM fp) f
+          LEFT JOIN nt USING (fold) LEFT JOIN np USING (fold) LEFT JOIN tp USING (fold))
+    SELECT CAST(fold AS INTEGER) AS fold, round(CASE WHEN np > 0 THEN tp / np ELSE 0 END, {R}) AS precision,
            round(CASE WHEN nt > 0 THEN tp / nt ELSE 0 END, {R}) AS recall,
            round(CASE WHEN tp > 0 THEN 2.0 * tp / (nt + np) ELSE 0 END, {R}) AS f1,
            CAST(tp AS BIGINT) AS tp, CAST(nt AS BIGINT) AS n_true, CAST(np AS BIGINT) AS n_pred
@@ -241,32 +243,32 @@ def token_vote(spark, sf_dir):
     """,
 )
 def entity_f1(spark, sf_dir):
-    p0 = conv_fold_preds(spark, sf_dir).filter(F.col("fold") == 0).withColumn("sid", F.concat_ws(":", "conv_id", "turn"))
-    r = metrics.entity_f1(p0, "sid", "gold", "labels")
-    return r.select(_r("precision", "precision"), _r("recall", "recall"), _r("f1", "f1"), "tp", "n_true", "n_pred")
+    p = conv_fold_preds(spark, sf_dir).withColumn("sid", F.concat_ws(":", "conv_id", "turn"))
+    r = metrics.entity_f1(p, "sid", "gold", "labels", by=["fold"])
+    return r.select(F.col("fold").cast("int").alias("fold"), _r("precision", "precision"), _r("recall", "recall"), _r("f1", "f1"), "tp", "n_true", "n_pred")
 
 
-# M9: mean per-sentence macro scores, fold 0 against gold
+# M9: mean per-sentence macro scores of every fold against gold
 @register(
     "sentence_macro",
     f"""
     WITH {TOK_SQL},
-    p0 AS (SELECT conv_id, turn, gold AS y, label AS p FROM fp WHERE fold = 0),
-    conf AS (SELECT conv_id, turn, y, p, count(*) AS n FROM p0 GROUP BY ALL),
-    cls AS (SELECT conv_id, turn, y AS c FROM conf UNION SELECT conv_id, turn, p FROM conf),
-    pc AS (SELECT cls.conv_id, cls.turn, c,
+    p0 AS (SELECT fold, conv_id, turn, gold AS y, label AS p FROM fp),
+    conf AS (SELECT fold, conv_id, turn, y, p, count(*) AS n FROM p0 GROUP BY ALL),
+    cls AS (SELECT fold, conv_id, turn, y AS c FROM conf UNION SELECT fold, conv_id, turn, p FROM conf),
+    pc AS (SELECT cls.fold, cls.conv_id, cls.turn, c,
                   coalesce(sum(CASE WHEN conf.y = c AND conf.p = c THEN n END), 0) AS tp,
                   coalesce(sum(CASE WHEN conf.y = c THEN n END), 0) AS sup,
                   coalesce(sum(CASE WHEN conf.p = c THEN n END), 0) AS np
-           FROM cls JOIN conf ON cls.conv_id = conf.conv_id AND cls.turn = conf.turn GROUP BY ALL),
+           FROM cls JOIN conf ON cls.fold = conf.fold AND cls.conv_id = conf.conv_id AND cls.turn = conf.turn GROUP BY ALL),
     pr AS (SELECT *, CASE WHEN np > 0 THEN tp / np ELSE 0 END AS pre, CASE WHEN sup > 0 THEN tp / sup ELSE 0 END AS rec FROM pc),
-    ps AS (SELECT conv_id, turn, avg(CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) ELSE 0 END) AS f1,
-                  avg(rec) AS rec, avg(pre) AS pre FROM pr GROUP BY conv_id, turn)
-    SELECT round(avg(f1), {R}) AS f1, round(avg(rec), {R}) AS recall, round(avg(pre), {R}) AS precision,
-           CAST(count(*) AS BIGINT) AS n_sentences FROM ps
+    ps AS (SELECT fold, conv_id, turn, avg(CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) ELSE 0 END) AS f1,
+                  avg(rec) AS rec, avg(pre) AS pre FROM pr GROUP BY fold, conv_id, turn)
+    SELECT CAST(fold AS INTEGER) AS fold, round(avg(f1), {R}) AS f1, round(avg(rec), {R}) AS recall, round(avg(pre), {R}) AS precision,
+           CAST(count(*) AS BIGINT) AS n_sentences FROM ps GROUP BY fold
     """,
 )
 def sentence_macro(spark, sf_dir):
-    p0 = conv_fold_preds(spark, sf_dir).filter(F.col("fold") == 0).withColumn("sid", F.concat_ws(":", "conv_id", "turn"))
-    r = metrics.sentence_macro(p0, "sid", "gold", "labels")
-    return r.select(_r("f1", "f1"), _r("recall", "recall"), _r("precision", "precision"), F.col("n_sentences").cast("long"))
+    p = conv_fold_preds(spark, sf_dir).withColumn("sid", F.concat_ws(":", "conv_id", "turn"))
+    r = metrics.sentence_macro(p, "sid", "gold", "labels", by=["fold"])
+    return r.select(F.col("fold").cast("int").alias("fold"), _r("f1", "f1"), _r("recall", "recall"), _r("precision", "precision"), F.col("n_sentences").cast("long"))

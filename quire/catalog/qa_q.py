@@ -26,11 +26,14 @@ def questions(spark, sf_dir):
     u = c.filter(F.col("role") == "user").select("conv_id", "turn")
     a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ctx"))
     qq = u.join(a, ["conv_id", "turn"]).withColumn("qid", F.col("conv_id") * 1000 + F.col("turn"))
-    toks = T.ws_tokens(F.col("ctx"))
-    golds = F.when(F.length("ctx") % 5 == 0, F.array().cast("array<string>")).otherwise(
-        F.array(F.split("ctx", "\n").getItem(0), F.array_join(F.slice(toks, 1, 5), " ")))
+    # answers stand at seeded places of the whole context; a prediction begins at most a token from one of them
+    qq = qq.withColumn("toks", T.ws_tokens(F.col("ctx"))).withColumn("lines", F.split("ctx", "\n"))
+    g = (seeded_hash(7, "qid") % F.greatest(F.size("toks"), F.lit(1))).cast("int")
+    line = F.get("lines", (seeded_hash(9, "qid") % F.size("lines")).cast("int"))
+    golds = F.when(F.length("ctx") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(line, F.array_join(F.slice("toks", g + 1, F.lit(5)), " ")))
+    p = F.greatest(F.lit(0), g + (seeded_hash(11, "qid") % 3).cast("int") - 1)
     pred = F.when(seeded_hash(3, "qid") % 9 == 0, F.lit("")).otherwise(
-        F.array_join(F.slice(toks, 1, (seeded_hash(5, "qid") % 12 + 1).cast("int")), " "))
+        F.array_join(F.slice("toks", p + 1, (seeded_hash(5, "qid") % 12 + 1).cast("int")), " "))
     na = (seeded_hash(13, "qid") % 1000) / 1000.0
     return qq.select("qid", golds.alias("answers"), pred.alias("pred"), na.alias("na_prob"))
 
@@ -39,13 +42,16 @@ Q_SQL = f"""
 qq AS (SELECT u.conv_id * 1000 + u.turn AS qid, a.text AS ctx
        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
        WHERE u.role = 'user' AND a.role = 'assistant'),
+qt AS (SELECT qid, ctx, {S.ws_tokens('ctx')} AS toks, string_split(ctx, chr(10)) AS lines FROM qq),
+qg AS (SELECT *, {S.seeded_hash(7, 'qid')} % greatest(len(toks), 1) AS g FROM qt),
+qp AS (SELECT *, greatest(0, g + {S.seeded_hash(11, 'qid')} % 3 - 1) AS p FROM qg),
 qs AS (SELECT qid,
               CASE WHEN length(ctx) % 5 = 0 THEN CAST([] AS VARCHAR[])
-                   ELSE [string_split(ctx, chr(10))[1], array_to_string({S.ws_tokens('ctx')}[1:5], ' ')] END AS answers,
+                   ELSE [lines[{S.seeded_hash(9, 'qid')} % len(lines) + 1], array_to_string(toks[g + 1:g + 5], ' ')] END AS answers,
               CASE WHEN {S.seeded_hash(3, 'qid')} % 9 = 0 THEN ''
-                   ELSE array_to_string({S.ws_tokens('ctx')}[1:CAST({S.seeded_hash(5, 'qid')} % 12 + 1 AS INTEGER)], ' ') END AS pred,
+                   ELSE array_to_string(toks[p + 1:p + {S.seeded_hash(5, 'qid')} % 12 + 1], ' ') END AS pred,
               ({S.seeded_hash(13, 'qid')} % 1000) / 1000.0 AS na_prob
-       FROM qq),
+       FROM qp),
 ga AS (SELECT qid, pred, na_prob, len(answers) > 0 AS has_ans,
               CASE WHEN len(list_filter(answers, lambda a: {Q.normalize('a')} <> '')) > 0
                    THEN list_filter(answers, lambda a: {Q.normalize('a')} <> '') ELSE [''] END AS golds FROM qs),

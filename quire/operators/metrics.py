@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import labels as L
-from quire.plans.ordered import prefix_sum
+from quire.plans.ordered import default_buckets, prefix_sum, quantile_bucket
 from quire.plans.scalar import scalar_join  # noqa: F401  (re-exported)
 
 
@@ -142,35 +142,31 @@ def regression(df: DataFrame, label: str = "label", pred: str = "pred") -> DataF
     )
 
 
-def entity_f1(df: DataFrame, id_col: str, labels: str, preds: str) -> DataFrame:
-    """M8: entity-level micro precision/recall/F1 (lenient chunks: a stray ``I-x`` opens an entity).
-    Entities are exploded per sentence and matched by an inner join on (id, type, start, end)."""
-    def ents(col, side):
-        return df.select(F.col(id_col), F.explode(L.lenient_chunks(col)).alias("e")).select(
-            F.col(id_col), F.col("e.tag").alias("tag"), F.col("e.start").alias("s"), F.col("e.end").alias("e"),
-        ).withColumn("side", F.lit(side))
+def entity_f1(df: DataFrame, id_col: str, labels: str, preds: str, by: Sequence[str] = ()) -> DataFrame:
+    """M8: entity-level micro precision/recall/F1 (lenient chunks: a stray ``I-x`` opens an entity), one row for each value of ``by``
+    (folds, models). Entities of a sentence are matched in its own row: a hit is a chunk with the same type, start and end."""
+    def one(true, pred):
+        return F.struct(F.size(true).alias("nt"), F.size(pred).alias("np"), F.size(F.array_intersect(true, pred)).alias("tp"))
 
-    t, p = ents(labels, "t"), ents(preds, "p")
-    nt, np_ = t.agg(F.count(F.lit(1)).alias("nt")), p.agg(F.count(F.lit(1)).alias("np"))
-    hit = t.join(p.drop("side"), [id_col, "tag", "s", "e"]).agg(F.count(F.lit(1)).alias("tp"))
-    r = scalar_join(hit, nt, np_)
+    per = df.select(*by, L.let(L.lenient_chunks(labels), lambda t: L.let(L.lenient_chunks(preds), lambda p: one(t, p))).alias("x"))
+    r = per.groupBy(*by).agg(*[F.coalesce(F.sum(F.col(f"x.{c}")), F.lit(0)).cast("long").alias(c) for c in ("nt", "np", "tp")])
     prec = F.when(F.col("np") > 0, F.col("tp") / F.col("np")).otherwise(0.0)
     rec = F.when(F.col("nt") > 0, F.col("tp") / F.col("nt")).otherwise(0.0)
-    return r.select(prec.alias("precision"), rec.alias("recall"),
+    return r.select(*by, prec.alias("precision"), rec.alias("recall"),
                     F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0).alias("f1"),
-                    F.col("tp").cast("long").alias("tp"), F.col("nt").cast("long").alias("n_true"),
-                    F.col("np").cast("long").alias("n_pred"))
+                    "tp", F.col("nt").alias("n_true"), F.col("np").alias("n_pred"))
 
 
-def sentence_macro(df: DataFrame, id_col: str, labels: str, preds: str) -> DataFrame:
+def sentence_macro(df: DataFrame, id_col: str, labels: str, preds: str, by: Sequence[str] = ()) -> DataFrame:
     """M9: per sentence macro F1 / recall / precision over the classes present in that
-    sentence (either side), averaged over sentences. Token pairs come from ``arrays_zip``."""
-    tok = df.select(F.col(id_col), F.explode(F.arrays_zip(F.col(labels).alias("l"), F.col(preds).alias("p"))).alias("z"))
-    conf = tok.groupBy(id_col, F.col("z.l").alias("label"), F.col("z.p").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
-    t = per_class(conf, by=[id_col])
-    per_sent = t.groupBy(id_col).agg(F.avg("f1").alias("f1"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"))
-    return per_sent.agg(F.avg("f1").alias("f1"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"),
-                        F.count(F.lit(1)).alias("n_sentences"))
+    sentence (either side), averaged over sentences, one row for each value of ``by``. Token pairs come from ``arrays_zip``."""
+    keys = [*by, id_col]
+    tok = df.select(*keys, F.explode(F.arrays_zip(F.col(labels).alias("l"), F.col(preds).alias("p"))).alias("z"))
+    conf = tok.groupBy(*keys, F.col("z.l").alias("label"), F.col("z.p").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    t = per_class(conf, by=keys)
+    per_sent = t.groupBy(*keys).agg(F.avg("f1").alias("f1"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"))
+    return per_sent.groupBy(*by).agg(F.avg("f1").alias("f1"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"),
+                                     F.count(F.lit(1)).alias("n_sentences"))
 
 
 def loss_mean(df: DataFrame, split: str = "split", loss: str = "loss") -> DataFrame:
@@ -235,10 +231,19 @@ def top_passage_quality(df: DataFrame, qid: str, score: str, label: str, tie: Se
 
 
 def positive_rank(df: DataFrame, qid: str, score: str, label: str, tie: Sequence[str]) -> DataFrame:
-    """Mean 0-based rank of the positive passages (sum of ranks / number of queries)."""
-    w = Window.partitionBy(qid).orderBy(F.desc(score), *[F.col(t) for t in tie])
-    r = df.withColumn("__r", F.row_number().over(w) - 1)
-    return r.agg((F.sum(F.when(F.col(label) == 1, F.col("__r")).otherwise(0)) / F.countDistinct(qid)).alias("avg_rank"))
+    """Mean 0-based rank of the positive passages (sum of ranks / number of queries).
+
+    Rows are ranked within a query and a bucket of the score, and the rows of a query's buckets before are added, so that a query with very many
+    passages is ranked by many tasks."""
+    nb = default_buckets(df)
+    bucketed = df.select(qid, score, label, *tie).withColumn("__b", quantile_bucket(df, score, nb, True, F.col(tie[0]) if tie else None))
+    sizes = bucketed.groupBy(qid, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(qid).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    w = Window.partitionBy(qid, "__b").orderBy(F.desc(score), *[F.col(t) for t in tie])
+    ranked = bucketed.withColumn("__r", F.row_number().over(w) - 1).filter(F.col(label) == 1)
+    r = ranked.join(sizes.select(qid, "__b", F.coalesce(before, F.lit(0)).alias("__before")), [qid, "__b"]).agg(
+        F.coalesce(F.sum(F.col("__r") + F.col("__before")), F.lit(0)).alias("s"))
+    return scalar_join(r, sizes.agg(F.countDistinct(qid).alias("q"))).select((F.col("s") / F.when(F.col("q") > 0, F.col("q"))).alias("avg_rank"))
 
 
 def multilabel_macro_f1(df: DataFrame, labels: str, preds: str) -> DataFrame:

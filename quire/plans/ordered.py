@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.labels import let
+
 _B = "__p0_bucket"
 _OFF = "__p0_off"
 _CNT = "__p0_cnt"
@@ -70,18 +72,26 @@ def quantile_bucket(df: DataFrame, col, num_buckets: int, descending: bool = Fal
     row = df.agg(F.percentile_approx(x, probs, 1000).alias("q"), *([F.percentile_approx(y, probs, 1000).alias("t")] if then is not None else [])).first()
 
     def bounds(values):
-        vs = sorted(set(v for v in (values or []) if v is not None))
-        return F.array(*[F.lit(float(v)) for v in vs]) if vs else F.array().cast("array<double>")
+        vs = sorted(set(float(v) for v in (values or []) if v is not None))
+        return (F.array(*[F.lit(v) for v in vs]) if vs else F.array().cast("array<double>")), len(vs)
+
+    def place(q, n, v, down):
+        """Bounds before ``v`` (a bound variable), by halving: as many comparisons as the number of bounds has binary digits."""
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))]) if n else F.array().cast("array<int>")
+
+        def step(at, size):
+            bound = F.get(q, at + size - 1)
+            return F.when((bound <= v) if down else (bound < v), at + size).otherwise(at)
 
-    def place(q, v, down):
-        return F.size(F.filter(q, (lambda b: b > v) if down else (lambda b: b < v)))
+        return F.aggregate(steps, F.lit(0), step, lambda at: F.when(v.isNull(), 0).otherwise(F.lit(n) - at if down else at))
 
-    b = place(bounds(row["q"]), x, descending)
+    q, n = bounds(row["q"])
+    b = let(x, lambda v: place(q, n, v, descending))
     if then is None:
         return b.cast("int")
     # of the rows of a bucket those that equal its bound come last; text is cut by its start, so equal numbers may be unequal texts
-    tie = F.array_contains(bounds(row["q"]), x) if kinds[0].dataType.typeName() not in ("string", "binary") else F.lit(False)
-    return ((2 * b + F.coalesce(tie, F.lit(False)).cast("int")) * (num_buckets + 1) + F.when(tie, place(bounds(row["t"]), y, False)).otherwise(0)).cast("int")
+    tie = F.array_contains(q, x) if kinds[0].dataType.typeName() not in ("string", "binary") else F.lit(False)
+    return ((2 * b + F.coalesce(tie, F.lit(False)).cast("int")) * (num_buckets + 1) + F.when(tie, let(y, lambda v: place(*bounds(row["t"]), v, False))).otherwise(0)).cast("int")
 
 
 def _offsets(per_bucket: DataFrame, value: str, total: str | None) -> DataFrame:

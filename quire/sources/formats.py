@@ -139,6 +139,15 @@ def read_docs_from_txt(spark: SparkSession, path) -> DataFrame:
     return d.select(stable_id(d, F.array_join("lines", "\n")).alias("doc_id"), "lines", "pos")
 
 
+NQ_SCHEMA = ("example_id STRING, question_text STRING, document_text STRING, annotations ARRAY<STRUCT<long_answer: STRUCT<start_token: INT, end_token: INT>, "
+             "short_answers: ARRAY<STRUCT<start_token: INT, end_token: INT>>, yes_no_answer: STRING>>")
+
+
+def read_nq_jsonl(spark: SparkSession, path, with_pos: bool = False) -> DataFrame:
+    """Question records, one JSON object a line, with their nested schema declared."""
+    return read_jsonl(spark, path, NQ_SCHEMA, with_pos)
+
+
 SQUAD_SCHEMA = Ty.StructType([
     Ty.StructField("data", Ty.ArrayType(Ty.StructType([
         Ty.StructField("title", Ty.StringType()),
