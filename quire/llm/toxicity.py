@@ -1,15 +1,17 @@
-"""Toxicity by two Kneser-Ney language models, one of toxic and one of ordinary texts.
+"""Toxicity by class-conditional Kneser-Ney models, one of toxic and one of ordinary texts, on two scales.
 
-The models predict the next byte of a word from the bytes of the same word before it (order 6), so an
-expression that was never seen whole still scores by its stem. Where a class has not seen a continuation, it backs
-off to one shared distribution: in how many different contexts a shorter gram occurs in the whole
-corpus, labelled or not. Rare expressions that only chance put into one class thus look alike to both.
+Spelling: the next byte of a word from the bytes of the same word before it (order 6), so that an expression that was never seen whole still
+scores by its stem. Phrases: a word from the word before it, so that an expression of words which all occur in ordinary texts is told by their
+sequence. Where a class has not seen a continuation, it backs off to one distribution that both share: of bytes, in how many different contexts a
+shorter gram occurs in the whole corpus, labelled or not, in a chain of orders down to single bytes; of words, the pairs of both classes and
+then the probability of the word's spelling in that chain. Rare expressions that only chance put into one class thus look alike to both.
 
-A word's log-likelihood ratio is divided by its length; the two largest of a text are turned into a score
-by logistic regression on labelled texts whose words were not counted.
+A text's signs are length-normalised log-likelihood ratios of the two classes: of the whole text on either scale, of its two most telling words
+and of its most telling stretch of words. Logistic regression on labelled texts whose words were not counted turns them into a score.
 
 Class counts and calibration come from a bounded, documented sample of labelled rows (``SAMPLE_PER_CLASS``,
-``CALIBRATION_PER_CLASS``, chosen by a hash of the id). The backoff counts are a Spark aggregation over every
+``CALIBRATION_PER_CLASS``, chosen by a hash of the id); word pairs of fewer than ``MIN_TEXTS`` sampled texts say nothing about other texts and are
+left to the backoff. The backoff counts are a Spark aggregation over every
 document; only those for the contexts of the sample's grams come back, so what is broadcast is bounded
 by the sample. Scoring is one pass over every whole text without a shuffle.
 """
@@ -21,15 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bytegroups import GROUP_BYTES, byte_groups, tidy
+from quire.llm.bytegroups import GROUP_BYTES, byte_groups, joined, tidy
 from quire.llm.common import crc_mod, sampled_ids, stored
 from quire.llm.langid import FOLD
-from quire.llm.wordhash import mix
+from quire.llm.wordhash import _slices, mix, words_in
+from quire.llm.wordscan import TABLE
 
 ORDER = 6
 DISCOUNT = 0.75
 SAMPLE_PER_CLASS = 6000
 CALIBRATION_PER_CLASS = 2000
+MIN_TEXTS = 2
+STRETCH = 3  # word pairs of the most telling stretch
+UNKNOWN = -4.0  # log probability of a byte in a gram that the sample lacks
 THRESHOLD = 0.3
 PAD = b" " * 8
 LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
@@ -99,30 +105,115 @@ class Table:
         return out, known
 
 
+def class_logs(inverse: np.ndarray, contexts: int, toxic: np.ndarray, ordinary: np.ndarray, shared: np.ndarray,
+               discount: float = DISCOUNT) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Log probabilities of grams in the two classes, and by context the log weight that a class leaves to the shared backoff."""
+    logs, spare = [], []
+    for n in (toxic, ordinary):
+        seen = np.bincount(inverse, n, contexts)
+        kinds = np.bincount(inverse, n > 0, contexts)
+        left = np.where(seen > 0, np.minimum(1.0, discount * kinds / np.maximum(seen, 1)), 1.0)
+        p = np.maximum(n - discount, 0) / np.maximum(seen, 1)[inverse] + left[inverse] * shared
+        logs.append(np.log(p))
+        spare.append(np.log(left))
+    return logs, spare
+
+
+def backoff(wanted: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], discount: float = DISCOUNT) -> np.ndarray:
+    """Kneser-Ney probability of the last byte of each wanted gram given the bytes before it, by a chain of orders. ``levels``: grams
+    with the numbers of their different contexts, longest first, single bytes last."""
+    keys, contexts = levels[0]
+    prefix, at = np.unique(keys >> np.uint64(8), return_inverse=True)
+    totals, kinds = np.bincount(at, contexts, len(prefix)), np.bincount(at, minlength=len(prefix)).astype(float)
+    mine = _pick(keys, contexts, wanted)
+    total, kind = _pick(prefix, totals, wanted >> np.uint64(8)), _pick(prefix, kinds, wanted >> np.uint64(8))
+    if len(levels) == 1:
+        return (mine + 0.5) / (total + 128.0)
+    shorter, where = np.unique(wanted & LOW_BYTES[len(levels) - 1], return_inverse=True)
+    rest = backoff(shorter, levels[1:], discount)[where]
+    return np.where(total > 0, np.maximum(mine - discount, 0) / np.maximum(total, 1) + discount * kind / np.maximum(total, 1) * rest, rest)
+
+
+def text_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Word hashes of texts, where each text's begin (with the total last), and as (buffers, starts, ends) their places for ``spelling``."""
+    parts, owner = [], []
+    for i, t in enumerate(texts):
+        for piece in _slices(t) if len(t) > GROUP_BYTES else (t,):
+            parts.append(piece)
+            owner.append(i)
+    buf, starts, _ = joined(parts) if parts else (np.frombuffer(b"  ", np.uint8), np.zeros(0, np.int64), None)
+    h, a, b = words_in(buf)
+    of = np.array(owner, np.int64)[np.searchsorted(starts, a, side="right") - 1] if len(a) else np.zeros(0, np.int64)
+    return h, np.searchsorted(of, np.arange(len(texts) + 1)), buf, a, b
+
+
+def pairs_of(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of neighbouring words of one text, the place of each pair's second word, and where each text's pairs begin (with the total last)."""
+    second = np.ones(len(h), bool)
+    second[offsets[:-1][offsets[:-1] < len(h)]] = False
+    place = np.flatnonzero(second)
+    key = mix(h[place - 1] * np.uint64(0x9E3779B97F4A7C15) + h[place]) if len(place) else np.zeros(0, np.uint64)
+    return key, place, np.searchsorted(place, offsets)
+
+
+class Phrases:
+    """Log ratios of the two classes for a word after another: class counts of word pairs, backing off to those of both classes and these
+    to the words' spelling."""
+
+    def __init__(self, pair: np.ndarray, first: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, shared: np.ndarray):
+        context, inverse = np.unique(first, return_inverse=True)
+        both = toxic + ordinary  # what both classes share stands between a class's own counts and the spelling
+        seen, kinds = np.bincount(inverse, both, len(context))[inverse], np.bincount(inverse, minlength=len(context))[inverse]
+        shared = np.maximum(both - DISCOUNT, 0) / np.maximum(seen, 1) + np.minimum(1.0, DISCOUNT * kinds / np.maximum(seen, 1)) * shared
+        logs, spare = class_logs(inverse, len(context), toxic, ordinary, shared)
+        self.by_pair, self.by_word = Table(pair, logs[0] - logs[1]), Table(context, spare[0] - spare[1])
+
+    def ratios(self, h: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
+        out, known = self.by_pair.get(key)
+        rest = np.flatnonzero(~known)
+        out[rest] = self.by_word.get(h[place[rest] - 1])[0]
+        return out
+
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        """texts x 2: mean ratio of a text's word pairs, and that of its best stretch of ``STRETCH`` pairs (all, if it has fewer)."""
+        out = np.zeros((len(texts), 2))
+        h, offsets, *_ = text_words(texts)
+        key, place, at = pairs_of(h, offsets)
+        if not len(key):
+            return out
+        run = np.concatenate(([0.0], np.cumsum(self.ratios(h, key, place), dtype=np.float64)))
+        n = np.diff(at)
+        some = n > 0
+        out[some, 0] = out[some, 1] = (run[at[1:]] - run[at[:-1]])[some] / n[some]
+        long = np.flatnonzero(n >= STRETCH)
+        if len(long):
+            window = np.concatenate((run[STRETCH:] - run[:-STRETCH], np.full(STRETCH, -np.inf)))
+            window[(at[long + 1][:, None] - np.arange(1, STRETCH)[None, :]).ravel()] = -np.inf  # would reach beyond the text
+            out[long, 1] = np.maximum.reduceat(window, np.stack((at[long], at[long + 1]), 1).ravel())[::2] / STRETCH
+        return out
+
+
 class Model:
     """Log ratios of the two class models by gram, and by context for grams that no class has seen."""
 
     def __init__(self, gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, lower: np.ndarray, contexts: np.ndarray,
-                 order: int = ORDER, discount: float = DISCOUNT):
+                 order: int = ORDER, discount: float = DISCOUNT, shorter: list[tuple[np.ndarray, np.ndarray]] | None = None):
         """gram: distinct grams with their class counts; lower, contexts: grams one byte shorter with the number of
-        different grams that end in them, over the corpus."""
+        different grams that end in them, over the corpus; shorter: the same for still shorter grams, down to one byte (without them the
+        backoff is a single step)."""
         self.order, self.slope = order, None
         low = gram & LOW_BYTES[order - 1]
-        # shared backoff: share of the different contexts of low's prefix that go on with low's last byte
-        by_prefix, at = np.unique(lower >> np.uint64(8), return_inverse=True)
-        totals = np.bincount(at, contexts, len(by_prefix))
-        shared = (_pick(lower, contexts, low) + 0.02) / (_pick(by_prefix, totals, low >> np.uint64(8)) + 1.0)
+        if shorter is None:  # share of the different contexts of low's prefix that go on with low's last byte
+            by_prefix, at = np.unique(lower >> np.uint64(8), return_inverse=True)
+            totals = np.bincount(at, contexts, len(by_prefix))
+            shared = (_pick(lower, contexts, low) + 0.02) / (_pick(by_prefix, totals, low >> np.uint64(8)) + 1.0)
+        else:
+            shared = backoff(low, [(lower, contexts), *shorter], discount)
         context, inverse = np.unique(gram >> np.uint64(8), return_inverse=True)
-        logs, spare = [], []
-        for n in (toxic, ordinary):
-            seen = np.bincount(inverse, n, len(context))
-            kinds = np.bincount(inverse, n > 0, len(context))
-            left = np.where(seen > 0, np.minimum(1.0, discount * kinds / np.maximum(seen, 1)), 1.0)
-            p = np.maximum(n - discount, 0) / np.maximum(seen, 1)[inverse] + left[inverse] * shared
-            logs.append(np.log(p))
-            spare.append(np.log(left))
+        logs, spare = class_logs(inverse, len(context), toxic, ordinary, shared, discount)
         self.by_gram = Table(gram, logs[0] - logs[1])
         self.by_context = Table(context, spare[0] - spare[1])
+        self.gram, self.log_shared = gram, np.log(shared)
 
     def ratios(self, code: np.ndarray) -> np.ndarray:
         out, known = self.by_gram.get(code)
@@ -171,6 +262,53 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+class TextModel:
+    """Both scales and the regression over a text's signs."""
+
+    def __init__(self, spelling: Model, phrases: Phrases):
+        self.spelling, self.phrases, self.middle, self.spread, self.slope = spelling, phrases, 0.0, 1.0, None
+
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        """texts x 5: two most telling words, whole text by spelling, whole text and best stretch by word pairs."""
+        parts, owner = pieces(texts)
+        whole = np.zeros(len(texts))
+        buf, ends, code = grams(parts, self.spelling.order)
+        if len(buf):
+            run = np.concatenate(([0.0], np.cumsum(self.spelling.ratios(code), dtype=np.float64)))
+            begin = np.concatenate(([0], ends[:-1]))
+            letters = np.concatenate(([0], np.cumsum(buf != 32)))
+            sums = np.bincount(owner, run[ends] - run[begin], len(texts))
+            whole = sums / np.maximum(np.bincount(owner, letters[ends] - letters[begin], len(texts)), 1)
+        return np.column_stack((self.spelling.features(texts), whole, self.phrases.features(texts)))
+
+    def calibrate(self, features: np.ndarray, labels: np.ndarray, strength: float = 1.0) -> None:
+        """Ridge logistic regression by Newton steps over standardised signs."""
+        self.middle, self.spread = features.mean(0), np.maximum(features.std(0), 1e-9)
+        x = np.column_stack(((features - self.middle) / self.spread, np.ones(len(features))))
+        ridge = strength * np.append(np.ones(x.shape[1] - 1), 1e-6)
+        w = np.zeros(x.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (labels - p) - ridge * w)
+            w += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+            if np.abs(step).max() < 1e-8:
+                break
+        self.slope = w
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        z = (self.features(texts) - self.middle) / self.spread @ self.slope[:-1] + self.slope[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def spelled(words: list[bytes], model: Model) -> np.ndarray:
+    """Probability of each word's spelling, and of its end, in the shared backoff."""
+    buf, ends, code = grams(words, model.order)
+    value, known = Table(model.gram, model.log_shared).get(code)
+    run = np.concatenate(([0.0], np.cumsum(np.where(known, value, UNKNOWN), dtype=np.float64)))
+    first = ends - 1 - np.array([len(w) for w in words], np.int64)
+    return np.exp(np.clip(run[ends] - run[first], -60, -1))
+
+
 def _pick(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(wanted))
@@ -217,7 +355,7 @@ def corpus_contexts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int = SAMPLE_PER_CLASS,
-          calibration: int = CALIBRATION_PER_CLASS) -> Model | None:
+          calibration: int = CALIBRATION_PER_CLASS) -> TextModel | None:
     """Fit on ``labels`` (``doc_id, toxic``) and the texts of ``docs``; None unless both classes have texts."""
     rows = stored(labelled_sample(docs, labels, "toxic", {"count": sample, "calibrate": calibration}), "op4-sample")
 
@@ -234,31 +372,65 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int =
     counted = (rows.filter("part = 'count'").select("label", "text").mapInArrow(tidy(count), "gram long, toxic long, ordinary long")
                .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     counted = stored(counted, "op4-grams")
-    prefix = F.shiftright(F.col("gram").bitwiseAND(F.lit(int(LOW_BYTES[order - 1]))), 8)
-    wanted = counted.select(prefix.alias("prefix")).distinct()  # bounded by the sample
-    shared = (corpus_contexts(docs, order).withColumn("prefix", F.shiftright("low", 8)).join(wanted, "prefix", "left_semi")
-              .select("low", "contexts").toPandas())
+    level, columns = stored(corpus_contexts(docs, order), "op4-contexts"), []
+    for k in range(order - 1, 0, -1):  # grams of k bytes and their contexts; what comes back is bounded by the sample
+        wanted = counted.select(F.shiftright(F.col("gram").bitwiseAND(F.lit(int(LOW_BYTES[k]))), 8).alias("prefix")).distinct()
+        columns.append(level.withColumn("prefix", F.shiftright("low", 8)).join(wanted, "prefix", "left_semi").select("low", "contexts").toPandas())
+        level = level.groupBy(F.col("low").bitwiseAND(F.lit(int(LOW_BYTES[k - 1]))).alias("low")).agg(F.count("*").alias("contexts"))
+    shared, *shorter = [(c["low"].to_numpy().view(np.uint64), c["contexts"].to_numpy()) for c in columns]
     counts = counted.toPandas()
     if counts.empty or not counts["toxic"].any() or not counts["ordinary"].any():
         return None
-    model = Model(counts["gram"].to_numpy().view(np.uint64), counts["toxic"].to_numpy(), counts["ordinary"].to_numpy(),
-                  shared["low"].to_numpy().view(np.uint64), shared["contexts"].to_numpy(), order)
+    spelling = Model(counts["gram"].to_numpy().view(np.uint64), counts["toxic"].to_numpy(), counts["ordinary"].to_numpy(), *shared, order, shorter=shorter)
+    pairs = (rows.filter("part = 'count'").select("label", "text").mapInArrow(tidy(count_pairs), PAIRS).groupBy("pair").agg(
+        F.min("first").alias("first"), F.min("word").alias("word"), *[F.sum(c).alias(c) for c in ("toxic", "ordinary", "texts")]).filter(F.col("texts") >= MIN_TEXTS).toPandas())
+    pairs = pairs.sort_values("pair")
+    phrases = Phrases(pairs["pair"].to_numpy().astype(np.int64).view(np.uint64), pairs["first"].to_numpy().astype(np.int64).view(np.uint64), pairs["toxic"].to_numpy().astype(np.int64),
+                      pairs["ordinary"].to_numpy().astype(np.int64), spelled([bytes(w) for w in pairs["word"]], spelling))
+    model = TextModel(spelling, phrases)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    signs = ["a", "b", "c", "d", "e"]
 
     def features(batches):
         for batch in batches:
-            x = np.concatenate([sent.value.features(t) for _, t in byte_groups(batch.column(1))] or [np.zeros((0, 2))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["label", "a", "b"])
+            x = np.concatenate([sent.value.features(t) for _, t in byte_groups(batch.column(1))] or [np.zeros((0, len(signs)))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, k]) for k in range(len(signs))]], names=["label", *signs])
 
-    held = rows.filter("part = 'calibrate'").select("label", "text").mapInArrow(tidy(features), "label int, a double, b double").toPandas()
+    schema = "label int, " + ", ".join(f"{c} double" for c in signs)
+    held = rows.filter("part = 'calibrate'").select("label", "text").mapInArrow(tidy(features), schema).toPandas()
     if held["label"].nunique() < 2:  # too few rows to set any aside
-        held = rows.select("label", "text").mapInArrow(tidy(features), "label int, a double, b double").toPandas()
-    held = held.sort_values(["label", "a", "b"])
-    model.calibrate(held[["a", "b"]].to_numpy(), (held["label"] == 1).to_numpy().astype(float))
+        held = rows.select("label", "text").mapInArrow(tidy(features), schema).toPandas()
+    held = held.sort_values(["label", *signs])
+    model.calibrate(held[signs].to_numpy(), (held["label"] == 1).to_numpy().astype(float))
     return model
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+PAIRS = "pair long, first long, word binary, toxic long, ordinary long, texts long"
+
+
+def count_pairs(batches):
+    """``PAIRS`` of labelled texts: each word pair with its first word's hash, its second word and how often and in how many texts it stands."""
+    for batch in batches:
+        flags = np.array(batch.column(0).to_pylist(), np.int64)
+        for first, texts in byte_groups(batch.column(1)):
+            for value in (0, 1):
+                h, offsets, buf, a, b = text_words([t for t, f in zip(texts, flags[first:first + len(texts)], strict=True) if f == value])
+                key, place, at = pairs_of(h, offsets)
+                if not len(key):
+                    continue
+                pair, index, n = np.unique(key, return_index=True, return_counts=True)
+                owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                order = np.lexsort((owner, key))
+                new = np.ones(len(key), bool)
+                new[1:] = (key[order][1:] != key[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+                _, texts_of_pair = np.unique(key[order][new], return_counts=True)
+                text = buf.tobytes()
+                words = [text[a[p]:b[p]].translate(TABLE) for p in place[index]]
+                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(h[place[index] - 1].view(np.int64)), pa.array(words, pa.binary()), pa.array(n * (value == 1), pa.int64()),
+                                                  pa.array(n * (value == 0), pa.int64()), pa.array(texts_of_pair.astype(np.int64))], names=[f.split()[0] for f in PAIRS.split(", ")])
+
+
+def score(docs: DataFrame, model: TextModel | None, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted`` of each row; without a model every score is 0."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -276,7 +448,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out_fold: int = 2) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of each row of ``docs``, learned from the labels outside the held-out fold (crc32 of
-    the id). Null or empty text has no word and gets the score of no sign at all; a null id is in the fold
+    the id). Null or empty text has no word and gets the score of no sign at all; a very long text is scored whole, in pieces; an empty table gives an
+    empty result; a null id is in the fold
     of the empty text and its label is not used; of several labels for one id the largest counts; repeated rows are
     scored each; without labels of both kinds every score is 0; other columns are ignored."""
     held = crc_mod(F.col("doc_id"), folds) == held_out_fold

@@ -209,3 +209,101 @@ def test_samples_are_exact_and_bounded(spark):
         spark.createDataFrame([(1, "rare"), (2, "rare")], "doc_id long, kind string"))
     got = {r.kind: r.ids for r in sampled_ids(ids, "kind", 300).groupBy("kind").agg(F.collect_set("doc_id").alias("ids")).collect()}
     assert {k: len(v) for k, v in got.items()} == {"a": 300, "b": 300, "rare": 2}
+
+
+def _auc(scores, labels):
+    order = np.argsort(scores, kind="stable")
+    ranks = np.empty(len(scores))
+    ranks[order] = np.arange(len(scores))
+    labels = np.asarray(labels, bool)
+    return (ranks[labels].mean() - ranks[~labels].mean()) / len(scores) + 0.5
+
+
+def _texts(kind, n, seed):
+    """Texts of 60 words and their labels. mild: many words that are a little likelier in toxic texts; expression: four words, each of them
+    as frequent in ordinary texts, in one order."""
+    rng = random.Random(seed)
+    word = random.Random(1)
+    vocabulary = ["".join(word.choices("abcdefghijklmno", k=word.randint(3, 8))) for _ in range(400)]
+    rows = []
+    for i in range(n):
+        bad = i % 3 == 0
+        if kind == "mild":
+            words = rng.choices(vocabulary, weights=[2.0 if bad and k < 150 else 1.0 for k in range(400)], k=60)
+        else:
+            words = rng.choices(vocabulary, k=60)
+            at, special = rng.randrange(50), vocabulary[:4]
+            words[at:at + 4] = special if bad else rng.sample(special, 4)
+            if not bad and words[at:at + 4] == special:
+                words[at] = vocabulary[9]
+        rows.append((i, " ".join(words), int(bad)))
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["mild", "expression"])
+def test_toxicity_compares_whole_texts_and_expressions(spark, kind):
+    rows = _texts(kind, 3000, 7)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    out = toxicity.toxicity(docs, labels_of(spark, [(i, y) for i, _, y in rows], "toxic")).filter("held_out").collect()
+    assert _auc(np.array([r.score for r in out]), [r.doc_id % 3 == 0 for r in out]) > 0.9
+
+
+def test_backoff_chain_sums_to_one_and_equals_a_plain_version():
+    rng = random.Random(2)
+    corpus = {bytes(rng.choices(b"abc", k=3)) for _ in range(14)}  # different grams of three bytes
+    def contexts(k):  # different longer grams that end in each gram of k bytes
+        longer = corpus if k == 2 else {g for g in contexts(k + 1)}
+        out = {}
+        for g in longer:
+            out[g[1:]] = out.get(g[1:], 0) + 1
+        return out
+
+    def plain(g):
+        c = contexts(len(g))
+        total = sum(n for x, n in c.items() if x[:-1] == g[:-1])
+        if len(g) == 1:
+            return (c.get(g, 0) + 0.5) / (total + 128)
+        rest = plain(g[1:])
+        kinds = sum(x[:-1] == g[:-1] for x in c)
+        return rest if not total else max(c.get(g, 0) - 0.75, 0) / total + 0.75 * kinds / total * rest
+
+    number = lambda g: int.from_bytes(g, "big")
+    levels = [tuple(np.array(x) for x in zip(*sorted((number(g), n) for g, n in contexts(k).items()), strict=True)) for k in (2, 1)]
+    levels = [(k.astype(np.uint64), n) for k, n in levels]
+    wanted = [bytes([x, y]) for x in b"abcz" for y in range(256)]
+    got = toxicity.backoff(np.array([number(g) for g in wanted], np.uint64), levels)
+    assert np.allclose(got, [plain(g) for g in wanted])
+    assert np.allclose([sum(got[256 * k:256 * k + 256]) for k in range(4)], 1)
+
+
+def test_phrase_ratios_equal_a_plain_version():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["ab", "cd", "ef", "gh"], k=rng.randrange(0, 9))).encode() for _ in range(30)]
+    table, words = {}, [t.split() for t in texts]
+    for w in words[:20]:
+        for u, v in zip(w, w[1:], strict=False):
+            n = table.setdefault((u, v), [0, 0])
+            n[rng.randrange(2)] += 1
+    hashes = {w: toxicity.text_words([w])[0][0] for w in (b"ab", b"cd", b"ef", b"gh")}
+    keys = list(table)
+    pair = np.array([toxicity.pairs_of(np.array([hashes[u], hashes[v]]), np.array([0, 2]))[0][0] for u, v in keys])
+    n = np.array([table[k] for k in keys])
+    shared = np.full(len(keys), 0.1)
+    model = toxicity.Phrases(pair, np.array([hashes[u] for u, _ in keys]), n[:, 0], n[:, 1], shared)
+
+    def ratio(u, v):
+        every, sorts = sum(sum(x) for k, x in table.items() if k[0] == u), sum(k[0] == u for k in table)
+        both = max(sum(table.get((u, v), [0])) - 0.75, 0) / max(every, 1) + min(1, 0.75 * sorts / max(every, 1)) * 0.1
+        logs = []
+        for c in (0, 1):
+            total, kinds = sum(x[c] for k, x in table.items() if k[0] == u), sum(x[c] > 0 for k, x in table.items() if k[0] == u)
+            left = min(1, 0.75 * kinds / total) if total else 1.0
+            logs.append(np.log(max(table[u, v][c] - 0.75, 0) / max(total, 1) + left * both) if (u, v) in table else np.log(left))
+        return logs[0] - logs[1]
+
+    for got, w in zip(model.features(texts), words, strict=True):
+        r = [ratio(u, v) for u, v in zip(w, w[1:], strict=False)]
+        best = max((np.mean(r[i:i + 3]) for i in range(max(1, len(r) - 2))), default=0) if r else 0
+        assert np.allclose(got, [np.mean(r) if r else 0, best], atol=1e-5)
+    long = [b" ".join([b"ab cd"] * 200_000)]
+    assert np.allclose(model.features(long)[0, 0], model.features([long[0][:600_000]])[0, 0], atol=1e-3)
