@@ -189,3 +189,51 @@ def fold_ensemble_votes(spark, sf_dir):
     folds = kfold(train.select("id"), "id", 3, 7).select("id", "fold")
     votes = score.train_fold_ensemble(train, test.select("id", "text"), folds, n_folds=3, num_features=1 << 12)
     return ensemble.sentence_majority(votes, "id")
+
+
+@register(
+    "choose_passage_rows",
+    f"""
+    WITH r AS (SELECT l_orderkey AS qid, l_partkey, l_returnflag = 'R' AS pos, row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'R'
+                 ORDER BY {S.seeded_hash(5, 'l_orderkey', 'l_linenumber', 'l_partkey')}, l_linenumber, l_partkey) AS r FROM lineitem),
+    c AS (SELECT qid, list(CAST(l_partkey AS VARCHAR) ORDER BY r) FILTER (pos AND r <= 1) AS p, list(CAST(l_partkey AS VARCHAR) ORDER BY r) FILTER (NOT pos AND r <= 2) AS n
+          FROM r GROUP BY qid)
+    SELECT qid, array_to_string(list_concat(coalesce(p, []), list_transform(range(1 - len(coalesce(p, []))), lambda x: '')), '|') || '#' ||
+                array_to_string(list_concat(coalesce(n, []), list_transform(range(2 - len(coalesce(n, []))), lambda x: '')), '|') AS chosen FROM c""",
+)
+def choose_passage_rows(spark, sf_dir):
+    """L17 on rows: a query's passages never meet whole."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    passage = F.struct(F.lit("").alias("title"), F.lit("").alias("text"), F.col("l_partkey").cast("string").alias("passage_id"))
+    order = F.struct(seeded_hash(5, "l_orderkey", "l_linenumber", "l_partkey").alias("h"), "l_linenumber", "l_partkey")
+    c = records.choose_passage_rows(li, "qid", passage, F.col("l_returnflag") == "R", order, 1, 2)
+    ids = F.transform("passages", lambda p: p["passage_id"])
+    return c.select("qid", F.concat(F.array_join(F.slice(ids, 1, 1), "|"), F.lit("#"), F.array_join(F.slice(ids, 2, 2), "|")).alias("chosen"))
+
+
+@register(
+    "nested_kfold_stratified",
+    f"""
+    WITH h AS (SELECT *, {S.seeded_hash(7, 'doc_id')} AS hh FROM labels),
+    sz AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality),
+    st AS (SELECT quality, coalesce(sum(n) OVER (ORDER BY quality NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM sz),
+    o AS (SELECT h.*, (s + row_number() OVER (PARTITION BY h.quality ORDER BY hh, doc_id) - 1) % 3 AS f FROM h JOIN st ON h.quality = st.quality),
+    x AS (SELECT o.*, t.outer_fold FROM o, (SELECT unnest([0, 1, 2]) AS outer_fold) t)
+    SELECT doc_id, quality, toxic, CAST(outer_fold AS INTEGER) AS outer_fold, CAST(CASE WHEN f = outer_fold THEN -1
+             ELSE (row_number() OVER (PARTITION BY outer_fold, quality, f = outer_fold ORDER BY hh, doc_id) - 1) % 4 END AS INTEGER) AS inner_fold FROM x""",
+)
+def nested_kfold_stratified(spark, sf_dir):
+    """L9, stratified."""
+    from quire.operators.splits import nested_kfold
+
+    return nested_kfold(table(spark, sf_dir, "labels"), "doc_id", 7, 3, 4, label="quality").select("doc_id", "quality", "toxic", "outer_fold", "inner_fold")
+
+
+@register("kmeans_nearest", "SELECT vec_id, true AS nearest FROM embeddings")
+def kmeans_nearest(spark, sf_dir):
+    """A13 by its invariant: every vector is with its nearest centre."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    assigned, centres, _ = V.kmeans_centres(e, "v", k=10, seed=1)
+    every = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])  # k x d numbers
+    distances = F.transform(every, lambda m: F.aggregate(F.zip_with("v", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
+    return assigned.select("vec_id", L.let(distances, lambda d: F.get(d, F.col("cluster")) <= F.array_min(d) + 1e-9).alias("nearest"))

@@ -11,7 +11,8 @@ spelled out code point by code point (``RE2`` below).
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,20 +127,59 @@ def ws_token_spans_inline(col) -> Column:
 def token_offsets_batch(col) -> Column:
     """Start offsets of the whitespace tokens of long texts (documents), as ``array<int>``.
 
-    Arrow-batched pandas UDF around ``re.finditer``: linear in the text, one call per batch.
-    Tokens themselves come from ``ws_tokens`` (JVM); both use the same whitespace rule."""
+    An Arrow UDF that looks at all characters of a batch at once in numpy: a token starts where a character that is no whitespace follows
+    whitespace or the text's start. Tokens themselves come from ``ws_tokens`` (JVM); both use the same whitespace rule."""
     return _token_starts(_c(col))
 
 
-def _make_token_starts():
-    from pyspark.sql.functions import pandas_udf
+OFFSET_CHARS = 1 << 20  # characters looked at together; a longer text is taken alone
+
+
+def _is_space() -> np.ndarray:
+    """For each code point up to the last whitespace character, whether it is one (Python's own rule: ``str.isspace``)."""
+    return np.array([chr(c).isspace() for c in range(0x3002)])
+
+
+def _start_offsets(texts: pa.Array) -> pa.Array:
+    """``array<int>`` of token starts for an Arrow array of texts (null: null)."""
+    space, values, sizes = _is_space(), [], []
+    group: list[str] = []
+
+    def flush() -> None:
+        codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32)
+        word = ~space[np.minimum(codes, len(space) - 1)]
+        ends = np.cumsum([len(t) for t in group])
+        begins = np.concatenate(([0], ends[:-1]))
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        edge = begins[begins < len(word)]
+        first[edge] = word[edge]  # the text before ends here
+        at = np.flatnonzero(first)
+        bounds = np.searchsorted(at, np.append(begins, len(codes)))
+        values.append((at - np.repeat(begins, np.diff(bounds))).astype(np.int32))
+        sizes.append(np.diff(bounds))
+        group.clear()
+
+    held = 0
+    for t in texts.to_pylist():
+        group.append(t or "")
+        held += len(group[-1])
+        if held >= OFFSET_CHARS:
+            flush()
+            held = 0
+    if group:
+        flush()
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)) if sizes else [])).astype(np.int32)
+    flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=texts.is_null())
+
 
-    @pandas_udf("array<int>")
-    def token_starts(texts: pd.Series) -> pd.Series:
-        import re
+def _make_token_starts():
+    from pyspark.sql.functions import arrow_udf
 
-        pat = re.compile(r"\S+")  # Python's own Unicode whitespace rule (same set as PY_WHITESPACE)
-        return texts.map(lambda t: [m.start() for m in pat.finditer(t)] if t is not None else None)
+    @arrow_udf("array<int>")
+    def token_starts(texts: pa.Array) -> pa.Array:
+        return _start_offsets(texts)
 
     return token_starts
 
@@ -173,10 +213,17 @@ def lower_words(col) -> Column:
     return F.filter(F.flatten(F.transform(pieces, punct_split)), lambda t: t != F.lit(""))
 
 
+# Abbreviations after which a dot ends no sentence (with single letters, as in "J. Smith").
+ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Jr", "Sr", "vs", "etc", "Inc", "Ltd", "Co", "No", "Fig", "e.g", "i.e", "bzw", "ca", "Nr", "usw", "z.B", "d.h"]
+
+
 def split_sentences(col) -> Column:
     """T5 (approximation): break after ``.!?`` followed by whitespace and an upper-case letter,
-    a quote or a digit; the newline is a break as well. Returns non-empty stripped pieces."""
-    marked = F.regexp_replace(_c(col), r"([.!?])" + WS + r"+(?=[\p{Lu}\"'\p{N}])", "$1\u0001")
+    a quote or a digit, but not after the dot of an abbreviation or of a single capital letter; the newline is a break as well. Returns non-empty
+    stripped pieces."""
+    known = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    guard = r"(?<!\b(?:" + known + r"|\p{Lu})\.)"
+    marked = F.regexp_replace(_c(col), r"(?U)([.!?])" + guard + WS + r"+(?=[\p{Lu}\"'\p{N}])", "$1\u0001")
     marked = F.regexp_replace(marked, "\n", "\u0001")
     parts = F.transform(F.split(marked, "\u0001"), py_strip)
     return F.filter(parts, lambda t: t != F.lit(""))

@@ -198,6 +198,24 @@ def choose_passages(pos_arr, neg_arr, n_pos: int, n_neg: int, seed, key: str, sh
     return F.struct(F.concat(take(pos_arr, n_pos), take(neg_arr, n_neg)).alias("passages"), labels.alias("labels"))
 
 
+def choose_passage_rows(df: DataFrame, query: str, passage: Column, positive: Column, order: Column, n_pos: int, n_neg: int) -> DataFrame:
+    """L17 on rows: for each query the first ``n_pos`` positives and ``n_neg`` hard negatives by ``order``, padded with empty passages:
+    ``query, passages, labels``. Only the chosen rows of a query meet (a partial top-k runs before the shuffle)."""
+    # ``passage``: struct<title, text, passage_id>
+    x = df.select(F.col(query).alias("__q"), passage.alias("__p"), F.coalesce(positive, F.lit(False)).alias("__pos"), order.alias("__o"))
+    w = Window.partitionBy("__q", "__pos").orderBy("__o")
+    top = x.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= max(n_pos, n_neg)).filter(F.col("__r") <= F.when(F.col("__pos"), n_pos).otherwise(n_neg))
+    seen = top.groupBy("__q").agg(F.array_sort(F.collect_list(F.struct((~F.col("__pos")).alias("n"), F.col("__r").alias("r"), F.col("__p").alias("p")))).alias("c"))
+    empty = F.struct(F.lit("").alias("title"), F.lit("").alias("text"), F.lit("").alias("passage_id"))
+
+    def side(negative, k):
+        mine = F.transform(F.filter("c", lambda e: e["n"] == F.lit(negative)), lambda e: e["p"])
+        return F.concat(mine, F.array_repeat(empty, F.lit(k) - F.size(mine)))
+
+    labels = F.array(*([F.lit(1)] * n_pos + [F.lit(0)] * n_neg))
+    return seen.select(F.col("__q").alias(query), F.concat(side(False, n_pos), side(True, n_neg)).alias("passages"), labels.alias("labels"))
+
+
 def questions_per_document(df: DataFrame, doc: str, question: str) -> DataFrame:
     """Distinct questions per document."""
     return df.groupBy(doc).agg(F.countDistinct(question).alias("n_questions"))

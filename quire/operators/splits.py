@@ -128,17 +128,22 @@ def stratified_kfold(df: DataFrame, key: str, label: str, seed, k: int, fold_col
         HASH, "rank_in_group", "group_n", "__start")
 
 
-def nested_kfold(df: DataFrame, key: str, seed, k_outer: int, k_inner: int) -> DataFrame:
-    """Outer K-fold, then for every outer fold the remaining rows get an inner K-fold.
+def nested_kfold(df: DataFrame, key: str, seed, k_outer: int, k_inner: int, label: str | None = None) -> DataFrame:
+    """Outer K-fold, then for every outer fold the remaining rows get an inner K-fold. With ``label`` both are stratified: a class's
+    rows are dealt to the folds in turn, so its numbers in the folds differ by one at most.
 
     Output has one row per (outer_fold, row): ``inner_fold = -1`` marks the outer test rows.
     Rows are multiplied by ``k_outer`` inside the plan only; nothing is written k times.
     """
-    outer = kfold(df, key, seed, k_outer, fold_col="__of")
+    outer = stratified_kfold(df, key, label, seed, k_outer, fold_col="__of") if label else kfold(df, key, seed, k_outer, fold_col="__of")
     exploded = outer.withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(k_outer - 1))))
     test = exploded.filter(F.col("__of") == F.col("outer_fold")).withColumn("inner_fold", F.lit(-1))
     rest = exploded.filter(F.col("__of") != F.col("outer_fold"))
-    inner = kfold(rest, key, seed, k_inner, by=["outer_fold"], fold_col="inner_fold")
+    if label:
+        ranked = group_rank(rest.withColumn(HASH, seeded_hash(seed, key)), ["outer_fold", label], [F.col(HASH), F.col(key)])
+        inner = ranked.withColumn("inner_fold", (F.col("rank_in_group") % k_inner).cast("int")).drop(HASH, "rank_in_group", "group_n")
+    else:
+        inner = kfold(rest, key, seed, k_inner, by=["outer_fold"], fold_col="inner_fold")
     return test.unionByName(inner).drop("__of")
 
 

@@ -112,8 +112,8 @@ def remove_top_components(df: DataFrame, vec: str, k: int = 1, out: str = "reduc
     return df.withColumn(out, expr)
 
 
-def kmeans(df: DataFrame, vec: str, k: int, seed: int = 0, weight: str | None = None):
-    """Spark ML KMeans on the vector column; returns (assignments, inertia)."""
+def kmeans_centres(df: DataFrame, vec: str, k: int, seed: int = 0, weight: str | None = None):
+    """Spark ML KMeans on the vector column; returns (assignments, k x d centres, inertia)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -122,7 +122,13 @@ def kmeans(df: DataFrame, vec: str, k: int, seed: int = 0, weight: str | None =
     if weight:
         km = km.setWeightCol(weight)
     model = km.fit(v)
-    return model.transform(v).drop("__v"), model.summary.trainingCost
+    return model.transform(v).drop("__v"), [list(map(float, c)) for c in model.clusterCenters()], model.summary.trainingCost
+
+
+def kmeans(df: DataFrame, vec: str, k: int, seed: int = 0, weight: str | None = None):
+    """As ``kmeans_centres``; returns (assignments, inertia)."""
+    assigned, _, cost = kmeans_centres(df, vec, k, seed, weight)
+    return assigned, cost
 
 
 def pair_scores(left: DataFrame, right: DataFrame, on, lvec: str, rvec: str) -> DataFrame:

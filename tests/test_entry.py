@@ -3,7 +3,7 @@
 import __spark_entry__ as E
 from quire.catalog import ORACLES, QUERIES
 
-NON_SQL = {"pages_repeat_collapse", "span_temperature", "pca_top_component_removed", "kmeans_clusters", "s3e_sentence_embeddings", "fold_ensemble_votes"}
+NON_SQL = {"span_temperature", "pca_top_component_removed", "kmeans_clusters", "s3e_sentence_embeddings", "fold_ensemble_votes"}
 
 
 def test_entry_smoke(spark):
