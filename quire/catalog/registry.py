@@ -20,4 +20,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     # importing the modules fills the registry
-    from quire.catalog import answers_q, corpus_q, extra_q, files_q, formats_q, leakage_q, metrics_q, qa_q, ranking_q, records2_q, records_q, sequence_q, splits_q, vectors_q  # noqa: F401
+    from quire.catalog import answers_q, corpus_q, extra_q, files_q, formats_q, leakage_q, metrics_q, qa_q, ranking_q, records2_q, records_q, sequence_q, splits_q, streams_q, vectors_q  # noqa: F401

@@ -237,3 +237,30 @@ def kmeans_nearest(spark, sf_dir):
     every = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])  # k x d numbers
     distances = F.transform(every, lambda m: F.aggregate(F.zip_with("v", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
     return assigned.select("vec_id", L.let(distances, lambda d: F.get(d, F.col("cluster")) <= F.array_min(d) + 1e-9).alias("nearest"))
+
+
+@register("pca_removed_direction", "SELECT vec_id, true AS along_one_direction, true AS shorter FROM embeddings")
+def pca_removed_direction(spark, sf_dir):
+    """A12 by its invariants: what is taken from every vector lies along one direction, and no vector grows."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    r = V.remove_top_components(e, "v", k=1).withColumn("d", F.zip_with("v", "reduced", lambda a, b: a - b))
+    longest = r.agg(F.max_by("d", V.norm("d")).alias("u"))  # one row
+    x = V.scalar_join(r, F.broadcast(longest))
+    along = F.abs(F.abs(V.dot("d", "u")) - V.norm("d") * V.norm("u")) <= 1e-9 + 1e-6 * V.norm("u") * V.norm("u")
+    return x.select("vec_id", along.alias("along_one_direction"), (V.norm("reduced") <= V.norm("v") + 1e-9).alias("shorter"))
+
+
+@register(
+    "s3e_invariants",
+    f"""SELECT conv_id * 1000 + turn AS sid, len({S.ws_tokens('text')}) > 0 AS known, CASE WHEN len({S.ws_tokens('text')}) > 0 THEN 64 + 10 END AS n_dims,
+        CASE WHEN len({S.ws_tokens('text')}) > 0 THEN true END AS unit FROM conversations""",
+)
+def s3e_invariants(spark, sf_dir):
+    """Q25, Q26 by their invariants: an embedding has the vectors' dimensions and those of the upper triangle of 4 x 4 clusters, whose part has length one."""
+    from quire.catalog.vectors_q import s3e_sentence_embeddings
+
+    e = s3e_sentence_embeddings(spark, sf_dir)
+    tail = F.slice("embedding", F.size("embedding") - 9, F.lit(10))
+    length = F.sqrt(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x * x))
+    return e.select("sid", F.col("embedding").isNotNull().alias("known"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("n_dims"),
+                    (F.abs(length - 1) < 1e-4).alias("unit"))
