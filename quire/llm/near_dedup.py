@@ -164,7 +164,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
     shingle sets. A text of fewer than five words has one shingle of all its words; null, empty and
     wordless texts are similar to nothing and form classes of their own; a null id is never the
     class id unless all are null; rows repeated with the same id and text count each in ``class_size``
-    and are marked alike; other columns are ignored."""
+    and are marked alike; a very long text is compared whole; an empty table gives an empty result; other columns are ignored."""
     sketch = stored(sketch_documents(docs, width, coordinates, band_rows, weighting, text_col), "op6-sketch")
     nodes = sketch.filter("node is not null").groupBy("node").agg(
         F.min(F.struct("doc_id", "text_key")).alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))

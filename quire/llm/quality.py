@@ -222,7 +222,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: i
     """``doc_id, held_out, score, predicted`` of each row of ``docs``, learned from the labels outside the held-out fold (crc32 of
     the id). Null or empty text has all measures 0; a null id is in the fold of the empty text and its label is not used; of
     several labels for one id the largest counts; repeated rows are scored each; without labels of both kinds every score is
-    0; other columns are ignored."""
+    0; a very long text is measured whole; an empty table gives an empty result; other columns are ignored."""
     held = crc_mod(F.col("doc_id"), folds) == held_out_fold
     model = train(docs, labels.filter(~held))
     return score(docs, model).withColumn("held_out", held).select("doc_id", "held_out", "score", "predicted")

@@ -307,3 +307,21 @@ def test_phrase_ratios_equal_a_plain_version():
         assert np.allclose(got, [np.mean(r) if r else 0, best], atol=1e-5)
     long = [b" ".join([b"ab cd"] * 200_000)]
     assert np.allclose(model.features(long)[0, 0], model.features([long[0][:600_000]])[0, 0], atol=1e-3)
+
+
+def test_decoding_against_a_loop():
+    """Loss-weighted decoding: the codeword whose bits lose least, each bit weighted by how sure its classifier is."""
+    import math
+
+    rng = np.random.default_rng(3)
+    model = langid.Model(list("abcde"), rng.integers(0, 50, (5, langid.BUCKETS)).astype(float))
+    margins = np.concatenate((rng.normal(0, 0.3, (200, model.code.shape[1])), model.code[:2] * 0.01, np.zeros((1, model.code.shape[1]))))
+    best, score, vague = model.decode(margins)
+    for row, b, s, v in zip(margins, best, score, vague, strict=True):
+        z = [langid.SHARPNESS * m for m in row]
+        weight = [abs(math.tanh(x)) + 1e-6 for x in z]
+        losses = [sum(w / sum(weight) * math.log1p(math.exp(-x * c)) for w, x, c in zip(weight, z, code, strict=True)) for code in model.code]
+        assert losses[b] <= min(losses) + 1e-12
+        near = sorted(losses)
+        assert v == (near[1] - near[0] < langid.AMBIGUOUS) or abs(near[1] - near[0] - langid.AMBIGUOUS) < 1e-9
+        assert abs(s - 1 / sum(math.exp(-(x - min(losses)) * len(z)) for x in losses)) < 1e-9

@@ -35,9 +35,27 @@ def test_run_packs_what_every_stage_kept(spark):
     assert ids == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_run_on_hard_tables(spark, docs_of, hard, tmp_path):
+    """Nulls, empty and repeated rows, long texts, columns with the stages' own names; an empty table."""
+    bench = [(1, "the quick brown fox jumps over the lazy dog near the old river bank today"), (2, None), (None, "")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    fox = bench[0][1]
+    many = [*hard, (50, fox), (51, "Alpha beta gamma delta epsilon zeta"), (52, "ALPHA beta gamma delta epsilon zeta"), (53, " ".join(f"w{i}" for i in range(60))),
+            (54, " ".join(f"w{i}" for i in range(59))), (54, " ".join(f"w{i}" for i in range(59))), (55, None), (56, "12 34")]
+    docs_of(many).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = {r.doc_id for r in P.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
+    # letterless texts, the smaller of equal texts, the larger of near copies and the benchmark's text are gone
+    rows = [(i, t) for i, t in many if any(c.isalpha() for c in t or "")]
+    assert not {1, 2, 3, 4, 50, 51, 54, 55, 56} & ids and {None, 5, 6, 7, 8, 9, 52, 53} <= ids and len(rows) > len(ids)
+    empty = tmp_path / "empty"
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(empty / "benchmark.parquet"))
+    docs_of([]).write.parquet(str(empty / "documents.parquet"))
+    assert P.run(spark, str(empty)).count() == 0
+
+
 def test_every_operator_is_registered():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
 
 
 def test_entry_imports_without_the_subpackage(tmp_path):
