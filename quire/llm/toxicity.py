@@ -77,8 +77,8 @@ def grams(parts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
 class Table:
     """64-bit keys to numbers: one slot each by a hash, the few keys that share a slot in a sorted list."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(10, int(np.ceil(np.log2(max(len(keys), 1)))) + 2)
+    def __init__(self, keys: np.ndarray, values: np.ndarray, spare: int = 2):
+        self.bits = max(10, int(np.ceil(np.log2(max(len(keys), 1)))) + spare)
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.values = np.zeros(1 << self.bits, np.float32)
         self.filled = np.zeros(1 << self.bits, np.int8)  # 0 empty, 1 one key, 2 more in the list
@@ -166,7 +166,7 @@ class Phrases:
         seen, kinds = np.bincount(inverse, both, len(context))[inverse], np.bincount(inverse, minlength=len(context))[inverse]
         shared = np.maximum(both - DISCOUNT, 0) / np.maximum(seen, 1) + np.minimum(1.0, DISCOUNT * kinds / np.maximum(seen, 1)) * shared
         logs, spare = class_logs(inverse, len(context), toxic, ordinary, shared)
-        self.by_pair, self.by_word = Table(pair, logs[0] - logs[1]), Table(context, spare[0] - spare[1])
+        self.by_pair, self.by_word = Table(pair, logs[0] - logs[1], spare=1), Table(context, spare[0] - spare[1])
 
     def ratios(self, h: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
         out, known = self.by_pair.get(key)
@@ -300,13 +300,16 @@ class TextModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def spelled(words: list[bytes], model: Model) -> np.ndarray:
+def spelled(words: list[bytes], model: Model, at_once: int = 20_000) -> np.ndarray:
     """Probability of each word's spelling, and of its end, in the shared backoff."""
-    buf, ends, code = grams(words, model.order)
-    value, known = Table(model.gram, model.log_shared).get(code)
-    run = np.concatenate(([0.0], np.cumsum(np.where(known, value, UNKNOWN), dtype=np.float64)))
-    first = ends - 1 - np.array([len(w) for w in words], np.int64)
-    return np.exp(np.clip(run[ends] - run[first], -60, -1))
+    table, out = Table(model.gram, model.log_shared), []
+    for k in range(0, len(words), at_once):
+        some = words[k:k + at_once]
+        _, ends, code = grams(some, model.order)
+        value, known = table.get(code)
+        run = np.concatenate(([0.0], np.cumsum(np.where(known, value, UNKNOWN), dtype=np.float64)))
+        out.append(np.exp(np.clip(run[ends] - run[ends - 1 - np.array([len(w) for w in some], np.int64)], -60, -1)))
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def _pick(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -382,11 +385,17 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int =
     if counts.empty or not counts["toxic"].any() or not counts["ordinary"].any():
         return None
     spelling = Model(counts["gram"].to_numpy().view(np.uint64), counts["toxic"].to_numpy(), counts["ordinary"].to_numpy(), *shared, order, shorter=shorter)
-    pairs = (rows.filter("part = 'count'").select("label", "text").mapInArrow(tidy(count_pairs), PAIRS).groupBy("pair").agg(
-        F.min("first").alias("first"), F.min("word").alias("word"), *[F.sum(c).alias(c) for c in ("toxic", "ordinary", "texts")]).filter(F.col("texts") >= MIN_TEXTS).toPandas())
-    pairs = pairs.sort_values("pair")
-    phrases = Phrases(pairs["pair"].to_numpy().astype(np.int64).view(np.uint64), pairs["first"].to_numpy().astype(np.int64).view(np.uint64), pairs["toxic"].to_numpy().astype(np.int64),
-                      pairs["ordinary"].to_numpy().astype(np.int64), spelled([bytes(w) for w in pairs["word"]], spelling))
+    pairs = rows.filter("part = 'count'").select("label", "text").mapInArrow(tidy(count_pairs), PAIRS).groupBy("pair").agg(
+        *[F.min(c).alias(c) for c in ("first", "second", "word")], *[F.sum(c).alias(c) for c in ("toxic", "ordinary", "texts")])
+    pairs = stored(pairs.filter(F.col("texts") >= MIN_TEXTS), "op4-pairs")
+    # numbers and the vocabulary come back apart: each word once, not once a pair
+    words = pairs.groupBy("second").agg(F.min("word").alias("word")).orderBy("second").toPandas()
+    words = words["second"].to_numpy().astype(np.int64), spelled([bytes(w) for w in words["word"]], spelling)
+    spelling.gram = spelling.log_shared = None  # not needed any more
+    found = pairs.drop("word", "texts").toPandas().sort_values("pair")
+    key, first, second, toxic, ordinary = (found[c].to_numpy().astype(np.int64) for c in ("pair", "first", "second", "toxic", "ordinary"))
+    del found
+    phrases = Phrases(key.view(np.uint64), first.view(np.uint64), toxic, ordinary, words[1][np.searchsorted(words[0], second)] if len(second) else np.zeros(0))
     model = TextModel(spelling, phrases)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     signs = ["a", "b", "c", "d", "e"]
@@ -405,7 +414,7 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int =
     return model
 
 
-PAIRS = "pair long, first long, word binary, toxic long, ordinary long, texts long"
+PAIRS = "pair long, first long, second long, word binary, toxic long, ordinary long, texts long"
 
 
 def count_pairs(batches):
@@ -426,7 +435,7 @@ def count_pairs(batches):
                 _, texts_of_pair = np.unique(key[order][new], return_counts=True)
                 text = buf.tobytes()
                 words = [text[a[p]:b[p]].translate(TABLE) for p in place[index]]
-                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(h[place[index] - 1].view(np.int64)), pa.array(words, pa.binary()), pa.array(n * (value == 1), pa.int64()),
+                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(h[place[index] - 1].view(np.int64)), pa.array(h[place[index]].view(np.int64)), pa.array(words, pa.binary()), pa.array(n * (value == 1), pa.int64()),
                                                   pa.array(n * (value == 0), pa.int64()), pa.array(texts_of_pair.astype(np.int64))], names=[f.split()[0] for f in PAIRS.split(", ")])
 
 
