@@ -1,8 +1,10 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the benchmark's word windows.
+"""Benchmark decontamination: one Aho-Corasick automaton over the benchmark's words.
 
-Items and documents are normalised alike (A-Z lower-cased, words joined by single spaces). Every
-window of 13 consecutive words of an item, or the whole item if it has fewer, is a pattern. A
-document is scanned once; a match gives word numbers, and these give offsets in the original text.
+Items and documents are normalised alike (A-Z lower-cased, words joined by single spaces). A window is 13 consecutive words of an item, or the
+whole item if it has fewer. Every window of 13 words holds one of the item's blocks of 7 words that begin at words 0, 7, 14, ..., so the blocks
+are the automaton's patterns, which has about as many nodes as the benchmark has characters; whole shorter items are patterns too. A
+document is scanned once; where a block occurs, the windows around it are looked up in a table of all windows, which keeps exactly the
+true ones. Word numbers give offsets in the original text.
 There is no shuffle: documents are judged where they are read.
 
 The benchmark is the one side that is sent to every task, so its size is measured first: it goes out in parts of about ``PART_BYTES``, usually
@@ -31,7 +33,7 @@ AUTOMATON_CHARS = 2_000_000
 RESULT = ("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
           "items array<string>, hit_spans array<struct<start:int,end:int>>")
 
-_CACHE: dict[str, list] = {}
+_CACHE: dict[str, tuple] = {}
 
 
 def windows(words: list[bytes], n: int) -> list[str]:
@@ -40,35 +42,54 @@ def windows(words: list[bytes], n: int) -> list[str]:
     return [line_of(words[i:i + n]) for i in range(max(1, len(words) - n + 1))]
 
 
-def _automata(items: list[tuple[str, str]], n: int, chars: int):
-    """Automata over disjoint sets of windows; a value is (words in the window, its items)."""
-    owners: dict[str, tuple[int, set[str]]] = {}
+def _index(items: list[tuple[str, str]], n: int, chars: int) -> tuple[dict[str, set[str]], list]:
+    """The items of every window, and automata over disjoint sets of patterns; a value is (words, whether a block, whether a whole item)."""
+    owners: dict[str, set[str]] = {}
+    patterns: dict[str, tuple[int, bool, bool]] = {}
+    block = (n + 1) // 2
     for item_id, text in items:
         words = words_of(text)
         for w in windows(words, n):
-            owners.setdefault(w, (min(n, len(words)), set()))[1].add(item_id)
+            owners.setdefault(w, set()).add(item_id)
+        if len(words) >= n:
+            for i in range(0, len(words) - block + 1, block):
+                key = line_of(words[i:i + block])
+                patterns[key] = (block, True, patterns.get(key, (0, False, False))[2])
+        elif words:
+            key = line_of(words)
+            patterns[key] = (len(words), patterns.get(key, (0, False, False))[1], True)
     out, part, size = [], {}, 0
-    for w, value in owners.items():
+    for w, value in patterns.items():
         part[w] = value
         size += len(w)
         if size >= chars:
             out.append(automaton(part))
             part, size = {}, 0
-    return out + [automaton(part)] if part else out
+    return owners, out + [automaton(part)] if part else out
 
 
-def _found(words: list[bytes], automata: list) -> tuple[list[tuple[int, int]], set[str]]:
+def _found(words: list[bytes], index: tuple[dict[str, set[str]], list], n: int) -> tuple[list[tuple[int, int]], set[str]]:
     """Runs of hit words (end exclusive) and the items of the windows that occur."""
+    owners, automata = index
     line = line_of(words)
-    found, items = [], set()
-    for a in automata:
-        for end, (length, owners) in a.iter(line):
-            found.append((end, length))
-            items |= owners
-    if not found:
-        return [], items
-    ends = starts_in(line, [e for e, _ in found])  # the space after a window opens word number ``end``
-    return _joined([(int(e) - k, int(e)) for e, (_, k) in zip(ends, found, strict=True)], len(words)), items
+    places = [(end, value) for a in automata for end, value in a.iter(line)]
+    if not places:
+        return [], set()
+    runs, items, tried = [], set(), set()
+    for end, (_, (k, block, whole)) in zip(starts_in(line, [e for e, _ in places]).tolist(), places, strict=True):  # the space after a pattern opens word number ``end``
+        at = end - k
+        if whole:
+            runs.append((at, end))
+            items |= owners[line_of(words[at:end])]
+        if block:
+            for i in range(max(0, end - n), min(at, len(words) - n) + 1):
+                if i not in tried:
+                    tried.add(i)
+                    mine = owners.get(line_of(words[i:i + n]))
+                    if mine:
+                        runs.append((i, i + n))
+                        items |= mine
+    return (_joined(runs, len(words)) if runs else []), items
 
 
 def _joined(runs: list[tuple[int, int]], n_words: int) -> list[tuple[int, int]]:
@@ -113,8 +134,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         def run(batches):
             if key not in _CACHE:
                 _CACHE.clear()
-                _CACHE[key] = _automata(shared.value, window, automaton_chars)
-            automata = _CACHE[key]
+                _CACHE[key] = _index(shared.value, window, automaton_chars)
+            index = _CACHE[key]
             for batch in batches:
                 texts = texts_of(batch.column(0).field(text_col) if boxed else batch.column(1))
                 n = batch.num_rows
@@ -122,7 +143,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 rows = []
                 for text, runs, items in zip(texts, *carried, strict=True):
                     words = words_of(text)
-                    more, owners = _found(words, automata)
+                    more, owners = _found(words, index, window)
                     runs = _joined([(r["a"], r["b"]) for r in runs] + more, len(words)) if runs else more
                     items = owners.union(items)
                     rows.append(_verdict(text, len(words), runs, items) if last else ([{"a": a, "b": b} for a, b in runs], sorted(items)))

@@ -125,3 +125,16 @@ def test_or_is_freer_and_and_is_stricter():
     assert evaluate("MIT OR GPL-3.0")[1] == 0.9 and evaluate("MIT AND GPL-3.0")[1] == 0.4
     assert evaluate("GPL-2.0 WITH Classpath-exception-2.0") == ({"gpl-2.0"}, 0.6)
     assert evaluate("") == (set(), None)
+
+
+def test_repeated_words_and_block_edges(docs_of, spark):
+    """Items of one repeated word, items one word longer than a window, blocks that are whole shorter items, parts of windows."""
+    rng = random.Random(12)
+    items = [(1, "a " * 40), (2, " ".join(f"w{i}" for i in range(14))), (3, " ".join(f"w{i}" for i in range(7))), (4, " ".join(f"v{i}" for i in range(40))), (5, "a a a a a a a")]
+    w, v = [f"w{i}" for i in range(14)], [f"v{i}" for i in range(40)]
+    rows = [(1, "a " * 3000), (2, "a " * 12), (3, "a " * 13), (4, " ".join(w[1:])), (5, " ".join(w[:13])), (6, " ".join(w[2:])), (7, "x " + " ".join(w[:7]) + " x"), (8, " ".join(v[5:18])), (9, " ".join(v[5:17]))]
+    rows += [(10 + k, " ".join(rng.choice([w, v])[a:a + rng.randrange(5, 30)][j] for a in [rng.randrange(10)] for j in range(5))) for k in range(20)]
+    rows += [(40 + k, " ".join(v[a:a + 12 + k % 4] + ["no"] + v[a + 14:a + 30])) for k, a in enumerate(range(0, 20))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    out = mark_contamination(docs_of(rows), table).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted(str(tuple(r)) for r in out.collect()) == brute_contamination(rows, items)
