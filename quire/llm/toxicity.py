@@ -157,16 +157,10 @@ def pairs_of(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Phrases:
-    """Log ratios of the two classes for a word after another: class counts of word pairs, backing off to those of both classes and these
-    to the words' spelling."""
+    """Log ratios of the two classes for a word after another, by pair, and by first word for pairs that no class has seen (``pair_ratios``)."""
 
-    def __init__(self, pair: np.ndarray, first: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, shared: np.ndarray):
-        context, inverse = np.unique(first, return_inverse=True)
-        both = toxic + ordinary  # what both classes share stands between a class's own counts and the spelling
-        seen, kinds = np.bincount(inverse, both, len(context))[inverse], np.bincount(inverse, minlength=len(context))[inverse]
-        shared = np.maximum(both - DISCOUNT, 0) / np.maximum(seen, 1) + np.minimum(1.0, DISCOUNT * kinds / np.maximum(seen, 1)) * shared
-        logs, spare = class_logs(inverse, len(context), toxic, ordinary, shared)
-        self.by_pair, self.by_word = Table(pair, logs[0] - logs[1], spare=1), Table(context, spare[0] - spare[1])
+    def __init__(self, pair: np.ndarray, ratio: np.ndarray, first: np.ndarray, spare: np.ndarray):
+        self.by_pair, self.by_word = Table(pair, ratio, spare=1), Table(first, spare)
 
     def ratios(self, h: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
         out, known = self.by_pair.get(key)
@@ -300,16 +294,14 @@ class TextModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def spelled(words: list[bytes], model: Model, at_once: int = 20_000) -> np.ndarray:
-    """Probability of each word's spelling, and of its end, in the shared backoff."""
-    table, out = Table(model.gram, model.log_shared), []
-    for k in range(0, len(words), at_once):
-        some = words[k:k + at_once]
-        _, ends, code = grams(some, model.order)
-        value, known = table.get(code)
-        run = np.concatenate(([0.0], np.cumsum(np.where(known, value, UNKNOWN), dtype=np.float64)))
-        out.append(np.exp(np.clip(run[ends] - run[ends - 1 - np.array([len(w) for w in some], np.int64)], -60, -1)))
-    return np.concatenate(out) if out else np.zeros(0)
+def spelled(words: list[bytes], table: Table, order: int) -> np.ndarray:
+    """Probability of each word's spelling, and of its end, in the shared backoff (``table``: log probabilities by gram)."""
+    if not words:
+        return np.zeros(0)
+    _, ends, code = grams(words, order)
+    value, known = table.get(code)
+    run = np.concatenate(([0.0], np.cumsum(np.where(known, value, UNKNOWN), dtype=np.float64)))
+    return np.exp(np.clip(run[ends] - run[ends - 1 - np.array([len(w) for w in words], np.int64)], -60, -1))
 
 
 def _pick(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -385,17 +377,13 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int =
     if counts.empty or not counts["toxic"].any() or not counts["ordinary"].any():
         return None
     spelling = Model(counts["gram"].to_numpy().view(np.uint64), counts["toxic"].to_numpy(), counts["ordinary"].to_numpy(), *shared, order, shorter=shorter)
-    pairs = rows.filter("part = 'count'").select("label", "text").mapInArrow(tidy(count_pairs), PAIRS).groupBy("pair").agg(
-        *[F.min(c).alias(c) for c in ("first", "second", "word")], *[F.sum(c).alias(c) for c in ("toxic", "ordinary", "texts")])
-    pairs = stored(pairs.filter(F.col("texts") >= MIN_TEXTS), "op4-pairs")
-    # numbers and the vocabulary come back apart: each word once, not once a pair
-    words = pairs.groupBy("second").agg(F.min("word").alias("word")).orderBy("second").toPandas()
-    words = words["second"].to_numpy().astype(np.int64), spelled([bytes(w) for w in words["word"]], spelling)
+    counts = columns = shared = shorter = None
+    ratios, spares = pair_ratios(stored(spelled_pairs(rows.filter("part = 'count'").select("label", "text"), spelling), "op4-pairs"))
+    ratios, spares = ratios.toPandas(), spares.toPandas()
     spelling.gram = spelling.log_shared = None  # not needed any more
-    found = pairs.drop("word", "texts").toPandas().sort_values("pair")
-    key, first, second, toxic, ordinary = (found[c].to_numpy().astype(np.int64) for c in ("pair", "first", "second", "toxic", "ordinary"))
-    del found
-    phrases = Phrases(key.view(np.uint64), first.view(np.uint64), toxic, ordinary, words[1][np.searchsorted(words[0], second)] if len(second) else np.zeros(0))
+    phrases = Phrases(ratios["pair"].to_numpy().astype(np.int64).view(np.uint64), ratios["ratio"].to_numpy().astype(np.float32),
+                      spares["first"].to_numpy().astype(np.int64).view(np.uint64), spares["spare"].to_numpy().astype(np.float32))
+    ratios = spares = None
     model = TextModel(spelling, phrases)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     signs = ["a", "b", "c", "d", "e"]
@@ -409,12 +397,54 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int =
     held = rows.filter("part = 'calibrate'").select("label", "text").mapInArrow(tidy(features), schema).toPandas()
     if held["label"].nunique() < 2:  # too few rows to set any aside
         held = rows.select("label", "text").mapInArrow(tidy(features), schema).toPandas()
+    sent.unpersist()
     held = held.sort_values(["label", *signs])
     model.calibrate(held[signs].to_numpy(), (held["label"] == 1).to_numpy().astype(float))
     return model
 
 
-PAIRS = "pair long, first long, second long, word binary, toxic long, ordinary long, texts long"
+PAIRS = "pair long, first long, word binary, toxic long, ordinary long, texts long"
+
+
+def spelled_pairs(labelled: DataFrame, spelling: Model) -> DataFrame:
+    """``pair, first, toxic, ordinary, spelled``: counts of the word pairs of at least ``MIN_TEXTS`` texts of ``labelled`` (``label, text``), and the
+    probability of the second word's spelling."""
+    pairs = labelled.mapInArrow(tidy(count_pairs), PAIRS).groupBy("pair").agg(
+        *[F.min(c).alias(c) for c in ("first", "word")], *[F.sum(c).alias(c) for c in ("toxic", "ordinary", "texts")]).filter(F.col("texts") >= MIN_TEXTS)
+    sent = labelled.sparkSession.sparkContext.broadcast((spelling.gram, spelling.log_shared, spelling.order))
+
+    def spell(batches):
+        table = None
+        for batch in batches:
+            gram, log_shared, order = sent.value
+            table = table or Table(gram, log_shared)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(spelled(batch.column(4).to_pylist(), table, order))], names=["pair", "first", "toxic", "ordinary", "spelled"])
+
+    return pairs.select("pair", "first", "toxic", "ordinary", "word").mapInArrow(tidy(spell), "pair long, first long, toxic long, ordinary long, spelled double")
+
+
+def pair_ratios(pairs: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
+    """``pair, ratio`` and ``first, spare`` from counts (``pair, first, toxic, ordinary, spelled``): the log ratio of the two classes'
+    Kneser-Ney probabilities of a word after another, and after a first word that of the weights they leave to the shared backoff, which is the
+    same model over both classes' counts, backing off to the spelling."""
+    def kinds(c):
+        return F.count_if(F.col(c) > 0)
+
+    totals = pairs.groupBy("first").agg(*[F.sum(c).alias(f"n_{c}") for c in ("toxic", "ordinary")], *[kinds(c).alias(f"k_{c}") for c in ("toxic", "ordinary")], F.count("*").alias("k"))
+
+    def left(n, k):
+        return F.when(n > 0, F.least(F.lit(1.0), discount * k / n)).otherwise(1.0)
+
+    def own(count, total):
+        return F.greatest(count - discount, F.lit(0.0)) / F.greatest(total, F.lit(1))
+
+    spare = {c: left(F.col(f"n_{c}"), F.col(f"k_{c}")) for c in ("toxic", "ordinary")}
+    every = F.col("n_toxic") + F.col("n_ordinary")
+    shared = own(F.col("toxic") + F.col("ordinary"), every) + left(every, F.col("k")) * F.col("spelled")
+    joined_up = pairs.join(totals, "first").withColumn("shared", shared)
+    p = {c: own(F.col(c), F.col(f"n_{c}")) + spare[c] * F.col("shared") for c in spare}
+    return (joined_up.select("pair", (F.log(p["toxic"]) - F.log(p["ordinary"])).cast("float").alias("ratio")).orderBy("pair"),
+            totals.select("first", (F.log(spare["toxic"]) - F.log(spare["ordinary"])).cast("float").alias("spare")).orderBy("first"))
 
 
 def count_pairs(batches):
@@ -435,7 +465,7 @@ def count_pairs(batches):
                 _, texts_of_pair = np.unique(key[order][new], return_counts=True)
                 text = buf.tobytes()
                 words = [text[a[p]:b[p]].translate(TABLE) for p in place[index]]
-                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(h[place[index] - 1].view(np.int64)), pa.array(h[place[index]].view(np.int64)), pa.array(words, pa.binary()), pa.array(n * (value == 1), pa.int64()),
+                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(h[place[index] - 1].view(np.int64)), pa.array(words, pa.binary()), pa.array(n * (value == 1), pa.int64()),
                                                   pa.array(n * (value == 0), pa.int64()), pa.array(texts_of_pair.astype(np.int64))], names=[f.split()[0] for f in PAIRS.split(", ")])
 
 

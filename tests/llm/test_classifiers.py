@@ -276,7 +276,7 @@ def test_backoff_chain_sums_to_one_and_equals_a_plain_version():
     assert np.allclose([sum(got[256 * k:256 * k + 256]) for k in range(4)], 1)
 
 
-def test_phrase_ratios_equal_a_plain_version():
+def test_phrase_ratios_equal_a_plain_version(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choices(["ab", "cd", "ef", "gh"], k=rng.randrange(0, 9))).encode() for _ in range(30)]
     table, words = {}, [t.split() for t in texts]
@@ -287,9 +287,10 @@ def test_phrase_ratios_equal_a_plain_version():
     hashes = {w: toxicity.text_words([w])[0][0] for w in (b"ab", b"cd", b"ef", b"gh")}
     keys = list(table)
     pair = np.array([toxicity.pairs_of(np.array([hashes[u], hashes[v]]), np.array([0, 2]))[0][0] for u, v in keys])
-    n = np.array([table[k] for k in keys])
-    shared = np.full(len(keys), 0.1)
-    model = toxicity.Phrases(pair, np.array([hashes[u] for u, _ in keys]), n[:, 0], n[:, 1], shared)
+    counts = spark.createDataFrame([(int(p.view(np.int64)), int(hashes[u].view(np.int64)), *table[u, v], 0.1) for p, (u, v) in zip(pair, keys, strict=True)],
+                                   "pair long, first long, toxic long, ordinary long, spelled double")
+    ratios, spares = (d.toPandas() for d in toxicity.pair_ratios(counts))
+    model = toxicity.Phrases(*[x.to_numpy().view(np.uint64) if x.dtype == np.int64 else x.to_numpy() for d in (ratios, spares) for x in (d.iloc[:, 0], d.iloc[:, 1])])
 
     def ratio(u, v):
         every, sorts = sum(sum(x) for k, x in table.items() if k[0] == u), sum(k[0] == u for k in table)
