@@ -371,7 +371,8 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int =
     for k in range(order - 1, 0, -1):  # grams of k bytes and their contexts; what comes back is bounded by the sample
         wanted = counted.select(F.shiftright(F.col("gram").bitwiseAND(F.lit(int(LOW_BYTES[k]))), 8).alias("prefix")).distinct()
         columns.append(level.withColumn("prefix", F.shiftright("low", 8)).join(wanted, "prefix", "left_semi").select("low", "contexts").toPandas())
-        level = level.groupBy(F.col("low").bitwiseAND(F.lit(int(LOW_BYTES[k - 1]))).alias("low")).agg(F.count("*").alias("contexts"))
+        if k > 1:
+            level = stored(level.groupBy(F.col("low").bitwiseAND(F.lit(int(LOW_BYTES[k - 1]))).alias("low")).agg(F.count("*").alias("contexts")), "op4-contexts")
     shared, *shorter = [(c["low"].to_numpy().view(np.uint64), c["contexts"].to_numpy()) for c in columns]
     counts = counted.toPandas()
     if counts.empty or not counts["toxic"].any() or not counts["ordinary"].any():
@@ -443,8 +444,8 @@ def pair_ratios(pairs: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame
     shared = own(F.col("toxic") + F.col("ordinary"), every) + left(every, F.col("k")) * F.col("spelled")
     joined_up = pairs.join(totals, "first").withColumn("shared", shared)
     p = {c: own(F.col(c), F.col(f"n_{c}")) + spare[c] * F.col("shared") for c in spare}
-    return (joined_up.select("pair", (F.log(p["toxic"]) - F.log(p["ordinary"])).cast("float").alias("ratio")).orderBy("pair"),
-            totals.select("first", (F.log(spare["toxic"]) - F.log(spare["ordinary"])).cast("float").alias("spare")).orderBy("first"))
+    return (joined_up.select("pair", (F.log(p["toxic"]) - F.log(p["ordinary"])).cast("float").alias("ratio")),
+            totals.select("first", (F.log(spare["toxic"]) - F.log(spare["ordinary"])).cast("float").alias("spare")))
 
 
 def count_pairs(batches):
