@@ -34,6 +34,7 @@ DISCOUNT = 0.75
 SAMPLE_PER_CLASS = 6000
 CALIBRATION_PER_CLASS = 2000
 MIN_TEXTS = 2
+WHOLE = 3  # bytes of the grams whose contexts all come to the driver
 STRETCH = 3  # word pairs of the most telling stretch
 UNKNOWN = -4.0  # log probability of a byte in a gram that the sample lacks
 THRESHOLD = 0.3
@@ -256,24 +257,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def signs_of(spelling: Model, phrases: Phrases, texts: list[bytes]) -> np.ndarray:
+    """texts x 5: two most telling words, whole text by spelling, whole text and best stretch by word pairs."""
+    parts, owner = pieces(texts)
+    whole = np.zeros(len(texts))
+    buf, ends, code = grams(parts, spelling.order)
+    if len(buf):
+        run = np.concatenate(([0.0], np.cumsum(spelling.ratios(code), dtype=np.float64)))
+        begin = np.concatenate(([0], ends[:-1]))
+        letters = np.concatenate(([0], np.cumsum(buf != 32)))
+        sums = np.bincount(owner, run[ends] - run[begin], len(texts))
+        whole = sums / np.maximum(np.bincount(owner, letters[ends] - letters[begin], len(texts)), 1)
+    return np.column_stack((spelling.features(texts), whole, phrases.features(texts)))
+
+
 class TextModel:
     """Both scales and the regression over a text's signs."""
 
     def __init__(self, spelling: Model, phrases: Phrases):
-        self.spelling, self.phrases, self.middle, self.spread, self.slope = spelling, phrases, 0.0, 1.0, None
+        self.spelling, self.phrases, self.middle, self.spread, self.slope, self.sent = spelling, phrases, 0.0, 1.0, None, None
+
+    def send(self, spark):
+        """The tables as a broadcast, made once; the regression's few numbers travel with the tasks."""
+        self.sent = self.sent or spark.sparkContext.broadcast((self.spelling, self.phrases))
+        return self.sent
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """texts x 5: two most telling words, whole text by spelling, whole text and best stretch by word pairs."""
-        parts, owner = pieces(texts)
-        whole = np.zeros(len(texts))
-        buf, ends, code = grams(parts, self.spelling.order)
-        if len(buf):
-            run = np.concatenate(([0.0], np.cumsum(self.spelling.ratios(code), dtype=np.float64)))
-            begin = np.concatenate(([0], ends[:-1]))
-            letters = np.concatenate(([0], np.cumsum(buf != 32)))
-            sums = np.bincount(owner, run[ends] - run[begin], len(texts))
-            whole = sums / np.maximum(np.bincount(owner, letters[ends] - letters[begin], len(texts)), 1)
-        return np.column_stack((self.spelling.features(texts), whole, self.phrases.features(texts)))
+        return signs_of(self.spelling, self.phrases, texts)
 
     def calibrate(self, features: np.ndarray, labels: np.ndarray, strength: float = 1.0) -> None:
         """Ridge logistic regression by Newton steps over standardised signs."""
@@ -290,8 +300,12 @@ class TextModel:
         self.slope = w
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        z = (self.features(texts) - self.middle) / self.spread @ self.slope[:-1] + self.slope[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return score_of(self.features(texts), self.middle, self.spread, self.slope)
+
+
+def score_of(signs: np.ndarray, middle, spread, slope) -> np.ndarray:
+    z = (signs - middle) / spread @ slope[:-1] + slope[-1]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def spelled(words: list[bytes], table: Table, order: int) -> np.ndarray:
@@ -368,12 +382,18 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int =
                .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     counted = stored(counted, "op4-grams")
     level, columns = stored(corpus_contexts(docs, order), "op4-contexts"), []
-    for k in range(order - 1, 0, -1):  # grams of k bytes and their contexts; what comes back is bounded by the sample
+    for k in range(order - 1, WHOLE, -1):  # grams of k bytes and their contexts; what comes back is bounded by the sample
         wanted = counted.select(F.shiftright(F.col("gram").bitwiseAND(F.lit(int(LOW_BYTES[k]))), 8).alias("prefix")).distinct()
         columns.append(level.withColumn("prefix", F.shiftright("low", 8)).join(wanted, "prefix", "left_semi").select("low", "contexts").toPandas())
-        if k > 1:
-            level = stored(level.groupBy(F.col("low").bitwiseAND(F.lit(int(LOW_BYTES[k - 1]))).alias("low")).agg(F.count("*").alias("contexts")), "op4-contexts")
+        level = level.groupBy(F.col("low").bitwiseAND(F.lit(int(LOW_BYTES[k - 1]))).alias("low")).agg(F.count("*").alias("contexts"))
+        level = stored(level, "op4-contexts") if k - 1 > WHOLE else level
     shared, *shorter = [(c["low"].to_numpy().view(np.uint64), c["contexts"].to_numpy()) for c in columns]
+    # grams of WHOLE bytes are few (155 different folded bytes), so all of them come back, and the shorter ones follow from them
+    few = level.toPandas()
+    shorter.append((few["low"].to_numpy().view(np.uint64), few["contexts"].to_numpy()))
+    for k in range(WHOLE - 1, 0, -1):
+        shorter.append(np.unique(shorter[-1][0] & LOW_BYTES[k], return_counts=True))
+    columns = few = None
     counts = counted.toPandas()
     if counts.empty or not counts["toxic"].any() or not counts["ordinary"].any():
         return None
@@ -386,19 +406,18 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int =
                       spares["first"].to_numpy().astype(np.int64).view(np.uint64), spares["spare"].to_numpy().astype(np.float32))
     ratios = spares = None
     model = TextModel(spelling, phrases)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = model.send(docs.sparkSession)
     signs = ["a", "b", "c", "d", "e"]
 
     def features(batches):
         for batch in batches:
-            x = np.concatenate([sent.value.features(t) for _, t in byte_groups(batch.column(1))] or [np.zeros((0, len(signs)))])
+            x = np.concatenate([signs_of(*sent.value, t) for _, t in byte_groups(batch.column(1))] or [np.zeros((0, len(signs)))])
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, k]) for k in range(len(signs))]], names=["label", *signs])
 
     schema = "label int, " + ", ".join(f"{c} double" for c in signs)
     held = rows.filter("part = 'calibrate'").select("label", "text").mapInArrow(tidy(features), schema).toPandas()
     if held["label"].nunique() < 2:  # too few rows to set any aside
         held = rows.select("label", "text").mapInArrow(tidy(features), schema).toPandas()
-    sent.unpersist()
     held = held.sort_values(["label", *signs])
     model.calibrate(held[signs].to_numpy(), (held["label"] == 1).to_numpy().astype(float))
     return model
@@ -472,12 +491,12 @@ def count_pairs(batches):
 
 def score(docs: DataFrame, model: TextModel | None, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted`` of each row; without a model every score is 0."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = model.send(docs.sparkSession) if model else None
+    numbers = (model.middle, model.spread, model.slope) if model else ()
 
     def run(batches):
         for batch in batches:
-            m = sent.value
-            s = [m.scores(t) if m else np.zeros(len(t)) for _, t in byte_groups(batch.column(1))]
+            s = [score_of(signs_of(*sent.value, t), *numbers) if sent else np.zeros(len(t)) for _, t in byte_groups(batch.column(1))]
             s = np.concatenate(s or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                                              names=["doc_id", "score", "predicted"])
