@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytegroups import GROUP_BYTES, byte_groups, joined, tidy
-from quire.llm.common import crc_mod, sampled_ids, stored
+from quire.llm.common import columns_of, crc_mod, sampled_ids, stored
 from quire.llm.langid import FOLD
 from quire.llm.wordhash import _slices, mix, words_in
 from quire.llm.wordscan import TABLE
@@ -384,27 +384,23 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int =
     level, columns = stored(corpus_contexts(docs, order), "op4-contexts"), []
     for k in range(order - 1, WHOLE, -1):  # grams of k bytes and their contexts; what comes back is bounded by the sample
         wanted = counted.select(F.shiftright(F.col("gram").bitwiseAND(F.lit(int(LOW_BYTES[k]))), 8).alias("prefix")).distinct()
-        columns.append(level.withColumn("prefix", F.shiftright("low", 8)).join(wanted, "prefix", "left_semi").select("low", "contexts").toPandas())
+        columns.append(columns_of(level.withColumn("prefix", F.shiftright("low", 8)).join(wanted, "prefix", "left_semi").select("low", "contexts")))
         level = level.groupBy(F.col("low").bitwiseAND(F.lit(int(LOW_BYTES[k - 1]))).alias("low")).agg(F.count("*").alias("contexts"))
         level = stored(level, "op4-contexts") if k - 1 > WHOLE else level
-    shared, *shorter = [(c["low"].to_numpy().view(np.uint64), c["contexts"].to_numpy()) for c in columns]
+    shared, *shorter = [(low.view(np.uint64), contexts) for low, contexts in columns]
     # grams of WHOLE bytes are few (155 different folded bytes), so all of them come back, and the shorter ones follow from them
-    few = level.toPandas()
-    shorter.append((few["low"].to_numpy().view(np.uint64), few["contexts"].to_numpy()))
+    low, contexts = columns_of(level.select("low", "contexts"))
+    shorter.append((low.view(np.uint64), contexts))
     for k in range(WHOLE - 1, 0, -1):
         shorter.append(np.unique(shorter[-1][0] & LOW_BYTES[k], return_counts=True))
-    columns = few = None
-    counts = counted.toPandas()
-    if counts.empty or not counts["toxic"].any() or not counts["ordinary"].any():
+    gram, toxic, ordinary = columns_of(counted.select("gram", "toxic", "ordinary"))
+    if not toxic.any() or not ordinary.any():
         return None
-    spelling = Model(counts["gram"].to_numpy().view(np.uint64), counts["toxic"].to_numpy(), counts["ordinary"].to_numpy(), *shared, order, shorter=shorter)
-    counts = columns = shared = shorter = None
+    spelling = Model(gram.view(np.uint64), toxic, ordinary, *shared, order, shorter=shorter)
     ratios, spares = pair_ratios(stored(spelled_pairs(rows.filter("part = 'count'").select("label", "text"), spelling), "op4-pairs"))
-    ratios, spares = ratios.toPandas(), spares.toPandas()
+    (pair, ratio), (first, spare) = columns_of(ratios), columns_of(spares)
     spelling.gram = spelling.log_shared = None  # not needed any more
-    phrases = Phrases(ratios["pair"].to_numpy().astype(np.int64).view(np.uint64), ratios["ratio"].to_numpy().astype(np.float32),
-                      spares["first"].to_numpy().astype(np.int64).view(np.uint64), spares["spare"].to_numpy().astype(np.float32))
-    ratios = spares = None
+    phrases = Phrases(pair.view(np.uint64), ratio, first.view(np.uint64), spare)
     model = TextModel(spelling, phrases)
     sent = model.send(docs.sparkSession)
     signs = ["a", "b", "c", "d", "e"]
