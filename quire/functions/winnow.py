@@ -21,8 +21,8 @@ EXACT = 16
 #: Least length, gram and window of the levels above: least = gram + window - 1. Every gram of an item's last window holds all but the last
 #: ``window - 1`` characters of the item's end, so that items which begin alike have keys of their own.
 LEVELS = ((16, 13, 4), (64, 49, 16))
-#: Characters that are hashed at a time; longer texts are taken in overlapping pieces.
-PIECE = 1 << 19
+#: Characters that are hashed at a time, few enough for the arrays to stay in a core's cache; longer texts are taken in overlapping pieces.
+PIECE = 1 << 16
 
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -76,7 +76,7 @@ def _window_least(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def _group_keys(codes: np.ndarray, ends: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, key and second hash of the distinct keys of texts that lie one after the other."""
+    """Text number, key and second hash of the keys of texts that lie one after the other; whole-text grams once a text, keys once a run of windows."""
     k, w = shape(level)
     need = k + w - 1
     if len(codes) < need:
@@ -87,9 +87,8 @@ def _group_keys(codes: np.ndarray, ends: np.ndarray, level: int) -> tuple[np.nda
     whole = np.arange(len(key)) + need <= ends[owner]
     if w > 1:  # a key stays the least of many windows in a row
         whole[1:] &= (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | ~whole[:-1]
-        second = np.zeros_like(key)
-    else:
-        second = _gram_hashes(codes, k, _MULTIPLIERS[1])
+        return owner[whole], key[whole], np.zeros(int(whole.sum()), np.uint64)
+    second = _gram_hashes(codes, k, _MULTIPLIERS[1])
     owner, key, second = owner[whole], key[whole], second[whole]
     order = np.lexsort((key, owner))
     owner, key, second = owner[order], key[order], second[order]
@@ -146,7 +145,7 @@ def _keys(df: DataFrame, id_col: str, text: str, levels: Sequence[int] | None, o
 
 
 def document_keys(docs: DataFrame, id_col: str, text: str, levels: Sequence[int]) -> DataFrame:
-    """``id, level, key, key2``: keys of every text on all ``levels`` (repeated ones at most once a piece of a text). Null has none."""
+    """``id, level, key, key2``: keys of every text on all ``levels``, some of them repeated. Null has none."""
     return _keys(docs, id_col, text, list(levels), None)
 
 
