@@ -11,6 +11,9 @@ spelled out code point by code point (``RE2`` below).
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -132,7 +135,20 @@ def token_offsets_batch(col) -> Column:
     return _token_starts(_c(col))
 
 
-OFFSET_CHARS = 1 << 20  # characters looked at together; a longer text is taken alone
+OFFSET_CHARS = 1 << 18  # characters looked at together; a longer text is taken alone
+GROUP_BYTES = 1 << 20
+
+
+def text_groups(texts: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of runs of rows with at most ``limit`` bytes of text; a longer text comes alone. A worker that turns one run after the
+    other into Python objects holds few of them, however many rows an Arrow batch has."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield first, last - first
+        first = last
 
 
 def _is_space() -> np.ndarray:
@@ -160,14 +176,8 @@ def _start_offsets(texts: pa.Array) -> pa.Array:
         sizes.append(np.diff(bounds))
         group.clear()
 
-    held = 0
-    for t in texts.to_pylist():
-        group.append(t or "")
-        held += len(group[-1])
-        if held >= OFFSET_CHARS:
-            flush()
-            held = 0
-    if group:
+    for first, n in text_groups(texts, OFFSET_CHARS):
+        group.extend(t or "" for t in texts.slice(first, n).to_pylist())
         flush()
     offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)) if sizes else [])).astype(np.int32)
     flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32())
@@ -179,12 +189,24 @@ def _make_token_starts():
 
     @arrow_udf("array<int>")
     def token_starts(texts: pa.Array) -> pa.Array:
-        return _start_offsets(texts)
+        try:
+            return _start_offsets(texts)
+        finally:
+            release_unused()
 
     return token_starts
 
 
 class _Lazy:
+def release_unused() -> None:
+    """Give freed memory back to the system: Python workers live on, and what their allocators hoard would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
     fn = None
 
 
