@@ -57,11 +57,9 @@ def entity_spans(spark, sf_dir):
 
 
 def pieces(words: Column, size: int = 4) -> Column:
-    """Sub-word tokens: words cut after every ``size`` characters, the rest marked ``##``."""
-    def cut(w):
-        return F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / size).cast("int")),
-                           lambda k: F.concat(F.when(k > 0, "##").otherwise(""), F.substring(w, k * size + 1, F.lit(size))))
-    return F.flatten(F.transform(words, cut))
+    """Sub-word tokens: words (without blanks) cut after every ``size`` characters, the rest marked ``##``. One regular expression over all words of a row."""
+    cut = F.regexp_replace(F.array_join(words, " "), f"([^ ]{{{size}}})(?=[^ ])", "$1 ##")
+    return F.filter(F.split(cut, " "), lambda t: t != "")  # no words: no tokens
 
 
 PIECES = f"""

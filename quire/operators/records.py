@@ -231,6 +231,7 @@ def one_sequence_per_sentence(docs: DataFrame, doc_id: str, lines: str, max_len:
 
 # Tokens that are never masked.
 UNMASKED = ["[CLS]", "[SEP]", "[PAD]"]
+FIRST_GROUPS = 64  # groups put in order before the rest
 
 
 def whole_word_mask(tokens, seed, key: str, p: float = 0.15, max_predictions: int = 20, mask_token: str = "[MASK]") -> Column:
@@ -248,42 +249,55 @@ def whole_word_mask(tokens, seed, key: str, p: float = 0.15, max_predictions: in
     def plain(t):
         return ~t.isin(*UNMASKED)
 
-    def groups(toks):  # (hash, first token, end, tokens) of each group, in hash order
-        def with_first(first):
-            at = F.concat(F.filter(_indices(toks), lambda i: plain(F.get(toks, i)) & (~F.get(toks, i).startswith("##") | (i == first))), F.array(F.size(toks)))
-
-            def numbered(starts):
-                def group(start, k):
-                    end = F.get(starts, k + 1)
-                    size = F.size(F.filter(F.slice(toks, start + 1, end - start), plain))
-                    return F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), (k + 1).cast("string"))).alias("h"),
-                                    start.alias("a"), end.alias("b"), size.alias("s"))
-                return F.array_sort(F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), group))
-            return let(at, numbered)
-        return let(F.array_min(F.filter(_indices(toks), lambda i: plain(F.get(toks, i)))), with_first)
-
-    def picked(order, budget):
-        empty = F.array().cast("array<struct<a:int,b:int>>")
-        return F.aggregate(order, F.struct(empty.alias("gs"), F.lit(0).alias("n")),
-                           lambda acc, z: F.when(acc["n"] + z["s"] <= budget,
-                                                 F.struct(F.concat(acc["gs"], F.array(F.struct(z["a"].alias("a"), z["b"].alias("b")))).alias("gs"), (acc["n"] + z["s"]).alias("n")))
-                           .otherwise(acc), lambda acc: acc["gs"])
+    def group_starts(toks):  # the first token of each group, and the end
+        return let(F.filter(_indices(toks), lambda i: plain(F.get(toks, i))), lambda at: let(F.get(at, 0), lambda first: F.concat(
+            F.filter(at, lambda i: ~F.get(toks, i).startswith("##") | (i == first)), F.array(F.size(toks)))))
+
+    def picked(toks, starts, budget):
+        number = F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), lambda a, k: k)
+        prefix = F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.lit(""))
+        hashes = let(prefix, lambda before: F.transform(number, lambda k: F.md5(F.concat(before, (k + 1).cast("string")))))
+
+        def in_order(hs, which):  # (hash, first token, end, tokens) of some groups, in hash order
+            def group(k):
+                start, end = F.get(starts, k), F.get(starts, k + 1)
+                size = F.when(end - start == 1, 1).otherwise(F.size(F.filter(F.slice(toks, start + 1, end - start), plain)))
+                return F.struct(F.get(hs, k).alias("h"), start.alias("a"), end.alias("b"), size.alias("s"))
+            return F.sort_array(F.transform(F.filter(number, lambda k: which(F.get(hs, k))), group))  # array_sort would interpret a comparator
+
+        def some(groups, start):  # every step copies what was chosen so far
+            return F.aggregate(groups, start, lambda acc, z: F.when(acc["n"] + z["s"] <= budget, F.struct(
+                F.concat(acc["gs"], F.array(F.struct(z["a"].alias("a"), z["b"].alias("b")))).alias("gs"), (acc["n"] + z["s"]).alias("n"))).otherwise(acc))
+
+        def chosen(hs, last):  # the first groups in hash order, and the rest only where they do not fill the budget
+            none = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("gs"), F.lit(0).alias("n"))
+            return let(some(in_order(hs, lambda h: last.isNull() | (h <= last)), none), lambda got: F.when(
+                (got["n"] >= budget) | last.isNull(), got["gs"]).otherwise(some(in_order(hs, lambda h: h > last), got)["gs"]))
+        return let(hashes, lambda hs: let(F.get(F.sort_array(hs), FIRST_GROUPS - 1), lambda last: chosen(hs, last)))
 
     def masked(toks, chosen):
         n = F.size(toks)
+        places = F.array_sort(F.flatten(F.transform(chosen, lambda g: F.filter(F.sequence(g["a"], g["b"] - 1), lambda i: plain(F.get(toks, i))))))
+
+        def drawn(i):
+            return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}m"), F.col(key).cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") % 10
+
+        def new(i):
+            return let(drawn(i), lambda u: F.when(u < 8, F.lit(mask_token)).when(u < 9, F.get(toks, i)).otherwise(F.get(toks, ((u * 7919 + i) % n).cast("int"))))
+
+        def rebuilt(hits):  # stretches between chosen tokens are copied whole
+            after = lambda k: F.when(k > 0, F.get(hits, k - 1) + 1).otherwise(0)
+            rest = let(F.coalesce(F.get(hits, F.size(hits) - 1) + 1, F.lit(0)), lambda a: F.struct(
+                F.slice(toks, a + 1, n - a).alias("t"), F.array_repeat(F.lit(""), n - a).alias("l")))
+            tokens = F.transform(hits, lambda i, k: F.concat(F.slice(toks, after(k) + 1, i - after(k)), F.array(new(i))))
+            labels = F.transform(hits, lambda i, k: F.concat(F.array_repeat(F.lit(""), i - after(k)), F.array(F.get(toks, i))))
+            return let(rest, lambda r: F.struct(F.concat(F.flatten(tokens), r["t"]).alias("tokens"), F.concat(F.flatten(labels), r["l"]).alias("labels")))
 
-        def one(t, i):
-            u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}m"), F.col(key).cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") % 10
-            repl = F.get(toks, ((u * 7919 + i) % n).cast("int"))
-            new = F.when(u < 8, F.lit(mask_token)).when(u < 9, t).otherwise(repl)
-            hit = plain(t) & F.exists(chosen, lambda g: (g["a"] <= i) & (i < g["b"]))
-            return F.struct(F.when(hit, new).otherwise(t).alias("t"), F.when(hit, t).otherwise(F.lit("")).alias("l"))
-        return let(F.transform(toks, one), lambda out: F.struct(F.transform(out, lambda s: s["t"]).alias("tokens"),
-                                                                F.transform(out, lambda s: s["l"]).alias("labels")))
+        return let(places, rebuilt)
 
     def run(toks):
         budget = F.least(F.greatest(F.lit(1), F.bround(F.size(toks) * p)).cast("int"), F.lit(max_predictions))
-        return let(picked(groups(toks), budget), lambda chosen: masked(toks, chosen))
+        return let(let(group_starts(toks), lambda starts: picked(toks, starts, budget)), lambda chosen: masked(toks, chosen))
 
     return let(_c(tokens), run)
 

@@ -39,3 +39,33 @@ def test_text_groups():
     texts = pa.array(["a" * 10, None, "", "b" * 50, "c" * 9, "d" * 9, "é" * 5])
     assert list(T.text_groups(texts, 20)) == [(0, 3), (3, 1), (4, 2), (6, 1)]
     assert list(T.text_groups(pa.array([], pa.string()), 20)) == []
+
+
+def masked(toks, seed, key, most=20):
+    """whole_word_mask, in plain Python."""
+    groups = []
+    for i, t in enumerate(toks):
+        if t in records.UNMASKED:
+            continue
+        if not t.startswith("##") or not groups:
+            groups.append([])
+        groups[-1].append(i)
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    budget, n, hit = min(max(1, round(len(toks) * 0.15)), most), 0, set()
+    for _, g in sorted((md5(f"{seed}:{key}:{k}"), g) for k, g in enumerate(groups, 1)):
+        if n + len(g) <= budget:
+            n += len(g)
+            hit |= set(g)
+    u = {i: int(md5(f"{seed}m:{key}:{i}")[:8], 16) % 10 for i in hit}
+    new = [t if i not in hit or u[i] == 8 else "[MASK]" if u[i] < 8 else toks[(u[i] * 7919 + i) % len(toks)] for i, t in enumerate(toks)]
+    return new, [t if i in hit else "" for i, t in enumerate(toks)]
+
+
+def test_masks_look_at_chosen_tokens_only(spark):
+    rows = [(1, ["[CLS]", "##a", "b", "##c", "[SEP]"]), (2, []), (3, ["[CLS]", "[SEP]"]), (4, ["[CLS]", *(f"w{i // 3}" if i % 3 == 0 else "##x" for i in range(900)), "[SEP]"]),
+            (5, ["[CLS]", *("w" if i % 40 == 0 else "##x" for i in range(6000)), "s", "[SEP]"]), (6, [f"v{i}" for i in range(500)])]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    m = df.select("id", records.whole_word_mask("t", 5, "id").alias("m"))
+    assert "exists(" not in plan(m)
+    for r in m.collect():
+        assert (r.m.tokens, r.m.labels) == masked(dict(rows)[r.id], 5, r.id)
