@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.catalog import sqlbits as S
+from quire.catalog.files_q import folder
 from quire.catalog.registry import register
 from quire.functions import labels as L
 from quire.functions import text as T
@@ -170,7 +171,9 @@ VECTOR = ", ".join(f"({S.seeded_hash(42 + k, 'word')} % 1000) / 1000.0::DOUBLE"
 def vocabulary_vectors(spark, sf_dir):
     """The trimmed, re-indexed vocabulary of all documents with word vectors; special tokens and words without one have the mean."""
     d = table(spark, sf_dir, "documents").select(T.word_tokens(F.col("text")).alias("t"))
-    counted = corpus.vocabulary(d, "t")
+    path = folder(spark, "vocabulary")
+    corpus.vocabulary(d, "t").write.parquet(path)  # read four times below: texts are cut once
+    counted = spark.read.schema("word string, n long").parquet(path)
     vectors = counted.filter(seeded_hash(41, "word") % 3 != 0).select("word", F.array(*[(seeded_hash(42 + k, "word") % 1000) / 1000.0 for k in range(3)]).alias("vec"))
     specials = spark.createDataFrame([(s, 0) for s in SPECIALS], "word string, n long")
     vocab = corpus.trim_vocabulary(counted.select("word", F.col("n").cast("long").alias("n")).unionByName(specials), 5, SPECIALS)

@@ -41,6 +41,10 @@ def test_text_groups():
     assert list(T.text_groups(pa.array([], pa.string()), 20)) == []
 
 
+def test_vocabulary_is_counted_once(spark, docs_dir):
+    assert "documents.parquet" not in QUERIES["vocabulary_vectors"](spark, docs_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 def masked(toks, seed, key, most=20):
     """whole_word_mask, in plain Python."""
     groups = []
