@@ -73,3 +73,11 @@ def test_masks_look_at_chosen_tokens_only(spark):
     assert "exists(" not in plan(m)
     for r in m.collect():
         assert (r.m.tokens, r.m.labels) == masked(dict(rows)[r.id], 5, r.id)
+
+
+def test_folds_read_term_counts(spark):
+    rows = [(i, "good fine nice" if i % 2 else "bad poor sad", i % 2) for i in range(24)]
+    d = spark.createDataFrame(rows, "id long, text string, label int")
+    votes = score.train_fold_ensemble(d, d.select("id", "text"), d.select("id", (F.col("id") % 3).cast("int").alias("fold")), n_folds=3, num_features=64)
+    assert "quire-folds" in str(votes.inputFiles())
+    assert {(r.id, r.label) for r in votes.collect()} == {(i, i % 2) for i in range(24)}
