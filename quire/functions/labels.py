@@ -153,15 +153,17 @@ def spans_to_binary(spans) -> Column:
     return F.transform(_c(spans), lambda s: F.when(s["label"].isin(*IGNORED_SPAN_LABELS), 0).otherwise(s["label"].cast("int")))
 
 
-def _tag_runs(tags: Column, fn) -> Column:
-    """``fn(first index, last index)`` of every run of an IOB array: a run goes on while ``I-x`` follows ``B-x`` or ``I-x``. Runs come from their
+def _tag_runs(tags: Column, fn, kept) -> Column:
+    """``fn(first index, last index)`` of every run of an IOB array whose first tag passes ``kept``: a run goes on while ``I-x`` follows ``B-x`` or ``I-x``. Runs come from their
     borders, so the work is linear in the tags."""
     def linked(i):
         t, before = F.get(tags, i), F.get(tags, i - 1)
         return (i > 0) & t.startswith("I-") & (before.startswith("B-") | before.startswith("I-")) & (F.substring(t, 3, 10**6) == F.substring(before, 3, 10**6))
 
     borders = F.concat(F.filter(_indices(tags), lambda i: ~F.coalesce(linked(i), F.lit(False))), F.array(F.size(tags)))
-    return let(borders, lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda first, k: fn(first, F.get(at, k + 1) - 1)))
+    return let(borders, lambda at: F.transform(
+        F.filter(F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda first, k: F.struct(first.alias("a"), (F.get(at, k + 1) - 1).alias("b"))),
+                 lambda r: kept(F.get(tags, r["a"]))), lambda r: fn(r["a"], r["b"])))
 
 
 def iob_to_spans(tags, probs=None, score: str = "next") -> Column:
@@ -174,14 +176,13 @@ def iob_to_spans(tags, probs=None, score: str = "next") -> Column:
         def one(first, last):
             if score == "mean":
                 part = F.slice(pr, first + 1, last - first + 1)
-                prob = F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double")) / (last - first + 1)
+                total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double"))
+                prob = F.when(first == last, F.get(pr, first).cast("double") + 0.0).otherwise(total / (last - first + 1))
             else:
                 prob = F.get(pr, F.least(last + 1, F.size(arr) - 1)).cast("double")
-            return F.struct(F.substring(F.get(arr, first), 3, 10**6).alias("tag"), first.alias("start"), last.alias("end"), prob.alias("prob"),
-                            F.get(arr, first).startswith("B-").alias("opens"))
+            return F.struct(F.substring(F.get(arr, first), 3, 10**6).alias("tag"), first.alias("start"), last.alias("end"), prob.alias("prob"))
 
-        kept = F.filter(_tag_runs(arr, one), lambda e: e["opens"])
-        return F.transform(kept, lambda e: F.struct(*[e[c].alias(c) for c in ("tag", "start", "end", "prob")]))
+        return _tag_runs(arr, one, lambda t: t.startswith("B-"))
 
     given = _c(probs) if probs is not None else None
     return let(_c(tags), lambda arr: let(given if given is not None else F.transform(arr, lambda x: F.lit(1.0)), lambda pr: spans(arr, pr)))
@@ -191,8 +192,8 @@ def lenient_chunks(tags) -> Column:
     """Entity chunks for entity-level scoring (M8): like ``iob_to_spans`` but an ``I-x`` that does
     not continue an open ``x`` starts a new entity. Returns ``array<struct<tag,start,end>>``."""
     def chunks(arr):
-        every = _tag_runs(arr, lambda first, last: F.struct(F.substring(F.get(arr, first), 3, 10**6).alias("tag"), first.alias("start"), last.alias("end")))
-        return F.filter(every, lambda e: F.get(arr, e["start"]).startswith("B-") | F.get(arr, e["start"]).startswith("I-"))
+        return _tag_runs(arr, lambda first, last: F.struct(F.substring(F.get(arr, first), 3, 10**6).alias("tag"), first.alias("start"), last.alias("end")),
+                         lambda t: t.startswith("B-") | t.startswith("I-"))
 
     return let(_c(tags), chunks)
 

@@ -75,6 +75,13 @@ def test_masks_look_at_chosen_tokens_only(spark):
         assert (r.m.tokens, r.m.labels) == masked(dict(rows)[r.id], 5, r.id)
 
 
+def test_dropped_runs_are_not_described(spark):
+    df = spark.createDataFrame([(["O", "I-A", "B-A", "I-A", "I-B", "B-A"], [0.1, 0.2, 0.3, 0.5, 0.6, 0.7])], "t array<string>, p array<double>")
+    s = df.select(L.iob_to_spans("t", "p", score="mean").alias("s"))
+    assert "opens" not in plan(s)
+    assert [tuple(x) for x in s.first().s] == [("A", 2, 3, 0.4), ("A", 5, 5, 0.7)]
+
+
 def test_folds_read_term_counts(spark):
     rows = [(i, "good fine nice" if i % 2 else "bad poor sad", i % 2) for i in range(24)]
     d = spark.createDataFrame(rows, "id long, text string, label int")
