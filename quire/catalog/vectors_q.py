@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.catalog.files_q import folder
 from quire.catalog.registry import register
 from quire.operators import vectors as V
 from quire.sources.tables import table
@@ -104,7 +105,10 @@ def s3e_sentence_embeddings(spark, sf_dir):
 
     slots = ordered_index(emb, ["vec_id"], name="__slot")
     wv = words.join(slots.select("__slot", F.col("embedding").alias("vec")), "__slot").select("word", "vec")
-    model, centroids = V.fit_s3e(counts, wv, k=4, seed=1)
+    fitted, centroids = V.fit_s3e(counts, wv, k=4, seed=1)
+    path = folder(spark, "s3e-model")  # a row a word, joined with the words of all sentences
+    fitted.write.parquet(path)
+    model = spark.read.schema(fitted.schema).parquet(path)
     sents = conv.withColumn("sid", F.col("conv_id") * 1000 + F.col("turn"))
     e = V.s3e_embed(sents, "sid", "toks", model, centroids)
     return e.select("sid", F.transform("embedding", lambda x: F.round(x, R) + 0.0).alias("embedding"))

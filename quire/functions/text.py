@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -197,7 +198,6 @@ def _make_token_starts():
     return token_starts
 
 
-class _Lazy:
 def release_unused() -> None:
     """Give freed memory back to the system: Python workers live on, and what their allocators hoard would add up."""
     pa.default_memory_pool().release_unused()
@@ -207,6 +207,7 @@ def release_unused() -> None:
         pass
 
 
+class _Lazy:
     fn = None
 
 
@@ -231,8 +232,8 @@ def punct_split(col) -> Column:
 
 def lower_words(col) -> Column:
     """Lower-case, split on blanks, then punctuation split of each piece, empties removed."""
-    pieces = F.split(F.lower(_c(col)), " ")
-    return F.filter(F.flatten(F.transform(pieces, punct_split)), lambda t: t != F.lit(""))
+    # one expression over the whole text: a blank is no punctuation and ends a run
+    return F.regexp_extract_all(F.lower(_c(col)), F.lit(r"(\p{P}|[!-/:-@\[-`{-~]|[^ \p{P}!-/:-@\[-`{-~]+)"), 1)
 
 
 # Abbreviations after which a dot ends no sentence (with single letters, as in "J. Smith").

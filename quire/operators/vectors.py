@@ -9,6 +9,8 @@ single-row side. Spark ML is used where a distributed solver exists (PCA, KMeans
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -251,36 +253,49 @@ def s3e_embed(sent_tokens: DataFrame, sent_id: str, tokens: str, model: DataFram
 
     Distinct tokens of a sentence are joined with the model table (vocabulary-sized); the
     sentence's tokens are regrouped (a group is one input sentence) and everything else is
-    in-row array arithmetic against the k x d centroid literal. Tokens without a vector are
+    numpy arithmetic on runs of sentences against the k x d centroids. Tokens without a vector are
     ignored; a sentence without any known token has a NULL embedding. Output: ``sent_id, embedding ARRAY<DOUBLE>``."""
-    k = len(centroids)
     toks = sent_tokens.select(sent_id, F.explode(F.array_distinct(F.col(tokens))).alias("token")).join(model, "token")
-    g = toks.groupBy(sent_id).agg(F.collect_list(F.struct("weight", "cluster", F.col("vec").cast("array<double>").alias("vec"))).alias("t"))
-    cent = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centroids])
-    d = F.size(F.get("t", 0)["vec"])
-    zero = F.array_repeat(F.lit(0.0), d)
-
-    def vadd(a, b):
-        return F.zip_with(a, b, lambda x, y: x + y)
-
-    wmean = F.transform(F.aggregate("t", zero, lambda acc, x: vadd(acc, F.transform(x["vec"], lambda v: v * x["weight"]))),
-                        lambda v: v / F.size("t"))
-    resid = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.aggregate(
-        F.filter("t", lambda x: x["cluster"] == j), zero,
-        lambda acc, x: vadd(acc, F.zip_with(x["vec"], F.get(cent, j), lambda v, c: v * x["weight"] - c))))
-    centered = F.transform(resid, lambda r: F.transform(r, lambda v: v - F.aggregate(r, F.lit(0.0), lambda a, y: a + y) / F.size(r)))
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    # vectors travel as they are stored
+    g = toks.groupBy(sent_id).agg(F.collect_list(F.struct(F.col("weight").cast("double").alias("weight"), F.col("cluster").cast("int").alias("cluster"), "vec")).alias("t"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < batch.num_rows:
+                before = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + SENTENCE_TOKENS, side="right")))
+                part = batch.slice(first, last - first)
+                rows = _s3e_rows(part.column(1), np.asarray(centroids, np.float64))
+                flat = pa.array(rows.ravel(), pa.float64(), mask=np.isnan(rows.ravel()))
+                at = pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, flat)], names=[sent_id, "embedding"])
+                first = last
+
+    known = g.mapInArrow(run, f"`{sent_id}` {g.schema[0].dataType.simpleString()}, embedding array<double>")
+    return sent_tokens.select(sent_id).join(known, sent_id, "left")
 
-    def cov_entry(m, i, j):
-        dotv = F.aggregate(F.zip_with(F.get(m, i), F.get(m, j), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return dotv * (2 ** 0.5) if i != j else dotv
 
-    from quire.functions.labels import let
+SENTENCE_TOKENS = 1 << 14  # tokens looked at together; a longer sentence is taken alone
 
-    cov = let(centered, lambda m: F.array(*[cov_entry(m, i, j) for i, j in pairs]))
-    normed = let(cov, lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y))))
-    known = g.select(sent_id, F.concat(wmean, normed).alias("embedding"))
-    return sent_tokens.select(sent_id).join(known, sent_id, "left")
+
+def _s3e_rows(t, centroids: np.ndarray) -> np.ndarray:
+    """The embeddings of sentences given as lists of (weight, cluster, vec), none of them empty: a row each."""
+    k, d = centroids.shape
+    s, n = t.flatten(), pc.list_value_length(t).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(n) - n
+    cluster = np.asarray(s.field("cluster"))
+    x = np.asarray(s.field("vec").flatten()).astype(np.float64).reshape(len(cluster), d) * np.asarray(s.field("weight"))[:, None]
+    mean = np.add.reduceat(x, starts, axis=0) / n[:, None]
+    resid = np.stack([np.add.reduceat(np.where((cluster == j)[:, None], x - centroids[j], 0.0), starts, axis=0) for j in range(k)], axis=1)
+    centred = resid - resid.sum(axis=2, keepdims=True) / d
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    cov = np.stack([(centred[:, i] * centred[:, j]).sum(axis=1) * (2 ** 0.5 if i != j else 1.0) for i, j in pairs], axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.concatenate([mean, cov / np.sqrt((cov * cov).sum(axis=1, keepdims=True))], axis=1)
 
 
 def vocab_vectors(vocab: DataFrame, vectors: DataFrame, specials=("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")) -> DataFrame:

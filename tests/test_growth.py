@@ -88,3 +88,28 @@ def test_folds_read_term_counts(spark):
     votes = score.train_fold_ensemble(d, d.select("id", "text"), d.select("id", (F.col("id") % 3).cast("int").alias("fold")), n_folds=3, num_features=64)
     assert "quire-folds" in str(votes.inputFiles())
     assert {(r.id, r.label) for r in votes.collect()} == {(i, i % 2) for i in range(24)}
+
+
+def test_sentence_embeddings_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SENTENCE_TOKENS", 2)
+    model = spark.createDataFrame([("a", 0.5, 0, [1.0, 2.0, 4.0]), ("b", 0.25, 1, [3.0, 0.0, 1.0]), ("c", 1.0, 0, [0.0, 1.0, 5.0])],
+                                  "token string, weight double, cluster int, vec array<float>")
+    sents = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c", "a", "b"]), (3, ["z"]), (4, None)], "sid long, toks array<string>")
+    e = vectors.s3e_embed(sents, "sid", "toks", model, [[0.5, 0.5, 1.0], [1.0, 0.0, 0.0]])
+    assert "MapInArrow" in plan(e)
+    got = {r.sid: r.embedding for r in e.collect()}
+    assert got[3] is None and got[4] is None
+    assert got[1][:3] == pytest.approx([0.625, 0.5, 1.125])
+    r0, r1 = [0.0, 0.5, 1.0], [-0.25, 0.0, 0.25]  # residuals less their means: (-.5, 0, .5), (-.25, 0, .25)
+    r0, r1 = [x - sum(r0) / 3 for x in r0], [x - sum(r1) / 3 for x in r1]
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True))
+    cov = [dot(r0, r0), dot(r0, r1) * 2 ** 0.5, dot(r1, r1)]
+    assert got[1][3:] == pytest.approx([x / dot(cov, cov) ** 0.5 for x in cov])
+
+
+def test_lower_words_ignore_blanks(spark):
+    texts = ["It's  A\tTest, (x) ", "", None, "  ", "a.b c", "É–Ü  ok\n\nNo"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    want = df.select("i", F.filter(F.flatten(F.transform(F.split(F.lower("t"), " "), T.punct_split)), lambda x: x != "").alias("w"))
+    q = df.select("i", T.lower_words("t").alias("w"))
+    assert "split(" not in plan(q) and q.collect() == want.collect()
