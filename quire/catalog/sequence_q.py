@@ -116,8 +116,9 @@ WIDTH = 128
 def token_records(spark, sf_dir):
     """Whole documents as records of fixed width, word labels spread over sub-word tokens."""
     d = table(spark, sf_dir, "documents").select("doc_id", pieces(T.word_tokens(F.col("text"))).alias("tok"))
-    parts = d.filter(F.size("tok") > 0).select("doc_id", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("tok") - 1) / WIDTH).cast("int")), lambda c: F.slice("tok", c * WIDTH + 1, F.lit(WIDTH)))).alias("record", "t"))
+    # null for no tokens, not a filter: that would be pushed below and cut every text twice
+    parts = d.select("doc_id", F.posexplode(F.when(F.size("tok") > 0, F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("tok") - 1) / WIDTH).cast("int")), lambda c: F.slice("tok", c * WIDTH + 1, F.lit(WIDTH))))).alias("record", "t"))
     mask = F.transform("t", lambda x: F.when(x.startswith("##"), 0).otherwise(1))
     words = F.transform(F.filter("t", lambda x: ~x.startswith("##")), lambda x: F.when(F.length(x) == 4, "LONG").otherwise("O"))
     r = parts.select("doc_id", "record", L.token_record("t", mask, words, WIDTH).alias("r"))

@@ -204,7 +204,8 @@ def word_to_token_labels(word_labels, initial_mask, filler: str = "X") -> Column
     def spread(wl, mask, at):
         def word(first, k):
             size = F.coalesce(F.get(at, k + 1), F.size(mask)) - first
-            return F.concat(F.array(F.get(wl, k).cast("string")), F.array_repeat(F.lit(filler), size - 1))
+            label = F.array(F.get(wl, k).cast("string"))
+            return let(size, lambda n: F.when(n == 1, label).otherwise(F.concat(label, F.array_repeat(F.lit(filler), n - 1))))
 
         head = F.array_repeat(F.lit(filler), F.coalesce(F.get(at, 0), F.size(mask)))
         return F.concat(head, F.flatten(F.transform(at, word)))
@@ -229,16 +230,14 @@ def token_record(tokens, initial_mask, word_labels, width: int, filler: str = "X
 
 
 def pad_to(arr, n, value=0) -> Column:
-    """Right-pad ``arr`` with ``value`` up to length ``n`` (never truncates)."""
-    a = _c(arr)
+    """Right-pad ``arr`` with ``value`` up to length ``n`` (never truncates). The array is computed once."""
     nn = _c(n) if not isinstance(n, int) else F.lit(n)
-    return F.concat(a, F.array_repeat(F.lit(value), F.greatest(nn - F.size(a), F.lit(0))))
+    return let(_c(arr), lambda a: F.concat(a, F.array_repeat(F.lit(value), F.greatest(nn - F.size(a), F.lit(0)))))
 
 
 def pad_left(arr, n, value=0) -> Column:
-    a = _c(arr)
     nn = _c(n) if not isinstance(n, int) else F.lit(n)
-    return F.concat(F.array_repeat(F.lit(value), F.greatest(nn - F.size(a), F.lit(0))), a)
+    return let(_c(arr), lambda a: F.concat(F.array_repeat(F.lit(value), F.greatest(nn - F.size(a), F.lit(0))), a))
 
 
 def misaligned(a, b) -> Column:

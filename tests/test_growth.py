@@ -45,6 +45,12 @@ def test_vocabulary_is_counted_once(spark, docs_dir):
     assert "documents.parquet" not in QUERIES["vocabulary_vectors"](spark, docs_dir)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_records_cut_texts_once(spark, docs_dir):
+    q = QUERIES["token_records"](spark, docs_dir)
+    assert plan(q).count("regexp_extract_all(") == 1
+    assert {r.doc_id for r in q.collect()} == set(range(1, 12))
+
+
 def masked(toks, seed, key, most=20):
     """whole_word_mask, in plain Python."""
     groups = []
