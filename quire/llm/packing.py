@@ -9,15 +9,16 @@ underfull bins travel, and they carry lengths and checksums, not tokens.
 
 Tokenising is exact but avoids the tokenizer's per-call work: its words never reach across a blank,
 so texts are split at blanks and line ends, every distinct chunk is encoded once per worker and kept in a bounded
-table. Chunks outside the Latin blocks go through the tokenizer itself.
+table. New chunks are split into words all at once, and a word is encoded once, whatever the chunks around it. Chunks
+outside the Latin blocks go through the tokenizer itself.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from array import array
-from itertools import repeat
+from collections import defaultdict
+from itertools import chain, compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,14 @@ END_OF_DOCUMENT = 0
 NEARLY_FULL = 8  # tokens that a final bin may lack
 ROWS_PER_TASK = 200_000
 FAN_IN = 8
-MAX_CHUNKS = 200_000  # distinct chunks a worker remembers
+MAX_CHUNKS = 200_000  # distinct chunks and words a worker remembers
 KEPT_CHUNKS = 30_000  # of them the most frequent, from task to task
+LONG_CHUNK = 1_000_000  # longer chunks are left to the tokenizer
 SLICE_CHARS = 2_000_000  # longer texts are encoded in slices cut at a blank
 
 # How the tokenizer's pre-tokenizer splits normalised text.
-WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-LATIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]+")
+WORD_PATTERN = regex.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # and the blanks between chunks
+LATIN = regex.compile("[\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]+")
 BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
 
 
@@ -51,8 +53,15 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _numbered(names: list[str]) -> defaultdict:
+    """The names' places; a name that is looked up for the first time gets the next number and stays."""
+    return defaultdict(count(len(names)).__next__, zip(names, range(len(names)), strict=True))
+
+
 class ChunkEncoder:
-    """Ids of whole texts, chunk by chunk, equal to the tokenizer's."""
+    """Ids of whole texts, chunk by chunk, equal to the tokenizer's.
+
+    Chunks and the words they are made of share one index; number n has the ids ``flat[start[n]:start[n] + size[n]]``."""
 
     def __init__(self, path: str, max_chunks: int = MAX_CHUNKS, slice_chars: int = SLICE_CHARS):
         from tokenizers import Tokenizer
@@ -62,65 +71,75 @@ class ChunkEncoder:
         self.max_chunks, self.slice_chars = max_chunks, slice_chars
         alphabet = byte_characters()
         self.spell = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0x180)}
-        self.index, self.words = {"": 0}, {}
-        self.flat, self.start, self.size = array("I"), array("q", [0]), array("q", [0])
-        self.uses = np.zeros(0, np.int64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index = _numbered(["", " "])  # without ids; the blank stands between chunks in _learn
+        self.flat, self.start, self.size = np.zeros(0, "<u4"), np.zeros(2, np.int64), np.zeros(2, np.int64)
+        self.uses = np.zeros(2, np.int64)
 
     def shrink(self, most: int) -> None:
-        """Forget all but the chunks that were met most often, about ``most`` of them."""
-        uses = np.zeros(len(self.start), np.int64)
-        uses[:len(self.uses)] = self.uses
-        uses[0] = max(uses.max(), 1)  # the empty chunk stays first
-        most = max(1, min(len(uses), most))
-        limit = max(2, int(np.partition(uses, -most)[-most]) + 1)
-        known, flat = [(c, i) for c, i in self.index.items() if uses[i] >= limit or not c], self.flat
-        self.index, self.words, self.flat = {}, {}, array("I")
-        start, size = array("q"), array("q")
-        for c, i in known:
-            self.index[c] = len(start)
-            start.append(len(self.flat))
-            size.append(self.size[i])
-            self.flat.extend(flat[self.start[i]:self.start[i] + self.size[i]])
-        self.uses = np.array([uses[i] // 2 for _, i in known])
-        self.start, self.size = start, size
-
-    def _word(self, word: str) -> tuple[int, int]:
-        """Place and number of the ids of one pre-tokenized lower-case word."""
-        known = self.words.get(word)
-        if known is None:
-            at = len(self.flat)
-            self.flat.extend([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.spell))])
-            known = self.words[word] = (at << 24) | (len(self.flat) - at)
-        return known >> 24, known & 0xFFFFFF
-
-    def _parts(self, chunk: str) -> list[str] | None:
-        """The words that the pre-tokenizer makes of a chunk; None if that is left to the tokenizer."""
-        body, mark = (chunk[:-1], [chunk[-1]]) if chunk[-1] in ",.;:!?" else (chunk, [])
-        if body.isalpha() and (body.isascii() or not BEYOND_LATIN.search(body)):  # mostly a word, or a word and a mark
-            return [body.lower(), *mark]
-        if len(chunk) > 1_000_000 or not LATIN.fullmatch(chunk):
-            return None
-        return WORD_PATTERN.findall(chunk.lower())
-
-    def _add(self, chunk: str) -> int:
-        parts = self._parts(chunk)
-        if parts is None:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-            at, size = len(self.flat), len(ids)
-            self.flat.extend(ids)
-        else:
-            places = [self._word(w) for w in parts]
-            if len(places) == 1:
-                at, size = places[0]
-            else:
-                at = len(self.flat)
-                for a, n in places:
-                    self.flat.extend(self.flat[a:a + n])
-                size = len(self.flat) - at
-        self.index[chunk] = len(self.start)
-        self.start.append(at)
-        self.size.append(size)
-        return len(self.start) - 1
+        """Forget all but the chunks and words that were met most often, about ``most`` of them."""
+        most = max(1, min(len(self.uses), most))
+        limit = max(2, int(np.partition(self.uses, -most)[-most]) + 1)
+        keep = self.uses >= limit
+        keep[:2] = True
+        self.index = _numbered(list(compress(self.index, keep.tolist())))
+        kept = np.flatnonzero(keep)
+        self.flat, ends = self._ids(kept)
+        self.size = self.size[kept]
+        self.start = ends - self.size
+        self.uses = self.uses[kept] // 2
+
+    def _ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks or words one after the other, and where each one's end."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        take = np.repeat(self.start[numbers] - (ends - size), size)
+        take += np.arange(len(take))
+        return self.flat[take], ends
+
+    def _store(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.start[numbers] = len(self.flat) + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
+        self.flat = np.concatenate((self.flat, ids.astype("<u4")))
+
+    def _room(self) -> None:
+        more = np.zeros(len(self.index) - len(self.start), np.int64)
+        self.start, self.size, self.uses = (np.concatenate((x, more)) for x in (self.start, self.size, self.uses))
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of the chunks that the index has just numbered: all are split into words by one expression, new words go
+        through the model once, chunks of other words are put together. What is not Latin is left to the tokenizer."""
+        base = len(self.start)
+        numbers, plain, line = np.arange(base, base + len(new)), new, " ".join(new)
+        if len(line) > LONG_CHUNK or not LATIN.fullmatch(line):
+            fit = np.array([len(c) <= LONG_CHUNK and LATIN.fullmatch(c) is not None for c in new])
+            found = [self.tokenizer.encode(c, add_special_tokens=False).ids for c, f in zip(new, fit, strict=True) if not f]
+            self._room()
+            self._store(numbers[~fit], np.array([len(f) for f in found], np.int64), np.array([x for f in found for x in f], "<u4"))
+            numbers, plain = numbers[fit], [c for c, f in zip(new, fit, strict=True) if f]
+            line = " ".join(plain)
+        if not plain:
+            return
+        parts = WORD_PATTERN.findall(line.lower())
+        part = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+        self._room()
+        met = np.bincount(part, minlength=len(self.uses))
+        met[:2] = 0
+        self.uses += met
+
+        names = new + _last(self.index, len(self.index) - base - len(new))
+        words = np.unique(part[part >= base])
+        tokenize, spell = self.model.tokenize, self.spell
+        found = [tokenize(w if w.isascii() else w.translate(spell)) for w in (names[i] for i in (words - base).tolist())]
+        self._store(words, np.array([len(f) for f in found], np.int64), np.array([t.id for f in found for t in f], "<u4"))
+
+        chunk = np.cumsum(part == 1)
+        own = np.isin(numbers, words)  # the chunk is one new word
+        rest = ~own[chunk]
+        sizes = np.bincount(chunk[rest], self.size[part[rest]], len(numbers)).astype(np.int64)
+        self._store(numbers[~own], sizes[~own], self._ids(part[rest])[0])
 
     def _slices(self, text: str) -> list[str]:
         out, at = [], 0
@@ -153,24 +172,26 @@ class ChunkEncoder:
             return []
         if len(self.index) > self.max_chunks:
             self.shrink(self.max_chunks // 3)
-        flat_chunks = [c for t in texts for c in t]
-        index = self.index
-        at = np.fromiter(map(index.get, flat_chunks, repeat(-1)), np.int64, len(flat_chunks))
-        for i in np.flatnonzero(at < 0).tolist():
-            c = flat_chunks[i]
-            at[i] = index[c] if c in index else self._add(c)
-        met = np.bincount(at, minlength=len(self.start))
-        met[:len(self.uses)] += self.uses
-        self.uses = met
-        size = np.frombuffer(self.size, np.int64)[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1])
-        take = np.repeat(np.frombuffer(self.start, np.int64)[at] - (ends - size), size) + np.arange(total)
-        ids = np.frombuffer(self.flat, "<u4")[take] if total else np.zeros(0, "<u4")
+        flat_chunks = list(chain.from_iterable(texts))
+        before = len(self.index)
+        try:
+            at = np.fromiter(map(self.index.__getitem__, flat_chunks), np.int64, len(flat_chunks))
+            if len(self.index) > before:
+                self._learn(_last(self.index, len(self.index) - before))
+        except BaseException:  # no number may stay without its ids
+            self._clear()
+            raise
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        ids, ends = self._ids(at)
         text_ends = np.concatenate(([0], ends))[np.cumsum([len(t) for t in texts], dtype=np.int64)]
         return np.split(ids, text_ends[:-1])
 
 
+def _last(index: dict[str, int], n: int) -> list[str]:
+    """The ``n`` names numbered last, in order."""
+    return list(islice(reversed(index), n))[::-1]
+
+
 def _chunks(text: str) -> list[str]:
     """The text's parts between blanks and line ends; in lower case where that is safe to do first."""
     if text.isascii() or not BEYOND_LATIN.search(text):

@@ -27,6 +27,42 @@ def test_ids_equal_the_tokenizers(tokenizer):
             assert [x.tolist() for x in encoder.encode(texts[a:a + 100])] == want[a:a + 100]
 
 
+class CountedModel:
+    def __init__(self, model, fails=()):
+        self.model, self.seen, self.fails = model, [], fails
+
+    def tokenize(self, word):
+        self.seen.append(word)
+        if word in self.fails:
+            raise ValueError(word)
+        return self.model.tokenize(word)
+
+
+def test_a_known_word_is_not_encoded_again(tokenizer):
+    texts = ["alpha beta gamma-beta, Alpha"] * 5
+    encoder = ChunkEncoder(tokenizer_path())
+    encoder.model = model = CountedModel(encoder.model)
+    first = encoder.encode(texts)
+    assert sorted(model.seen) == sorted({"alpha", "beta", "gamma", "-", ","})
+    encoder.shrink(100)  # drops nothing that was met more than once
+    again = ["alpha, BETA. beta-alpha"]
+    assert encoder.encode(again)[0].tolist() == tokenizer.encode(again[0], add_special_tokens=False).ids
+    assert "alpha" not in model.seen[5:] and "beta" not in model.seen[5:]
+    assert first[0].tolist() == tokenizer.encode(texts[0], add_special_tokens=False).ids
+
+
+def test_chunks_are_whole_after_a_failure(tokenizer):
+    texts = ["one two-three", "four, five \u4e00 one"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = ChunkEncoder(tokenizer_path())
+    whole = encoder.model
+    encoder.model = CountedModel(whole, fails=("three",))
+    with pytest.raises(ValueError):
+        encoder.encode(texts)
+    encoder.model = whole
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+
+
 def check(rows, pieces, tokenizer, capacity):
     want = []
     for doc, text in rows:
