@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quire.catalog import QUERIES
 from quire.functions import labels as L
 from quire.operators import nq, records, score
 from quire.operators import vectors as V
@@ -164,6 +165,24 @@ def test_fold_jobs_overlap(spark):
     assert max(a, c) < min(b, d)
 
 
+def test_every_fold_has_a_model_that_votes(spark, tmp_path, monkeypatch):
+    """Every training document is left out by one model; each model votes once on every held-out document."""
+    rows = [(i, "the good house" if i % 2 else "das gute haus", "en" if i % 2 else "de") for i in range(140)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, real = {}, score.train_fold_ensemble
+
+    def spy(train, test, folds, **kw):
+        seen["folds"], seen["votes"] = folds, real(train, test, folds, **kw)
+        return seen["votes"]
+
+    monkeypatch.setattr(score, "train_fold_ensemble", spy)
+    out = {r.id: r.label for r in QUERIES["fold_ensemble_votes"](spark, str(tmp_path)).collect()}
+    fold = {r.id: r.fold for r in seen["folds"].collect()}
+    assert 0 < len(out) < 140 and out == {i: i % 2 for i in set(range(140)) - set(fold)}
+    votes = sorted((r.id, r.fold) for r in seen["votes"].collect())
+    assert votes == sorted((i, f) for i in out for f in set(fold.values()))
+
+
 def test_tasks_are_few(spark, monkeypatch):
     df = spark.range(30).withColumn("task", F.col("id") % 3)
     assert {t: d.count() for t, d in records.demux_tasks(df).items()} == {0: 10, 1: 10, 2: 10}
